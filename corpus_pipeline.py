@@ -52,6 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), name)
-        if i > 1:
+        if i:
             scratch.discard(STAGES[i - 1][0])
     return docs
