@@ -4,11 +4,417 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.functions import units as U
+from quire.operators import compare, sequences, styles, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def sql_values(rows: list[tuple], names: str) -> str:
+    """The same rows as a DuckDB table."""
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") AS v({names})"
+
+
+UP, LOW = T.UPPER, T.LOWER
+_MARKUP = "replace(replace({0}, '\\', '\\\\'), '//', '\\/\\/')"
+for _c in T.MARKUP:
+    _MARKUP = f"replace({_MARKUP}, '{_c}', '\\{_c}')"
+_XML = "{0}"
+for _c, _e in T.ENTITIES:
+    _XML = f"replace({_XML}, '{_c.replace(chr(39), chr(39) * 2)}', '{_e}')"
+_NORMAL = f"translate(regexp_replace({{0}}, '[^\\p{{{{L}}}}\\p{{{{N}}}}]', ' ', 'g'), '{UP}', '{LOW}')"
+_TOKENS = "list_filter(string_split(" + _NORMAL + ", ' '), lambda t: t <> '')"
+
+
+# Text ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, " + _MARKUP.format("html") + " AS escaped FROM pages")
+def escape_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.escape_markup(F.col("html")).alias("escaped"))
+
+
+@query("SELECT page_id, " + _XML.format("html") + " AS escaped FROM pages")
+def escape_xml(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.escape_xml(F.col("html")).alias("escaped"))
+
+
+@query("SELECT page_id, replace(replace(url, '\\', '\\\\'), '\"', '\\\"') AS escaped FROM pages")
+def escape_string(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.escape_string(F.col("url")).alias("escaped"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN length(t) <= 96 THEN t ELSE substr(t, 1, 95) || '…' END AS summary
+FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)""")
+def truncate_summary(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.shorten(F.col("text"), 96).alias("summary"))
+
+
+NAMES = [("Theme Major",), ("Embedded Sans",), (" -- Ünïcode 12 ",), ("A  B",), ("",)]
+
+
+@query(
+    "SELECT name, regexp_replace(translate(regexp_replace(name, '[^0-9A-Za-z]', '-', 'g'), "
+    f"'{UP}', '{LOW}'), '^-+|-+$', '', 'g') AS slug FROM (SELECT name FROM {sql_values(NAMES, 'name')} UNION ALL SELECT DISTINCT p_name FROM part)"
+)
+def slugs(spark, sf_dir):
+    names = values(spark, NAMES, "name string").unionByName(read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct())
+    return names.select("name", T.slug(F.col("name")).alias("slug"))
+
+
+@query("SELECT doc_id, " + _NORMAL.format("text") + " AS normalized FROM documents")
+def normalize_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalize_for_comparison(F.col("text")).alias("normalized"))
+
+
+@query("SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest(" + _TOKENS.format("text") + ") AS token FROM benchmark) GROUP BY ALL")
+def token_multiset(spark, sf_dir):
+    return compare.token_bag(read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+_DICE = (
+    "WITH a AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest("
+    + _TOKENS.format("text")
+    + ") AS token FROM documents) GROUP BY ALL), b AS (SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest("
+    + _TOKENS.format("text")
+    + ") AS token FROM benchmark) GROUP BY ALL), ta AS (SELECT doc_id, sum(n) AS s FROM a GROUP BY 1), tb AS (SELECT item_id, sum(n) AS s FROM b GROUP BY 1), "
+    "p AS (SELECT doc_id, item_id, sum(least(a.n, b.n)) AS c FROM a JOIN b USING (token) GROUP BY ALL), "
+    "d AS (SELECT doc_id, item_id, CAST(floor(200.0::DOUBLE * c / (ta.s + tb.s) + 0.5) AS BIGINT) AS similarity FROM p JOIN ta USING (doc_id) JOIN tb USING (item_id)) "
+)
+
+
+@query(_DICE + "SELECT * FROM d")
+def dice_similarity(spark, sf_dir):
+    return compare.dice(read(spark, sf_dir, "documents"), "doc_id", read(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query(_DICE + "SELECT doc_id, item_id, similarity, CAST(85 AS BIGINT) AS threshold, similarity >= 85 AS within_threshold FROM d")
+def similarity_threshold(spark, sf_dir):
+    found = dice_similarity(spark, sf_dir)
+    return found.withColumns({"threshold": F.lit(85).cast("long"), "within_threshold": compare.within_threshold(F.col("similarity"), F.lit(None).cast("boolean"), 85)})
+
+
+COMPARED = [("same", "Alpha beta", "alpha, BETA!", 2, 2), ("pages", "a b c d", "a b c d", 1, 2), ("half", "a b", "a c", 1, 1), ("both empty", " ", "", 1, 1), ("one empty", "x", "", 1, 1), ("bags", "a a a", "a", 1, 1)]
+
+
+@query(f"SELECT name, similarity, delta, similarity >= 85 AND delta = 0 AS within_threshold FROM {sql_values([('same', 100, 0), ('pages', 100, -1), ('half', 50, 0), ('both empty', 100, 0), ('one empty', 0, 0), ('bags', 50, 0)], 'name, similarity, delta')}")
+def reference_comparison(spark, sf_dir):
+    """Expected values are worked out by hand. Two empty texts are alike, one empty text is like none."""
+    rows = values(spark, COMPARED, "name string, left string, right string, pages long, reference_pages long")
+    ours, theirs = rows.select("name", F.col("left").alias("text")), rows.select(F.col("name").alias("other"), F.col("right").alias("text"))
+    found = compare.dice(ours, "name", theirs, "other").where("name = other").drop("other")
+    empty = lambda c: F.size(T.comparison_tokens(F.col(c))) == 0
+    joined = rows.join(found, "name", "left")
+    similarity = F.when(empty("left") & empty("right"), 100).otherwise(F.coalesce("similarity", F.lit(0)))
+    out = joined.select("name", similarity.cast("int").alias("similarity"), (F.col("pages") - F.col("reference_pages")).cast("int").alias("delta"))
+    return out.withColumn("within_threshold", compare.within_threshold(F.col("similarity"), F.col("delta") == 0, 85))
+
+
+# Packages -----------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, sha256(html) AS checksum FROM pages")
+def part_checksum(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("checksum"))
+
+
+@query(r"""
+SELECT page_id, CAST(o - 1 AS INTEGER) AS ord, h[o] AS target FROM (
+  SELECT page_id, h, unnest(range(1, len(h) + 1)) AS o FROM (
+    SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), 'href="([^"]*)"', 1) AS h FROM pages))""")
+def extract_relationships(spark, sf_dir):
+    bare = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
+    return read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all(bare, F.lit('href="([^"]*)"'), 1)).alias("ord", "target"))
+
+
+PATHS = [("word/../a/./b.xml", "a/b.xml"), ("../x", "x"), ("a/b/../../c", "c"), ("//a//b", "a/b"), ("", ""), ("..", "")]
+
+
+@query(f"SELECT path, expected, expected AS normalized FROM {sql_values(PATHS, 'path, expected')} UNION ALL SELECT url, regexp_replace(url, '/+', '/', 'g'), rtrim(regexp_replace(url, '/+', '/', 'g'), '/') FROM pages")
+def normalize_path(spark, sf_dir):
+    urls = read(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.regexp_replace("url", "/+", "/").alias("expected"))
+    rows = values(spark, PATHS, "path string, expected string").unionByName(urls)
+    return rows.withColumn("normalized", T.normalize_path(F.col("path")))
+
+
+TARGETS = [("word/document.xml", "media/a.png", None, "word/media/a.png"), ("word/document.xml", "../b.xml", None, "b.xml"), ("word/document.xml", "/c/d.xml", None, "c/d.xml"), ("word/document.xml", "https://e.example/x/../y", "External", "https://e.example/x/../y"), ("", "word/document.xml", "Internal", "word/document.xml")]
+
+
+@query(f"SELECT source, target, mode, resolved FROM {sql_values(TARGETS, 'source, target, mode, resolved')}")
+def resolve_targets(spark, sf_dir):
+    rows = values(spark, TARGETS, "source string, target string, mode string, expected string")
+    return rows.select("source", "target", "mode", T.resolve_target(F.col("source"), F.col("target"), F.col("mode")).alias("resolved"))
+
+
+PARTS = [("word/document.xml", "application/main"), ("word/media/a.png", "image/png"), ("word/media/b.PNG", None), ("docProps/app.xml", "application/xml"), ("noext", None)]
+TYPES = [("word/document.xml", "application/main"), (".png", "image/png"), (".xml", "application/xml")]
+
+
+@query(f"SELECT part, content_type FROM {sql_values(PARTS, 'part, content_type')}")
+def content_type_lookup(spark, sf_dir):
+    from quire.sources.package import content_types
+
+    parts = values(spark, [(1, p) for p, _ in PARTS], "doc_id long, part string")
+    types = values(spark, [(1, k, t) for k, t in TYPES], "doc_id long, key string, content_type string")
+    return content_types(parts, types).select("part", "content_type")
+
+
+# Styles, headings, numbers ------------------------------------------------------------------------
+
+HEADINGS = [("Heading 1", 1), ("heading2", 2), ("HEADING 255", 255), ("heading 256", None), ("Heading", None), ("heading +3", 3), ("Heading 1a", None), ("Überschrift 1", None), ("heading 0", 0)]
+
+
+@query(f"SELECT name, level FROM {sql_values(HEADINGS, 'name, level')}")
+def heading_level(spark, sf_dir):
+    return values(spark, [(n,) for n, _ in HEADINGS], "name string").select("name", T.heading_level(F.col("name")).alias("level"))
+
+
+FIELDS = [(" PAGE \\* MERGEFORMAT ", True), ("page", True), ("PAGEREF x", False), ("NUMPAGES", False), ("", False)]
+
+
+@query(f"SELECT instruction, is_page FROM {sql_values([(a, int(b)) for a, b in FIELDS], 'instruction, n')}, LATERAL (SELECT n = 1 AS is_page)")
+def field_instructions(spark, sf_dir):
+    return values(spark, [(n,) for n, _ in FIELDS], "instruction string").select("instruction", T.is_page_field(F.col("instruction")).alias("is_page"))
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT 'N' || n_nationkey AS node, 'R' || n_regionkey AS parent FROM nation UNION ALL SELECT 'R' || r_regionkey, CASE WHEN r_regionkey > 0 THEN 'R' || (r_regionkey - 1) END FROM region),
+c AS (SELECT node, node AS ancestor, 0 AS depth FROM n UNION ALL SELECT c.node, n.parent, c.depth + 1 FROM c JOIN n ON n.node = c.ancestor WHERE n.parent IS NOT NULL)
+SELECT * FROM c""")
+def style_chain_closure(spark, sf_dir):
+    return styles.ancestor_chains(_style_tree(spark, sf_dir), [], "node", "parent")
+
+
+def _style_tree(spark, sf_dir):
+    nations = read(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("node"), F.concat(F.lit("R"), "n_regionkey").alias("parent"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).alias("font"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(True)).alias("bold"))
+    key = F.col("r_regionkey")
+    regions = read(spark, sf_dir, "region").select(F.concat(F.lit("R"), key).alias("node"), F.when(key > 0, F.concat(F.lit("R"), (key - 1).cast("string"))).alias("parent"), F.when(key % 2 == 0, F.col("r_name")).alias("font"), F.when(key > 2, F.lit(False)).alias("bold"))
+    return nations.unionByName(regions)
+
+
+@query("""
+WITH RECURSIVE n AS (
+  SELECT 'N' || n_nationkey AS node, 'R' || n_regionkey AS parent, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS font, CASE WHEN n_nationkey % 2 = 0 THEN true END AS bold FROM nation
+  UNION ALL SELECT 'R' || r_regionkey, CASE WHEN r_regionkey > 0 THEN 'R' || (r_regionkey - 1) END, CASE WHEN r_regionkey % 2 = 0 THEN r_name END, CASE WHEN r_regionkey > 2 THEN false END FROM region),
+c AS (SELECT node, node AS ancestor, 0 AS depth FROM n UNION ALL SELECT c.node, n.parent, c.depth + 1 FROM c JOIN n ON n.node = c.ancestor WHERE n.parent IS NOT NULL)
+SELECT c.node, arg_min(n.font, c.depth) FILTER (n.font IS NOT NULL) AS font, arg_min(n.bold, c.depth) FILTER (n.bold IS NOT NULL) AS bold
+FROM c JOIN n ON n.node = c.ancestor GROUP BY c.node""")
+def style_cascade(spark, sf_dir):
+    tree = _style_tree(spark, sf_dir)
+    return styles.cascade(styles.ancestor_chains(tree, [], "node", "parent"), tree, [], "node", ["font", "bold"])
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, p_brand AS abstract_id, CASE WHEN s_suppkey IS NULL OR s_nationkey % 2 = 0 THEN 'bullet' ELSE 'numbered' END AS kind
+FROM lineitem JOIN part ON l_partkey = p_partkey AND p_size < 25 LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0""")
+def numbering_lookup(spark, sf_dir):
+    """Two hops: an unknown number is no list, an unknown level is a bullet."""
+    first = read(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("abstract_id"))
+    second = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_nationkey") % 2 == 0, "bullet").otherwise("numbered").alias("kind"))
+    rows = read(spark, sf_dir, "lineitem").join(first, "l_partkey").join(second, "l_suppkey", "left")
+    return rows.select("l_orderkey", "l_linenumber", "abstract_id", F.coalesce("kind", F.lit("bullet")).alias("kind"))
+
+
+_LENGTH = "rtrim(rtrim(printf('%.4f', round_even({0}::REAL::DOUBLE, 4)), '0'), '.')"
+
+
+@query(f"SELECT DISTINCT l_partkey, {_LENGTH.format('(l_partkey / 1440.0::DOUBLE)')} || 'in' AS inches, {_LENGTH.format('(l_partkey / 2.0::DOUBLE)')} || 'pt' AS points, {_LENGTH.format('(l_partkey * 635 / 914400.0::DOUBLE)')} || 'in' AS emu FROM lineitem")
+def unit_lengths(spark, sf_dir):
+    keys = read(spark, sf_dir, "lineitem").select("l_partkey").distinct()
+    return keys.select("l_partkey", U.twips(F.col("l_partkey")).alias("inches"), U.points(F.col("l_partkey"), 2).alias("points"), U.emu(F.col("l_partkey") * 635).alias("emu"))
+
+
+LENGTHS = [(45, "0.0312in"), (1440, "1in"), (720, "0.5in"), (0, "0in"), (2148, "1.4917in"), (40, "0.0278in"), (100, "0.0694in")]
+
+
+@query(f"SELECT twips, length FROM {sql_values(LENGTHS, 'twips, length')}")
+def unit_anchors(spark, sf_dir):
+    return values(spark, [(n,) for n, _ in LENGTHS], "twips int").select("twips", U.twips(F.col("twips")).alias("length"))
+
+
+TINTED = [("#4472C4", 0x66, None, "#B4C6E7"), ("#4472C4", 0x99, None, "#8EAADB"), ("#808080", None, 255, "#808080"), ("#000000", None, None, "#000000"), ("#FFFFFF", None, 0, "#000000")]
+
+
+@query(f"SELECT color, CAST(tint AS INTEGER) AS tint, CAST(shade AS INTEGER) AS shade, result FROM {sql_values(TINTED, 'color, tint, shade, result')}")
+def theme_tint(spark, sf_dir):
+    rows = values(spark, [r[:3] for r in TINTED], "color string, tint int, shade int")
+    return rows.withColumn("result", U.theme_shade(F.col("color"), F.col("tint"), F.col("shade")))
+
+
+COLORS = [("AUTO", "black"), ("#WINDOWTEXT", "black"), ("WINDOW", "white"), ("#BFBFBF", 'rgb("#BFBFBF")'), ("abc", 'rgb("#abc")'), ("reddish", 'rgb("reddish")')]
+
+
+@query(f"SELECT color, rendered FROM {sql_values(COLORS, 'color, rendered')}")
+def colors(spark, sf_dir):
+    return values(spark, [(n,) for n, _ in COLORS], "color string").select("color", U.render_color(F.col("color")).alias("rendered"))
+
+
+@query(f"SELECT name, color FROM {sql_values([*U.HIGHLIGHTS.items(), ('none', None), ('pink', None)], 'name, color')}")
+def highlights(spark, sf_dir):
+    return values(spark, [(n,) for n in [*U.HIGHLIGHTS, "none", "pink"]], "name string").select("name", U.highlight(F.col("name")).alias("color"))
+
+
+# Sequences ----------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT conv_id, string_agg(b, chr(10) || chr(10) ORDER BY turn) AS body FROM (
+  SELECT conv_id, turn, regexp_replace(""" + _MARKUP.format("text") + r""", '\s+$', '') AS b FROM conversations) WHERE b <> '' GROUP BY conv_id""")
+def turn_blocks(spark, sf_dir):
+    return sequences.joined_blocks(read(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], T.escape_markup(F.col("text")), "body")
+
+
+@query("""
+WITH c AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(changed) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS items, min(event_id) AS first_event FROM r GROUP BY ALL""")
+def list_runs(spark, sf_dir):
+    runs = sequences.adjacent_runs(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type"])
+    return runs.groupBy("user_id", "run", "event_type").agg(F.count("*").alias("items"), F.min("event_id").alias("first_event"))
+
+
+@query("""
+WITH c AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS changed FROM conversations WHERE text <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, sum(changed) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT conv_id, CAST(run AS BIGINT) AS run, role, string_agg(text, '' ORDER BY turn) AS text FROM r GROUP BY ALL""")
+def merge_adjacent_runs(spark, sf_dir):
+    rows = sequences.adjacent_runs(read(spark, sf_dir, "conversations").where("text <> ''"), ["conv_id"], ["turn"], ["role"])
+    merged = rows.groupBy("conv_id", "run", "role").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return merged.select("conv_id", "run", "role", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
+
+
+@query("""
+SELECT event_id, last_value(CASE WHEN event_type IN ('signup', 'error', 'purchase') THEN event_type END IGNORE NULLS)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS state FROM events""")
+def field_state(spark, sf_dir):
+    marks = F.when(F.col("event_type").isin("signup", "error", "purchase"), F.col("event_type"))
+    return sequences.running_last(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], marks, "state").select("event_id", "state")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(1 + coalesce(sum(CASE WHEN line LIKE '%:' OR line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS section_no FROM l""")
+def section_numbering(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line_no", F.col("i") + 1)
+    return sequences.earlier_count(lines, ["doc_id"], ["line_no"], F.col("line").endswith(":") | (F.col("line") == ""), "section_no").select("doc_id", "line_no", "section_no")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'heading-' ELSE 'paragraph-' END || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS block_id FROM conversations")
+def sequence_ids(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("role") == "system", "heading-").otherwise("paragraph-"), n).alias("block_id"))
+
+
+@query("SELECT source, arg_min(doc_id, doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source")
+def first_usage_location(spark, sf_dir):
+    return sequences.first_by(read(spark, sf_dir, "documents"), ["source"], ["doc_id"], ["doc_id", "lang"])
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def last_wins_lookup(spark, sf_dir):
+    return sequences.last_by(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "value"])
+
+
+# Tables -------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(1 + CAST(l_quantity AS BIGINT) % 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS column_index FROM lineitem""")
+def column_offsets(spark, sf_dir):
+    return sequences.offsets(_cells(spark, sf_dir), ["l_orderkey"], ["l_linenumber"], "span", "column_index").select("l_orderkey", "l_linenumber", "column_index")
+
+
+def _cells(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").withColumn("span", 1 + F.col("l_quantity").cast("long") % 3)
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, 1 + CAST(l_quantity AS BIGINT) % 3 AS span, l_partkey AS width, CAST(coalesce(sum(1 + CAST(l_quantity AS BIGINT) % 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM lineitem),
+s AS (SELECT *, unnest(range(0, span)) AS o FROM c)
+SELECT l_orderkey, at + o AS slot, max(width // span + CASE WHEN o = span - 1 THEN width % span ELSE 0 END) AS width FROM s GROUP BY ALL""")
+def column_width_inference(spark, sf_dir):
+    cells = sequences.offsets(_cells(spark, sf_dir), ["l_orderkey"], ["l_linenumber"], "span", "at")
+    return tables.column_widths(cells, ["l_orderkey"], "at", "span", "l_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(((l_linenumber - 1) // 2) % 2 AS INTEGER) AS row_band, CAST((l_linenumber - 1) % 2 AS INTEGER) AS column_band, l_linenumber = min(l_linenumber) OVER w AS is_first, l_linenumber = max(l_linenumber) OVER w AS is_last FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
+def band_flags(spark, sf_dir):
+    whole, i = Window.partitionBy("l_orderkey"), F.col("l_linenumber") - 1
+    rows = read(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", tables.band(i, F.lit(2)).alias("row_band"), tables.band(i, F.lit(0)).alias("column_band"), (F.col("l_linenumber") == F.min("l_linenumber").over(whole)).alias("is_first"), (F.col("l_linenumber") == F.max("l_linenumber").over(whole)).alias("is_last"))
+
+
+_LINES = r"list_sum(list_transform(string_split(text, chr(10)), lambda x: CAST(ceil(greatest(length(regexp_replace(x, '^\s+|\s+$', '', 'g')), 1) / 42.0) AS BIGINT)))"
+
+
+@query(f"SELECT doc_id, CAST({_LINES} AS BIGINT) AS lines FROM documents")
+def text_line_estimate(spark, sf_dir):
+    """A width of 4,620 twips at 10 points has room for 42 characters."""
+    in_line = tables.characters_in_line(F.lit(4620), F.lit(20))
+    return read(spark, sf_dir, "documents").select("doc_id", tables.line_count(F.col("text"), in_line).alias("lines"))
+
+
+@query(f"SELECT source, lang, bool_and({_LINES} * 200 <= 12000) AS fits FROM documents GROUP BY ALL")
+def row_fit(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").withColumn("lines", tables.line_count(F.col("text"), tables.characters_in_line(F.lit(4620), F.lit(20))))
+    return rows.groupBy("source", "lang").agg(F.bool_and(F.col("lines") * 200 <= 12000).alias("fits"))
+
+
+# Fonts, diagnostics, reports ----------------------------------------------------------------------
+
+SUBSTITUTES = [("SRC1", "Resolved One"), ("src12", "Resolved Twelve"), ("src7", "src7")]
+
+
+@query(f"""
+SELECT source AS requested, coalesce(v.resolved, source) AS resolved, CASE WHEN v.resolved IS NULL THEN 'document font retained' ELSE 'profile substitution' END AS reason, coalesce(v.resolved, source) <> source AS substituted
+FROM (SELECT DISTINCT source FROM documents) LEFT JOIN {sql_values(SUBSTITUTES, 'requested, resolved')} ON translate(source, '{UP}', '{LOW}') = translate(v.requested, '{UP}', '{LOW}')""")
+def font_decisions(spark, sf_dir):
+    from quire.operators.fonts import decide
+
+    fonts = read(spark, sf_dir, "documents").select(F.col("source").alias("requested")).distinct()
+    return decide(fonts, dict(SUBSTITUTES), [], []).withColumn("substituted", F.col("requested") != F.col("resolved"))
+
+
+@query("SELECT event_type AS code, count(*) AS n, count(DISTINCT user_id) AS documents FROM events GROUP BY event_type")
+def diagnostic_inventory(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("documents"))
+
+
+@query("SELECT doc_id, toxic = 0 AND (quality = 1 OR doc_id % 7 > 0) AS success FROM labels")
+def corpus_success(spark, sf_dir):
+    """A run succeeds if it ended well and, where a baseline needs fallbacks, has some."""
+    return read(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 0) & ((F.col("quality") == 1) | (F.col("doc_id") % 7 > 0))).alias("success"))
+
+
+@query("SELECT conv_id, count(*) AS blocks, count(*) FILTER (role <> 'system') AS paragraphs, count(*) FILTER (role = 'system') AS headings FROM conversations GROUP BY conv_id")
+def conversion_stats(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("role") != "system").alias("paragraphs"), F.count_if(F.col("role") == "system").alias("headings"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    return QUERIES["dice_similarity"](spark, sf_dir)
