@@ -41,7 +41,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     total = rows.count()
     bound = max(1, total // HEAVY_DIGESTS)
     sketches = rows.groupBy((F.spark_partition_id() % MERGERS).alias("merger")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(digest), {TRACKED})").alias("sketch"))
-    found = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch")).select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {TRACKED})")).alias("x"))
+    # grouped by a constant: a global aggregate would also merge the null sketches of empty partitions, which fails
+    merged = sketches.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    found = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {TRACKED})")).alias("x"))
     candidates = found.where(F.col("x.count") * 2 > bound).select(F.col("x.item").alias("hash"))
     order = F.struct((-F.col("points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")
     verified = rows.withColumn("hash", F.xxhash64("digest")).join(F.broadcast(candidates), "hash", "left_semi").groupBy("digest").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
