@@ -344,9 +344,13 @@ def last_wins_lookup(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(1 + CAST(l_quantity AS BIGINT) % 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS column_index FROM lineitem""")
+SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(1 + CAST(l_quantity AS BIGINT) % 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS column_index FROM lineitem""")
 def column_offsets(spark, sf_dir):
-    return sequences.offsets(_cells(spark, sf_dir), ["l_orderkey"], ["l_linenumber"], "span", "column_index").select("l_orderkey", "l_linenumber", "column_index")
+    return sequences.offsets(_cells(spark, sf_dir), ["l_orderkey"], LINE_ORDER, "span", "column_index").select("l_orderkey", "l_linenumber", "column_index")
+
+
+#: Line numbers repeat within an order; these columns don't.
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
 def _cells(spark, sf_dir):
@@ -354,11 +358,11 @@ def _cells(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT l_orderkey, 1 + CAST(l_quantity AS BIGINT) % 3 AS span, l_partkey AS width, CAST(coalesce(sum(1 + CAST(l_quantity AS BIGINT) % 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM lineitem),
+WITH c AS (SELECT l_orderkey, 1 + CAST(l_quantity AS BIGINT) % 3 AS span, l_partkey AS width, CAST(coalesce(sum(1 + CAST(l_quantity AS BIGINT) % 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM lineitem),
 s AS (SELECT *, unnest(range(0, span)) AS o FROM c)
-SELECT l_orderkey, at + o AS slot, max(width // span + CASE WHEN o = span - 1 THEN width % span ELSE 0 END) AS width FROM s GROUP BY ALL""")
+SELECT l_orderkey, pos + o AS slot, max(width // span + CASE WHEN o = span - 1 THEN width % span ELSE 0 END) AS width FROM s GROUP BY ALL""")
 def column_width_inference(spark, sf_dir):
-    cells = sequences.offsets(_cells(spark, sf_dir), ["l_orderkey"], ["l_linenumber"], "span", "at")
+    cells = sequences.offsets(_cells(spark, sf_dir), ["l_orderkey"], LINE_ORDER, "span", "at")
     return tables.column_widths(cells, ["l_orderkey"], "at", "span", "l_partkey")
 
 
@@ -417,4 +421,4 @@ def conversion_stats(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["dice_similarity"](spark, sf_dir)
+    return QUERIES["package_roundtrip"](spark, sf_dir)

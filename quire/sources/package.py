@@ -1,10 +1,63 @@
-"""Package lookups."""
+"""Packages as tables: parts, content types, relationships and markup nodes.
+
+A package table has doc_id and content, the bytes of one package a row. Broken packages give no rows here, or a row
+with their error in the conversion; they never fail the job.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.text import resolve_target
+from quire.operators.office import BadPackage, Package, local
+from quire.plans.session import ship_package
+
+PARTS = "doc_id string, part string, content binary"
+NODES = "doc_id string, part string, node_id long, end_id long, parent_id long, ord int, depth int, tag string, attrs map<string, string>, text string, path string"
+
+
+def read_packages(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder or pattern, named by their path."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
+
+
+def by_document(packages: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(doc_id, bytes) gives rows as dictionaries; one narrow pass, document by document."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ship_package(packages.sparkSession)
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for doc_id, content in zip(batch.column("doc_id"), batch.column("content"), strict=True):
+                if rows := list(fn(doc_id.as_py(), content.as_py() or b"")):
+                    yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, schema)
+
+
+def _opened(content: bytes) -> Package | None:
+    try:
+        return Package(content)
+    except BadPackage:
+        return None
+
+
+def parts(packages: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, part, checksum, content, content_type. only: the parts to unzip at all."""
+
+    def unzip(doc_id, content):
+        package = _opened(content)
+        for name, data in sorted(package.parts.items()) if package else ():
+            if only is None or name in only:
+                yield {"doc_id": doc_id, "part": name, "content": data, "content_type": package.content_type(name)}
+
+    return by_document(packages, unzip, PARTS + ", content_type string").withColumn("checksum", F.sha2("content", 256))
+
 
 def content_types(parts: DataFrame, types: DataFrame) -> DataFrame:
     """parts with content_type: that of the part's name, else that of its extension (case matters), else null."""
@@ -13,3 +66,51 @@ def content_types(parts: DataFrame, types: DataFrame) -> DataFrame:
     keyed = parts.drop("content_type").withColumn("_end", F.regexp_extract("part", r"(\.[^./]*)$", 1))
     joined = keyed.join(exact, ["doc_id", "part"], "left").join(by_end, ["doc_id", "_end"], "left")
     return joined.withColumn("content_type", F.coalesce("_exact", "_default")).drop("_exact", "_default", "_end")
+
+
+def relationships(packages: DataFrame) -> DataFrame:
+    """doc_id, source_part, ord, rel_id, kind, target, target_mode, resolved_target."""
+
+    def found(doc_id, content):
+        package = _opened(content)
+        for part in ("", *sorted(package.parts)) if package else ():
+            try:
+                listed = package.relations(part)
+            except BadPackage:
+                continue
+            for i, x in enumerate(listed):
+                yield {"doc_id": doc_id, "source_part": part, "ord": i, "rel_id": x["id"], "kind": x["kind"], "target": x["target"], "target_mode": x["mode"]}
+
+    rows = by_document(packages, found, "doc_id string, source_part string, ord int, rel_id string, kind string, target string, target_mode string")
+    return rows.withColumn("resolved_target", resolve_target(F.col("source_part"), F.col("target"), F.col("target_mode")))
+
+
+def nodes(packages: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The elements of all markup parts in reading order. Those below a node are the ones from node_id to end_id."""
+
+    def shred(doc_id, content):
+        package = _opened(content)
+        for part in sorted(package.parts) if package else ():
+            if only is not None and part not in only or not part.endswith((".xml", ".rels")):
+                continue
+            tree = package.readable(part)
+            if tree is not None:
+                yield from tree_rows(doc_id, part, tree)
+
+    return by_document(packages, shred, NODES)
+
+
+def tree_rows(doc_id: str, part: str, tree) -> list[dict]:
+    rows: list[dict] = []
+    stack = [(tree, None, 0, 0, f"/{local(tree)}[1]")]
+    while stack:
+        node, parent, place, depth, path = stack.pop()
+        own = len(rows)
+        rows.append({"doc_id": doc_id, "part": part, "node_id": own, "end_id": own + sum(1 for _ in node.iter()) - 1, "parent_id": parent, "ord": place, "depth": depth, "tag": local(node), "attrs": list(node.attrib.items()), "text": node.text, "path": path})
+        seen: dict[str, int] = {}
+        below = []
+        for i, x in enumerate(node):
+            seen[local(x)] = seen.get(local(x), 0) + 1
+            below.append((x, own, i, depth + 1, f"{path}/{local(x)}[{seen[local(x)]}]"))
+        stack += reversed(below)
+    return rows
