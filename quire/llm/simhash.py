@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import HEAVY, Scratch, map_batches, packed, split_join
+from quire.llm.common import Scratch, map_batches, packed, split_join
 from quire.plans.session import ship_package
 
 SHINGLE = 4
@@ -135,15 +135,11 @@ def link(fp: np.ndarray, bucket: np.ndarray, bits: int = BITS) -> tuple[np.ndarr
         if not len(a):
             continue
         whole = differ + 64 - np.bitwise_count(shared) <= bits
-        for x, y in ((a[whole], b[whole]),):
-            if depth == 0:
-                forest.join(x, y)
-            elif len(x):
-                forest.join(*_star(now, x, y))
+        if whole.any():
+            forest.join(*((a[whole], b[whole]) if depth == 0 else _star(now, a[whole], b[whole])))
         a, b = a[~whole], b[~whole]
         if not len(a):
             continue
-        # nodes that are one set already need no further look
         sizes_a, sizes_b = now["end"][a] - now["child"][a], now["end"][b] - now["child"][b]
         n = sizes_a * sizes_b
         at = np.repeat(np.arange(len(a)), n)
@@ -296,6 +292,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The row of docs with the smallest doc_id of each component, with all columns of docs; of rows that repeat it, one."""
     kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("id")).distinct()
     one = docs.select(packed(docs), F.col("doc_id").alias("own")).join(kept, F.col("own").eqNullSafe(F.col("id")), "left_semi")
-    from pyspark.sql import Window
-
     return one.withColumn("n", F.row_number().over(Window.partitionBy("own").orderBy(F.crc32(F.coalesce("row.text", F.lit("")))))).where("n = 1").select("row.*")
