@@ -8,8 +8,10 @@ kept in the worker's cache, the second tier. No pre-token is shuffled and no pas
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 from collections.abc import Iterator
-from itertools import islice
 
 import regex
 
@@ -17,10 +19,10 @@ import regex
 WHITE = "\t-\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: A worker's cache starts anew beyond so many entries; longer pre-tokens than this aren't kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
-#: Pre-tokens of a text that are held at once.
-AT_ONCE = 200_000
+#: Entries of a generation of a worker's cache; longer pre-tokens than this aren't kept.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+#: Characters of a text that are cut at once.
+AT_ONCE = 1_000_000
 
 
 def frequent(path: str) -> dict[str, bytes]:
@@ -29,51 +31,120 @@ def frequent(path: str) -> dict[str, bytes]:
 
     library, pattern = Tokenizer.from_file(path), regex.compile(PRE_TOKEN)
     texts = [library.decode([i]) for i in range(library.get_vocab_size())]
-    texts = [x for x in texts if "�" not in x and pattern.findall(x) == [x]]
+    texts = [x for x in texts if "\ufffd" not in x and pattern.findall(x) == [x]]
     return {x: packed_ids(e.ids) for x, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True)}
 
 
 def packed_ids(ids: list[int]) -> bytes:
-    import numpy as np
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    return np.asarray(ids, dtype="<u4").tobytes()
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as bytes with their ids, if ids follow the order of merging; else None.
 
-class Lookup(dict):
-    """Pre-token to packed ids: a hit costs one dictionary access, a miss asks the library."""
+    Then merging by id, which needs no look at merges, gives what the library's merging gives.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+    vocabulary = model["vocab"]
+    first = len(vocabulary) - len(merged)
+    if any(vocabulary.get(m) != first + i for i, m in enumerate(merged)) or any(c not in letters for t in vocabulary for c in t):
+        return None
+    return {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+
+
+class Pieces(dict):
+    """Pre-token to packed ids: the first tier at hand, misses encoded and kept for a while.
+
+    What is kept comes in two generations: once the younger is full it becomes the older, so what is used again stays.
+    """
 
     def __init__(self, path: str, table: dict[str, bytes]) -> None:
-        from tokenizers import Tokenizer
+        super().__init__()
+        self.table, self.older = table, {}
+        ranks = byte_ranks(path)
+        if ranks is not None:
+            import tiktoken
 
-        super().__init__(table)
-        self.table, self.library = table, Tokenizer.from_file(path)
+            single = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+            self.encode = lambda piece: packed_ids(single(piece))
+        else:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(path)
+            self.encode = lambda piece: packed_ids(library.encode(piece, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> bytes:
-        found = packed_ids(self.library.encode(piece, add_special_tokens=False).ids)
+        found = self.table.get(piece) or self.older.get(piece) or self.encode(piece)
         if len(piece) <= CACHE_CHARS:
-            if len(self) - len(self.table) >= CACHE_ENTRIES:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
-                self.update(self.table)
             self[piece] = found
         return found
 
 
+class Chunks(dict):
+    """What stands between white space, to the packed ids of a prefix and it."""
+
+    def __init__(self, pieces: Pieces, pattern, prefix: str) -> None:
+        super().__init__()
+        self.pieces, self.pattern, self.prefix, self.older = pieces, pattern, prefix, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk) or b"".join(map(self.pieces.__getitem__, self.pattern.findall(self.prefix + chunk)))
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class Encoder:
+    """Cuts texts without the pattern where that gives the same pre-tokens, and looks the parts up.
+
+    A pre-token has a space at its start only, and other white space not at all, except for runs of white space. So a
+    text falls apart before each space and around each line feed that stand alone.
+    """
+
     def __init__(self, path: str, table: dict[str, bytes]) -> None:
-        self.lookup, self.pattern = Lookup(path, table), regex.compile(PRE_TOKEN)
+        self.pattern = regex.compile(PRE_TOKEN)
+        self.lookup = Pieces(path, table)
+        self.bare, self.spaced = Chunks(self.lookup, self.pattern, ""), Chunks(self.lookup, self.pattern, " ")
+        self.run = re.compile(f"[{WHITE}]{{2}}").search
+        alone = re.compile(f" (?<=[^{WHITE}] )(?=[^{WHITE}])")
+        self.apart, self.next_alone = alone.split, alone.search
+        self.around = "".join(chr(c) for c in range(0x3001) if regex.match(f"[{WHITE}]", chr(c)))
 
     def parts(self, text: str) -> Iterator[bytes]:
         """Packed ids of the text, in order, in parts."""
-        at = self.lookup.__getitem__
         for i, section in enumerate(text.split(SPECIAL)):
             if i:
                 yield packed_ids([SPECIAL_ID])
-            if len(section) <= AT_ONCE:
-                yield b"".join(map(at, self.pattern.findall(section)))
-                continue
-            pieces = (m.group() for m in self.pattern.finditer(section))
-            while some := list(islice(pieces, AT_ONCE)):
-                yield b"".join(map(at, some))
+            while len(section) > AT_ONCE and (space := self.next_alone(section, AT_ONCE)):
+                yield self.block(section[: space.start()])
+                section = section[space.start() :]
+            yield self.block(section)
+
+    def block(self, text: str) -> bytes:
+        bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
+        body = text.lstrip(self.around)
+        if self.run(body):
+            chunks = self.apart(text)
+            return b"".join([bare(chunks[0]), *map(spaced, chunks[1:])])
+        out: list[bytes] = []
+        feed, head = bare("\n"), text[: len(text) - len(body)]
+        for line in body.split("\n"):
+            first, *others = line.split(" ")
+            out.append(bare(head + first))
+            out.extend(map(spaced, others))
+            out.append(feed)
+            head = ""
+        return b"".join(out[:-1])
 
     def count(self, text: str) -> int:
         return sum(map(len, self.parts(text))) // 4
