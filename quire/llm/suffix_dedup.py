@@ -30,8 +30,8 @@ from quire.plans.session import ship_package
 DEPTH, DIGIT = 200, 50
 #: Bytes that a worker looks at together.
 CHUNK = 1 << 20
-#: Anchors of a digit beyond which its windows are dealt one by one, so that no task holds more than this of one digit.
-MOST = 100_000
+#: Anchors of a digit beyond which its windows are dealt in SHARES, and rows of a share beyond which they are dealt one by one: no task holds more of one digit.
+MOST, SHARES = 100_000, 4
 BASE, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -116,7 +116,7 @@ def chunks(texts: list[bytes], depth: int = DEPTH, most: int = CHUNK) -> Iterato
 
 
 def find_anchors(texts: DataFrame, depth: int, digit: int) -> DataFrame:
-    """key (the digit), b, d (the text), first, last (windows) of all anchors."""
+    """key (the digit), b, d (the text), first, last (windows) and lead (bytes from the first window to it) of all anchors."""
 
     def run(batch):
         b, d = batch.column("b").to_numpy(), batch.column("d").to_numpy()
@@ -124,38 +124,41 @@ def find_anchors(texts: DataFrame, depth: int, digit: int) -> DataFrame:
             key, place, first, last = anchors(data, ends, depth, digit)
             part = np.searchsorted(ends, place, side="right")
             shift = offsets[part] - np.concatenate(([0], ends[:-1]))[part]
-            yield {"key": key.view(np.int64), "b": b[rows[part]], "d": d[rows[part]], "first": first + shift, "last": last + shift}
+            yield {"key": key.view(np.int64), "b": b[rows[part]], "d": d[rows[part]], "first": first + shift, "last": last + shift, "lead": place - first}
 
-    return map_batches(texts.select("b", "d", F.col("text").cast("binary").alias("text")), run, "key long, b long, d long, first long, last long")
+    return map_batches(texts.select("b", "d", F.col("text").cast("binary").alias("text")), run, "key long, b long, d long, first long, last long, lead int")
 
 
-CONTEXTS = "key long, window binary, b long, d long, firsts array<long>, data binary"
+CONTEXTS = "key long, crowded boolean, b long, d long, firsts array<long>, data binary"
 
 
-def contexts(joined: DataFrame, depth: int, most: int) -> DataFrame:
-    """The bytes of each anchor's windows, once for each text. joined: b, d, text, found (array of key, n, first, last).
+def contexts(joined: DataFrame, depth: int, digit: int, most: int) -> DataFrame:
+    """The bytes of each anchor's windows, once for each text. joined: b, d, text, found (array of key, n, first, last, lead).
 
-    For a digit with over `most` anchors each window goes by itself, with its own digest in `window`.
+    Where a digit has over `most` anchors, its windows go in SHARES by how far they begin before it. All windows of a
+    share hold the same bytes around the digit, nearly a whole window; those bytes are the key, so the crowd falls apart.
     """
+    step = -(-(depth - digit + 1) // SHARES)
 
     def run(batch):
-        out: dict[str, list] = {k: [] for k in ("key", "window", "b", "d", "firsts", "data")}
-
-        def add(*values):
-            for k, v in zip(out, values, strict=True):
-                out[k].append(v)
-
+        out: dict[str, list] = {k: [] for k in ("key", "crowded", "b", "d", "firsts", "data")}
         for b, d, text, found in zip(*(batch.column(c) for c in ("b", "d", "text", "found")), strict=True):
             text, b, d = text.as_py(), b.as_py(), d.as_py()
-            own: dict[tuple[int, bytes], list[int]] = {}
+            own: dict[tuple[int, bool, bytes], list[int]] = {}
             for x in found.as_py():
+                first, last, place = x["first"], x["last"], x["first"] + x["lead"]
                 if x["n"] <= most:
-                    own.setdefault((x["key"], text[x["first"] : x["last"] + depth]), []).append(x["first"])
-                else:
-                    for first in range(x["first"], x["last"] + 1):
-                        add(x["key"], hashlib.blake2b(text[first : first + depth], digest_size=16).digest(), b, d, [first], b"")
-            for (key, data), firsts in own.items():
-                add(key, None, b, d, firsts, data)
+                    own.setdefault((x["key"], False, text[first : last + depth]), []).append(first)
+                    continue
+                for near in range(0, depth - digit + 1, step):
+                    low, high = max(first, place - near - step + 1), min(last, place - near)
+                    if low <= high:
+                        core = text[place - near : place - near - step + 1 + depth]
+                        key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=near.to_bytes(8, "little")).digest(), "little", signed=True)
+                        own.setdefault((key, True, text[low : high + depth]), []).append(low)
+            for (key, crowded, data), firsts in own.items():
+                for k, v in zip(out, (key, crowded, b, d, firsts, data), strict=True):
+                    out[k].append(v)
             if len(out["key"]) > 20_000:
                 yield out
                 out = {k: [] for k in out}
@@ -164,6 +167,25 @@ def contexts(joined: DataFrame, depth: int, most: int) -> DataFrame:
     return map_batches(joined.select("b", "d", F.col("text").cast("binary").alias("text"), "found"), run, CONTEXTS)
 
 
+def windows(rows: DataFrame, depth: int) -> DataFrame:
+    """Each window of the contexts by itself: its digest, b, d, start."""
+
+    def run(batch):
+        out: dict[str, list] = {k: [] for k in ("window", "b", "d", "start")}
+        for b, d, firsts, data in zip(*(batch.column(c).to_pylist() for c in ("b", "d", "firsts", "data")), strict=True):
+            for i in range(len(data) - depth + 1):
+                window = hashlib.blake2b(data[i : i + depth], digest_size=16).digest()
+                for first in firsts:
+                    for k, v in zip(out, (window, b, d, first + i), strict=True):
+                        out[k].append(v)
+            if len(out["b"]) > 20_000:
+                yield out
+                out = {k: [] for k in out}
+        yield out
+
+    return map_batches(rows.select("b", "d", "firsts", "data"), run, "window binary, b long, d long, start long")
+
+
 def radix(keys: np.ndarray, data: list[bytes], often: np.ndarray, depth: int = DEPTH, digit: int = DIGIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of repeated windows: row, first and last window in its data. often: how many times a row's data occurs."""
     lengths = np.fromiter(map(len, data), np.int64, len(data))
@@ -274,18 +296,26 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, most
     found = scratch.table(find_anchors(texts.where(F.col("n_bytes") >= depth), depth, digit), "anchors")
     often = scratch.table(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
     shared = split_join(found, often, "key", "n", found.count())
-    per_text = shared.groupBy("b", "d").agg(F.collect_list(F.struct("key", "n", "first", "last")).alias("found"))
-    taken = scratch.table(contexts(texts.join(per_text, ["b", "d"]), depth, most), "contexts")
+    per_text = shared.groupBy("b", "d").agg(F.collect_list(F.struct("key", "n", "first", "last", "lead")).alias("found"))
+    taken = scratch.table(contexts(texts.join(per_text, ["b", "d"]), depth, digit, most), "contexts")
     scratch.discard("anchors", "often")
-    light = taken.where("window IS NULL").select("key", "b", "d", "firsts", "data")
-    marks = resolve(light.repartition(buckets, "key").sortWithinPartitions("key"), depth, digit)
-    single = taken.where("window IS NOT NULL").select("window", "b", "d", F.col("firsts")[0].alias("start"))
-    if not single.isEmpty():
-        repeated = scratch.table(single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "windows")
-        marks = marks.unionByName(split_join(single, repeated, "window", "n", single.count()).select("b", "d", "start", (F.col("start") + depth).alias("end")))
+    plain = ["key", "b", "d", "firsts", "data"]
+    in_tasks, marks = taken.where("NOT crowded").select(plain), None
+    crowd = taken.where("crowded")
+    if not crowd.isEmpty():
+        sizes = scratch.table(crowd.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.size("firsts")).alias("m")).where("m > 1"), "sizes")
+        met = scratch.table(split_join(crowd, sizes, "key", "n", crowd.count()), "crowd")
+        in_tasks = in_tasks.unionByName(met.where(F.col("n") <= most).select(plain))
+        single = windows(met.where(F.col("n") > most), depth)
+        if not met.where(F.col("n") > most).isEmpty():
+            single = scratch.table(single, "single")
+            repeated = scratch.table(single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "windows")
+            marks = split_join(single, repeated, "window", "n", single.count()).select("b", "d", "start", (F.col("start") + depth).alias("end"))
+    resolved = resolve(in_tasks.repartition(buckets, "key").sortWithinPartitions("key"), depth, digit)
+    marks = resolved if marks is None else resolved.unionByName(marks)
     per_text = marks.groupBy("b", "d").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     removed = scratch.table(remove(texts.where("n = 1").join(per_text, ["b", "d"])), "removed")
-    scratch.discard("contexts", "windows")
+    scratch.discard("contexts", "sizes", "crowd", "single", "windows")
 
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= depth)
     groups = texts.select("digest", "n", "n_bytes").join(removed, "digest", "left").select(
