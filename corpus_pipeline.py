@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.common import Scratch
 from quire.llm.exact_dedup import drop_copies
 from quire.llm.mixing import emit_mix
+from quire.llm.near_copies import drop_similar
 from quire.llm.packing import pack
 from quire.llm.quality import keep_good
 from quire.llm.queries import documents, tokenizer_path
-from quire.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return drop_near_copies(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
