@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, map_batches, packed, split_join
-from quire.llm.simhash import components
+from quire.llm.common import Scratch, map_batches, split_join
+from quire.llm.simhash import components, numbered, one_of_each
 from quire.plans.session import ship_package
 
 WIDTH = 5
@@ -52,18 +52,6 @@ def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
 
 
-def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """row (all columns of docs) and at, a key of the row, written: ids may be null or repeat."""
-    return scratch.table(docs.select(packed(docs), F.monotonically_increasing_id().alias("at")), "numbered")
-
-
-def one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of the numbered rows of each group (at, component) the one with the smallest doc_id (null last)."""
-    named = rows.select("at", F.col("row.doc_id").alias("id")).join(groups, "at")
-    kept = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")).alias("best"))
-    return rows.join(kept.select("best.at"), "at", "left_semi").select("row.*")
-
-
 def _data(rows: DataFrame) -> DataFrame:
     return rows.select("at", F.coalesce("row.text", F.lit("")).cast("binary").alias("text"))
 

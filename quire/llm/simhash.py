@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch, map_batches, packed, split_join
@@ -288,8 +288,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, f
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """row (all columns of docs) and at, a key of the row, written: ids may be null or repeat."""
+    return scratch.table(docs.select(packed(docs), F.monotonically_increasing_id().alias("at")), "numbered")
+
+
+def one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of the numbered rows of each group (at, component) the one with the smallest doc_id (null last)."""
+    named = rows.select("at", F.col("row.doc_id").alias("id")).join(groups, "at")
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")).alias("best"))
+    return rows.join(kept.select("best.at"), "at", "left_semi").select("row.*")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The row of docs with the smallest doc_id of each component, with all columns of docs; of rows that repeat it, one."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("id")).distinct()
-    one = docs.select(packed(docs), F.col("doc_id").alias("own")).join(kept, F.col("own").eqNullSafe(F.col("id")), "left_semi")
-    return one.withColumn("n", F.row_number().over(Window.partitionBy("own").orderBy(F.crc32(F.coalesce("row.text", F.lit("")))))).where("n = 1").select("row.*")
+    """The row of docs with the smallest doc_id (null last) of each component, with all columns of docs."""
+    rows = numbered(docs, Scratch(docs.sparkSession, "near"))
+    groups = near_duplicates(rows.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")))
+    return one_of_each(rows, groups.select(F.col("doc_id").alias("at"), F.col("component_id").alias("component")))

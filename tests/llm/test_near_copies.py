@@ -6,6 +6,7 @@ import pytest
 
 from corpus_pipeline import near
 from quire.llm import near_copies
+from quire.llm.simhash import drop_near_copies
 from tests.llm.data import SCHEMA, rows
 
 
@@ -68,3 +69,13 @@ def test_near_stage_on_awkward_rows(spark):
     assert found.columns == [f.split()[0] for f in SCHEMA.split(", ")]
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found.collect()) == brute_kept([r[1] for r in given], [r[0] for r in given])
     assert near(spark, spark.createDataFrame([], SCHEMA), "").collect() == []
+
+
+@pytest.mark.parametrize("stage", [drop_near_copies, near_copies.drop_similar])
+def test_rows_without_an_id_or_with_one_id_stay(spark, stage):
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(80)) for _ in range(12)]
+    ids = [None] * 5 + [7] * 4 + [1, 2, 3]
+    given = list(zip(ids, texts, strict=True)) + [(None, texts[0]), (None, texts[9]), (7, texts[10])]
+    found = stage(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, found)) == sorted(map(str, (type(found[0])(doc_id=i, text=t) for i, t in zip(ids, texts, strict=True))))
