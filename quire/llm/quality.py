@@ -1,10 +1,11 @@
 """Quality rules with adaptive thresholds.
 
 Each document is measured once. Mergeable quantile sketches per language and source give, for each measure, an upper
-fence: the third quartile plus a multiple of the spread between quartiles. A measure counts as bad when it is beyond the
-fence of its own language and source and beyond that of the language too, so a source that is bad throughout doesn't
-hide itself and one small source isn't judged by a handful of rows. The thresholds, one row per language and source, are
-joined back to the documents.
+fence: the third quartile plus a multiple of the spread between quartiles. A third of junk rows moves the quartile on its
+side but neither the median nor the other quartile beyond the range of the good rows, so the quartile nearer to the median
+is taken and mirrored at it for the other. A measure counts as bad when it is beyond the fence of its language or beyond
+that of its own language and source, so a source that is bad throughout doesn't hide itself; sources of a handful of
+rows have no fence of their own. The thresholds, one row per language and source, are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from quire.plans.session import ship_package
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-#: Spread between the quartiles that a measure may be above the third, and the least such distance for each measure.
+#: Multiple of the spread between the quartiles that a measure may be above the third.
 SPREADS = 6.0
 #: Measures that are judged: an expression and the least distance of the fence from the third quartile.
 JUDGED = {
@@ -100,12 +101,13 @@ def fences(rows: DataFrame) -> DataFrame:
     by_lang = sketched.groupBy("lang").agg(*[F.expr(f"kll_merge_agg_double({c}, {SKETCH_K})").alias(f"lang_{c}") for c in JUDGED])
 
     def fence(sketch: str, least: float):
-        low, high = (F.expr(f"kll_sketch_get_quantile_double({sketch}, {q}D)") for q in (0.25, 0.75))
-        return high + F.greatest(SPREADS * (high - low), F.lit(least))
+        low, middle, high = (F.expr(f"kll_sketch_get_quantile_double({sketch}, {q}D)") for q in (0.25, 0.5, 0.75))
+        half = F.least(high - middle, middle - low)
+        return middle + half + F.greatest(SPREADS * 2 * half, F.lit(least))
 
     joined = sketched.join(by_lang, "lang")
     own = {c: F.when(F.col("judged") >= LEAST_ROWS, fence(c, least)) for c, (_, least) in JUDGED.items()}
-    return joined.select("lang", "source", *[F.greatest(fence(f"lang_{c}", least), F.coalesce(own[c], F.lit(float("-inf")))).alias(f"fence_{c}") for c, (_, least) in JUDGED.items()])
+    return joined.select("lang", "source", *[F.least(fence(f"lang_{c}", least), own[c]).alias(f"fence_{c}") for c, (_, least) in JUDGED.items()])
 
 
 def limits_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:

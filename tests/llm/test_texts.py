@@ -150,6 +150,15 @@ def test_quality_tells_junk_from_prose(spark):
     assert all(found[i] for i, *_ in prose) and not any(found[i] for i, *_ in junk)
 
 
+def test_source_of_a_third_that_is_bad_throughout_goes(spark):
+    prose = [(i, " ".join(f"word{(i * 31 + k * k) % 997}" for k in range(1, 60)), "en", f"s{i % 3}") for i in range(300)]
+    junk = [(1000 + i, " ".join(f"w{(i * 17 + k * k) % 991}{'#' * (k % 2)}" for k in range(60)), "en", "junk") for i in range(150)]
+    docs = spark.createDataFrame(prose + junk, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality_rules(docs).collect()}
+    assert all(found[i] == (False, True) for i, *_ in prose) and all(found[i] == (False, False) for i, *_ in junk)
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {i for i, *_ in prose}
+
+
 def test_language_model(docs):
     counts, n = Counter(), 0
     held = lambda r: zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 == 2
