@@ -1,6 +1,8 @@
 """URL filters: fixed rules first, mined association rules for all other pages.
 
-FP-growth mines which combinations of URL tokens go with a bad label. Rules that lead to the bad label and pass the
+FP-growth mines which combinations of URL tokens go with a bad label. All tokens of a URL take part: those with too few
+bad pages for any rule are left out first, and tokens that are in just the same labelled pages are one class, as any rule
+with one of them holds with each other one too. Rules that lead to the bad label and pass the
 support and confidence limits are kept, unless a more general rule does the same. A page is blocked if all tokens of a
 rule are in its URL. An inverted index lists each rule under its rarest token, so a URL is compared with the rules of
 its own tokens only.
@@ -8,6 +10,8 @@ its own tokens only.
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
@@ -19,9 +23,6 @@ from quire.plans.session import ship_package
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Least share and number of labelled pages with a rule's tokens and the bad label, and least share of bad ones among those with the tokens.
 SUPPORT, SUPPORT_ROWS, CONFIDENCE = 0.001, 20, 0.8
-#: Parts of a URL that are tokens. A URL has TOKENS at most, so there are at most 2**TOKENS / SUPPORT rules: a proven bound for the index.
-HOST_PARTS, PATH_PARTS, QUERY_PARTS = 4, 4, 3
-TOKENS = 1 + HOST_PARTS + PATH_PARTS + QUERY_PARTS
 BAD = "!bad"
 
 
@@ -37,11 +38,15 @@ def host_and_path(url):
 def tokens(url, host, path):
     """Distinct tokens of a URL: scheme, host parts from the right, path parts from the left, names in the query."""
     scheme = F.array(F.concat(F.lit("s="), F.substring_index(F.coalesce(url, F.lit("")), "://", 1)))
-    labels = F.slice(F.reverse(F.split(host, r"\.")), 1, HOST_PARTS)
-    parts = F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, PATH_PARTS)
-    names = F.slice(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), 1), 1, QUERY_PARTS)
+    labels = F.reverse(F.split(host, r"\."))
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    names = F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), 1)
     each = [(scheme, ""), (labels, "h="), (parts, "p="), (names, "q=")]
-    return F.array_distinct(F.concat(*[F.transform(x, lambda v, k=k: F.concat(F.lit(k), v)) for x, k in each]))
+
+    def named(kind: str):  # a second parameter of the lambda would be the place in the array
+        return lambda v: F.concat(F.lit(kind), v)
+
+    return F.array_distinct(F.concat(*[F.transform(x, named(k)) for x, k in each]))
 
 
 def fixed_rule(host, path, rules=RULES):
@@ -53,19 +58,41 @@ def fixed_rule(host, path, rules=RULES):
     return found
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, confidence: float = CONFIDENCE) -> list[tuple[str, ...]]:
-    """Token combinations that lead to the bad label. labelled: tokens, bad."""
+def classes(labelled: DataFrame, least: int) -> dict[str, str]:
+    """The class of each token with `least` bad rows or more: the smallest token that is in the same rows.
+
+    Two sums of hashes over a token's rows tell the sets of rows apart.
+    """
+    hashes = [F.pmod(F.xxhash64("tokens", F.lit(i)), F.lit(p)) for i, p in enumerate((2_147_483_647, 2_147_483_629))]
+    each = labelled.select(F.explode("tokens").alias("token"), F.col("bad").cast("int").alias("bad"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
+    found = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("n_bad"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")).where(F.col("n_bad") >= least)
+    first: dict[tuple, str] = {}
+    return {r["token"]: first.setdefault((r["n"], r["n_bad"], r["h0"], r["h1"]), r["token"]) for r in sorted(found.collect())}
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, confidence: float = CONFIDENCE) -> tuple[list[tuple[str, ...]], dict[str, str]]:
+    """Combinations of token classes that lead to the bad label, and the classes of tokens. labelled: tokens, bad."""
     total = labelled.count()
     if not total:
-        return []
-    baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, support_rows / total)), minConfidence=confidence).fit(baskets)
+        return [], {}
+    share = min(1.0, max(support, support_rows / total))
+    class_of = classes(labelled, math.ceil(share * total - 1e-6))
+    held = labelled.sparkSession.sparkContext.broadcast(class_of)
+
+    @F.arrow_udf("array<string>")
+    def items(column: pa.Array) -> pa.Array:
+        own = held.value
+        return pa.array([sorted({own[t] for t in x or () if t in own}) for x in column.to_pylist()], pa.list_(pa.string()))
+
+    baskets = labelled.select("bad", items("tokens").alias("items")).select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(F.array_sort("antecedent").alias("a")).collect()
     kept: list[frozenset] = []
     for rule in sorted((frozenset(r["a"]) for r in rules), key=lambda r: (len(r), sorted(r))):
         if not any(k <= rule for k in kept):
             kept.append(rule)
-    return [tuple(sorted(r)) for r in kept]
+    used = frozenset().union(*kept)
+    return [tuple(sorted(r)) for r in kept], {t: c for t, c in class_of.items() if c in used}
 
 
 def inverted_index(rules: list[tuple[str, ...]]) -> dict[str, list[frozenset]]:
@@ -90,13 +117,14 @@ def url_filter(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, su
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), F.when(F.col("url").isNull(), F.array().cast("array<string>")).otherwise(tokens(F.col("url"), host, path)).alias("tokens"))
     marks = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").select(F.col("doc_id").alias("page_id"), ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad"))
-    index = pages.sparkSession.sparkContext.broadcast(inverted_index(mine(parsed.join(marks, "page_id").select("tokens", "bad"), support, support_rows, confidence)))
+    mined, class_of = mine(parsed.join(marks, "page_id").select("tokens", "bad"), support, support_rows, confidence)
+    index = pages.sparkSession.sparkContext.broadcast((inverted_index(mined), class_of))
 
     @F.arrow_udf("boolean")
     def matches(column: pa.Array) -> pa.Array:
-        rules, out = index.value, []
+        (rules, classes_of), out = index.value, []
         for held in column.to_pylist():
-            own = set(held or ())
+            own = {classes_of[t] for t in held or () if t in classes_of}
             out.append(any(rule <= own for token in own for rule in rules.get(token, ())))
         return pa.array(out, pa.bool_())
 

@@ -79,6 +79,31 @@ def test_mined_rules(spark):
     assert all(found[i] == ("block" if i % 4 == 0 else "allow") for i in range(400))
 
 
+DEEP = {
+    "host": "http://{}.b.c.d.e.net/x",
+    "path": "http://a.net/1/2/3/4/5/{}",
+    "query": "http://a.net/x?k1=1&k2=2&k3=3&{}=4",
+    "long": "http://a.net/" + "/".join(f"part{i}" for i in range(40)) + "/{}",
+}
+
+
+@pytest.mark.parametrize("kind", DEEP)
+def test_markers_deep_in_a_url_are_mined_and_matched(spark, kind):
+    urls = [DEEP[kind].format("spam" if i % 3 == 0 else f"good{i % 7}") for i in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    found = {r["page_id"]: r["mined"] for r in url_rules.url_filter(pages, labels).collect()}
+    assert found == {i: i % 3 == 0 for i in range(300)}
+
+
+def test_each_token_of_a_class_makes_the_rule(spark):
+    urls = [f"http://a.net/{'one/two' if i % 3 == 0 else 'three'}" for i in range(150)] + ["http://a.net/one", "http://a.net/two", "http://a.net/four"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    found = {r["page_id"]: r["mined"] for r in url_rules.url_filter(pages, labels).collect()}
+    assert [found[i] for i in (150, 151, 152)] == [True, True, False]
+
+
 @pytest.mark.parametrize("rules", [[("a", "b"), ("b", "c"), ("d",)], []])
 def test_inverted_index_finds_what_a_scan_finds(rules):
     index = url_rules.inverted_index(rules)
