@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,6 +19,10 @@ from quire.plans.session import ship_package
 SPACES = " \t\n\x0b\x0c\r"
 #: A word, as a Java or RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The end of a word.
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Counters of a sketch, and how many groups sketches are merged in before one task merges those.
+TRACKED, MERGERS = 8192, 64
 #: A group is heavy when it holds over 1/HEAVY of all rows, so there are at most HEAVY heavy groups.
 HEAVY = 4096
 
@@ -64,6 +69,42 @@ def packed(docs: DataFrame):
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
+#: Keys of dropped rows that are broadcast at most, some 32 MB; and groups that are broadcast whole.
+FEW_KEYS, FEW_GROUPS = 1 << 20, 1 << 14
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """row (all columns of docs) and at, a key of the row, written: ids may be null or repeat."""
+    return scratch.table(docs.select(packed(docs), F.monotonically_increasing_id().alias("at")), "numbered")
+
+
+def chosen(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The numbered rows whose `at` is among keys (how: left_semi) or isn't (left_anti). keys: at, distinct, written.
+
+    Up to FEW_KEYS keys go to the rows, which stay where they lie; more meet them in a shuffle.
+    """
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, "at", how)
+
+
+def perhaps_heavy(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """key (long): at most 2 * rows / bound keys, among them all with over bound rows, by mergeable frequent-items sketches of the Misra-Gries family.
+
+    A sketch is off by rows / (0.75 * TRACKED) at most, so bound must be above twice that.
+    """
+    sketches = rows.groupBy((F.spark_partition_id() % MERGERS).alias("merger")).agg(F.expr(f"approx_top_k_accumulate({key}, {TRACKED})").alias("sketch"))
+    # grouped by a constant: a global aggregate would also merge the null sketches of empty partitions, which fails
+    merged = sketches.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    found = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {TRACKED})")).alias("x"))
+    return found.where(F.col("x.count") * 2 > bound).select(F.col("x.item").alias(key))
+
+
+def group_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """split_join for wide rows: up to FEW_GROUPS written groups are broadcast whole, so the rows are read once."""
+    if groups.count() <= FEW_GROUPS:
+        return rows.join(F.broadcast(groups), key)
+    return split_join(rows, groups, key, size, total)
+
+
 def split_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows with groups, which has one row per key and the key's number of rows in `size`.
 
@@ -125,6 +166,18 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+def word_blocks(data: bytes, most: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8, those of some `most` bytes at a time, so that no list holds a very long text."""
+    at = 0
+    while at < len(data):
+        end = at + most
+        if end < len(data):
+            end = found.start() if (found := _SPACE.search(data, end)) else len(data)
+        if words := (data if at == 0 and end >= len(data) else data[at:end]).split():
+            yield words
+        at = end
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of the batch with about `most` bytes of the column each, so that what is held in Python stays bounded."""
     import pyarrow.compute as pc

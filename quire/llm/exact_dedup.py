@@ -2,23 +2,19 @@
 
 A mergeable frequent-items sketch of the Misra-Gries family finds the digests that many rows share. Their exact counts
 and winners are then computed with map-side combining, and those verified winners, at most HEAVY_DIGESTS rows, are
-broadcast: rows of large groups are decided where they lie. All other digests meet in one ordinary shuffle, in which
-no digest holds more than 1/HEAVY_DIGESTS of the rows.
+broadcast: rows of large groups are decided where they lie. All other digests are counted and joined by ordinary
+shuffles, in which no digest holds more than 1/HEAVY_DIGESTS of the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, Scratch, packed
+from quire.llm.common import SPACES, Scratch, chosen, numbered, perhaps_heavy
 
-#: Most digests that are broadcast.
+#: Most digests that are broadcast. The sketches' error is below rows / HEAVY_DIGESTS: no heavy digest is missed.
 HEAVY_DIGESTS = 2048
-#: Counters of a sketch. Its error is at most rows / (0.75 * TRACKED), below rows / HEAVY_DIGESTS: no heavy digest is missed.
-TRACKED = 8192
-#: Sketches are merged in so many groups first, then in one task.
-MERGERS = 64
 
 
 def normalized(text):
@@ -26,41 +22,54 @@ def normalized(text):
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def decide(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with group_size, keep_id and keep_at, the doc_id and key of the row that stays of its group.
 
-    Of equal texts the one with the most code points stays, then the smallest doc_id (null last), then, among rows
-    that repeat both, one of them. A null text is an empty text. Extra columns of docs are ignored.
+    rows: doc_id, digest, points (code points of the text), at (a key of the row); written.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact")
-    rows = scratch.table(
-        docs.select("doc_id", F.unhex(F.sha2(normalized(F.col("text")), 256)).alias("digest"), F.char_length(F.coalesce("text", F.lit(""))).alias("points"), F.monotonically_increasing_id().alias("at")),
-        "rows",
-    )
     total = rows.count()
     bound = max(1, total // HEAVY_DIGESTS)
-    sketches = rows.groupBy((F.spark_partition_id() % MERGERS).alias("merger")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(digest), {TRACKED})").alias("sketch"))
-    # grouped by a constant: a global aggregate would also merge the null sketches of empty partitions, which fails
-    merged = sketches.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
-    found = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {TRACKED})")).alias("x"))
-    candidates = found.where(F.col("x.count") * 2 > bound).select(F.col("x.item").alias("hash"))
-    order = F.struct((-F.col("points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")
-    verified = rows.withColumn("hash", F.xxhash64("digest")).join(F.broadcast(candidates), "hash", "left_semi").groupBy("digest").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
-    heavy = scratch.table(verified.where(F.col("group_size") > bound).select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.at").alias("keep_at")), "heavy")
+    hashed = rows.withColumn("hash", F.xxhash64("digest"))
+    candidates = perhaps_heavy(hashed, "hash", bound)
+
+    def winners(frame: DataFrame) -> DataFrame:
+        order = F.struct((-F.col("points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")
+        best = frame.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
+        return best.select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.at").alias("keep_at"))
+
+    verified = winners(hashed.join(F.broadcast(candidates), "hash", "left_semi").drop("hash"))
+    heavy = scratch.table(verified.where(F.col("group_size") > bound), "heavy")
     near = rows.join(F.broadcast(heavy), "digest")
-    whole = Window.partitionBy("digest").orderBy(F.desc("points"), F.asc_nulls_last("doc_id"), "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    far = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").withColumns({"group_size": F.count("*").over(whole), "keep_id": F.first("doc_id").over(whole), "keep_at": F.first("at").over(whole)})
-    return near.unionByName(far, allowMissingColumns=True).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("at") == F.col("keep_at")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    far = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    return near.unionByName(far.join(winners(far), "digest"))
+
+
+def digested(doc_id, text, at) -> list:
+    return [doc_id.alias("doc_id"), F.unhex(F.sha2(normalized(text), 256)).alias("digest"), F.char_length(F.coalesce(text, F.lit(""))).alias("points"), at.alias("at")]
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts the one with the most code points stays, then the smallest doc_id (null last), then, among rows
+    that repeat both, one of them. A null text is an empty text; a very long one is hashed where it lies. Extra columns
+    of docs are ignored. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "exact")
+    rows = scratch.table(docs.select(*digested(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id())), "rows")
+    return decide(rows, scratch).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("at") == F.col("keep_at")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat text and doc_id, one."""
-    marked = docs.select(packed(docs), F.lower(F.sha2(normalized(F.col("text")), 256)).alias("digest"))
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("kept_digest"))
-    joined = marked.join(kept, (marked["digest"] == kept["kept_digest"]) & marked["row.doc_id"].eqNullSafe(kept["id"]))
-    one = Window.partitionBy("kept_digest", "id").orderBy(F.desc(F.char_length(F.coalesce("row.text", F.lit("")))))
-    return joined.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
+    """The rows of docs that exact_dedup keeps, with all their columns; nulls, ties and long texts as there.
+
+    Only keys and digests are shuffled; the keys of the rows that go then meet the texts. An empty table stays empty.
+    """
+    scratch = Scratch(docs.sparkSession, "exact")
+    rows = numbered(docs, scratch)
+    keyed = scratch.table(rows.select(*digested(F.col("row.doc_id"), F.col("row.text"), F.col("at"))), "rows")
+    gone = scratch.table(decide(keyed, scratch).where("at <> keep_at").select("at"), "gone")
+    return chosen(rows, gone, "left_anti").select("row.*")
 
 
 ORACLE = r"""

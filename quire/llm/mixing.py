@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, WORD, Scratch, packed, split_join
+from quire.llm.common import SPACES, WORD, Scratch, group_join, packed, split_join
 
 #: Fixed values of the mix: weights of the sources in order, repeating; share of all sizes; most repetitions.
 WEIGHTS = (3, 1, 2)
@@ -79,7 +79,7 @@ def emit_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     keyed = docs.select(packed(docs), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), draw(F.col("doc_id"), F.col("text"), seed).alias("draw"))
     sized = scratch.table(docs.select("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), n_words(F.col("text")).alias("size")), "sized")
     per_source = scratch.table(rates(sized, weights, share, most), "rates")
-    often = _copied(split_join(keyed, per_source, "source_key", "n", sized.count())).where("copies > 0")
+    often = _copied(group_join(keyed, per_source, "source_key", "n", sized.count())).where("copies > 0")
     return often.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 

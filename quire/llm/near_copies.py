@@ -1,10 +1,11 @@
-"""Documents whose sets of word shingles have Jaccard similarity THRESHOLD or more, without a loss.
-
-Two sets that similar share one of the first fifth of their shingles, in any order that is the same for all sets. So
-these shingles of each set are dealt, shingles that a sample of the rows shows to be common last, and what meets is
-compared by the whole sets. First, all sets that share a shingle are compared with one of them, which links tight
-groups by few pairs; then all pairs of sets that still have different labels are. Nothing rests on a sketch: the sample
-decides the order only.
+"""Near copies of whole texts: Jaccard similarity of word shingles of THRESHOLD or more, without a loss.
+
+The SimHash index gives the first links: it finds the tight copies, each link checked by the whole sets. Fingerprints of
+64 bits can't find all pairs of that similarity (at 0.8 they differ in 9 bits on average), so the rest follows exactly.
+Two sets that similar share one of the first fifth of their shingles, in any order that is the same for all sets. These
+shingles of each set are dealt, shingles that a sample of the rows shows to be common last, and what meets is compared by
+the whole sets: first all sets with a shingle against one of them, then all pairs that still have different labels.
+Nothing rests on a sketch: the sample decides the order only.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, map_batches, split_join
-from quire.llm.simhash import components, numbered, one_of_each
+from quire.llm.common import HEAVY, Scratch, chosen, map_batches, numbered, perhaps_heavy, split_join, word_blocks
+from quire.llm.simhash import components, fingerprint, links, one_of_each
 from quire.plans.session import ship_package
 
 WIDTH = 5
@@ -23,20 +24,22 @@ WIDTH = 5
 THRESHOLD = (4, 5)
 #: Rows that are sampled for common shingles, and in how many of them a shingle is common. Both bound the broadcast.
 SAMPLE, COMMON = 20_000, 4
-#: Pairs that a worker compares at once.
-PAIRS = 1 << 20
+#: Pairs that a worker compares at once, and sets of a shingle that meet in one cell.
+PAIRS, CELL = 1 << 20, 4096
+#: Pairs with one set beyond which the set is sent to several tasks.
+CROWD = 4096
 
 
 def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted hashes of the distinct word shingles of a text in UTF-8; a text of fewer words has one, one without words none."""
     import xxhash
 
-    words = data.lower().split()
-    if not words:
+    blocks = [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) for words in word_blocks(data.lower())]
+    if not blocks:
         return np.empty(0, np.uint64)
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    width = min(width, len(words))
-    n = len(words) - width + 1
+    each = np.concatenate(blocks) if len(blocks) > 1 else blocks[0]
+    width = min(width, len(each))
+    n = len(each) - width + 1
     found = np.zeros(n, np.uint64)
     for i in range(width):
         found = found * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n]
@@ -63,37 +66,37 @@ def _common(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
         found = [shingles(x.as_py()) for x in batch.column("text")]
         yield {"hash": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)}
 
-    chosen = _data(rows).where(F.pmod(F.xxhash64("at"), F.lit(max(total, 1))) < SAMPLE)
-    often = map_batches(chosen.select("text"), run, "hash long").groupBy("hash").count().where(F.col("count") >= COMMON).toArrow()
+    sampled = _data(rows).where(F.pmod(F.xxhash64("at"), F.lit(max(total, 1))) < SAMPLE)
+    often = map_batches(sampled.select("text"), run, "hash long").groupBy("hash").count().where(F.col("count") >= COMMON).toArrow()
     hashes = often.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], often.column("count").to_numpy()[order]
 
 
-def _dealt(rows: DataFrame, total: int) -> DataFrame:
-    """hash, node, size (of the set) and rest (shingles of the set after this one in the common order)."""
+def _signs(rows: DataFrame, total: int) -> DataFrame:
+    """at, node, size (of the set), fp (the text's fingerprint) and hashes, the shingles that are dealt, in the common order."""
     common = rows.sparkSession.sparkContext.broadcast(_common(rows, total))
 
     def run(batch):
         hashes, counts = common.value
-        out: dict[str, list[np.ndarray]] = {k: [np.empty(0, np.int64)] for k in ("hash", "node", "size", "rest")}
-        for text in batch.column("text"):
-            found = shingles(text.as_py())
+        out: dict[str, list] = {k: [] for k in ("at", "node", "size", "fp", "hashes")}
+        for at, text in zip(batch.column("at").to_pylist(), batch.column("text"), strict=True):
+            data = text.as_py()
+            found = shingles(data)
             n = len(found)
-            if not n:
-                continue
             often = np.zeros(n, np.int64)
-            if len(hashes):
+            if n and len(hashes):
                 place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                 often = np.where(hashes[place] == found, counts[place], 0)
             first = np.lexsort((found, often))[: n - -(-n * THRESHOLD[0] // THRESHOLD[1]) + 1]
-            out["hash"].append(found[first].view(np.int64))
-            out["node"].append(np.full(len(first), _node(found)))
-            out["size"].append(np.full(len(first), n))
-            out["rest"].append(n - 1 - np.arange(len(first)))
-        yield {k: np.concatenate(v) for k, v in out.items()}
+            fp = int(np.uint64(fingerprint(data, WIDTH)).view(np.int64))
+            for k, v in zip(out, (at, _node(found), n, fp, pa.array(found[first].view(np.int64))), strict=True):
+                out[k].append(v)
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in out["hashes"]]))).astype(np.int32)
+        values = pa.concat_arrays(out["hashes"]) if out["hashes"] else pa.array([], pa.int64())
+        yield out | {"hashes": pa.ListArray.from_arrays(pa.array(offsets), values)}
 
-    return map_batches(_data(rows).select("text"), run, "hash long, node long, size long, rest long")
+    return map_batches(_data(rows), run, "at long, node long, size long, fp long, hashes array<long>")
 
 
 def _enough(shared, size_a, size_b):
@@ -102,7 +105,7 @@ def _enough(shared, size_a, size_b):
 
 
 def _grouped(frame: DataFrame, made, schema: str) -> DataFrame:
-    """made(columns) for runs of whole groups of equal `hash`, sorted."""
+    """made(columns) for runs of whole groups of the first column, which is sorted. No group may be large."""
     ship_package(frame.sparkSession)
     n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = frame.columns
@@ -123,36 +126,53 @@ def _grouped(frame: DataFrame, made, schema: str) -> DataFrame:
         if size:
             yield from made(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return frame.repartition(n, "hash").sortWithinPartitions("hash", names[1]).mapInArrow(run, schema)
+    return frame.repartition(n, names[0]).sortWithinPartitions(*names[:2]).mapInArrow(run, schema)
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _shared(dealt: DataFrame) -> DataFrame:
-    """The dealt rows of shingles that two or more different sets have, each set once."""
+SHARED = "hash long, node long, size long, rest long, label long, head long, head_size long, head_rest long, head_label long"
+
+
+def _shared(dealt: DataFrame, scratch: Scratch) -> DataFrame:
+    """The dealt rows (hash, node, size, rest, label) of shingles that two or more sets have, with one of these sets, their head.
+
+    Shingles that many sets have get their heads with map-side combining, and the heads go to the rows; for the others
+    one shuffle does.
+    """
 
-    def made(hashes, node, size, rest):
-        new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (node[1:] != node[:-1])))
-        hashes, node, size, rest = hashes[new], node[new], size[new], rest[new]
-        same = hashes[1:] == hashes[:-1]
-        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    def made(hashes, node, size, rest, label):
+        first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        heads = np.flatnonzero(first)
+        head = heads[np.cumsum(first) - 1]
+        keep = np.diff(np.concatenate((heads, [len(hashes)])))[np.cumsum(first) - 1] > 1
         if keep.any():
-            yield _batch(hash=hashes[keep], node=node[keep], size=size[keep], rest=rest[keep])
+            h = head[keep]
+            yield _batch(hash=hashes[keep], node=node[keep], size=size[keep], rest=rest[keep], label=label[keep], head=node[h], head_size=size[h], head_rest=rest[h], head_label=label[h])
 
-    return _grouped(dealt, made, "hash long, node long, size long, rest long")
+    bound = max(1, dealt.count() // HEAVY * 2)
+    common = scratch.table(perhaps_heavy(dealt, "hash", bound), "common")
+    crowded = dealt.join(F.broadcast(common), "hash", "left_semi")
+    heads = crowded.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "rest", "label")).alias("h")).where("n > 1")
+    heads = scratch.table(heads.select("hash", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"), F.col("h.rest").alias("head_rest"), F.col("h.label").alias("head_label")), "heads")
+    light = _grouped(dealt.join(F.broadcast(common), "hash", "left_anti").select("hash", "node", "size", "rest", "label"), made, SHARED)
+    return scratch.table(dealt.join(F.broadcast(heads), "hash").select(light.columns).unionByName(light), "shared")
 
 
-def _unlinked(shared: DataFrame) -> DataFrame:
-    """a, b: pairs of sets with different labels that may be near copies by a shingle that both have."""
+def _unlinked(shared: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: pairs of sets with different labels that may be near copies by a shingle that both have.
 
-    def made(hashes, label, node, size, rest):
-        edges = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1], [True])))
+    A shingle's sets are cut into parts of CELL at most; each pair of parts meets in a cell of its own.
+    """
+
+    def made(cell, label, node, size, rest):
+        edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
         ends = np.repeat(edges[1:], np.diff(edges))
-        # rows are sorted by label inside a group: a row's partners begin where its label ends
-        turns = np.flatnonzero(np.concatenate((label[1:] != label[:-1], [True])) | np.concatenate((hashes[1:] != hashes[:-1], [True]))) + 1
-        begins = turns[np.searchsorted(turns, np.arange(len(hashes)), side="right")]
+        # rows are sorted by label inside a cell: a row's partners begin where its label ends
+        turns = np.flatnonzero(np.concatenate((label[1:] != label[:-1], [True])) | np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
+        begins = turns[np.searchsorted(turns, np.arange(len(cell)), side="right")]
         before = np.concatenate(([0], np.cumsum(ends - begins)))
         for start in range(0, int(before[-1]), PAIRS):
             k = np.arange(start, min(start + PAIRS, int(before[-1])))
@@ -164,53 +184,97 @@ def _unlinked(shared: DataFrame) -> DataFrame:
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                 yield _batch(a=pairs[:, 0], b=pairs[:, 1])
 
-    return _grouped(shared.select("hash", "label", "node", "size", "rest"), made, "a long, b long")
+    mixed = shared.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    mixed = scratch.table(mixed.select("hash", "n", F.ceil(F.col("n") / CELL).cast("long").alias("parts")), "mixed")
+    open_ = split_join(shared, mixed, "hash", "n", shared.count())
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    open_ = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cell = F.xxhash64("hash", F.least("own", "other"), F.greatest("own", "other"))
+    return _grouped(open_.select(cell.alias("cell"), "label", "node", "size", "rest"), made, "a long, b long")
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, side: str, bound: int) -> DataFrame:
+    """pairs with of_a or of_b, the set of that side. A set with over `bound` pairs goes to several tasks."""
+    often = F.broadcast(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > bound).select(side, F.ceil(F.col("n") / bound).cast("long").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    salted = pairs.join(often, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
+    copies = sets.select(F.col("node").alias(side), F.col("found").alias(f"of_{side}")).join(often, side, "left")
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return salted.join(copies, [side, "salt"]).drop("salt")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, signs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of sets that are near copies."""
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of sets that are near copies, written. pairs: distinct, written."""
 
     def run(batch):
         found = [shingles(x.as_py()) for x in batch.column("text")]
         yield {"node": [_node(x) for x in found], "found": pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))}
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    places = signs.groupBy("node").agg(F.min("at").alias("at")).join(wanted, "node").select("at")
-    sets = scratch.table(map_batches(_data(rows.join(places, "at", "left_semi")).select("text"), run, "node long, found array<long>"), f"sets{name}")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("of_b")), "b")
-    links = both.where(_enough(F.size(F.array_intersect("of_a", "of_b")), F.size("of_a"), F.size("of_b"))).select("a", "b")
-    return scratch.table(links, f"links{name}")
+    places = scratch.table(nodes.select("node", "at").join(wanted, "node").select("at"), f"places{name}")
+    sets = scratch.table(map_batches(_data(chosen(rows, places, "left_semi")).select("text"), run, "node long, found array<long>"), f"sets{name}")
+    bound = max(CROWD, pairs.count() // HEAVY)  # so at most HEAVY sets have more
+    both = _with_set(_with_set(pairs, sets, "a", bound), sets, "b", bound)
+    found = both.where(_enough(F.size(F.array_intersect("of_a", "of_b")), F.size("of_a"), F.size("of_b"))).select("a", "b")
+    found = scratch.table(found, f"links{name}")
+    scratch.discard(f"places{name}", f"sets{name}")
+    return found
+
+
+def _labels(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """node, label: the smallest linked set, or that one's. Sets with one label are connected; it needn't hold the other way."""
+    both = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    label = scratch.table(both.groupBy("node").agg(F.min("other").alias("label")).withColumn("label", F.least("node", "label")), f"label{name}")
+    up = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return scratch.table(label.join(up, "label", "left").select("node", F.coalesce("next", "label").alias("label")), f"labels{name}")
+
+
+def _labelled(frame: DataFrame, label: DataFrame) -> DataFrame:
+    return frame.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """at, component of each numbered row: equal for rows that a chain of near copies connects."""
-
-    def run(batch):
-        yield {"at": batch.column("at"), "node": [_node(shingles(x.as_py())) for x in batch.column("text")]}
-
-    signs = scratch.table(map_batches(_data(rows), run, "at long, node long"), "signs")
-    shared = scratch.table(_shared(_dealt(rows, signs.count())), "shared")
-    one = F.min(F.struct("node", "size", "rest")).alias("head")
-    heads = scratch.table(shared.groupBy("hash").agg(F.count("*").alias("n"), one), "heads")
-    met = split_join(shared, heads, "hash", "n", shared.count()).where(F.col("node") != F.col("head.node"))
-    met = met.where(_enough(1 + F.least("rest", "head.rest"), F.col("size"), F.col("head.size")))
-    first = scratch.table(met.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "first")
-    links = _verified(first, rows, signs, scratch, "1")
-    # the smallest linked set, and that one's: sets with one label are connected already
-    label = scratch.table(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "label")
-    up = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    label = label.join(up, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    labelled = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    second = scratch.table(_unlinked(labelled).distinct().join(first, ["a", "b"], "left_anti"), "second")
-    links = links.unionByName(_verified(second, rows, signs, scratch, "2"))
-    found = components(links, scratch).withColumnRenamed("component", "least")
-    named = signs.groupBy("node").agg(F.count("*").alias("n")).join(found, "node", "left")
-    named = scratch.table(named.select("node", "n", F.coalesce("least", "node").alias("component")), "named")
-    return split_join(signs, named, "node", "n", signs.count()).select("at", "component")
+    signs = scratch.table(_signs(rows, rows.count()), "signs")
+    best = F.min_by(F.struct("at", "size", "fp", "hashes"), "at").alias("x")
+    nodes = scratch.table(signs.groupBy("node").agg(F.count("*").alias("n"), best).select("node", "n", "x.*"), "nodes")
+    named_rows = scratch.table(signs.select("at", "node"), "signed")
+    scratch.discard("signs")
+
+    by_print = scratch.table(nodes.groupBy("fp").agg(F.count("*").alias("m"), F.min("node").alias("first")), "prints")
+    found = scratch.table(links(by_print.select("fp"), scratch), "print_links")
+    firsts = by_print.select("fp", "first")
+    across = found.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("of_a")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("of_b")), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    crowds = scratch.table(by_print.where("m > 1"), "crowds")
+    within = split_join(nodes.select("fp", "node"), crowds, "fp", "m", nodes.count()).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    tight = scratch.table(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tight")
+    linked = _verified(tight, rows, nodes, scratch, "0")
+
+    labelled = _labelled(nodes.select("node", "size", "hashes"), _labels(linked, scratch, "0"))
+    dealt = labelled.select("node", "size", "label", F.posexplode("hashes").alias("place", "hash")).select("hash", "node", "size", (F.col("size") - 1 - F.col("place")).alias("rest"), "label")
+    dealt = scratch.table(dealt, "dealt")
+    shared = _shared(dealt, scratch)
+    scratch.discard("dealt")
+    met = shared.where("node <> head AND label <> head_label").where(_enough(1 + F.least("rest", "head_rest"), F.col("size"), F.col("head_size")))
+    first = scratch.table(met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "first")
+    linked = linked.unionByName(_verified(first, rows, nodes, scratch, "1"))
+
+    shared = scratch.table(_labelled(shared.select("hash", "node", "size", "rest"), _labels(linked, scratch, "1")), "relabelled")
+    second = scratch.table(_unlinked(shared, scratch).distinct().join(tight.unionByName(first), ["a", "b"], "left_anti"), "second")
+    linked = linked.unionByName(_verified(second, rows, nodes, scratch, "2"))
+
+    parts = components(linked, scratch).withColumnRenamed("component", "least")
+    named = scratch.table(nodes.select("node", "n").join(parts, "node", "left").select("node", "n", F.coalesce("least", "node").alias("component")), "named_nodes")
+    return split_join(named_rows, named, "node", "n", named_rows.count()).select("at", "component")
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """The row of docs with the smallest doc_id (null last) of each group of near copies, with all columns of docs."""
+    """The row of docs with the smallest doc_id (null last) of each group of near copies, with all columns of docs.
+
+    Null, empty and blank texts are one group. A text of fewer than WIDTH words is one shingle. Very long texts are cut
+    into words block by block. Rows without an id, or that repeat one, are told apart by a written key. An empty table
+    stays empty.
+    """
     scratch = Scratch(docs.sparkSession, "near")
     rows = numbered(docs, scratch)
-    return one_of_each(rows, similar_groups(rows, scratch))
+    return one_of_each(rows, similar_groups(rows, scratch), scratch)

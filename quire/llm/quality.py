@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, map_batches, packed, split_join
+from quire.llm.common import Scratch, group_join, map_batches, packed, split_join
 from quire.plans.session import ship_package
 
 SYMBOLS = b"#*$%&|<>"
@@ -136,14 +136,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns.
+    """The rows of docs that quality_rules keeps, with all their columns; nulls, empty and long texts as there.
 
-    The measured rows give the fences. The documents then meet their fences, one row for each language and source, and
-    are measured again where they lie, so that the texts of all but rare groups aren't shuffled.
+    Each text is measured once, where it lies, and written with its measures; the fences, one row for each language and
+    source, then go to the rows. An empty table stays empty.
     """
     ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
-    limits, total = limits_of(scratch.table(measured(docs), "measured"), scratch)
 
     @F.arrow_udf(f"struct<{', '.join(f'{c}: long' for c in COLUMNS)}>")
     def measures(texts: pa.Array) -> pa.Array:
@@ -151,6 +150,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COLUMNS))], names=COLUMNS)
 
     group = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).alias("group")
-    rows = docs.select(packed(docs), group, F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    joined = split_join(rows, limits, "group", "group_rows", total).withColumn("m", measures("data"))
+    rows = scratch.table(docs.select(packed(docs), group, measures(F.coalesce("text", F.lit("")).cast("binary")).alias("m")), "measured")
+    limits, total = limits_of(rows.select("group.lang", "group.source", "m.*"), scratch)
+    joined = group_join(rows, limits, "group", "group_rows", total)
     return joined.select("row", "m.*", *[f"fence_{c}" for c in JUDGED]).where(verdict()).select("row.*")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, map_batches, packed, split_join
+from quire.llm.common import Scratch, chosen, map_batches, numbered, split_join, word_blocks
 from quire.plans.session import ship_package
 
 SHINGLE = 4
@@ -33,20 +33,21 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     """The fingerprint of a text in UTF-8: a bit is 1 if it is set in over half of the shingles' hashes; no words: 0."""
     import xxhash
 
-    words = data.lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n, digest = len(words) - shingle + 1, xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        cut = zip(starts[at : min(n, at + (1 << 16))].tolist(), ends[at + shingle - 1 : min(n, at + (1 << 16)) + shingle - 1].tolist(), strict=True)
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in cut), np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    digest, counts, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
+    carried: list[bytes] = []  # words that the next block's first shingles begin with
+    for block in word_blocks(data.lower()):
+        words = carried + block
+        if len(words) >= shingle:
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64)
+            n += len(hashes)
+            for at in range(0, len(hashes), 1 << 16):
+                counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        carried = words[max(0, len(words) - shingle + 1) :]
+    if not n:
+        return digest(b" ".join(carried), SEED) if carried else 0
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
@@ -288,20 +289,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, f
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """row (all columns of docs) and at, a key of the row, written: ids may be null or repeat."""
-    return scratch.table(docs.select(packed(docs), F.monotonically_increasing_id().alias("at")), "numbered")
-
-
-def one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def one_of_each(rows: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """Of the numbered rows of each group (at, component) the one with the smallest doc_id (null last)."""
-    named = rows.select("at", F.col("row.doc_id").alias("id")).join(groups, "at")
-    kept = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")).alias("best"))
-    return rows.join(kept.select("best.at"), "at", "left_semi").select("row.*")
+    named = scratch.table(rows.select("at", F.col("row.doc_id").alias("id")).join(groups, "at"), "named_rows")
+    best = named.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")).alias("best"))
+    best = scratch.table(best.where("n > 1").select("component", "n", F.col("best.at").alias("keep_at")), "best")
+    gone = scratch.table(split_join(named, best, "component", "n", named.count()).where("at <> keep_at").select("at"), "gone")
+    return chosen(rows, gone, "left_anti").select("row.*")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The row of docs with the smallest doc_id (null last) of each component, with all columns of docs."""
-    rows = numbered(docs, Scratch(docs.sparkSession, "near"))
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = numbered(docs, scratch)
     groups = near_duplicates(rows.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")))
-    return one_of_each(rows, groups.select(F.col("doc_id").alias("at"), F.col("component_id").alias("component")))
+    return one_of_each(rows, groups.select(F.col("doc_id").alias("at"), F.col("component_id").alias("component")), scratch)
