@@ -1,54 +1,56 @@
 """Quality rules with adaptive thresholds.
 
-Each document is measured once. Mergeable quantile sketches per language and source give, for each measure, an upper
-fence: the third quartile plus a multiple of the spread between quartiles. A third of junk rows moves the quartile on its
-side but neither the median nor the other quartile beyond the range of the good rows, so the quartile nearer to the median
-is taken and mirrored at it for the other. A measure counts as bad when it is beyond the fence of its language or beyond
-that of its own language and source, so a source that is bad throughout doesn't hide itself; sources of a handful of
-rows have no fence of their own. The thresholds, one row per language and source, are joined back to the documents.
+Each document is measured once. Mergeable quantile sketches per language and source, merged once more per language, give
+for each measure a middle and a spread: the median, and its distance to the nearer quartile. A third of junk rows moves
+the quartile on its side but neither the median nor the other quartile beyond the range of the good rows. A source's
+middle and spread are drawn towards its language's, as if PRIOR more rows of the language were in it, so a source of a
+handful of rows is judged by its language and a large one by itself.
+
+A measure is bad beyond the fence of the document's language or of its source: the mirrored quartile plus SPREADS times
+the range between quartiles, or plus what chance alone does to a document of so few words, if that is more. So no
+cutoff is fixed, and a source that is bad throughout doesn't hide itself.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import io
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, group_join, map_batches, packed, split_join
+from quire.llm.common import Scratch, group_join, map_batches, packed, split_join, word_blocks
 from quire.plans.session import ship_package
 
 SYMBOLS = b"#*$%&|<>"
+#: A-Z, and the bytes of a character in UTF-8 after its first.
+CAPITALS, CONTINUING = bytes(range(65, 91)), bytes(range(0x80, 0xC0))
 WINDOW = 8
-#: Multiple of the spread between the quartiles that a measure may be above the third.
-SPREADS = 6.0
-#: Measures that are judged: an expression and the least distance of the fence from the third quartile.
+#: Multiple of the range between the quartiles that a measure may be above the upper one, and of a document's own chance deviation.
+SPREADS, CHANCE = 6.0, 6.0
+#: Measures that are judged: an expression and how many chances a document has (what is counted in windows comes WINDOW at a time).
 JUDGED = {
-    "symbol_share": ("n_symbols / n_words", 0.15),
-    "word_length": ("word_chars / n_words", 1.5),
-    "repeat_share": ("n_repeat_words / n_words", 0.29),
-    "top_share": ("n_top_word / n_words", 0.25),
-    "upper_share": ("n_upper / word_chars", 0.25),
+    "symbol_share": ("try_divide(n_symbols, n_words)", "n_words"),
+    "word_length": ("try_divide(word_chars, n_words)", "n_words"),
+    "repeat_share": ("try_divide(n_repeat_words, n_words)", f"n_words / {WINDOW}"),
+    "dup_share": ("try_divide(n_dup_lines, n_lines)", "n_lines"),
+    "top_share": ("try_divide(n_top_word, n_words)", "n_words"),
+    "upper_share": ("try_divide(n_upper, word_chars)", "n_words"),
 }
 #: Accuracy parameter of the sketches: a rank is off by about 1.3 % at most.
 SKETCH_K = 400
-#: Groups of fewer rows than this have no fence of their own.
-LEAST_ROWS = 50
+#: Rows of its language that count towards a source's middle and spread.
+PRIOR = 50
 
 
-def repeat_words(words: list[bytes], width: int = WINDOW) -> int:
-    """Words that lie in windows of `width` words found twice or more in the text.
+def repeat_words(rank: np.ndarray, width: int = WINDOW) -> int:
+    """Words that lie in windows of `width` words found twice or more. rank: a number for each word, equal for equal words.
 
     Windows get their numbers by doubling: pairs of numbers of half as long windows are numbered in turn.
     """
-    n = len(words)
-    if n <= width:
-        return 0
-    numbers: dict[bytes, int] = {}
-    rank = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, n)
-    if len(numbers) == n:
+    n = len(rank)
+    if n <= width or int(rank.max()) + 1 == n:
         return 0
     step = 1
     while step < width:
@@ -64,18 +66,26 @@ def repeat_words(words: list[bytes], width: int = WINDOW) -> int:
 
 
 def measure(text: bytes) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_top_word, n_upper of a text in UTF-8."""
-    words = text.split()
-    lines = Counter(line for line in text.split(b"\n") if line.strip())
-    packed_text = b"".join(words)
-    chars = len(packed_text.decode("utf-8", "replace"))
-    symbols = len(packed_text) - len(packed_text.translate(None, SYMBOLS))
-    top = max(Counter(words).values(), default=0)
-    upper = len(packed_text) - len(packed_text.translate(None, bytes(range(65, 91))))
-    return len(words), chars, symbols, sum(lines.values()) - len(lines), repeat_words(words), top, upper
-
-
-COLUMNS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_top_word n_upper".split()
+    """The values of COLUMNS for a text in UTF-8. Words are taken block by block, so only their numbers are held at once."""
+    numbers: dict[bytes, int] = {}
+    ranks, chars, symbols, upper = [np.empty(0, np.int64)], 0, 0, 0
+    for words in word_blocks(text):
+        ranks.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
+        joined = b"".join(words)
+        chars += len(joined.translate(None, CONTINUING))
+        symbols += len(joined) - len(joined.translate(None, SYMBOLS))
+        upper += len(joined) - len(joined.translate(None, CAPITALS))
+    rank = np.concatenate(ranks)
+    lines, n_lines = set(), 0
+    for line in io.BytesIO(text):
+        if line.strip():
+            n_lines += 1
+            lines.add(line.removesuffix(b"\n"))
+    top = int(np.bincount(rank).max()) if len(rank) else 0
+    return len(rank), chars, symbols, n_lines - len(lines), repeat_words(rank), n_lines, top, upper
+
+
+COLUMNS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_top_word n_upper".split()
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -95,19 +105,26 @@ def base_failed():
 
 
 def fences(rows: DataFrame) -> DataFrame:
-    """lang, source, n and, by measure, the fence. rows: measured documents."""
+    """lang, source and, by measure, the middle and spread of the language and of the source. rows: measured documents."""
     shares = rows.where("n_words > 0").select("lang", "source", *[F.expr(e).alias(c) for c, (e, _) in JUDGED.items()])
     sketched = shares.groupBy("lang", "source").agg(F.count("*").alias("judged"), *[F.expr(f"kll_sketch_agg_double({c}, {SKETCH_K})").alias(c) for c in JUDGED])
     by_lang = sketched.groupBy("lang").agg(*[F.expr(f"kll_merge_agg_double({c}, {SKETCH_K})").alias(f"lang_{c}") for c in JUDGED])
 
-    def fence(sketch: str, least: float):
+    def of(sketch: str) -> tuple:
         low, middle, high = (F.expr(f"kll_sketch_get_quantile_double({sketch}, {q}D)") for q in (0.25, 0.5, 0.75))
-        half = F.least(high - middle, middle - low)
-        return middle + half + F.greatest(SPREADS * 2 * half, F.lit(least))
+        return middle, F.least(high - middle, middle - low)
+
+    weight, out = F.col("judged") / (F.col("judged") + PRIOR), []
+    for c in JUDGED:
+        for name, own, whole in zip(("middle", "spread"), of(c), of(f"lang_{c}"), strict=True):
+            out += [whole.alias(f"lang_{name}_{c}"), (weight * own + (1 - weight) * whole).alias(f"own_{name}_{c}")]
+    return sketched.join(by_lang, "lang").select("lang", "source", *out)
+
 
-    joined = sketched.join(by_lang, "lang")
-    own = {c: F.when(F.col("judged") >= LEAST_ROWS, fence(c, least)) for c, (_, least) in JUDGED.items()}
-    return joined.select("lang", "source", *[F.least(fence(f"lang_{c}", least), own[c]).alias(f"fence_{c}") for c, (_, least) in JUDGED.items()])
+def fence(measure: str, whose: str):
+    """What the measure may be in a document of this row: whose is lang or own."""
+    middle, spread, n = F.col(f"{whose}_middle_{measure}"), F.col(f"{whose}_spread_{measure}"), F.expr(JUDGED[measure][1])
+    return middle + spread + F.greatest(SPREADS * 2 * spread, CHANCE * F.sqrt(F.try_divide(middle + F.try_divide(F.lit(1.0), n), n)))
 
 
 def limits_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -120,14 +137,16 @@ def limits_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
 def verdict():
     beyond = F.lit(False)
     for c, (e, _) in JUDGED.items():
-        beyond = beyond | F.coalesce((F.col("n_words") > 0) & (F.expr(e) > F.col(f"fence_{c}")), F.lit(False))
+        for whose in ("lang", "own"):
+            beyond = beyond | F.coalesce((F.col("n_words") > 0) & (F.expr(e) > fence(c, whose)), F.lit(False))
     return ~base_failed() & ~beyond
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    A null text has no words and fails; null languages and sources form groups of their own.
+    A null or empty text has no words and fails. A null language or source counts as an empty one. Very long texts are
+    measured block by block. Rows that repeat a doc_id are rows of their own; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.table(measured(docs), "measured")
@@ -153,4 +172,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     rows = scratch.table(docs.select(packed(docs), group, measures(F.coalesce("text", F.lit("")).cast("binary")).alias("m")), "measured")
     limits, total = limits_of(rows.select("group.lang", "group.source", "m.*"), scratch)
     joined = group_join(rows, limits, "group", "group_rows", total)
-    return joined.select("row", "m.*", *[f"fence_{c}" for c in JUDGED]).where(verdict()).select("row.*")
+    return joined.select("row", "m.*", *[c for c in limits.columns if c.startswith(("lang_", "own_"))]).where(verdict()).select("row.*")

@@ -143,6 +143,85 @@ def test_quality_measures(docs):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in found)
 
 
+def slow_measures(text):
+    """By measure its value and its chances, in plain Python."""
+    words = text.split()
+    n, lines = len(words), [x for x in text.split("\n") if x.split()]
+    often = Counter(words)
+    repeats = slow_repeats(words)
+    return {
+        "symbol_share": (sum(c in "#*$%&|<>" for c in text) / n, n),
+        "word_length": (sum(map(len, words)) / n, n),
+        "repeat_share": (repeats / n, n / 8),
+        "dup_share": ((len(lines) - len(set(lines))) / len(lines), len(lines)),
+        "top_share": (max(often.values()) / n, n),
+        "upper_share": (sum("A" <= c <= "Z" for c in text) / sum(map(len, words)), n),
+    }
+
+
+def slow_verdicts(given):
+    """Kept or not, by whole sorted lists in place of sketches. given: (text, lang, source), ASCII white space only."""
+    found = [slow_measures(t) if t.split() else None for t, _, _ in given]
+
+    def middle_and_spread(values):
+        low, middle, high = (sorted(values)[max(0, math.ceil(q * len(values)) - 1)] for q in (0.25, 0.5, 0.75))
+        return middle, min(high - middle, middle - low)
+
+    out = []
+    for (text, lang, source), own in zip(given, found, strict=True):
+        words = text.split()
+        good = len(words) >= 20 and 100 * slow_repeats(words) <= 30 * len(words)
+        for name, (value, n) in (own or {}).items():
+            in_lang = [f[name][0] for f, (_, x, _) in zip(found, given, strict=True) if f and x == lang]
+            in_source = [f[name][0] for f, (_, x, y) in zip(found, given, strict=True) if f and (x, y) == (lang, source)]
+            whole, part, weight = middle_and_spread(in_lang), middle_and_spread(in_source), len(in_source) / (len(in_source) + 50)
+            for middle, spread in (whole, tuple(weight * a + (1 - weight) * b for a, b in zip(part, whole, strict=True))):
+                good &= value <= middle + spread + max(12 * spread, 6 * math.sqrt((middle + 1 / n) / n))
+        out.append(good)
+    return out
+
+
+def junk_and_prose(seed=4):
+    r = np.random.default_rng(seed)
+    words = ["".join(r.choice(list("abcdefgh"), r.integers(1, 9))) for _ in range(500)]
+    found = []
+    for i in range(240):
+        text = [words[k] for k in r.zipf(1.3, r.integers(15, 200)) % 500]
+        kind = i % 12
+        if kind == 3:
+            text = [w + "#*"[: r.integers(0, 3)] for w in text]
+        elif kind == 5:
+            text = [w.upper() if r.random() < 0.7 else w for w in text]
+        elif kind == 7:
+            text = text[:15] + [words[9]] * 40
+        lines = [" ".join(text[k : k + 9]) for k in range(0, len(text), 9)]
+        if kind == 9:
+            lines += [lines[0]] * r.integers(1, 30)
+        found.append(("\n".join(lines), ["en", "de"][i % 2], ["a", "b", "", "rare" if i > 220 else "c"][i % 4]))
+    return found
+
+
+def test_verdicts_are_those_of_whole_lists(spark):
+    given = junk_and_prose() + [("", "en", "a"), (" \n", "de", "b"), ("one", "en", "rare")]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(given)], "doc_id long, text string, lang string, source string").repartition(3)
+    want = slow_verdicts(given)
+    assert {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs).collect()} == dict(enumerate(want))
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {i for i, x in enumerate(want) if x}
+    assert 20 < sum(want) < len(want) - 20
+
+
+def test_long_texts_are_measured_block_by_block(monkeypatch):
+    from quire.llm import common, near_copies
+
+    texts = [data(r) for r in ROWS] + [b"\xc3\xa9" * 50 + b" " + b"a b\n" * 40, b" " * 99 + b"x"]
+    modules = {"measure": quality, "fingerprint": simhash, "shingles": near_copies}
+    whole = [[getattr(m, f)(t) for t in texts] for f, m in modules.items()]
+    for m in modules.values():
+        monkeypatch.setattr(m, "word_blocks", lambda text: common.word_blocks(text, 7))
+    parts = [[getattr(m, f)(t) for t in texts] for f, m in modules.items()]
+    assert whole[:2] == parts[:2] and all((a == b).all() for a, b in zip(whole[2], parts[2], strict=True))
+
+
 def test_quality_tells_junk_from_prose(spark):
     prose = [(i, " ".join(f"word{(i * 31 + k * k) % 997}" for k in range(1, 60)), "en", f"s{i % 3}") for i in range(300)]
     junk = [(1000 + i, " ".join(f"w{k}###" for k in range(60)), "en", "s1") for i in range(20)]
