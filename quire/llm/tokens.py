@@ -1,9 +1,10 @@
 """Byte-level BPE through a two-tier map-side lookup.
 
 Text is cut into pre-tokens, whose encodings don't depend on what stands around them. The first tier is a compact hash
-table of frequent pre-tokens, broadcast once: the vocabulary's own entries, which are what its training found frequent.
-They are at most as many as the vocabulary has ids, whatever the corpus. What misses it is encoded by the library and
-kept in the worker's cache, the second tier. No pre-token is shuffled and no pass over the corpus is needed.
+table that is broadcast once: for counts, the token lengths of the corpus's most frequent words (token_counts.py); for
+ids, the vocabulary's own entries. Either is bounded, whatever the corpus. What misses it is encoded once and kept in the
+worker's caches, the second tier. No pre-token is shuffled. Misses are merged by the rank of each pair, in native code,
+where the file's ids follow its merges, which gives what the file's own library gives; else by that library.
 """
 
 from __future__ import annotations
@@ -11,30 +12,52 @@ from __future__ import annotations
 import json
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import regex
 
 #: Unicode white space as the library's pattern takes it, the pattern's parts, the special text.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Entries of a generation of a worker's cache; longer pre-tokens than this aren't kept.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+#: Entries of a generation of a worker's caches of words and of pre-tokens; longer ones than CACHE_CHARS aren't kept.
+CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 150_000, 50_000, 64
 #: Characters of a text that are cut at once.
 AT_ONCE = 1_000_000
 
 
+def checked(path: str) -> dict:
+    """The file's model; an error unless it cuts texts as this module does."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    cut = held["pre_tokenizer"] or {}
+    special = [(t["content"], t["id"], t["single_word"], t["lstrip"], t["rstrip"]) for t in held["added_tokens"]]
+    if held["model"]["type"] != "BPE" or held["normalizer"] or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) != ("ByteLevel", False, True) or special != [(SPECIAL, SPECIAL_ID, False, False, False)]:
+        raise ValueError(f"{path} isn't a byte-level BPE with the special text {SPECIAL}")
+    return held["model"]
+
+
 def frequent(path: str) -> dict[str, bytes]:
     """Vocabulary entries that are a pre-token each, with their ids as little-endian unsigned 32-bit numbers."""
     from tokenizers import Tokenizer
 
+    checked(path)
     library, pattern = Tokenizer.from_file(path), regex.compile(PRE_TOKEN)
     texts = [library.decode([i]) for i in range(library.get_vocab_size())]
     texts = [x for x in texts if "\ufffd" not in x and pattern.findall(x) == [x]]
     return {x: packed_ids(e.ids) for x, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True)}
 
 
+def lengths(path: str, words: list[str]) -> dict[str, int]:
+    """The number of tokens of each word, a space before it included."""
+    from tokenizers import Tokenizer
+
+    checked(path)
+    found = Tokenizer.from_file(path).encode_batch([f" {w}" for w in words], add_special_tokens=False)
+    return {w: len(e.ids) for w, e in zip(words, found, strict=True)}
+
+
 def packed_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -44,8 +67,7 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
 
     Then merging by id, which needs no look at merges, gives what the library's merging gives.
     """
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+    model = checked(path)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
     merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
@@ -56,87 +78,85 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
 
 
-class Pieces(dict):
-    """Pre-token to packed ids: the first tier at hand, misses encoded and kept for a while.
-
-    What is kept comes in two generations: once the younger is full it becomes the older, so what is used again stays.
-    """
+class Kept(dict):
+    """What has been looked up, kept for a while in two generations: once the younger is full it becomes the older, so what is used again stays."""
 
-    def __init__(self, path: str, table: dict[str, bytes]) -> None:
+    def __init__(self, find, most: int) -> None:
         super().__init__()
-        self.table, self.older = table, {}
-        ranks = byte_ranks(path)
-        if ranks is not None:
-            import tiktoken
-
-            single = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-            self.encode = lambda piece: packed_ids(single(piece))
-        else:
-            from tokenizers import Tokenizer
-
-            library = Tokenizer.from_file(path)
-            self.encode = lambda piece: packed_ids(library.encode(piece, add_special_tokens=False).ids)
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.table.get(piece) or self.older.get(piece) or self.encode(piece)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+        self.find, self.most, self.older = find, most, {}
+
+    def __missing__(self, key: str):
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
-            self[piece] = found
+            self[key] = found
         return found
 
 
-class Chunks(dict):
-    """What stands between white space, to the packed ids of a prefix and it."""
+def pair_merger(path: str):
+    """Ids of a pre-token."""
+    ranks = byte_ranks(path)
+    if ranks is not None:
+        import tiktoken
 
-    def __init__(self, pieces: Pieces, pattern, prefix: str) -> None:
-        super().__init__()
-        self.pieces, self.pattern, self.prefix, self.older = pieces, pattern, prefix, {}
+        return tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    from tokenizers import Tokenizer
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.older.get(chunk) or b"".join(map(self.pieces.__getitem__, self.pattern.findall(self.prefix + chunk)))
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = found
-        return found
+    library = Tokenizer.from_file(path)
+    return lambda piece: library.encode(piece, add_special_tokens=False).ids
 
 
 class Encoder:
     """Cuts texts without the pattern where that gives the same pre-tokens, and looks the parts up.
 
     A pre-token has a space at its start only, and other white space not at all, except for runs of white space. So a
-    text falls apart before each space and around each line feed that stand alone.
+    text falls apart before each space and around each line feed that stand alone. value(ids) is what is wanted of
+    ids, add what makes one of many; pieces and words hold the first tier: values of pre-tokens, and of words after a space.
     """
 
-    def __init__(self, path: str, table: dict[str, bytes]) -> None:
-        self.pattern = regex.compile(PRE_TOKEN)
-        self.lookup = Pieces(path, table)
-        self.bare, self.spaced = Chunks(self.lookup, self.pattern, ""), Chunks(self.lookup, self.pattern, " ")
+    def __init__(self, path: str, value, add, pieces: dict | None = None, words: dict | None = None) -> None:
+        merge, pattern = pair_merger(path), regex.compile(PRE_TOKEN)
+        pieces, words = pieces or {}, words or {}
+
+        def piece(text: str):
+            found = pieces.get(text)
+            return value(merge(text)) if found is None else found
+
+        self.lookup = Kept(piece, CACHE_PIECES)
+        self.value, self.add = value, add
+        self.bare = Kept(lambda chunk: add(map(self.lookup.__getitem__, pattern.findall(chunk))), CACHE_WORDS)
+
+        def after_space(chunk: str):
+            found = words.get(chunk)
+            return add(map(self.lookup.__getitem__, pattern.findall(f" {chunk}"))) if found is None else found
+
+        self.spaced = Kept(after_space, CACHE_WORDS)
         self.run = re.compile(f"[{WHITE}]{{2}}").search
         alone = re.compile(f" (?<=[^{WHITE}] )(?=[^{WHITE}])")
         self.apart, self.next_alone = alone.split, alone.search
         self.around = "".join(chr(c) for c in range(0x3001) if regex.match(f"[{WHITE}]", chr(c)))
 
-    def parts(self, text: str) -> Iterator[bytes]:
-        """Packed ids of the text, in order, in parts."""
+    def parts(self, text: str) -> Iterator:
+        """Values of the text, in order, in parts."""
         for i, section in enumerate(text.split(SPECIAL)):
             if i:
-                yield packed_ids([SPECIAL_ID])
+                yield self.value([SPECIAL_ID])
             while len(section) > AT_ONCE and (space := self.next_alone(section, AT_ONCE)):
                 yield self.block(section[: space.start()])
                 section = section[space.start() :]
             yield self.block(section)
 
-    def block(self, text: str) -> bytes:
+    def block(self, text: str):
         bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
         body = text.lstrip(self.around)
         if self.run(body):
             chunks = self.apart(text)
-            return b"".join([bare(chunks[0]), *map(spaced, chunks[1:])])
-        out: list[bytes] = []
+            return self.add([bare(chunks[0]), *map(spaced, chunks[1:])])
+        out: list = []
         feed, head = bare("\n"), text[: len(text) - len(body)]
         for line in body.split("\n"):
             first, *others = line.split(" ")
@@ -144,17 +164,29 @@ class Encoder:
             out.extend(map(spaced, others))
             out.append(feed)
             head = ""
-        return b"".join(out[:-1])
+        return self.add(out[:-1])
+
+
+def id_encoder(path: str, table: dict[str, bytes]) -> Encoder:
+    """Packed ids. table: frequent()."""
+    return Encoder(path, packed_ids, b"".join, pieces=table)
+
+
+def count_encoder(path: str, table: dict[str, int]) -> Encoder:
+    """Numbers of tokens. table: lengths()."""
+    return Encoder(path, len, sum, words=table)
+
 
-    def count(self, text: str) -> int:
-        return sum(map(len, self.parts(text))) // 4
+_encoders: dict[tuple, tuple] = {}
 
 
-_encoders: dict[str, Encoder] = {}
+def on_workers(spark, make, path: str, table: dict):
+    """A function that gives a worker's encoder, make(path, table); the table is broadcast. The encoder lives as long as the worker, so later batches find a warm cache."""
+    held, name = spark.sparkContext.broadcast(table), uuid.uuid4().hex
 
+    def encoder() -> Encoder:
+        if _encoders.get(path, ("",))[0] != name:
+            _encoders[path] = (name, make(path, held.value))
+        return _encoders[path][1]
 
-def encoder(path: str, table) -> Encoder:
-    """The worker's encoder; table: the broadcast first tier. It lives as long as the worker, so later batches find a warm cache."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, table.value)
-    return _encoders[path]
+    return encoder

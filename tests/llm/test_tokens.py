@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from quire.llm import tokens
 from quire.llm.packing import pack, pack_lengths, placements
 from quire.llm.queries import tokenizer_path
-from quire.llm.token_counts import token_counts
+from quire.llm.token_counts import frequent_words, token_counts
 from tests.llm.data import SCHEMA, rows
 
 ROWS = rows()
@@ -27,7 +27,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def own():
-    return tokens.Encoder(PATH, tokens.frequent(PATH))
+    return tokens.id_encoder(PATH, tokens.frequent(PATH))
 
 
 @pytest.fixture(scope="module")
@@ -52,11 +52,12 @@ def test_pattern_cuts_all_characters_alike(library):
 
 
 def test_small_caches_change_nothing(library, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 2)
     monkeypatch.setattr(tokens, "AT_ONCE", 5)
-    own = tokens.Encoder(PATH, tokens.frequent(PATH))
+    own = tokens.count_encoder(PATH, tokens.lengths(PATH, ["the", "a", "c"]))
     for text in [r[1] or "" for r in ROWS]:
-        assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+        assert sum(own.parts(text)) == len(library.encode(text, add_special_tokens=False).ids)
 
 
 def test_token_counts(docs, library):
@@ -64,6 +65,22 @@ def test_token_counts(docs, library):
     assert Counter(tuple(r) for r in token_counts(docs, PATH).collect()) == want
 
 
+def test_frequent_words_are_measured(docs):
+    often = Counter(w for r in ROWS for w in (r[1] or "").replace("\n", " ").split(" ") if 0 < len(w) <= 64)
+    found = frequent_words(docs, 50)
+    assert len(found) == 50 and min(often[w] for w in found) >= sorted(often.values())[-50]
+
+
+def test_other_files_are_refused(tmp_path):
+    import json
+
+    held = json.loads(open(PATH, encoding="utf-8").read())
+    held["added_tokens"].append(held["added_tokens"][0] | {"id": 7, "content": "<x>"})
+    (tmp_path / "other.json").write_text(json.dumps(held))
+    with pytest.raises(ValueError):
+        tokens.lengths(str(tmp_path / "other.json"), ["a"])
+
+
 def test_packing(docs, library):
     found = pack(docs, PATH, 256).collect()
     sequences, per_doc = defaultdict(list), defaultdict(list)
