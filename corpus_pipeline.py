@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, released
 from quire.llm.exact_dedup import drop_copies
 from quire.llm.mixing import emit_mix
 from quire.llm.near_copies import drop_similar
@@ -49,9 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written before the next reads it; an empty table gives an empty result."""
     scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        with released():
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
         if i:
             scratch.discard(STAGES[i - 1][0])
     return docs

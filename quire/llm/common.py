@@ -7,7 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,26 +43,53 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one operator call: they cut the lineage and survive the loss of an executor."""
+    """Written tables of one operator call: they cut the lineage and survive the loss of an executor.
+
+    The operator's result reads them, so they stay until its caller has used it: released() or the end of the driver
+    program deletes them.
+    """
+
+    open: dict[str, Scratch] = {}
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/quire-{name}-{uuid.uuid4().hex}"
+        self.hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        self.jvm = spark.sparkContext._jvm
+        if not Scratch.open:
+            atexit.register(clear, ())
+        Scratch.open[self.root] = self
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df once and returns the written rows."""
-        df.write.parquet(self.path(name))
+        df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def discard(self, *names: str) -> None:
         """Deletes tables that no later result reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path = self.jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.hadoop).delete(path, True)
+
+
+def clear(keep: Collection[str]) -> None:
+    """Deletes all scratch tables but those under the roots to keep."""
+    for root in [x for x in Scratch.open if x not in keep]:
+        with suppress(Exception):  # at the end of the program its JVM may be gone already
+            Scratch.open.pop(root).discard("")
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """At its end deletes the scratch tables of all operators called inside: their results must have been written by then."""
+    before = set(Scratch.open)
+    try:
+        yield
+    finally:
+        clear(before)
 
 
 def packed(docs: DataFrame):
@@ -98,6 +126,11 @@ def perhaps_heavy(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return found.where(F.col("x.count") * 2 > bound).select(F.col("x.item").alias(key))
 
 
+def look_up(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Left join with what was found for some keys, one written row each, that goes to the rows where FEW_KEYS allows it."""
+    return rows.join(F.broadcast(found) if found.count() <= FEW_KEYS else found, key, "left")
+
+
 def group_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """split_join for wide rows: up to FEW_GROUPS written groups are broadcast whole, so the rows are read once."""
     if groups.count() <= FEW_GROUPS:

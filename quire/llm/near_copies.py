@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import HEAVY, Scratch, chosen, map_batches, numbered, perhaps_heavy, split_join, word_blocks
+from quire.llm.common import HEAVY, Scratch, chosen, look_up, map_batches, numbered, perhaps_heavy, split_join, word_blocks
 from quire.llm.simhash import components, fingerprint, links, one_of_each
 from quire.plans.session import ship_package
 
@@ -23,7 +23,7 @@ WIDTH = 5
 #: Jaccard similarity of near copies, as a fraction: a / b.
 THRESHOLD = (4, 5)
 #: Rows that are sampled for common shingles, and in how many of them a shingle is common. Both bound the broadcast.
-SAMPLE, COMMON = 20_000, 4
+SAMPLE, COMMON = 6_000, 3
 #: Pairs that a worker compares at once, and sets of a shingle that meet in one cell.
 PAIRS, CELL = 1 << 20, 4096
 #: Pairs with one set beyond which the set is sent to several tasks.
@@ -48,7 +48,7 @@ def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(found ^ (found >> np.uint64(31)))
 
 
-def _node(found: np.ndarray) -> int:
+def _name(found: np.ndarray) -> int:
     """A name of a set, as a signed long."""
     import xxhash
 
@@ -74,13 +74,14 @@ def _common(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signs(rows: DataFrame, total: int) -> DataFrame:
-    """at, node, size (of the set), fp (the text's fingerprint) and hashes, the shingles that are dealt, in the common order."""
+    """at, set (a hash of the set), size (of the set), fp (the text's fingerprint) and hashes, the shingles that are dealt, in the common order."""
     common = rows.sparkSession.sparkContext.broadcast(_common(rows, total))
 
     def run(batch):
         hashes, counts = common.value
-        out: dict[str, list] = {k: [] for k in ("at", "node", "size", "fp", "hashes")}
-        for at, text in zip(batch.column("at").to_pylist(), batch.column("text"), strict=True):
+        out: dict[str, list] = {k: [] for k in ("set", "size", "fp")}
+        dealt: list[np.ndarray] = []
+        for text in batch.column("text"):
             data = text.as_py()
             found = shingles(data)
             n = len(found)
@@ -88,15 +89,14 @@ def _signs(rows: DataFrame, total: int) -> DataFrame:
             if n and len(hashes):
                 place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                 often = np.where(hashes[place] == found, counts[place], 0)
-            first = np.lexsort((found, often))[: n - -(-n * THRESHOLD[0] // THRESHOLD[1]) + 1]
-            fp = int(np.uint64(fingerprint(data, WIDTH)).view(np.int64))
-            for k, v in zip(out, (at, _node(found), n, fp, pa.array(found[first].view(np.int64))), strict=True):
+            dealt.append(found[np.lexsort((found, often))[: n - -(-n * THRESHOLD[0] // THRESHOLD[1]) + 1]])
+            for k, v in zip(out, (_name(found), n, int(np.uint64(fingerprint(data, WIDTH)).view(np.int64))), strict=True):
                 out[k].append(v)
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in out["hashes"]]))).astype(np.int32)
-        values = pa.concat_arrays(out["hashes"]) if out["hashes"] else pa.array([], pa.int64())
-        yield out | {"hashes": pa.ListArray.from_arrays(pa.array(offsets), values)}
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in dealt]))).astype(np.int32)
+        values = np.concatenate([np.empty(0, np.uint64), *dealt]).view(np.int64)
+        yield out | {"at": batch.column("at"), "hashes": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
 
-    return map_batches(_data(rows), run, "at long, node long, size long, fp long, hashes array<long>")
+    return map_batches(_data(rows), run, "at long, set long, size long, fp long, hashes array<long>")
 
 
 def _enough(shared, size_a, size_b):
@@ -133,41 +133,57 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-SHARED = "hash long, node long, size long, rest long, label long, head long, head_size long, head_rest long, head_label long"
+SHARED = "hash long, node long, bulk long, head long, head_bulk long"
 
 
-def _shared(dealt: DataFrame, scratch: Scratch) -> DataFrame:
-    """The dealt rows (hash, node, size, rest, label) of shingles that two or more sets have, with one of these sets, their head.
+def _size(bulk):
+    return F.shiftright(bulk, 32)
+
+
+def _rest(bulk):
+    return bulk.bitwiseAND((1 << 32) - 1)
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """hash, node and bulk: the size of the set and, in its low 32 bits, how many of its shingles come after this one."""
+    each = nodes.select(F.col("at").alias("node"), "size", F.posexplode("hashes").alias("place", "hash"))
+    return each.select("hash", "node", (F.shiftleft("size", 32) + F.col("size") - 1 - F.col("place")).alias("bulk"))
+
+
+def _shared(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The dealt rows of shingles that two or more sets have, each with one of these sets, their head.
 
     Shingles that many sets have get their heads with map-side combining, and the heads go to the rows; for the others
     one shuffle does.
     """
 
-    def made(hashes, node, size, rest, label):
+    def made(hashes, node, bulk):
         first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
         heads = np.flatnonzero(first)
-        head = heads[np.cumsum(first) - 1]
-        keep = np.diff(np.concatenate((heads, [len(hashes)])))[np.cumsum(first) - 1] > 1
+        group = np.cumsum(first) - 1
+        keep = np.diff(np.concatenate((heads, [len(hashes)])))[group] > 1
         if keep.any():
-            h = head[keep]
-            yield _batch(hash=hashes[keep], node=node[keep], size=size[keep], rest=rest[keep], label=label[keep], head=node[h], head_size=size[h], head_rest=rest[h], head_label=label[h])
+            head = heads[group][keep]
+            yield _batch(hash=hashes[keep], node=node[keep], bulk=bulk[keep], head=node[head], head_bulk=bulk[head])
 
-    bound = max(1, dealt.count() // HEAVY * 2)
+    dealt = _dealt(nodes)
+    bound = max(1, nodes.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0] // HEAVY * 2)
     common = scratch.table(perhaps_heavy(dealt, "hash", bound), "common")
     crowded = dealt.join(F.broadcast(common), "hash", "left_semi")
-    heads = crowded.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "rest", "label")).alias("h")).where("n > 1")
-    heads = scratch.table(heads.select("hash", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"), F.col("h.rest").alias("head_rest"), F.col("h.label").alias("head_label")), "heads")
-    light = _grouped(dealt.join(F.broadcast(common), "hash", "left_anti").select("hash", "node", "size", "rest", "label"), made, SHARED)
+    heads = crowded.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("node", "bulk")).alias("h")).where("n > 1")
+    heads = scratch.table(heads.select("hash", F.col("h.node").alias("head"), F.col("h.bulk").alias("head_bulk")), "heads")
+    light = _grouped(dealt.join(F.broadcast(common), "hash", "left_anti").select("hash", "node", "bulk"), made, SHARED)
     return scratch.table(dealt.join(F.broadcast(heads), "hash").select(light.columns).unionByName(light), "shared")
 
 
 def _unlinked(shared: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: pairs of sets with different labels that may be near copies by a shingle that both have.
+    """a, b: pairs of sets with different labels that may be near copies by a shingle that both have. shared: hash, node, bulk, label.
 
     A shingle's sets are cut into parts of CELL at most; each pair of parts meets in a cell of its own.
     """
 
-    def made(cell, label, node, size, rest):
+    def made(cell, label, node, bulk):
+        size, rest = bulk >> 32, bulk & ((1 << 32) - 1)
         edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
         ends = np.repeat(edges[1:], np.diff(edges))
         # rows are sorted by label inside a cell: a row's partners begin where its label ends
@@ -186,11 +202,10 @@ def _unlinked(shared: DataFrame, scratch: Scratch) -> DataFrame:
 
     mixed = shared.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     mixed = scratch.table(mixed.select("hash", "n", F.ceil(F.col("n") / CELL).cast("long").alias("parts")), "mixed")
-    open_ = split_join(shared, mixed, "hash", "n", shared.count())
-    own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    open_ = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    open_ = split_join(shared, mixed, "hash", "n", shared.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cell = F.xxhash64("hash", F.least("own", "other"), F.greatest("own", "other"))
-    return _grouped(open_.select(cell.alias("cell"), "label", "node", "size", "rest"), made, "a long, b long")
+    return _grouped(open_.select(cell.alias("cell"), "label", "node", "bulk"), made, "a long, b long")
 
 
 def _with_set(pairs: DataFrame, sets: DataFrame, side: str, bound: int) -> DataFrame:
@@ -198,74 +213,77 @@ def _with_set(pairs: DataFrame, sets: DataFrame, side: str, bound: int) -> DataF
     often = F.broadcast(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > bound).select(side, F.ceil(F.col("n") / bound).cast("long").alias("parts")))
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     salted = pairs.join(often, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
-    copies = sets.select(F.col("node").alias(side), F.col("found").alias(f"of_{side}")).join(often, side, "left")
+    copies = sets.select(F.col("at").alias(side), F.col("found").alias(f"of_{side}")).join(often, side, "left")
     copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     return salted.join(copies, [side, "salt"]).drop("salt")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of sets that are near copies, written. pairs: distinct, written."""
+def _ordered(a, b) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b: keys of rows) whose sets are near copies, written. pairs: distinct, written."""
 
     def run(batch):
-        found = [shingles(x.as_py()) for x in batch.column("text")]
-        yield {"node": [_node(x) for x in found], "found": pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))}
+        yield {"at": batch.column("at"), "found": pa.array([shingles(x.as_py()).view(np.int64) for x in batch.column("text")], pa.list_(pa.int64()))}
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    places = scratch.table(nodes.select("node", "at").join(wanted, "node").select("at"), f"places{name}")
-    sets = scratch.table(map_batches(_data(chosen(rows, places, "left_semi")).select("text"), run, "node long, found array<long>"), f"sets{name}")
+    wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct(), f"wanted{name}")
+    sets = scratch.table(map_batches(_data(chosen(rows, wanted, "left_semi")), run, "at long, found array<long>"), f"sets{name}")
     bound = max(CROWD, pairs.count() // HEAVY)  # so at most HEAVY sets have more
     both = _with_set(_with_set(pairs, sets, "a", bound), sets, "b", bound)
     found = both.where(_enough(F.size(F.array_intersect("of_a", "of_b")), F.size("of_a"), F.size("of_b"))).select("a", "b")
     found = scratch.table(found, f"links{name}")
-    scratch.discard(f"places{name}", f"sets{name}")
+    scratch.discard(f"wanted{name}", f"sets{name}")
     return found
 
 
 def _labels(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, label: the smallest linked set, or that one's. Sets with one label are connected; it needn't hold the other way."""
+    """node, label: the smallest linked set, or that one's, for all linked sets. Sets with one label are connected; it needn't hold the other way."""
     both = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
     label = scratch.table(both.groupBy("node").agg(F.min("other").alias("label")).withColumn("label", F.least("node", "label")), f"label{name}")
     up = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    return scratch.table(label.join(up, "label", "left").select("node", F.coalesce("next", "label").alias("label")), f"labels{name}")
+    return scratch.table(look_up(label, up, "label").select("node", F.coalesce("next", "label").alias("label")), f"labels{name}")
 
 
-def _labelled(frame: DataFrame, label: DataFrame) -> DataFrame:
-    return frame.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _tight(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b, written: pairs of sets that the SimHash index links, or that have one fingerprint. nodes: at, fp."""
+    prints = scratch.table(nodes.groupBy("fp").agg(F.count("*").alias("m"), F.min("at").alias("first")), "prints")
+    found = scratch.table(links(prints.select("fp"), scratch), "print_links")
+    of_a, of_b = (prints.select(F.col("fp").alias(x), F.col("first").alias(f"of_{x}")) for x in "ab")
+    across = found.join(of_a, "a").join(of_b, "b").select(*_ordered("of_a", "of_b"))
+    crowds = scratch.table(prints.where("m > 1"), "crowds")
+    within = split_join(nodes, crowds, "fp", "m", nodes.count()).where("at <> first").select(*_ordered("at", "first"))
+    return scratch.table(across.unionByName(within).distinct(), "tight")
 
 
 def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """at, component of each numbered row: equal for rows that a chain of near copies connects."""
     signs = scratch.table(_signs(rows, rows.count()), "signs")
-    best = F.min_by(F.struct("at", "size", "fp", "hashes"), "at").alias("x")
-    nodes = scratch.table(signs.groupBy("node").agg(F.count("*").alias("n"), best).select("node", "n", "x.*"), "nodes")
-    named_rows = scratch.table(signs.select("at", "node"), "signed")
-    scratch.discard("signs")
-
-    by_print = scratch.table(nodes.groupBy("fp").agg(F.count("*").alias("m"), F.min("node").alias("first")), "prints")
-    found = scratch.table(links(by_print.select("fp"), scratch), "print_links")
-    firsts = by_print.select("fp", "first")
-    across = found.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("of_a")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("of_b")), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    crowds = scratch.table(by_print.where("m > 1"), "crowds")
-    within = split_join(nodes.select("fp", "node"), crowds, "fp", "m", nodes.count()).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    tight = scratch.table(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tight")
-    linked = _verified(tight, rows, nodes, scratch, "0")
-
-    labelled = _labelled(nodes.select("node", "size", "hashes"), _labels(linked, scratch, "0"))
-    dealt = labelled.select("node", "size", "label", F.posexplode("hashes").alias("place", "hash")).select("hash", "node", "size", (F.col("size") - 1 - F.col("place")).alias("rest"), "label")
-    dealt = scratch.table(dealt, "dealt")
-    shared = _shared(dealt, scratch)
-    scratch.discard("dealt")
-    met = shared.where("node <> head AND label <> head_label").where(_enough(1 + F.least("rest", "head_rest"), F.col("size"), F.col("head_size")))
-    first = scratch.table(met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "first")
-    linked = linked.unionByName(_verified(first, rows, nodes, scratch, "1"))
-
-    shared = scratch.table(_labelled(shared.select("hash", "node", "size", "rest"), _labels(linked, scratch, "1")), "relabelled")
-    second = scratch.table(_unlinked(shared, scratch).distinct().join(tight.unionByName(first), ["a", "b"], "left_anti"), "second")
-    linked = linked.unionByName(_verified(second, rows, nodes, scratch, "2"))
-
-    parts = components(linked, scratch).withColumnRenamed("component", "least")
-    named = scratch.table(nodes.select("node", "n").join(parts, "node", "left").select("node", "n", F.coalesce("least", "node").alias("component")), "named_nodes")
-    return split_join(named_rows, named, "node", "n", named_rows.count()).select("at", "component")
+    # rows with one set: the first stands for all
+    equal = scratch.table(signs.groupBy("set").agg(F.count("*").alias("n"), F.min("at").alias("node")).where("n > 1"), "equal")
+    copies = scratch.table(split_join(signs.select("set", "at"), equal, "set", "n", signs.count()).where("at <> node").select("at", "node"), "copies")
+    nodes = chosen(signs, copies.select("at"), "left_anti")
+
+    tight = _tight(nodes.select("at", "fp"), scratch)
+    linked = _verified(tight, rows, scratch, "0")
+    shared = _shared(nodes, scratch)
+    label = _labels(linked, scratch, "0")
+    of_head = label.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
+    met = shared.where("node <> head").where(_enough(1 + F.least(_rest(F.col("bulk")), _rest(F.col("head_bulk"))), _size(F.col("bulk")), _size(F.col("head_bulk")))).select("node", "head").distinct()
+    met = look_up(look_up(met, label, "node"), of_head, "head").where(F.coalesce("label", "node") != F.coalesce("head_label", "head"))
+    first = scratch.table(met.select(*_ordered("head", "node")), "first")
+    linked = linked.unionByName(_verified(first, rows, scratch, "1"))
+
+    labelled = look_up(shared.select("hash", "node", "bulk"), _labels(linked, scratch, "1"), "node").withColumn("label", F.coalesce("label", "node"))
+    second = scratch.table(_unlinked(labelled, scratch).distinct().join(tight.unionByName(first), ["a", "b"], "left_anti"), "second")
+    scratch.discard("shared")
+    linked = linked.unionByName(_verified(second, rows, scratch, "2"))
+
+    parts = components(linked, scratch).select(F.col("node").alias("at"), "component")
+    alone = chosen(signs.select("at"), scratch.table(parts.select("at").unionByName(copies.select("at")), "placed"), "left_anti")
+    of_copies = look_up(copies, scratch.table(parts.withColumnRenamed("at", "node"), "parts"), "node").select("at", F.coalesce("component", "node").alias("component"))
+    return parts.unionByName(alone.select("at", F.col("at").alias("component"))).unionByName(of_copies)
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:

@@ -157,19 +157,21 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns; nulls, empty and long texts as there.
 
-    Each text is measured once, where it lies, and written with its measures; the fences, one row for each language and
-    source, then go to the rows. An empty table stays empty.
+    Measures are written without the texts and give the fences, one row for each language and source. These go to the
+    documents, which are measured once more where they lie: that is cheaper than moving or copying texts. An empty table
+    stays empty.
     """
     ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
+    limits, total = limits_of(scratch.table(measured(docs), "measured"), scratch)
 
     @F.arrow_udf(f"struct<{', '.join(f'{c}: long' for c in COLUMNS)}>")
     def measures(texts: pa.Array) -> pa.Array:
         rows = [measure(x.as_py()) for x in texts]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COLUMNS))], names=COLUMNS)
 
+    once = measures.asNondeterministic()  # else the filter below makes Spark call it several times for a row
     group = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).alias("group")
-    rows = scratch.table(docs.select(packed(docs), group, measures(F.coalesce("text", F.lit("")).cast("binary")).alias("m")), "measured")
-    limits, total = limits_of(rows.select("group.lang", "group.source", "m.*"), scratch)
-    joined = group_join(rows, limits, "group", "group_rows", total)
-    return joined.select("row", "m.*", *[c for c in limits.columns if c.startswith(("lang_", "own_"))]).where(verdict()).select("row.*")
+    joined = group_join(docs.select(packed(docs), group), limits, "group", "group_rows", total)
+    measured_rows = joined.withColumn("m", once(F.coalesce("row.text", F.lit("")).cast("binary")))
+    return measured_rows.select("row", "m.*", *[c for c in limits.columns if c.startswith(("lang_", "own_"))]).where(verdict()).select("row.*")
