@@ -26,6 +26,8 @@ THRESHOLD = (4, 5)
 SAMPLE, COMMON = 6_000, 3
 #: Pairs that a worker compares at once, and sets of a shingle that meet in one cell.
 PAIRS, CELL = 1 << 20, 4096
+#: Parts that a set's shingles are counted in, by their leading bits.
+PARTS = 128
 #: Pairs with one set beyond which the set is sent to several tasks.
 CROWD = 4096
 
@@ -55,6 +57,12 @@ def _name(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
 
 
+def _counts(found: np.ndarray) -> bytes:
+    """How many shingles of the set each part has, a byte each; empty where that is too many for a byte."""
+    counts = np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=PARTS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
 def _data(rows: DataFrame) -> DataFrame:
     return rows.select("at", F.coalesce("row.text", F.lit("")).cast("binary").alias("text"))
 
@@ -74,12 +82,12 @@ def _common(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signs(rows: DataFrame, total: int) -> DataFrame:
-    """at, set (a hash of the set), size (of the set), fp (the text's fingerprint) and hashes, the shingles that are dealt, in the common order."""
+    """at, set (a hash of the set), size (of the set), fp (the text's fingerprint), counts (see _counts) and hashes, the shingles that are dealt, in the common order."""
     common = rows.sparkSession.sparkContext.broadcast(_common(rows, total))
 
     def run(batch):
         hashes, counts = common.value
-        out: dict[str, list] = {k: [] for k in ("set", "size", "fp")}
+        out: dict[str, list] = {k: [] for k in ("set", "size", "fp", "counts")}
         dealt: list[np.ndarray] = []
         for text in batch.column("text"):
             data = text.as_py()
@@ -90,13 +98,13 @@ def _signs(rows: DataFrame, total: int) -> DataFrame:
                 place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                 often = np.where(hashes[place] == found, counts[place], 0)
             dealt.append(found[np.lexsort((found, often))[: n - -(-n * THRESHOLD[0] // THRESHOLD[1]) + 1]])
-            for k, v in zip(out, (_name(found), n, int(np.uint64(fingerprint(data, WIDTH)).view(np.int64))), strict=True):
+            for k, v in zip(out, (_name(found), n, int(np.uint64(fingerprint(data, WIDTH)).view(np.int64)), _counts(found)), strict=True):
                 out[k].append(v)
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in dealt]))).astype(np.int32)
         values = np.concatenate([np.empty(0, np.uint64), *dealt]).view(np.int64)
         yield out | {"at": batch.column("at"), "hashes": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
 
-    return map_batches(_data(rows), run, "at long, set long, size long, fp long, hashes array<long>")
+    return map_batches(_data(rows), run, "at long, set long, size long, fp long, counts binary, hashes array<long>")
 
 
 def _enough(shared, size_a, size_b):
@@ -208,20 +216,48 @@ def _unlinked(shared: DataFrame, scratch: Scratch) -> DataFrame:
     return _grouped(open_.select(cell.alias("cell"), "label", "node", "bulk"), made, "a long, b long")
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str, bound: int) -> DataFrame:
-    """pairs with of_a or of_b, the set of that side. A set with over `bound` pairs goes to several tasks."""
+def _with(pairs: DataFrame, table: DataFrame, columns: list[str], side: str, bound: int) -> DataFrame:
+    """pairs with columns of table (by at) for that side, named of_a and so on. What has over `bound` pairs goes to several tasks."""
     often = F.broadcast(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > bound).select(side, F.ceil(F.col("n") / bound).cast("long").alias("parts")))
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     salted = pairs.join(often, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
-    copies = sets.select(F.col("at").alias(side), F.col("found").alias(f"of_{side}")).join(often, side, "left")
+    copies = table.select(F.col("at").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]).join(often, side, "left")
     copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     return salted.join(copies, [side, "salt"]).drop("salt")
 
 
+def _perhaps(pairs: DataFrame, signs: DataFrame, bound: int) -> DataFrame:
+    """The pairs that the counts of their sets' parts leave open, and by them the most they may share of their sizes' sum: two sets share no more of a part than the smaller number."""
+
+    def run(batch):
+        size_a, size_b = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
+        share = np.minimum(size_a, size_b)
+        both = [batch.column(f"counts_{x}") for x in "ab"]
+        known = np.flatnonzero([len(x.as_buffer()) * len(y.as_buffer()) > 0 for x, y in zip(*both, strict=True)])
+        for at in range(0, len(known), 1 << 14):
+            own = known[at : at + (1 << 14)]
+            of_a, of_b = (np.frombuffer(b"".join(x.take(pa.array(own)).to_pylist()), np.uint8).reshape(-1, PARTS) for x in both)
+            share[own] = np.minimum(of_a, of_b).sum(axis=1, dtype=np.int64)
+        keep = _enough(share, size_a, size_b)
+        yield {c: batch.column(c).to_numpy()[keep] for c in "ab"} | {"share": (share / np.maximum(size_a + size_b, 1))[keep]}
+
+    with_both = _with(_with(pairs, signs, ["size", "counts"], "a", bound), signs, ["size", "counts"], "b", bound)
+    return map_batches(with_both, run, "a long, b long, share double")
+
+
 def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _open(pairs: DataFrame, signs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    return scratch.table(_perhaps(pairs, signs, _bound(pairs)), f"open{name}")
+
+
+def _bound(pairs: DataFrame) -> int:
+    """At most HEAVY sets have more pairs."""
+    return max(CROWD, pairs.count() // HEAVY)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b: keys of rows) whose sets are near copies, written. pairs: distinct, written."""
 
@@ -230,20 +266,25 @@ def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) ->
 
     wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct(), f"wanted{name}")
     sets = scratch.table(map_batches(_data(chosen(rows, wanted, "left_semi")), run, "at long, found array<long>"), f"sets{name}")
-    bound = max(CROWD, pairs.count() // HEAVY)  # so at most HEAVY sets have more
-    both = _with_set(_with_set(pairs, sets, "a", bound), sets, "b", bound)
-    found = both.where(_enough(F.size(F.array_intersect("of_a", "of_b")), F.size("of_a"), F.size("of_b"))).select("a", "b")
+    bound = _bound(pairs)
+    both = _with(_with(pairs.select("a", "b"), sets, ["found"], "a", bound), sets, ["found"], "b", bound)
+    found = both.where(_enough(F.size(F.array_intersect("found_a", "found_b")), F.size("found_a"), F.size("found_b"))).select("a", "b")
     found = scratch.table(found, f"links{name}")
     scratch.discard(f"wanted{name}", f"sets{name}")
     return found
 
 
 def _labels(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, label: the smallest linked set, or that one's, for all linked sets. Sets with one label are connected; it needn't hold the other way."""
-    both = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    label = scratch.table(both.groupBy("node").agg(F.min("other").alias("label")).withColumn("label", F.least("node", "label")), f"label{name}")
-    up = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    return scratch.table(look_up(label, up, "label").select("node", F.coalesce("next", "label").alias("label")), f"labels{name}")
+    """node, label for all linked sets: one label for sets that are connected."""
+    return scratch.table(components(found).withColumnRenamed("component", "label"), f"labels{name}")
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) with label_a and label_b, which differ."""
+    for x in "ab":
+        of_x = label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+        pairs = look_up(pairs, of_x, x).withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
+    return pairs.where("label_a <> label_b")
 
 
 def _tight(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -265,22 +306,26 @@ def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     copies = scratch.table(split_join(signs.select("set", "at"), equal, "set", "n", signs.count()).where("at <> node").select("at", "node"), "copies")
     nodes = chosen(signs, copies.select("at"), "left_anti")
 
-    tight = _tight(nodes.select("at", "fp"), scratch)
-    linked = _verified(tight, rows, scratch, "0")
+    linked = _verified(_open(_tight(nodes.select("at", "fp"), scratch), signs, scratch, "0"), rows, scratch, "0")
+
     shared = _shared(nodes, scratch)
-    label = _labels(linked, scratch, "0")
-    of_head = label.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
-    met = shared.where("node <> head").where(_enough(1 + F.least(_rest(F.col("bulk")), _rest(F.col("head_bulk"))), _size(F.col("bulk")), _size(F.col("head_bulk")))).select("node", "head").distinct()
-    met = look_up(look_up(met, label, "node"), of_head, "head").where(F.coalesce("label", "node") != F.coalesce("head_label", "head"))
-    first = scratch.table(met.select(*_ordered("head", "node")), "first")
-    linked = linked.unionByName(_verified(first, rows, scratch, "1"))
-
-    labelled = look_up(shared.select("hash", "node", "bulk"), _labels(linked, scratch, "1"), "node").withColumn("label", F.coalesce("label", "node"))
-    second = scratch.table(_unlinked(labelled, scratch).distinct().join(tight.unionByName(first), ["a", "b"], "left_anti"), "second")
+    met = shared.where("node <> head").where(_enough(1 + F.least(_rest(F.col("bulk")), _rest(F.col("head_bulk"))), _size(F.col("bulk")), _size(F.col("head_bulk"))))
+    met = _apart(met.select(*_ordered("head", "node")).distinct(), _labels(linked, scratch, "0"))
+    first = scratch.table(met.select("a", "b"), "first")
+    linked = linked.unionByName(_verified(_open(first, signs, scratch, "1"), rows, scratch, "1"))
+
+    label = _labels(linked, scratch, "1")
+    labelled = look_up(shared.select("hash", "node", "bulk"), label, "node").withColumn("label", F.coalesce("label", "node"))
+    second = scratch.table(_unlinked(labelled, scratch).distinct().join(first, ["a", "b"], "left_anti"), "second")
     scratch.discard("shared")
-    linked = linked.unionByName(_verified(second, rows, scratch, "2"))
-
-    parts = components(linked, scratch).select(F.col("node").alias("at"), "component")
+    # of the pairs between two labels first the likeliest: where it is a link, the others needn't be looked at
+    open_ = _open(second, signs, scratch, "2")
+    best = _apart(open_, label).groupBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).agg(F.max(F.struct("share", "a", "b")).alias("x"))
+    linked = linked.unionByName(_verified(scratch.table(best.select("x.a", "x.b"), "best_pairs"), rows, scratch, "2"))
+    rest = scratch.table(_apart(open_, _labels(linked, scratch, "2")).select("a", "b"), "rest")
+    linked = linked.unionByName(_verified(rest, rows, scratch, "3"))
+
+    parts = components(linked).select(F.col("node").alias("at"), "component")
     alone = chosen(signs.select("at"), scratch.table(parts.select("at").unionByName(copies.select("at")), "placed"), "left_anti")
     of_copies = look_up(copies, scratch.table(parts.withColumnRenamed("at", "node"), "parts"), "node").select("at", F.coalesce("component", "node").alias("component"))
     return parts.unionByName(alone.select("at", F.col("at").alias("component"))).unionByName(of_copies)

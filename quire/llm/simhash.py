@@ -238,7 +238,7 @@ def links(rows: DataFrame, scratch: Scratch, bits: int = BITS, full: int = FULL)
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").select("fp", "bucket").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node that is reachable, for every node of edges (a, b).
 
     Rounds of large-star and small-star until nothing changes; each is written, so an executor's loss costs one round.
@@ -250,6 +250,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         mins = frame.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
         return scratch.table(mins.withColumn("m", F.least("u", "m")), name)
 
+    scratch = Scratch(edges.sparkSession, "stars")
     edges = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges0")
     state, step = None, 0
     while True:
@@ -278,7 +279,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, f
     rows = scratch.table(fingerprints(docs, shingle), "fingerprints")
     total = rows.count()
     nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "nodes")
-    found = components(scratch.table(links(nodes.select("fp"), scratch, bits, full), "links"), scratch)
+    found = components(scratch.table(links(nodes.select("fp"), scratch, bits, full), "links"))
     labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least_id", "n", F.coalesce("component", "fp").alias("component"))
     labelled = scratch.table(labelled, "labelled")
     names = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("fps"))

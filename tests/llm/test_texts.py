@@ -117,7 +117,7 @@ def test_full_buckets_are_dealt_again(spark, full):
     prints = crowd(300)
     frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
     scratch = Scratch(spark, "test")
-    found = simhash.components(scratch.table(simhash.links(frame, scratch, full=full), "links"), scratch).collect()
+    found = simhash.components(scratch.table(simhash.links(frame, scratch, full=full), "links")).collect()
     groups = {r["node"]: r["component"] for r in found}
     named = [groups.get(int(p), int(p)) for p in prints.view(np.int64)]
     want = components([int(p) for p in prints], list(range(len(prints))))
