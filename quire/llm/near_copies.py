@@ -26,8 +26,8 @@ THRESHOLD = (4, 5)
 SAMPLE, COMMON = 6_000, 3
 #: Pairs that a worker compares at once, and sets of a shingle that meet in one cell.
 PAIRS, CELL = 1 << 20, 4096
-#: Parts that a set's shingles are counted in, by their leading bits.
-PARTS = 128
+#: A set's shingles are counted in 2**k parts, by their leading bits, with 2 to 4 shingles a part as far as k allows.
+LEAST_K, MOST_K = 6, 16
 #: Pairs with one set beyond which the set is sent to several tasks.
 CROWD = 4096
 
@@ -59,10 +59,19 @@ def _name(found: np.ndarray) -> int:
 
 def _counts(found: np.ndarray) -> bytes:
     """How many shingles of the set each part has, a byte each; empty where that is too many for a byte."""
-    counts = np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=PARTS)
+    k = min(max((len(found) // 4).bit_length(), LEAST_K), MOST_K)
+    counts = np.bincount((found >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def _at_most_shared(a: bytes, b: bytes) -> int:
+    """What two sets may share by their counts: of a part no more than the smaller number. Finer parts are added up to coarser ones."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (v if len(v) == n else v.reshape(n, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
 def _data(rows: DataFrame) -> DataFrame:
     return rows.select("at", F.coalesce("row.text", F.lit("")).cast("binary").alias("text"))
 
@@ -227,64 +236,48 @@ def _with(pairs: DataFrame, table: DataFrame, columns: list[str], side: str, bou
 
 
 def _perhaps(pairs: DataFrame, signs: DataFrame, bound: int) -> DataFrame:
-    """The pairs that the counts of their sets' parts leave open, and by them the most they may share of their sizes' sum: two sets share no more of a part than the smaller number."""
+    """The pairs that the counts of their sets' parts leave open."""
 
     def run(batch):
         size_a, size_b = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
         share = np.minimum(size_a, size_b)
-        both = [batch.column(f"counts_{x}") for x in "ab"]
-        known = np.flatnonzero([len(x.as_buffer()) * len(y.as_buffer()) > 0 for x, y in zip(*both, strict=True)])
-        for at in range(0, len(known), 1 << 14):
-            own = known[at : at + (1 << 14)]
-            of_a, of_b = (np.frombuffer(b"".join(x.take(pa.array(own)).to_pylist()), np.uint8).reshape(-1, PARTS) for x in both)
-            share[own] = np.minimum(of_a, of_b).sum(axis=1, dtype=np.int64)
+        for i, (a, b) in enumerate(zip(batch.column("counts_a"), batch.column("counts_b"), strict=True)):
+            if (a := a.as_py()) and (b := b.as_py()):
+                share[i] = _at_most_shared(a, b)
         keep = _enough(share, size_a, size_b)
-        yield {c: batch.column(c).to_numpy()[keep] for c in "ab"} | {"share": (share / np.maximum(size_a + size_b, 1))[keep]}
+        yield {c: batch.column(c).to_numpy()[keep] for c in "ab"}
 
     with_both = _with(_with(pairs, signs, ["size", "counts"], "a", bound), signs, ["size", "counts"], "b", bound)
-    return map_batches(with_both, run, "a long, b long, share double")
+    return map_batches(with_both, run, "a long, b long")
 
 
 def _ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _open(pairs: DataFrame, signs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    return scratch.table(_perhaps(pairs, signs, _bound(pairs)), f"open{name}")
-
-
-def _bound(pairs: DataFrame) -> int:
-    """At most HEAVY sets have more pairs."""
-    return max(CROWD, pairs.count() // HEAVY)
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, signs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b: keys of rows) whose sets are near copies, written. pairs: distinct, written."""
 
     def run(batch):
         yield {"at": batch.column("at"), "found": pa.array([shingles(x.as_py()).view(np.int64) for x in batch.column("text")], pa.list_(pa.int64()))}
 
+    bound = max(CROWD, pairs.count() // HEAVY)  # so at most HEAVY sets have more
+    pairs = scratch.table(_perhaps(pairs, signs, bound), f"open{name}")
     wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct(), f"wanted{name}")
     sets = scratch.table(map_batches(_data(chosen(rows, wanted, "left_semi")), run, "at long, found array<long>"), f"sets{name}")
-    bound = _bound(pairs)
-    both = _with(_with(pairs.select("a", "b"), sets, ["found"], "a", bound), sets, ["found"], "b", bound)
+    both = _with(_with(pairs, sets, ["found"], "a", bound), sets, ["found"], "b", bound)
     found = both.where(_enough(F.size(F.array_intersect("found_a", "found_b")), F.size("found_a"), F.size("found_b"))).select("a", "b")
     found = scratch.table(found, f"links{name}")
-    scratch.discard(f"wanted{name}", f"sets{name}")
+    scratch.discard(f"open{name}", f"wanted{name}", f"sets{name}")
     return found
 
 
 def _labels(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, label for all linked sets: one label for sets that are connected."""
-    return scratch.table(components(found).withColumnRenamed("component", "label"), f"labels{name}")
-
-
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs (a, b) with label_a and label_b, which differ."""
-    for x in "ab":
-        of_x = label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-        pairs = look_up(pairs, of_x, x).withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
-    return pairs.where("label_a <> label_b")
+    """node, label: the smallest linked set, or that one's, for all linked sets. Sets with one label are connected; it needn't hold the other way."""
+    both = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    label = scratch.table(both.groupBy("node").agg(F.min("other").alias("label")).withColumn("label", F.least("node", "label")), f"label{name}")
+    up = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return scratch.table(look_up(label, up, "label").select("node", F.coalesce("next", "label").alias("label")), f"labels{name}")
 
 
 def _tight(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -306,24 +299,20 @@ def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     copies = scratch.table(split_join(signs.select("set", "at"), equal, "set", "n", signs.count()).where("at <> node").select("at", "node"), "copies")
     nodes = chosen(signs, copies.select("at"), "left_anti")
 
-    linked = _verified(_open(_tight(nodes.select("at", "fp"), scratch), signs, scratch, "0"), rows, scratch, "0")
+    tight = _tight(nodes.select("at", "fp"), scratch)
+    linked = _verified(tight, rows, signs, scratch, "0")
 
-    shared = _shared(nodes, scratch)
-    met = shared.where("node <> head").where(_enough(1 + F.least(_rest(F.col("bulk")), _rest(F.col("head_bulk"))), _size(F.col("bulk")), _size(F.col("head_bulk"))))
-    met = _apart(met.select(*_ordered("head", "node")).distinct(), _labels(linked, scratch, "0"))
-    first = scratch.table(met.select("a", "b"), "first")
-    linked = linked.unionByName(_verified(_open(first, signs, scratch, "1"), rows, scratch, "1"))
+    shared, label = _shared(nodes, scratch), _labels(linked, scratch, "0")
+    of_head = label.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
+    met = shared.where("node <> head").where(_enough(1 + F.least(_rest(F.col("bulk")), _rest(F.col("head_bulk"))), _size(F.col("bulk")), _size(F.col("head_bulk")))).select("node", "head").distinct()
+    met = look_up(look_up(met, label, "node"), of_head, "head").where(F.coalesce("label", "node") != F.coalesce("head_label", "head"))
+    first = scratch.table(met.select(*_ordered("head", "node")), "first")
+    linked = linked.unionByName(_verified(first, rows, signs, scratch, "1"))
 
-    label = _labels(linked, scratch, "1")
-    labelled = look_up(shared.select("hash", "node", "bulk"), label, "node").withColumn("label", F.coalesce("label", "node"))
-    second = scratch.table(_unlinked(labelled, scratch).distinct().join(first, ["a", "b"], "left_anti"), "second")
+    labelled = look_up(shared.select("hash", "node", "bulk"), _labels(linked, scratch, "1"), "node").withColumn("label", F.coalesce("label", "node"))
+    second = scratch.table(_unlinked(labelled, scratch).distinct().join(tight.unionByName(first), ["a", "b"], "left_anti"), "second")
     scratch.discard("shared")
-    # of the pairs between two labels first the likeliest: where it is a link, the others needn't be looked at
-    open_ = _open(second, signs, scratch, "2")
-    best = _apart(open_, label).groupBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).agg(F.max(F.struct("share", "a", "b")).alias("x"))
-    linked = linked.unionByName(_verified(scratch.table(best.select("x.a", "x.b"), "best_pairs"), rows, scratch, "2"))
-    rest = scratch.table(_apart(open_, _labels(linked, scratch, "2")).select("a", "b"), "rest")
-    linked = linked.unionByName(_verified(rest, rows, scratch, "3"))
+    linked = linked.unionByName(_verified(second, rows, signs, scratch, "2"))
 
     parts = components(linked).select(F.col("node").alias("at"), "component")
     alone = chosen(signs.select("at"), scratch.table(parts.select("at").unionByName(copies.select("at")), "placed"), "left_anti")
