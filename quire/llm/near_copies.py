@@ -23,7 +23,7 @@ WIDTH = 5
 #: Jaccard similarity of near copies, as a fraction: a / b.
 THRESHOLD = (4, 5)
 #: Rows that are sampled for common shingles, and in how many of them a shingle is common. Both bound the broadcast.
-SAMPLE, COMMON = 6_000, 3
+SAMPLE, COMMON = 20_000, 4
 #: Pairs that a worker compares at once, and sets of a shingle that meet in one cell.
 PAIRS, CELL = 1 << 20, 4096
 #: A set's shingles are counted in 2**k parts, by their leading bits, with 2 to 4 shingles a part as far as k allows.
@@ -121,11 +121,12 @@ def _enough(shared, size_a, size_b):
     return shared * sum(THRESHOLD) >= (size_a + size_b) * THRESHOLD[0]
 
 
-def _grouped(frame: DataFrame, made, schema: str) -> DataFrame:
-    """made(columns) for runs of whole groups of the first column, which is sorted. No group may be large."""
+def _grouped(frame: DataFrame, made, schema: str, group: str) -> DataFrame:
+    """made(columns but the first) for runs of whole groups. Rows are dealt by the first column and sorted by the first ones through the one after `group`. No group may be large."""
     ship_package(frame.sparkSession)
     n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = frame.columns
+    at = names.index(group)
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -135,15 +136,16 @@ def _grouped(frame: DataFrame, made, schema: str) -> DataFrame:
             size += batch.num_rows
             if size >= 1 << 17:
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last group may go on
+                before = np.flatnonzero(columns[at] != columns[at][-1])
+                cut = int(before[-1]) + 1 if len(before) else 0  # the last group may go on
                 if cut:
-                    yield from made(*[c[:cut] for c in columns])
+                    yield from made(*[c[:cut] for c in columns[1:]])
                 held = [[c[cut:] for c in columns]]
                 size = len(columns[0]) - cut
         if size:
-            yield from made(*[np.concatenate(c) for c in zip(*held, strict=True)])
+            yield from made(*[np.concatenate(c) for c in zip(*held, strict=True)][1:])
 
-    return frame.repartition(n, names[0]).sortWithinPartitions(*names[:2]).mapInArrow(run, schema)
+    return frame.repartition(n, names[0]).sortWithinPartitions(*names[: at + 2]).mapInArrow(run, schema)
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -189,14 +191,15 @@ def _shared(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     crowded = dealt.join(F.broadcast(common), "hash", "left_semi")
     heads = crowded.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("node", "bulk")).alias("h")).where("n > 1")
     heads = scratch.table(heads.select("hash", F.col("h.node").alias("head"), F.col("h.bulk").alias("head_bulk")), "heads")
-    light = _grouped(dealt.join(F.broadcast(common), "hash", "left_anti").select("hash", "node", "bulk"), made, SHARED)
+    light = _grouped(dealt.join(F.broadcast(common), "hash", "left_anti").select(F.col("hash").alias("key"), "hash", "node", "bulk"), made, SHARED, "hash")
     return scratch.table(dealt.join(F.broadcast(heads), "hash").select(light.columns).unionByName(light), "shared")
 
 
 def _unlinked(shared: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: pairs of sets with different labels that may be near copies by a shingle that both have. shared: hash, node, bulk, label.
 
-    A shingle's sets are cut into parts of CELL at most; each pair of parts meets in a cell of its own.
+    A shingle's sets are cut into parts of CELL at most; each pair of parts meets in a cell of its own. Cells with one
+    least set lie in one task, as they mostly hold the same pairs, which then leave it once.
     """
 
     def made(cell, label, node, bulk):
@@ -207,34 +210,48 @@ def _unlinked(shared: DataFrame, scratch: Scratch) -> DataFrame:
         turns = np.flatnonzero(np.concatenate((label[1:] != label[:-1], [True])) | np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
         begins = turns[np.searchsorted(turns, np.arange(len(cell)), side="right")]
         before = np.concatenate(([0], np.cumsum(ends - begins)))
+        held = np.empty((0, 2), np.int64)
         for start in range(0, int(before[-1]), PAIRS):
             k = np.arange(start, min(start + PAIRS, int(before[-1])))
             x = np.searchsorted(before, k, side="right") - 1
             y = begins[x] + k - before[x]
             fits = _enough(1 + np.minimum(rest[x], rest[y]), size[x], size[y])
             a, b = node[x[fits]], node[y[fits]]
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield _batch(a=pairs[:, 0], b=pairs[:, 1])
-
-    mixed = shared.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    mixed = scratch.table(mixed.select("hash", "n", F.ceil(F.col("n") / CELL).cast("long").alias("parts")), "mixed")
+            held = np.unique(np.concatenate([held, np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)]), axis=0)
+            if len(held) > PAIRS:
+                yield _batch(a=held[:, 0], b=held[:, 1])
+                held = held[:0]
+        if len(held):
+            yield _batch(a=held[:, 0], b=held[:, 1])
+
+    mixed = shared.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("least")).where("lo <> hi")
+    mixed = scratch.table(mixed.select("hash", "n", "least", F.ceil(F.col("n") / CELL).cast("long").alias("parts")), "mixed")
     open_ = split_join(shared, mixed, "hash", "n", shared.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cell = F.xxhash64("hash", F.least("own", "other"), F.greatest("own", "other"))
-    return _grouped(open_.select(cell.alias("cell"), "label", "node", "bulk"), made, "a long, b long")
+    open_ = open_.withColumn("cell", F.xxhash64("hash", F.least("own", "other"), F.greatest("own", "other")))
+    key = F.when(F.col("parts") > 1, F.col("cell")).otherwise(F.xxhash64("least"))
+    return _grouped(open_.select(key.alias("key"), "cell", "label", "node", "bulk"), made, "a long, b long", "cell")
 
 
 def _with(pairs: DataFrame, table: DataFrame, columns: list[str], side: str, bound: int) -> DataFrame:
-    """pairs with columns of table (by at) for that side, named of_a and so on. What has over `bound` pairs goes to several tasks."""
+    """pairs with columns of table (by at) for that side, named of_a and so on. What has over `bound` pairs, if any does (bound > 0), goes to several tasks."""
+    copies = table.select(F.col("at").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+    if not bound:
+        return pairs.join(copies, side)
     often = F.broadcast(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > bound).select(side, F.ceil(F.col("n") / bound).cast("long").alias("parts")))
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     salted = pairs.join(often, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
-    copies = table.select(F.col("at").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]).join(often, side, "left")
-    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    copies = copies.join(often, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     return salted.join(copies, [side, "salt"]).drop("salt")
 
 
+def _crowd(pairs: DataFrame) -> int:
+    """Pairs of one set beyond which it goes to several tasks, so that at most HEAVY sets do; 0 if none has so many."""
+    bound = max(CROWD, pairs.count() // HEAVY)
+    most = max((pairs.groupBy(x).count().agg(F.max("count")).first()[0] or 0 for x in "ab"), default=0)
+    return bound if most > bound else 0
+
+
 def _perhaps(pairs: DataFrame, signs: DataFrame, bound: int) -> DataFrame:
     """The pairs that the counts of their sets' parts leave open."""
 
@@ -261,7 +278,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, signs: DataFrame, scratch: Scra
     def run(batch):
         yield {"at": batch.column("at"), "found": pa.array([shingles(x.as_py()).view(np.int64) for x in batch.column("text")], pa.list_(pa.int64()))}
 
-    bound = max(CROWD, pairs.count() // HEAVY)  # so at most HEAVY sets have more
+    bound = _crowd(pairs)
     pairs = scratch.table(_perhaps(pairs, signs, bound), f"open{name}")
     wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct(), f"wanted{name}")
     sets = scratch.table(map_batches(_data(chosen(rows, wanted, "left_semi")), run, "at long, found array<long>"), f"sets{name}")

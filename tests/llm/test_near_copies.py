@@ -53,9 +53,10 @@ def copies(seed=7):
     return found
 
 
-@pytest.mark.parametrize("sample", [near_copies.SAMPLE, 0])
-def test_near_stage_keeps_what_brute_force_keeps(spark, monkeypatch, sample):
-    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+@pytest.mark.parametrize("limits", [{}, {"SAMPLE": 0, "CROWD": 1, "CELL": 3, "PAIRS": 5}])
+def test_near_stage_keeps_what_brute_force_keeps(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_copies, name, value)
     texts = copies()
     ids = random.Random(1).sample(range(1000), len(texts))
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
