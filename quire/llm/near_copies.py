@@ -326,12 +326,14 @@ def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     first = scratch.table(met.select(*_ordered("head", "node")), "first")
     linked = linked.unionByName(_verified(first, rows, signs, scratch, "1"))
 
-    labelled = look_up(shared.select("hash", "node", "bulk"), _labels(linked, scratch, "1"), "node").withColumn("label", F.coalesce("label", "node"))
+    # whole components now, as each pair of sets with different labels has to be looked at
+    label = scratch.table(components(linked).withColumnRenamed("component", "label"), "components1")
+    labelled = look_up(shared.select("hash", "node", "bulk"), label, "node").withColumn("label", F.coalesce("label", "node"))
     second = scratch.table(_unlinked(labelled, scratch).distinct().join(tight.unionByName(first), ["a", "b"], "left_anti"), "second")
     scratch.discard("shared")
-    linked = linked.unionByName(_verified(second, rows, signs, scratch, "2"))
+    last = _verified(second, rows, signs, scratch, "2")
 
-    parts = components(linked).select(F.col("node").alias("at"), "component")
+    parts = components(last.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b")))).select(F.col("node").alias("at"), "component")
     alone = chosen(signs.select("at"), scratch.table(parts.select("at").unionByName(copies.select("at")), "placed"), "left_anti")
     of_copies = look_up(copies, scratch.table(parts.withColumnRenamed("at", "node"), "parts"), "node").select("at", F.coalesce("component", "node").alias("component"))
     return parts.unionByName(alone.select("at", F.col("at").alias("component"))).unionByName(of_copies)
