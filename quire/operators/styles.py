@@ -5,28 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest chain of parents that is followed.
-LONGEST = 64
+from quire.plans.session import cut_off
 
 
 def ancestor_chains(df: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
     """keys, node, ancestor, depth: every node with itself at depth 0, its parent at 1 and so on.
 
     A missing parent ends a chain, and so does a node that the chain already holds: cycles are cut, not followed.
-    Each step joins all open chains with the parents, so the number of joins is that of the longest chain.
+    Chains double in length with each step, so even long ones take few joins; steps are cut off by checkpoints.
     """
-    parents = df.select(*keys, F.col(node).alias("_node"), F.col(parent).alias("_parent"))
-    step = df.select(*keys, F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("depth"), F.array(node).alias("_seen"))
-    out = step
-    for depth in range(1, LONGEST):
-        joined = step.join(parents, [*(step[k] == parents[k] for k in keys), step["ancestor"] == parents["_node"]])
-        nodes = df.select(*keys, F.col(node).alias("_exists"))
-        step = joined.where("_parent IS NOT NULL").where(~F.array_contains("_seen", F.col("_parent"))).select(*[step[k] for k in keys], "node", F.col("_parent").alias("ancestor"), F.lit(depth).alias("depth"), F.array_append("_seen", F.col("_parent")).alias("_seen"))
-        step = step.join(nodes, [*(step[k] == nodes[k] for k in keys), step["ancestor"] == nodes["_exists"]], "left_semi")
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out.drop("_seen")
+    nodes = df.select(*keys, F.col(node).alias("ancestor")).distinct()
+    own = df.select(*keys, F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("depth"))
+    above = df.select(*keys, F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).where("ancestor IS NOT NULL AND ancestor <> node")
+    reach, before = cut_off(own.unionByName(above.join(nodes, [*keys, "ancestor"]).select(own.columns)).groupBy(*keys, "node", "ancestor").agg(F.min("depth").alias("depth"))), 0
+    while (now := reach.count()) != before:
+        further = reach.select(*keys, F.col("node").alias("ancestor"), F.col("ancestor").alias("_top"), F.col("depth").alias("_more"))
+        longer = reach.join(further, [*keys, "ancestor"]).groupBy(*keys, "node", F.col("_top").alias("ancestor")).agg(F.min(F.col("depth") + F.col("_more")).alias("depth"))
+        reach, before = cut_off(longer), now
+    return reach
 
 
 def cascade(chains: DataFrame, values: DataFrame, keys: list[str], node: str, columns: list[str]) -> DataFrame:

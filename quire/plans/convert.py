@@ -3,7 +3,8 @@
 A document is converted in one narrow pass: nothing is shuffled, a document's failure is a row of its own, and the side
 tables are columns of arrays that explode where they are wanted. Options are a dictionary: output_mode (bundle or
 single_file), output_path, runtime_file, paragraph_styles ({name: {heading_level}}), fonts ({substitutions,
-embedded_paths}), reference_diff_threshold; other keys of a profile are taken and have no effect.
+embedded_paths}), reference_diff_threshold, max_package_bytes (of
+all parts, unpacked); other keys of a profile are taken and have no effect.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import tomllib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ from quire.functions.text import comparison_tokens
 from quire.operators.body import Body
 from quire.operators.compare import dice, within_threshold
 from quire.operators.markup import RUNTIME, RUNTIME_FILE, Writer
-from quire.operators.office import BadPackage, Catalogs, Package
+from quire.operators.office import MOST_BYTES, BadPackage, Catalogs, Package
+from quire.operators.syntax import syntax_errors
+from quire.plans.session import ship_package
 from quire.sources.package import by_document
 
 DIAGNOSTIC = "struct<code: string, severity: string, message: string, part: string, path: string, context: map<string, string>>"
@@ -70,7 +74,7 @@ def load_profile(text: str) -> dict:
 
 
 def convert_one(content: bytes, options: dict) -> dict:
-    package = Package(content)
+    package = Package(content, options.get("max_package_bytes") or MOST_BYTES)
     body = Body(package, Catalogs(package), options.get("paragraph_styles")).read()
     writer = Writer(body, options)
     markup = writer.write()
@@ -96,8 +100,8 @@ def convert(packages: DataFrame, options: dict | None = None) -> DataFrame:
     def one(doc_id: str, content: bytes) -> Iterator[dict]:
         try:
             yield {"doc_id": doc_id, "status": "ok"} | convert_one(content, chosen)
-        except (BadPackage, RecursionError) as e:
-            yield {"doc_id": doc_id, "status": "failed", "error": str(e)}
+        except Exception as e:  # whatever a package holds, it must not end the job
+            yield {"doc_id": doc_id, "status": "failed", "error": str(e) if isinstance(e, BadPackage) else f"{type(e).__name__}: {e}"}
 
     return by_document(packages, one, CONVERTED)
 
@@ -110,8 +114,8 @@ def inspect(packages: DataFrame) -> DataFrame:
             package = Package(content)
             held = Catalogs(package)
             relations = {p: [f"{x['id']} -> {x['target']}" for x in package.relations(p)] for p in sorted(package.parts)}
-        except BadPackage as e:
-            yield {"doc_id": doc_id, "error": str(e)}
+        except Exception as e:
+            yield {"doc_id": doc_id, "error": str(e) if isinstance(e, BadPackage) else f"{type(e).__name__}: {e}"}
             return
         names = [s["name"] if s["name"] is not None else s["id"] for kind in ("paragraph", "character") for _, s in sorted(held.styles[kind].items())]
         yield {
@@ -123,21 +127,29 @@ def inspect(packages: DataFrame) -> DataFrame:
     return by_document(packages, one, INSPECTED)
 
 
-def structure_ok(markup):
-    """Whether brackets balance outside of escapes and quoted strings; not a full syntax check."""
-    bare = F.regexp_replace(F.regexp_replace(markup, r"\\.", ""), r'"[^"]*"', "")
-    kinds = [F.length(F.regexp_replace(bare, f"[^\\{a}]", "")) == F.length(F.regexp_replace(bare, f"[^\\{b}]", "")) for a, b in ("[]", "()")]
-    return kinds[0] & kinds[1]
+VALIDATION = "array<struct<code: string, severity: string, message: string, context: map<string, string>>>"
+
+
+def syntax_diagnostics(markup):
+    """Column of TYPST_SYNTAX_ERROR records: what syntax.py finds wrong in the markup."""
+
+    @F.arrow_udf(VALIDATION)
+    def check(texts: pa.Array) -> pa.Array:
+        made = [[{"code": "TYPST_SYNTAX_ERROR", "severity": "error", "message": m, "context": [("offset", str(at))]} for at, m in syntax_errors(x.as_py() or "")] for x in texts]
+        return pa.array(made, pa.list_(pa.struct([("code", pa.string()), ("severity", pa.string()), ("message", pa.string()), ("context", pa.map_(pa.string(), pa.string()))])))
+
+    return check(markup)
 
 
 def validate(results: DataFrame, reference: DataFrame | None = None, threshold: int | None = None) -> DataFrame:
-    """doc_id, structure_ok and, against a reference, its comparison.
+    """doc_id, structure_ok, diagnostics (code, severity, message, context) and, against a reference, its comparison.
 
     results: doc_id, markup and, for a comparison, text and pages as rendered elsewhere; reference: doc_id, text, pages.
     """
-    checked = results.withColumn("structure_ok", structure_ok(F.col("markup")))
+    ship_package(results.sparkSession)
+    checked = results.withColumn("found", syntax_diagnostics(F.col("markup"))).withColumn("structure_ok", F.size("found") == 0)
     if reference is None:
-        return checked.select("doc_id", "structure_ok")
+        return checked.select("doc_id", "structure_ok", F.col("found").alias("diagnostics"))
     limit = DEFAULT_THRESHOLD if threshold is None else threshold
     theirs = reference.select(F.col("doc_id").alias("other"), F.col("text").alias("their_text"), F.col("pages").alias("reference_pages"))
     joined = checked.join(theirs, checked["doc_id"] == theirs["other"], "left")
@@ -148,16 +160,23 @@ def validate(results: DataFrame, reference: DataFrame | None = None, threshold:
     none = lambda c: F.size(comparison_tokens(F.coalesce(c, F.lit("")))) == 0
     similarity = F.when(none("text") & none("their_text"), 100).otherwise(F.coalesce("similarity", F.lit(0))).cast("int")
     delta = F.col("pages") - F.col("reference_pages")
-    out = joined.join(found, "doc_id", "left").select("doc_id", "structure_ok", F.when(F.col("other").isNotNull(), similarity).alias("similarity"), delta.alias("page_count_delta"), (delta == 0).alias("page_count_match"), F.lit(limit).alias("threshold"))
+    out = joined.join(found, "doc_id", "left").select("doc_id", "structure_ok", "found", "pages", "reference_pages", F.when(F.col("other").isNotNull(), similarity).alias("similarity"), delta.alias("page_count_delta"), (delta == 0).alias("page_count_match"), F.lit(limit).alias("threshold"))
     out = out.withColumn("within_threshold", within_threshold(F.col("similarity"), F.coalesce("page_count_match", F.lit(False)), limit))
-    codes = [F.when(~F.col("page_count_match"), F.lit("REFERENCE_PAGE_COUNT_MISMATCH")), F.when(F.col("similarity") < limit, F.lit("REFERENCE_TEXT_BELOW_THRESHOLD"))]
-    return out.withColumn("diagnostics", F.array_compact(F.array(*codes)))
+    pages = _record("REFERENCE_PAGE_COUNT_MISMATCH", "warning", {"generated": F.col("pages"), "reference": F.col("reference_pages")})
+    text = _record("REFERENCE_TEXT_BELOW_THRESHOLD", "warning", {"similarity": F.col("similarity"), "threshold": F.col("threshold")})
+    compared = F.array_compact(F.array(F.when(~F.col("page_count_match"), pages), F.when(F.col("similarity") < limit, text)))
+    return out.withColumn("diagnostics", F.concat("found", compared)).drop("found", "pages", "reference_pages")
+
+
+def _record(code: str, severity: str, context: dict):
+    pairs = [x for k, v in context.items() for x in (F.lit(k), v.cast("string"))]
+    return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(explain(code)).alias("message"), F.create_map(*pairs).alias("context"))
 
 
 def write_bundles(converted: DataFrame, folder: str) -> DataFrame:
     """Writes each document's bundle (markup, runtime, report, assets, fonts) as rows of path and bytes in Parquet at `folder`.
 
-    Many small files for each document wear out a shared store; unpack() of a row's document gives them where needed.
+    Many small files for each document wear out a shared store; bundle.unpack() gives those of chosen documents.
     """
     files(converted).write.mode("overwrite").parquet(folder)
     return converted.sparkSession.read.parquet(folder)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +27,18 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(file, file.relative_to(top.parent))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def cut_off(df: DataFrame) -> DataFrame:
+    """df, worked out and checkpointed under spark.checkpoint.dir, which a cluster's driver and executors share. Where it is unset, local sessions get a folder of their own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            own = tempfile.mkdtemp(prefix="quire-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            folder = f"file://{own}"
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -18,6 +18,10 @@ PARTS = "doc_id string, part string, content binary"
 NODES = "doc_id string, part string, node_id long, end_id long, parent_id long, ord int, depth int, tag string, attrs map<string, string>, text string, path string"
 
 
+#: Rows, or bytes of packages, whose rows go on together.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 2000, 8 << 20
+
+
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder or pattern, named by their path."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
@@ -33,9 +37,17 @@ def by_document(packages: DataFrame, fn, schema: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            rows: list[dict] = []
+            held = 0
             for doc_id, content in zip(batch.column("doc_id"), batch.column("content"), strict=True):
-                if rows := list(fn(doc_id.as_py(), content.as_py() or b"")):
+                data = content.as_py() or b""
+                rows += fn(doc_id.as_py(), data)
+                held += len(data)
+                if len(rows) >= ROWS_AT_ONCE or held >= BYTES_AT_ONCE:
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, schema)
 
@@ -43,7 +55,7 @@ def by_document(packages: DataFrame, fn, schema: str) -> DataFrame:
 def _opened(content: bytes) -> Package | None:
     try:
         return Package(content)
-    except BadPackage:
+    except Exception:  # whatever it holds, a package must not end the job
         return None
 
 
@@ -106,11 +118,25 @@ def tree_rows(doc_id: str, part: str, tree) -> list[dict]:
     while stack:
         node, parent, place, depth, path = stack.pop()
         own = len(rows)
-        rows.append({"doc_id": doc_id, "part": part, "node_id": own, "end_id": own + sum(1 for _ in node.iter()) - 1, "parent_id": parent, "ord": place, "depth": depth, "tag": local(node), "attrs": list(node.attrib.items()), "text": node.text, "path": path})
+        rows.append({"doc_id": doc_id, "part": part, "node_id": own, "end_id": own, "parent_id": parent, "ord": place, "depth": depth, "tag": local(node), "attrs": list(node.attrib.items()), "text": node.text, "path": path})
         seen: dict[str, int] = {}
         below = []
         for i, x in enumerate(node):
             seen[local(x)] = seen.get(local(x), 0) + 1
             below.append((x, own, i, depth + 1, f"{path}/{local(x)}[{seen[local(x)]}]"))
         stack += reversed(below)
+    for row in reversed(rows):  # those below come after a node, so their ends are known by now
+        if row["parent_id"] is not None:
+            above = rows[row["parent_id"]]
+            above["end_id"] = max(above["end_id"], row["end_id"])
     return rows
+
+
+def within(outer: DataFrame, inner: DataFrame, name: str = "outer_id") -> DataFrame:
+    """Containment join of nodes: each row of inner with the node_id of every row of outer that it lies in, itself included.
+
+    Nodes of a document's part are numbered in reading order, so a node lies in another if its number is in the other's
+    range. Rows meet on document and part only, so a part's nodes never leave their group.
+    """
+    ranges = outer.select("doc_id", "part", F.col("node_id").alias(name), F.col("end_id").alias("_last"))
+    return inner.join(ranges, ["doc_id", "part"]).where((F.col("node_id") >= F.col(name)) & (F.col("node_id") <= F.col("_last"))).drop("_last")

@@ -1,8 +1,10 @@
 """Column expressions and relational operators against plain Python, and edge cases of the conversion API."""
 
+import json
 import re
 import string
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from quire.functions import text as T
 from quire.functions import units as U
 from quire.operators import markup, office, sequences, styles, tables
 from quire.operators.compare import dice, within_threshold
+from quire.operators.fonts import decide
+from quire.operators.styles import ancestor_chains
+from quire.operators.syntax import syntax_errors
 from quire.plans import convert as C
 from quire.sources import build as B
 from quire.sources import package as P
@@ -89,8 +94,9 @@ def test_validate(spark):
     results = spark.createDataFrame([("a", "#x[ok]", "one two", 2), ("b", "#x[", "", 1), ("c", "", "q", 1)], "doc_id string, markup string, text string, pages int")
     reference = spark.createDataFrame([("a", "one two", 1), ("b", " ", 1)], "doc_id string, text string, pages int")
     found = {r["doc_id"]: r for r in C.validate(results, reference).collect()}
-    assert (found["a"]["similarity"], found["a"]["within_threshold"], found["a"]["diagnostics"]) == (100, False, ["REFERENCE_PAGE_COUNT_MISMATCH"])
+    assert (found["a"]["similarity"], found["a"]["within_threshold"], [(d["code"], d["severity"], d["context"]) for d in found["a"]["diagnostics"]]) == (100, False, [("REFERENCE_PAGE_COUNT_MISMATCH", "warning", {"generated": "2", "reference": "1"})])
     assert (found["b"]["similarity"], found["b"]["structure_ok"], found["b"]["within_threshold"]) == (100, False, True)
+    assert found["b"]["diagnostics"][0]["code"] == "TYPST_SYNTAX_ERROR" and found["b"]["diagnostics"][0]["context"] == {"offset": "2"}
     assert found["c"]["similarity"] is None
 
 
@@ -126,3 +132,67 @@ def test_entry_without_the_optional_part():
 
     assert {"package_roundtrip", "dice_similarity"} <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize(("markup", "errors"), [
+    ("plain (text", 0), ("#f(a: \"(\", [b])[c]", 0), ("\\[ \\]", 0), ("`]` #x.y(1)", 0), ("// ] \n", 0), ("http://a", 0), ("/* ( ", 1),
+    ("#f([)]", 1), (")(", 0), ("#f)(", 0), ("#f(()", 1), ("]", 1), ("[", 1), ("#f(\"x)", 1), ("```\n`", 1), ("#{ (] }", 1),
+])
+def test_syntax(markup, errors):
+    assert len(syntax_errors(markup)) >= errors and bool(syntax_errors(markup)) == bool(errors)
+
+
+def test_hostile_packages_become_failed_rows(spark):
+    import random
+
+    r = random.Random(6)
+    values = ["", "-1", "0", str(1 << 40), "9" * 40, "x", "\u00e9", "1e9", "100%", "../../x", "#", "true"]
+    body = '<w:tbl><w:tblGrid><w:gridCol w:w="{}"/></w:tblGrid><w:tr><w:trPr><w:trHeight w:val="{}"/></w:trPr><w:tc><w:tcPr><w:gridSpan w:val="{}"/><w:tcW w:w="{}" w:type="dxa"/><w:vMerge w:val="{}"/></w:tcPr><w:p><w:pPr><w:jc w:val="{}"/></w:pPr><w:r><w:rPr><w:sz w:val="{}"/><w:color w:val="{}"/></w:rPr><w:t>x</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:sectPr><w:pgSz w:w="{}" w:h="{}"/></w:sectPr>'
+    given = [(str(i), B.package({"word/document.xml": B.document(body.format(*[r.choice(values) for _ in range(10)]))})) for i in range(400)]
+    given.append(("wide", B.package({"word/document.xml": B.document(body.format(1, 1, 1 << 40, 1, "", "", "", "", 1, 1))})))
+    given.append(("deep", B.package({"word/document.xml": B.document("<w:sdt>" * 5000 + "</w:sdt>" * 5000)})))
+    packages = spark.createDataFrame(given, "doc_id string, content binary")
+    found = {x["doc_id"]: x for x in C.convert(packages).collect()}
+    assert len(found) == len(given) and found["wide"]["status"] == "failed" and "columns" in found["wide"]["error"]
+    assert C.inspect(packages).count() == len(given) and P.parts(packages).count() > 0
+    assert C.convert(packages.limit(1), {"max_package_bytes": 10}).first()["status"] == "failed"
+
+
+def test_containment(spark):
+    packages = spark.createDataFrame([("a", B.package({"word/document.xml": B.document(B.paragraph("x") + B.paragraph("y"))}))], "doc_id string, content binary")
+    nodes = P.nodes(packages, ("word/document.xml",)).cache()
+    found = P.within(nodes.where("tag = 'p'"), nodes.where("tag = 't'")).select("outer_id", "text").collect()
+    assert sorted(tuple(x) for x in found) == [(2, "x"), (5, "y")]
+    ends = {x["node_id"]: x["end_id"] for x in nodes.collect()}
+    assert ends == {0: 7, 1: 7, 2: 4, 3: 4, 4: 4, 5: 7, 6: 7, 7: 7}
+
+
+def test_names_beyond_ascii_keep_their_case(spark):
+    fonts = spark.createDataFrame([("\u00dcFont",), ("\u00fcfont",), ("\u00dcFONT",)], "requested string")
+    found = {x["requested"]: x["reason"] for x in decide(fonts, {}, ["\u00dcFont"], []).collect()}
+    assert found == {"\u00dcFont": "profile font path", "\u00fcfont": "document font retained", "\u00dcFONT": "profile font path"}
+
+
+def test_long_chains(spark):
+    chain = spark.createDataFrame([("d", i, i - 1 if i else None) for i in range(70)], "doc string, node int, parent int")
+    assert ancestor_chains(chain, ["doc"], "node", "parent").where("node = 69").count() == 70
+
+
+def test_command_line(tmp_path, capsys):
+    from quire.__main__ import main
+    from quire.sources import bundle
+
+    source = tmp_path / "a.docx"
+    source.write_bytes(B.package({"word/document.xml": B.document(B.paragraph("Hello"))}))
+    assert main(["convert", str(source), "-o", str(tmp_path / "out"), "--validate"]) == 0
+    markup, report = bundle.read(tmp_path / "out")
+    assert "Hello" in markup and report["paragraphs"] == 1 and (tmp_path / "out" / "validation.json").exists()
+    assert main(["convert", str(source), "-o", str(tmp_path / "one.typ"), "--single-file", "--report", str(tmp_path / "r.json")]) == 0
+    assert bundle.read(tmp_path / "one.typ") == (markup, json.loads((tmp_path / "r.json").read_bytes()))
+    assert main(["validate", str(tmp_path / "out")]) == main(["validate", str(source)]) == main(["inspect", str(source)]) == 0
+    assert main(["explain", "FONT_SUBSTITUTION"]) == 0 and main(["explain", "NONE"]) == 1
+    (tmp_path / "bad.typ").write_text("#x(")
+    assert main(["validate", str(tmp_path / "bad.typ")]) == 1 and main(["inspect", str(tmp_path / "bad.typ")]) == 2
+    with pytest.raises(ValueError):
+        bundle.write({"../x": b""}, tmp_path / "out")
+    capsys.readouterr()
