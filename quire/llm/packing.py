@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch, global_rank, map_batches
-from quire.llm.tokens import frequent, id_encoder, on_workers, packed_ids
+from quire.llm.tokens import frequent_table, id_encoder, on_workers, packed_ids
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -90,7 +90,7 @@ def placements(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[list[in
 
 def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """Each document's ids with the end id, cut at multiples of the capacity."""
-    encoder = on_workers(docs.sparkSession, id_encoder, path, frequent(path))
+    encoder = on_workers(docs.sparkSession, id_encoder, path, frequent_table(docs.sparkSession, path))
     end, width = packed_ids([END_ID]), 4 * capacity
 
     def cut(batch):

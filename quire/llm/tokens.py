@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import regex
 
+from quire.llm.common import map_batches
+
 #: Unicode white space as the library's pattern takes it, the pattern's parts, the special text.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -49,6 +51,17 @@ def frequent(path: str) -> dict[str, bytes]:
     return {x: packed_ids(e.ids) for x, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True)}
 
 
+def frequent_table(spark, path: str) -> dict[str, bytes]:
+    """frequent(), worked out in a task: the library's own tables take 100 MB, which the driver needn't hold."""
+
+    def run(batch):
+        held = frequent(path)
+        yield {"text": list(held), "ids": list(held.values())}
+
+    rows = map_batches(spark.range(1, numPartitions=1), run, "text string, ids binary").toArrow()
+    return dict(zip(rows.column("text").to_pylist(), rows.column("ids").to_pylist(), strict=True))
+
+
 def lengths(path: str, words: list[str]) -> dict[str, int]:
     """The number of tokens of each word, a space before it included."""
     from tokenizers import Tokenizer
