@@ -280,7 +280,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, signs: DataFrame, scratch: Scra
 
     bound = _crowd(pairs)
     pairs = scratch.table(_perhaps(pairs, signs, bound), f"open{name}")
-    wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct(), f"wanted{name}")
+    wanted = pairs.select(F.col("a").alias("at")).distinct().unionByName(pairs.select(F.col("b").alias("at")).distinct()).distinct()
+    wanted = scratch.table(wanted, f"wanted{name}")
     sets = scratch.table(map_batches(_data(chosen(rows, wanted, "left_semi")), run, "at long, found array<long>"), f"sets{name}")
     both = _with(_with(pairs, sets, ["found"], "a", bound), sets, ["found"], "b", bound)
     found = both.where(_enough(F.size(F.array_intersect("found_a", "found_b")), F.size("found_a"), F.size("found_b"))).select("a", "b")
