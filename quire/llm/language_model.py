@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch, map_batches, slices
+from quire.llm.sharding import size_class
 from quire.plans.session import ship_package
 
 FREQUENT = 1 << 18
@@ -144,10 +145,28 @@ def pair_counts(train: DataFrame, vocabulary, outcomes: int = OUTCOMES) -> np.nd
     return pairs.reshape(outcomes, outcomes)
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most so many words with their counts, the most frequent first: whole classes of alike counts, from the top.
+
+    Only a histogram of classes and the chosen words leave their tasks, so no task sorts all words.
+    """
+    classed = counts.withColumn("class", size_class(F.col("c")))
+    held, least = 0, None
+    for r in sorted(classed.groupBy("class").count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["class"]
+    if least is None:
+        return []
+    chosen = classed.where(F.col("class") >= least).select("word", "c").toArrow().to_pylist()
+    return sorted(((bytes(r["word"]), r["c"]) for r in chosen), key=lambda x: (-x[1], x[0]))
+
+
 def fit(train: DataFrame, counts: DataFrame, ends: int, outcomes: int = OUTCOMES, words: int = WORDS, frequent: int = FREQUENT):
     """The vocabulary and the table of log-probabilities, both of bounded size, as broadcasts."""
     context = train.sparkSession.sparkContext
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow().to_pylist()]
+    top = most_frequent(counts, frequent)
     own = train.sparkSession.createDataFrame([(w,) for w, _ in top[:words]], "word binary")
     others = counts.join(F.broadcast(own), "word", "left_anti")
     by_tail = others.groupBy(F.expr(f"substring(word, -{TAIL}, {TAIL})").alias("tail")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))

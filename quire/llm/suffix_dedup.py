@@ -2,7 +2,7 @@
 
 Suffixes are ordered only through DEPTH bytes, by passes over digits of DIGIT bytes, the most significant first; a digit
 stands for its bytes by a 64-bit hash. Suffixes whose group has one member drop out after each pass, and groups that are
-left after the last are exactly the repeated windows of DEPTH bytes.
+left after the last are exactly the repeated windows of DEPTH bytes: their bytes are compared.
 
 Not every suffix takes part in the first, distributed pass. Equal windows hold equal digits in the same places, so both
 have their least digit, the leftmost of equals, in the same place: the anchor. Windows with one anchor follow one
@@ -31,7 +31,7 @@ DEPTH, DIGIT = 200, 50
 #: Bytes that a worker looks at together.
 CHUNK = 1 << 20
 #: Anchors of a digit beyond which its windows are dealt in SHARES, and rows of a share beyond which they are dealt one by one: no task holds more of one digit.
-MOST, SHARES = 100_000, 4
+MOST, SHARES = 20_000, 4
 BASE, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -186,11 +186,31 @@ def windows(rows: DataFrame, depth: int) -> DataFrame:
     return map_batches(rows.select("b", "d", "firsts", "data"), run, "window binary, b long, d long, start long")
 
 
+def same_bytes(buffer: np.ndarray, at: np.ndarray, weight: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Which windows of the groups are repeated by their bytes too; a hash may be one for different bytes."""
+    windows, order = np.lib.stride_tricks.sliding_window_view(buffer, depth), np.argsort(group)
+    ordered = group[order]
+    pairs, torn = np.flatnonzero(ordered[1:] == ordered[:-1]), [np.empty(0, group.dtype)]
+    for start in range(0, len(pairs), 1 << 14):
+        x = pairs[start : start + (1 << 14)]
+        differ = (windows[at[order[x]]] != windows[at[order[x + 1]]]).any(axis=1)
+        torn.append(ordered[x[differ]])
+    keep = np.ones(len(at), bool)
+    for g in np.unique(np.concatenate(torn)):
+        own = np.flatnonzero(group == g)
+        often: dict[bytes, int] = {}
+        for i in own:
+            often[windows[at[i]].tobytes()] = often.get(windows[at[i]].tobytes(), 0) + int(weight[i])
+        keep[own] = [often[windows[at[i]].tobytes()] > 1 for i in own]
+    return keep
+
+
 def radix(keys: np.ndarray, data: list[bytes], often: np.ndarray, depth: int = DEPTH, digit: int = DIGIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of repeated windows: row, first and last window in its data. often: how many times a row's data occurs."""
     lengths = np.fromiter(map(len, data), np.int64, len(data))
     begins = np.cumsum(lengths) - lengths
-    hashed = digits(np.frombuffer(b"".join(data), np.uint8), digit)
+    buffer = np.frombuffer(b"".join(data), np.uint8)
+    hashed = digits(buffer, digit)
     n = lengths - depth + 1
     row = np.repeat(np.arange(len(data)), n)
     at = np.repeat(begins, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -206,6 +226,9 @@ def radix(keys: np.ndarray, data: list[bytes], often: np.ndarray, depth: int = D
         at, row, group = at[keep], row[keep], code[keep]
         if not len(at):
             break
+    if len(at):
+        keep = same_bytes(buffer, at, often[row], group, depth)
+        at, row = at[keep], row[keep]
     if not len(at):
         return row, at, at
     heads = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]))))

@@ -45,6 +45,19 @@ def test_long_texts_are_cut_into_parts(monkeypatch):
     assert covered(whole) == covered(parts)
 
 
+def test_equal_hashes_of_different_bytes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "digits", lambda data, digit: np.zeros(len(data) - digit + 1, np.uint64))
+    texts = [bytes(range(200)), bytes(range(200)), bytes(range(1, 201)), bytes(range(2, 202))]
+    row, first, last = suffix_dedup.radix(np.zeros(4, np.int64), texts, np.array([1, 1, 1, 3]))
+    assert (row.tolist(), first.tolist(), last.tolist()) == ([0, 1, 3], [0, 0, 0], [0, 0, 0])
+
+
+def test_most_frequent_words_come_in_whole_classes(spark):
+    counts = spark.createDataFrame([(b"a", 9), (b"b", 9), (b"c", 5), (b"d", 1), (b"e", 1)], "word binary, c long")
+    assert language_model.most_frequent(counts, 4) == [(b"a", 9), (b"b", 9), (b"c", 5)]
+    assert len(language_model.most_frequent(counts, 9)) == 5 and language_model.most_frequent(counts, 1) == []
+
+
 def slow_fingerprint(text):
     import xxhash
 
