@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies: SimHash links first, then exactly, five-word shingles with Jaccard similarity 0.8 or more."""
     return drop_similar(docs)
 
 
@@ -44,7 +44,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("simhash", near), ("mixing", mixing), ("packing", packing)]
 
-#: Tokens, sketches and components of fingerprints are beyond SQL: the result is held against a brute-force version.
+#: Tokens, sketches and components are beyond SQL. Tests hold the quality, exact and near-copy stages and the packing
+#: against brute force one by one; the whole run is only checked for rows and columns.
 ORACLE_SQL = None
 
 
