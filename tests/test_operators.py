@@ -196,3 +196,14 @@ def test_command_line(tmp_path, capsys):
     with pytest.raises(ValueError):
         bundle.write({"../x": b""}, tmp_path / "out")
     capsys.readouterr()
+
+
+def test_pages_as_nodes_and_markup(spark, tmp_path):
+    from quire.plans.package_queries import markup_nodes, page_to_markup
+
+    html = "<html><body><h2>Top *</h2><p>one<br>two</p><p> </p><div><p>three</div></body></html>"
+    spark.createDataFrame([(7, "u", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    nodes = {r["path"]: (r["depth"], r["text"]) for r in markup_nodes(spark, str(tmp_path)).collect()}
+    assert nodes["/html[1]/body[1]/p[1]"] == (2, "onetwo") and nodes["/html[1]/body[1]/div[1]/p[1]"] == (3, "three")
+    assert nodes["/html[1]/body[1]/p[1]/br[1]"] == (3, "") and len(nodes) == 8
+    assert page_to_markup(spark, str(tmp_path)).first()["markup"].strip() == "== Top \\*\n\nonetwo\n\nthree"
