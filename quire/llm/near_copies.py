@@ -4,8 +4,9 @@ The SimHash index gives the first links: it finds the tight copies, each link ch
 64 bits can't find all pairs of that similarity (at 0.8 they differ in 9 bits on average), so the rest follows exactly.
 Two sets that similar share one of the first fifth of their shingles, in any order that is the same for all sets. These
 shingles of each set are dealt, shingles that a sample of the rows shows to be common last, and what meets is compared by
-the whole sets: first all sets with a shingle against one of them, then all pairs that still have different labels.
-Nothing rests on a sketch: the sample decides the order only.
+the whole sets: first all sets with a shingle against a few of them, then, where a shingle has more sets than that, all
+pairs that still have different labels. Such pairs must share more than one of the dealt shingles, how many follows from their sizes, which
+tells most of them apart where they meet. Nothing rests on a sketch: the sample decides the order only.
 """
 
 from __future__ import annotations
@@ -25,9 +26,13 @@ THRESHOLD = (4, 5)
 #: Rows that are sampled for common shingles, and in how many of them a shingle is common. Both bound the broadcast.
 SAMPLE, COMMON = 20_000, 4
 #: Pairs that a worker compares at once, and sets of a shingle that meet in one cell.
-PAIRS, CELL = 1 << 20, 4096
+PAIRS, CELL = 1 << 18, 4096
 #: A set's shingles are counted in 2**k parts, by their leading bits, with 2 to 4 shingles a part as far as k allows.
 LEAST_K, MOST_K = 6, 16
+#: Sets of a shingle, about, that all its sets are held against before all pairs are.
+HEADS = 32
+#: 64-bit words of the bitmap that a set's dealt shingles leave.
+MARKS = 8
 #: Pairs with one set beyond which the set is sent to several tasks.
 CROWD = 4096
 
@@ -64,6 +69,33 @@ def _counts(found: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def _dealt_size(size):
+    """How many shingles of a set are dealt: of two near copies each shares one of these."""
+    return size - -(-size * THRESHOLD[0] // THRESHOLD[1]) + 1
+
+
+def _marks(dealt: np.ndarray) -> bytes:
+    """A bitmap of the dealt shingles."""
+    bits = np.zeros(MARKS * 64, np.uint8)
+    bits[(dealt % np.uint64(MARKS * 64)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _may_share(marks_a: np.ndarray, marks_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether sets share as many dealt shingles, by their bitmaps, as near copies of these sizes have to.
+
+    Near copies share t = (a + b) * THRESHOLD / (1 + THRESHOLD) shingles, so each lacks a - t, or b - t, of its own in
+    the other. The set whose dealt shingles end first in the common order finds its shared ones among those dealt of
+    the other. The bitmap hides a shingle only behind another one of the same set.
+    """
+    least = -(-(size_a + size_b) * THRESHOLD[0] // sum(THRESHOLD))
+    dealt_a, dealt_b = _dealt_size(size_a), _dealt_size(size_b)
+    needed = least + np.minimum(dealt_a - size_a, dealt_b - size_b)
+    bits = lambda marks: np.bitwise_count(marks).sum(axis=1, dtype=np.int64)
+    hidden = np.minimum(dealt_a - bits(marks_a), dealt_b - bits(marks_b))
+    return bits(marks_a & marks_b) + hidden >= needed
+
+
 def _at_most_shared(a: bytes, b: bytes) -> int:
     """What two sets may share by their counts: of a part no more than the smaller number. Finer parts are added up to coarser ones."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -91,12 +123,12 @@ def _common(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signs(rows: DataFrame, total: int) -> DataFrame:
-    """at, set (a hash of the set), size (of the set), fp (the text's fingerprint), counts (see _counts) and hashes, the shingles that are dealt, in the common order."""
+    """at, set (a hash of the set), size (of the set), fp (the text's fingerprint), counts (see _counts), marks (see _marks) and hashes, the shingles that are dealt, in the common order."""
     common = rows.sparkSession.sparkContext.broadcast(_common(rows, total))
 
     def run(batch):
         hashes, counts = common.value
-        out: dict[str, list] = {k: [] for k in ("set", "size", "fp", "counts")}
+        out: dict[str, list] = {k: [] for k in ("set", "size", "fp", "counts", "marks")}
         dealt: list[np.ndarray] = []
         for text in batch.column("text"):
             data = text.as_py()
@@ -106,14 +138,14 @@ def _signs(rows: DataFrame, total: int) -> DataFrame:
             if n and len(hashes):
                 place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                 often = np.where(hashes[place] == found, counts[place], 0)
-            dealt.append(found[np.lexsort((found, often))[: n - -(-n * THRESHOLD[0] // THRESHOLD[1]) + 1]])
-            for k, v in zip(out, (_name(found), n, int(np.uint64(fingerprint(data, WIDTH)).view(np.int64)), _counts(found)), strict=True):
+            dealt.append(found[np.lexsort((found, often))[: _dealt_size(n)]])
+            for k, v in zip(out, (_name(found), n, int(np.uint64(fingerprint(data, WIDTH)).view(np.int64)), _counts(found), _marks(dealt[-1])), strict=True):
                 out[k].append(v)
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in dealt]))).astype(np.int32)
         values = np.concatenate([np.empty(0, np.uint64), *dealt]).view(np.int64)
         yield out | {"at": batch.column("at"), "hashes": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
 
-    return map_batches(_data(rows), run, "at long, set long, size long, fp long, counts binary, hashes array<long>")
+    return map_batches(_data(rows), run, "at long, set long, size long, fp long, counts binary, marks binary, hashes array<long>")
 
 
 def _enough(shared, size_a, size_b):
@@ -132,7 +164,7 @@ def _grouped(frame: DataFrame, made, schema: str, group: str) -> DataFrame:
         held: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in names])
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
             size += batch.num_rows
             if size >= 1 << 17:
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -152,15 +184,7 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-SHARED = "hash long, node long, bulk long, head long, head_bulk long"
-
-
-def _size(bulk):
-    return F.shiftright(bulk, 32)
-
-
-def _rest(bulk):
-    return bulk.bitwiseAND((1 << 32) - 1)
+SHARED = "hash long, node long, bulk long"
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
@@ -170,52 +194,57 @@ def _dealt(nodes: DataFrame) -> DataFrame:
 
 
 def _shared(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The dealt rows of shingles that two or more sets have, each with one of these sets, their head.
+    """The dealt rows of shingles that two or more sets have.
 
-    Shingles that many sets have get their heads with map-side combining, and the heads go to the rows; for the others
-    one shuffle does.
+    Shingles that many sets have are counted with map-side combining and told to the rows; for the others one shuffle does.
     """
 
     def made(hashes, node, bulk):
         first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-        heads = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        keep = np.diff(np.concatenate((heads, [len(hashes)])))[group] > 1
+        keep = np.diff(np.concatenate((np.flatnonzero(first), [len(hashes)])))[np.cumsum(first) - 1] > 1
         if keep.any():
-            head = heads[group][keep]
-            yield _batch(hash=hashes[keep], node=node[keep], bulk=bulk[keep], head=node[head], head_bulk=bulk[head])
+            yield _batch(hash=hashes[keep], node=node[keep], bulk=bulk[keep])
 
     dealt = _dealt(nodes)
     bound = max(1, nodes.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0] // HEAVY * 2)
     common = scratch.table(perhaps_heavy(dealt, "hash", bound), "common")
-    crowded = dealt.join(F.broadcast(common), "hash", "left_semi")
-    heads = crowded.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("node", "bulk")).alias("h")).where("n > 1")
-    heads = scratch.table(heads.select("hash", F.col("h.node").alias("head"), F.col("h.bulk").alias("head_bulk")), "heads")
+    crowded = dealt.join(F.broadcast(common), "hash", "left_semi").groupBy("hash").count().where("count > 1").select("hash")
+    crowded = scratch.table(crowded, "crowded")
     light = _grouped(dealt.join(F.broadcast(common), "hash", "left_anti").select(F.col("hash").alias("key"), "hash", "node", "bulk"), made, SHARED, "hash")
-    return scratch.table(dealt.join(F.broadcast(heads), "hash").select(light.columns).unionByName(light), "shared")
+    return scratch.table(dealt.join(F.broadcast(crowded), "hash", "left_semi").select(light.columns).unionByName(light), "shared")
 
 
-def _unlinked(shared: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: pairs of sets with different labels that may be near copies by a shingle that both have. shared: hash, node, bulk, label.
+def _unlinked(shared: DataFrame, marks: DataFrame, scratch: Scratch, name: str, heads: int = 0) -> DataFrame:
+    """a, b: pairs of sets with different labels that may be near copies by the shingles that both have.
 
-    A shingle's sets are cut into parts of CELL at most; each pair of parts meets in a cell of its own. Cells with one
-    least set lie in one task, as they mostly hold the same pairs, which then leave it once.
+    shared: hash, node, bulk, label; marks: node, marks. A shingle's sets are cut into parts of CELL at most. With heads,
+    each part is a cell, and about so many sets of the shingle, as far as possible the same for all shingles, go to all
+    its cells and meet all sets there, so rows and pairs grow with the sets. Without, shingles of up to HEADS sets are left
+    out, as all their sets were heads before, and each pair of parts meets in a cell of its own. Cells with one least set lie in one task, as they mostly hold the same pairs, which
+    then leave it once.
     """
 
-    def made(cell, label, node, bulk):
+    def made(cell, label, node, bulk, head, marks):
         size, rest = bulk >> 32, bulk & ((1 << 32) - 1)
+        bitmap = np.frombuffer(b"".join(marks), np.uint64).reshape(-1, MARKS)
         edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-        ends = np.repeat(edges[1:], np.diff(edges))
-        # rows are sorted by label inside a cell: a row's partners begin where its label ends
-        turns = np.flatnonzero(np.concatenate((label[1:] != label[:-1], [True])) | np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
-        begins = turns[np.searchsorted(turns, np.arange(len(cell)), side="right")]
+        if heads:
+            partners = np.flatnonzero(head)
+            begins, ends = (np.repeat(np.searchsorted(partners, x), np.diff(edges)) for x in (edges[:-1], edges[1:]))
+        else:
+            # rows are sorted by label inside a cell: a row's partners begin where its label ends
+            partners, ends = np.arange(len(cell)), np.repeat(edges[1:], np.diff(edges))
+            turns = np.flatnonzero(np.concatenate((label[1:] != label[:-1], [True])) | np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
+            begins = turns[np.searchsorted(turns, np.arange(len(cell)), side="right")]
         before = np.concatenate(([0], np.cumsum(ends - begins)))
         held = np.empty((0, 2), np.int64)
         for start in range(0, int(before[-1]), PAIRS):
             k = np.arange(start, min(start + PAIRS, int(before[-1])))
             x = np.searchsorted(before, k, side="right") - 1
-            y = begins[x] + k - before[x]
-            fits = _enough(1 + np.minimum(rest[x], rest[y]), size[x], size[y])
+            y = partners[begins[x] + k - before[x]]
+            fits = (label[x] != label[y]) & _enough(1 + np.minimum(rest[x], rest[y]), size[x], size[y])
+            x, y = x[fits], y[fits]
+            fits = _may_share(bitmap[x], bitmap[y], size[x], size[y])
             a, b = node[x[fits]], node[y[fits]]
             held = np.unique(np.concatenate([held, np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)]), axis=0)
             if len(held) > PAIRS:
@@ -225,12 +254,18 @@ def _unlinked(shared: DataFrame, scratch: Scratch) -> DataFrame:
             yield _batch(a=held[:, 0], b=held[:, 1])
 
     mixed = shared.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("least")).where("lo <> hi")
-    mixed = scratch.table(mixed.select("hash", "n", "least", F.ceil(F.col("n") / CELL).cast("long").alias("parts")), "mixed")
+    mixed = scratch.table(mixed.select("hash", "n", "least", F.ceil(F.col("n") / CELL).cast("long").alias("parts")), f"mixed{name}")
+    if not heads:
+        mixed = mixed.where(F.col("n") > HEADS)
     open_ = split_join(shared, mixed, "hash", "n", shared.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    open_ = open_.withColumn("cell", F.xxhash64("hash", F.least("own", "other"), F.greatest("own", "other")))
+    open_ = open_.withColumn("head", F.shiftrightunsigned(F.xxhash64("node", F.lit("head")), 2) <= F.lit(float(heads << 62)) / F.col("n"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    if heads:
+        open_ = open_.withColumn("other", F.explode(F.when(F.col("head"), every).otherwise(F.array("own")))).withColumn("cell", F.xxhash64("hash", "other"))
+    else:
+        open_ = open_.withColumn("other", F.explode(every)).withColumn("cell", F.xxhash64("hash", F.least("own", "other"), F.greatest("own", "other")))
     key = F.when(F.col("parts") > 1, F.col("cell")).otherwise(F.xxhash64("least"))
-    return _grouped(open_.select(key.alias("key"), "cell", "label", "node", "bulk"), made, "a long, b long", "cell")
+    return _grouped(open_.join(marks, "node").select(key.alias("key"), "cell", "label", "node", "bulk", "head", "marks"), made, "a long, b long", "cell")
 
 
 def _with(pairs: DataFrame, table: DataFrame, columns: list[str], side: str, bound: int) -> DataFrame:
@@ -320,21 +355,21 @@ def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     tight = _tight(nodes.select("at", "fp"), scratch)
     linked = _verified(tight, rows, signs, scratch, "0")
 
-    shared, label = _shared(nodes, scratch), _labels(linked, scratch, "0")
-    of_head = label.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
-    met = shared.where("node <> head").where(_enough(1 + F.least(_rest(F.col("bulk")), _rest(F.col("head_bulk"))), _size(F.col("bulk")), _size(F.col("head_bulk")))).select("node", "head").distinct()
-    met = look_up(look_up(met, label, "node"), of_head, "head").where(F.coalesce("label", "node") != F.coalesce("head_label", "head"))
-    first = scratch.table(met.select(*_ordered("head", "node")), "first")
-    linked = linked.unionByName(_verified(first, rows, signs, scratch, "1"))
-
-    # whole components now, as each pair of sets with different labels has to be looked at
-    label = scratch.table(components(linked).withColumnRenamed("component", "label"), "components1")
-    labelled = look_up(shared.select("hash", "node", "bulk"), label, "node").withColumn("label", F.coalesce("label", "node"))
-    second = scratch.table(_unlinked(labelled, scratch).distinct().join(tight.unionByName(first), ["a", "b"], "left_anti"), "second")
+    shared, looked_at = _shared(nodes, scratch), tight
+    marks = nodes.select(F.col("at").alias("node"), "marks")
+    for name, heads in (("1", HEADS), ("2", 0)):
+        # whole components before all pairs are looked at
+        label = _labels(linked, scratch, name) if heads else scratch.table(components(linked).withColumnRenamed("component", "label"), "components")
+        labelled = look_up(shared, label, "node").withColumn("label", F.coalesce("label", "node"))
+        met = _unlinked(labelled, marks, scratch, name, heads).distinct().join(looked_at, ["a", "b"], "left_anti")
+        pairs = scratch.table(met, f"pairs{name}")
+        looked_at = looked_at.unionByName(pairs)
+        # the labels of whole components stand for the links so far, those of the first round don't
+        so_far = linked if heads else label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        linked = _verified(pairs, rows, signs, scratch, name).unionByName(so_far)
     scratch.discard("shared")
-    last = _verified(second, rows, signs, scratch, "2")
 
-    parts = components(last.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b")))).select(F.col("node").alias("at"), "component")
+    parts = components(linked).select(F.col("node").alias("at"), "component")
     alone = chosen(signs.select("at"), scratch.table(parts.select("at").unionByName(copies.select("at")), "placed"), "left_anti")
     of_copies = look_up(copies, scratch.table(parts.withColumnRenamed("at", "node"), "parts"), "node").select("at", F.coalesce("component", "node").alias("component"))
     return parts.unionByName(alone.select("at", F.col("at").alias("component"))).unionByName(of_copies)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from corpus_pipeline import near
@@ -53,7 +54,7 @@ def copies(seed=7):
     return found
 
 
-@pytest.mark.parametrize("limits", [{}, {"SAMPLE": 0, "CROWD": 1, "CELL": 3, "PAIRS": 5}])
+@pytest.mark.parametrize("limits", [{}, {"SAMPLE": 0, "CROWD": 1, "CELL": 3, "PAIRS": 5, "HEADS": 1, "MARKS": 1}])
 def test_near_stage_keeps_what_brute_force_keeps(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(near_copies, name, value)
@@ -64,6 +65,49 @@ def test_near_stage_keeps_what_brute_force_keeps(spark, monkeypatch, limits):
     assert found == brute_kept(texts, ids)
 
 
+def test_a_crowd_that_is_mostly_just_below_the_threshold(spark):
+    r = random.Random(11)
+    base, texts = [f"w{r.randrange(3000)}" for _ in range(150)], []
+    for _ in range(160):
+        words = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 6])):
+            words[r.randrange(len(words))] = f"c{r.randrange(40)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted((False, r["doc_id"]) for r in near(spark, docs, "").collect()) == brute_kept(texts, list(range(len(texts))))
+
+
+def test_long_chains_of_copies_are_one_group(spark):
+    r, texts = random.Random(13), []
+    for _ in range(4):
+        words = [f"w{r.randrange(3000)}" for _ in range(300)]
+        for _ in range(40):
+            texts.append(" ".join(words))
+            for _ in range(r.choice([1, 4])):
+                words[r.randrange(len(words))] = f"c{r.randrange(3000)}"
+    ids = r.sample(range(1000), len(texts))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    assert sorted((False, r["doc_id"]) for r in near(spark, docs, "").collect()) == brute_kept(texts, ids)
+
+
+@pytest.mark.parametrize("marks", [1, 8])
+def test_the_bound_on_shared_shingles_keeps_all_near_copies(monkeypatch, marks):
+    monkeypatch.setattr(near_copies, "MARKS", marks)
+    r = np.random.default_rng(3)
+    dealt = lambda s: np.sort(s)[: near_copies._dealt_size(len(s))]
+    sizes, bitmaps, alike = [], [], []
+    for _ in range(600):
+        both, a, b = (r.integers(0, 1 << 63, n, np.uint64) for n in (r.integers(1, 400), *r.integers(0, 40, 2)))
+        for s in (np.union1d(both, a), np.union1d(both, b)):
+            sizes.append(len(s))
+            bitmaps.append(near_copies._marks(dealt(s)))
+        alike.append(5 * len(both) >= 4 * (len(both) + len(a) + len(b)))
+    sizes, bitmaps = np.array(sizes), np.frombuffer(b"".join(bitmaps), np.uint64).reshape(-1, marks)
+    kept = near_copies._may_share(bitmaps[::2], bitmaps[1::2], sizes[::2], sizes[1::2])
+    assert kept[alike].all() and 0 < sum(alike) < 600
+    assert marks == 1 or not kept.all()
+
+
 def test_near_stage_on_awkward_rows(spark):
     given = rows()
     found = near(spark, spark.createDataFrame(given, SCHEMA).repartition(3), "")
