@@ -25,6 +25,8 @@ PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Entries of a generation of a worker's caches of words and of pre-tokens; longer ones than CACHE_CHARS aren't kept.
 CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 150_000, 50_000, 64
+#: Letters below this character are letters in every version of Unicode; marks that may end a word.
+LETTERS_BELOW, ENDS = "\u0250", frozenset(",.;:!?")
 #: Characters of a text that are cut at once.
 AT_ONCE = 1_000_000
 
@@ -127,8 +129,8 @@ class Encoder:
     """Cuts texts without the pattern where that gives the same pre-tokens, and looks the parts up.
 
     A pre-token has a space at its start only, and other white space not at all, except for runs of white space. So a
-    text falls apart before each space and around each line feed that stand alone. value(ids) is what is wanted of
-    ids, add what makes one of many; pieces and words hold the first tier: values of pre-tokens, and of words after a space.
+    text falls apart before each space and around each line feed that stand alone. What is all letters is one pre-token,
+    a mark after it another one; the pattern cuts the rest. value(ids) is what is wanted of ids, add what makes one of many; pieces and words hold the first tier: values of pre-tokens, and of words after a space.
     """
 
     def __init__(self, path: str, value, add, pieces: dict | None = None, words: dict | None = None) -> None:
@@ -141,13 +143,25 @@ class Encoder:
 
         self.lookup = Kept(piece, CACHE_PIECES)
         self.value, self.add = value, add
-        self.bare = Kept(lambda chunk: add(map(self.lookup.__getitem__, pattern.findall(chunk))), CACHE_WORDS)
 
-        def after_space(chunk: str):
-            found = words.get(chunk)
-            return add(map(self.lookup.__getitem__, pattern.findall(f" {chunk}"))) if found is None else found
+        def plain(chunk: str) -> bool:
+            return chunk.isalpha() and (chunk.isascii() or max(chunk) < LETTERS_BELOW)
 
-        self.spaced = Kept(after_space, CACHE_WORDS)
+        def kept(before: str, words: dict) -> Kept:
+            def find(chunk: str):
+                found = words.get(chunk)
+                if found is not None:
+                    return found
+                if plain(chunk):
+                    return piece(before + chunk)
+                if chunk[-1:] in ENDS and plain(chunk[:-1]):
+                    return add((own[chunk[:-1]], self.lookup[chunk[-1]]))
+                return add(map(self.lookup.__getitem__, pattern.findall(before + chunk)))
+
+            own = Kept(find, CACHE_WORDS)
+            return own
+
+        self.bare, self.spaced = kept("", {}), kept(" ", words)
         self.run = re.compile(f"[{WHITE}]{{2}}").search
         alone = re.compile(f" (?<=[^{WHITE}] )(?=[^{WHITE}])")
         self.apart, self.next_alone = alone.split, alone.search
