@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, language_model, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_rules
+from quire.llm import decontamination, exact_dedup, language_model, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_rules
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -62,6 +62,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), decontamination.read_items(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op13_decontamination": op13_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op13_decontamination": decontamination.ORACLE}
