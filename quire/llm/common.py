@@ -175,13 +175,17 @@ def _ranked(spark: SparkSession, placed: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before", "_at")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]]], schema: str) -> DataFrame:
-    """fn makes from each Arrow batch columns by name; lists, numpy or Arrow arrays."""
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+    """fn makes from each Arrow batch columns by name; lists, numpy or Arrow arrays."""
     ship_package(df.sparkSession)
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, exact_dedup, language_model, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_rules
+from quire.llm import conversation_repair, decontamination, exact_dedup, language_model, mixing, packing, periodic_runs, quality, sharding, simhash, suffix_dedup, token_counts, url_rules
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -62,6 +62,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.with_repeated_tails(documents(spark, sf_dir)))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(documents(spark, sf_dir), decontamination.read_items(spark, sf_dir))
 
@@ -77,7 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_decontamination": op13_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op13_decontamination": decontamination.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE, "op13_decontamination": decontamination.ORACLE}
