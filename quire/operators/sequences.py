@@ -51,7 +51,6 @@ def joined_blocks(df: DataFrame, keys: list[str], order: list[str], text: Column
     """Blocks in order, without white space at their ends, empty ones left out, joined."""
     from quire.functions.text import trim_end
 
-    blocks = df.withColumn("_block", trim_end(text)).where("_block <> ''")
-    kept = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "_block"))).alias("_blocks"))
-    joined = kept.select(*keys, F.array_join(F.transform("_blocks", lambda b: b["_block"]), separator).alias(name))
-    return df.select(*keys).distinct().join(joined, keys, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    block = trim_end(text)
+    kept = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(block != "", F.struct(*order, block.alias("_block"))))).alias("_blocks"))
+    return kept.select(*keys, F.array_join(F.transform("_blocks", lambda b: b["_block"]), separator).alias(name))

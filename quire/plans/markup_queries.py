@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.plans import convert as C
 from quire.plans.queries import _MARKUP, query, read
+from quire.plans.typeset import typeset
 from quire.sources import build as B
 
 #: How all markup begins without a page set-up.
@@ -49,7 +50,7 @@ FROM r GROUP BY o_custkey"""
 )
 def order_tables(spark, sf_dir):
     """Tables with spans, merges, fills and borders."""
-    return C.convert(from_orders(spark, sf_dir)).select("doc_id", "tables", "paragraphs", "markup")
+    return typeset(from_orders(spark, sf_dir)).select("doc_id", "tables", "paragraphs", "markup")
 
 
 @query(f"""SELECT CAST(page_id AS VARCHAR) AS doc_id, {TOP} || chr(10) || '#link("' || replace(replace(url, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '")[' || {_MARKUP.format("url")} || ']' || chr(10) AS markup FROM pages WHERE url IS NOT NULL""")
@@ -60,7 +61,7 @@ def page_links(spark, sf_dir):
         return {"word/document.xml": B.document(f'<w:p><w:hyperlink r:id="h1">{B.run(row["url"])}</w:hyperlink></w:p>'), "word/_rels/document.xml.rels": B.relationships({"h1": (row["url"], "External")})}
 
     pages = read(spark, sf_dir, "pages").where("url IS NOT NULL").select(F.col("page_id").alias("doc_id"), "url")
-    return C.convert(B.build(pages, make)).select("doc_id", "markup")
+    return typeset(B.build(pages, make)).select("doc_id", "markup")
 
 
 CHART = '<w:r><w:drawing><x:graphicData xmlns:x="u" uri="http://schemas.openxmlformats.org/drawingml/2006/chart"/></w:drawing></w:r>'
@@ -107,7 +108,7 @@ def run_styles(spark, sf_dir):
         return {"word/document.xml": B.document("".join(B.paragraph(f"turn {t['turn']} of {t['role']}", "", "".join(p for i, (p, _) in enumerate(WRAPS) if bits(t) >> i & 1)) for t in row["turns"]))}
 
     turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.first("conv_id").alias("doc_id_n"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    return C.convert(B.build(turns, make)).select("doc_id", "paragraphs", "markup")
+    return typeset(B.build(turns, make)).select("doc_id", "paragraphs", "markup")
 
 
 _INCHES = "rtrim(rtrim(printf('%.4f', {}), '0'), '.') || 'in'"
@@ -144,7 +145,7 @@ def nodes_within(spark, sf_dir):
     """Containment join: the cells and paragraphs of a package's table rows."""
     from quire.sources import package as P
 
-    nodes = P.nodes(from_orders(spark, sf_dir), ("word/document.xml",)).select("doc_id", "part", "node_id", "end_id", "tag")
+    nodes = P.nodes(from_orders(spark, sf_dir), ("word/document.xml",)).select("doc_id", "part", "node_id", "tag", "above")
     inside = P.within(nodes.where("tag = 'tr'"), nodes.where("tag IN ('tr', 'tc', 'p')"), "row_id")
     count = lambda tag: F.count_if(F.col("tag") == tag)
     return inside.groupBy("doc_id").agg(count("tr").alias("rows_"), count("tc").alias("cells"), count("p").alias("texts_in_rows"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 from pyspark.sql import functions as F
 
 from quire.operators.office import font_rights
 from quire.plans import convert as C
+from quire.plans.page_markup import page_markup
 from quire.plans.queries import _MARKUP, query, read, sql_values, values
+from quire.plans.typeset import typeset
 from quire.sources import build as B
 from quire.sources import package as P
+from quire.sources.pages import page_nodes
 
 STYLES = (
     f"<w:styles {B.WORD}><w:style w:type=\"paragraph\" w:styleId=\"Base\"><w:name w:val=\"Base\"/><w:pPr><w:jc w:val=\"center\"/></w:pPr><w:rPr><w:i/></w:rPr></w:style>"
@@ -39,7 +40,7 @@ _BLOCKS = "list_filter(list_transform(string_split(text, chr(10)), lambda x: CAS
 )
 def package_roundtrip(spark, sf_dir):
     """Documents as packages and back."""
-    return C.convert(from_documents(spark, sf_dir)).select("doc_id", "status", "markup", "sections")
+    return typeset(from_documents(spark, sf_dir)).select("doc_id", "status", "markup", "sections")
 
 
 def from_conversations(spark, sf_dir):
@@ -67,7 +68,7 @@ SELECT CAST(conv_id AS VARCHAR) AS doc_id, '#import "runtime.typ": *' || chr(10)
 )
 def styled_roundtrip(spark, sf_dir):
     """Headings, inherited styles and lists of whole packages."""
-    return C.convert(from_conversations(spark, sf_dir)).select("doc_id", "markup")
+    return typeset(from_conversations(spark, sf_dir)).select("doc_id", "markup")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(5 AS BIGINT) AS n_parts, 'Base,Told,heading 2' AS styles FROM conversations GROUP BY conv_id")
@@ -119,60 +120,13 @@ def embedded_license(spark, sf_dir):
     return values(spark, fonts, "bits int, data binary").mapInArrow(judge, "bits int, rights string, no_subsetting boolean, bitmap_only boolean")
 
 
-class _Shredder(HTMLParser):
-    """Elements of a page, which needn't be well-formed."""
-
-    EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.rows: list[dict] = []
-        self.open: list[int] = []
-        self.seen: list[dict[str, int]] = [{}]
-
-    def handle_starttag(self, tag, attrs):
-        names = self.seen[-1]
-        names[tag] = names.get(tag, 0) + 1
-        above = self.rows[self.open[-1]]["path"] if self.open else ""
-        self.rows.append({"node_id": len(self.rows), "parent_id": self.open[-1] if self.open else None, "depth": len(self.open), "tag": tag, "path": f"{above}/{tag}[{names[tag]}]", "text": ""})
-        if tag not in self.EMPTY:
-            self.open.append(len(self.rows) - 1)
-            self.seen.append({})
-
-    def handle_endtag(self, tag):
-        places = [i for i, n in enumerate(self.open) if self.rows[n]["tag"] == tag]
-        if places:
-            del self.open[places[-1] :]
-            del self.seen[places[-1] + 1 :]
-
-    def handle_data(self, data):
-        if self.open:
-            self.rows[self.open[-1]]["text"] += data
-
-
 @query()
 def markup_nodes(spark, sf_dir):
-    """Pages as nodes with their places among siblings of their name."""
-
-    def shred(doc_id, content):
-        reader = _Shredder()
-        reader.feed(content.decode("utf-8", "replace"))
-        reader.close()
-        for row in reader.rows:
-            yield {"doc_id": doc_id} | row
-
-    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").cast("binary").alias("content"))
-    return P.by_document(pages, shred, "doc_id string, node_id long, parent_id long, depth int, tag string, path string, text string")
+    """Pages as nodes, texts among them, with their places among siblings of their name."""
+    return page_nodes(read(spark, sf_dir, "pages")).select("doc_id", "node_id", "parent_id", "depth", "tag", "path", "text")
 
 
 @query()
 def page_to_markup(spark, sf_dir):
-    """Headings and paragraphs of pages as markup blocks."""
-    from quire.functions.text import escape_markup, trim_space
-    from quire.operators.sequences import joined_blocks
-
-    nodes = markup_nodes(spark, sf_dir).where(F.col("tag").rlike("^(h[1-6]|p)$"))
-    level = F.when(F.col("tag") == "p", F.lit(0)).otherwise(F.substring("tag", 2, 1).cast("int"))
-    text = trim_space(escape_markup(F.col("text")))
-    block = F.when(text == "", text).otherwise(F.concat(F.repeat(F.lit("="), level), F.when(level > 0, F.lit(" ")).otherwise(F.lit("")), text))
-    return joined_blocks(nodes, ["doc_id"], ["node_id"], block, "markup")
+    """All that pages say as markup blocks."""
+    return page_markup(page_nodes(read(spark, sf_dir, "pages")))

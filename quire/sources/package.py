@@ -1,21 +1,27 @@
 """Packages as tables: parts, content types, relationships and markup nodes.
 
-A package table has doc_id and content, the bytes of one package a row. Broken packages give no rows here, or a row
-with their error in the conversion; they never fail the job.
+A package table has doc_id and content, the bytes of one package a row. Nothing is lost in silence: a package that can't
+be opened gives one row with its doc_id and error, a part that can't be read one with its part and error too; all other
+rows have a null error. max_package_bytes lifts or lowers the bound on what a package may unpack to.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import resolve_target
-from quire.operators.office import BadPackage, Package, local
+from quire.operators.office import MOST_BYTES, BadPackage, Package, local
+from quire.operators.tree import within  # noqa: F401  callers find it beside nodes()
 from quire.plans.session import ship_package
 
-PARTS = "doc_id string, part string, content binary"
-NODES = "doc_id string, part string, node_id long, end_id long, parent_id long, ord int, depth int, tag string, attrs map<string, string>, text string, path string"
+PARTS = "doc_id string, part string, content binary, content_type string, error string"
+#: The nodes above come as two arrays, which are cheaper to make, and leave nodes() as one of structs.
+NODES = "doc_id string, part string, node_id long, end_id long, parent_id long, ord int, depth int, tag string, ns string, attrs map<string, string>, text string, tail string, path string, above_ids array<long>, above_tags array<string>, error string"
+RELATIONS = "doc_id string, source_part string, ord int, rel_id string, kind string, target string, target_mode string, error string"
 
 
 #: Rows, or bytes of packages, whose rows go on together.
@@ -41,9 +47,13 @@ def by_document(packages: DataFrame, fn, schema: str) -> DataFrame:
             held = 0
             for doc_id, content in zip(batch.column("doc_id"), batch.column("content"), strict=True):
                 data = content.as_py() or b""
-                rows += fn(doc_id.as_py(), data)
+                for row in fn(doc_id.as_py(), data):
+                    rows.append(row)
+                    if len(rows) >= ROWS_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(rows, schema=out)
+                        rows, held = [], 0
                 held += len(data)
-                if len(rows) >= ROWS_AT_ONCE or held >= BYTES_AT_ONCE:
+                if held >= BYTES_AT_ONCE and rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
                     rows, held = [], 0
             if rows:
@@ -52,23 +62,27 @@ def by_document(packages: DataFrame, fn, schema: str) -> DataFrame:
     return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, schema)
 
 
-def _opened(content: bytes) -> Package | None:
+def opened(doc_id: str, content: bytes, most: int | None) -> tuple[Package | None, dict | None]:
+    """The package, or the row that tells what is wrong with it."""
     try:
-        return Package(content)
-    except Exception:  # whatever it holds, a package must not end the job
-        return None
+        return Package(content, most or MOST_BYTES), None
+    except Exception as e:  # whatever it holds, a package must not end the job
+        return None, {"doc_id": doc_id, "error": str(e) if isinstance(e, BadPackage) else f"{type(e).__name__}: {e}"}
 
 
-def parts(packages: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
-    """doc_id, part, checksum, content, content_type. only: the parts to unzip at all."""
+def parts(packages: DataFrame, only: tuple[str, ...] | None = None, max_package_bytes: int | None = None) -> DataFrame:
+    """doc_id, part, content, content_type, error, checksum. only: the parts to give."""
 
     def unzip(doc_id, content):
-        package = _opened(content)
-        for name, data in sorted(package.parts.items()) if package else ():
+        package, wrong = opened(doc_id, content, max_package_bytes)
+        if wrong:
+            yield wrong
+            return
+        for name, data in sorted(package.parts.items()):
             if only is None or name in only:
                 yield {"doc_id": doc_id, "part": name, "content": data, "content_type": package.content_type(name)}
 
-    return by_document(packages, unzip, PARTS + ", content_type string").withColumn("checksum", F.sha2("content", 256))
+    return by_document(packages, unzip, PARTS).withColumn("checksum", F.sha2("content", 256))
 
 
 def content_types(parts: DataFrame, types: DataFrame) -> DataFrame:
@@ -80,63 +94,80 @@ def content_types(parts: DataFrame, types: DataFrame) -> DataFrame:
     return joined.withColumn("content_type", F.coalesce("_exact", "_default")).drop("_exact", "_default", "_end")
 
 
-def relationships(packages: DataFrame) -> DataFrame:
-    """doc_id, source_part, ord, rel_id, kind, target, target_mode, resolved_target."""
+def relationships(packages: DataFrame, max_package_bytes: int | None = None) -> DataFrame:
+    """doc_id, source_part, ord, rel_id, kind, target, target_mode, error, resolved_target."""
 
     def found(doc_id, content):
-        package = _opened(content)
-        for part in ("", *sorted(package.parts)) if package else ():
+        package, wrong = opened(doc_id, content, max_package_bytes)
+        if wrong:
+            yield wrong
+            return
+        for part in ("", *sorted(package.parts)):
             try:
                 listed = package.relations(part)
-            except BadPackage:
+            except BadPackage as e:
+                yield {"doc_id": doc_id, "source_part": part, "error": str(e)}
                 continue
             for i, x in enumerate(listed):
                 yield {"doc_id": doc_id, "source_part": part, "ord": i, "rel_id": x["id"], "kind": x["kind"], "target": x["target"], "target_mode": x["mode"]}
 
-    rows = by_document(packages, found, "doc_id string, source_part string, ord int, rel_id string, kind string, target string, target_mode string")
-    return rows.withColumn("resolved_target", resolve_target(F.col("source_part"), F.col("target"), F.col("target_mode")))
+    return by_document(packages, found, RELATIONS).withColumn("resolved_target", resolve_target(F.col("source_part"), F.col("target"), F.col("target_mode")))
 
 
-def nodes(packages: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
-    """The elements of all markup parts in reading order. Those below a node are the ones from node_id to end_id."""
+def nodes(packages: DataFrame, only: tuple[str, ...] | None = None, max_package_bytes: int | None = None) -> DataFrame:
+    """The elements of all markup parts in reading order. Those below a node are the ones from node_id to end_id; `above` has the nodes that it lies in, from the root down."""
 
     def shred(doc_id, content):
-        package = _opened(content)
-        for part in sorted(package.parts) if package else ():
+        package, wrong = opened(doc_id, content, max_package_bytes)
+        if wrong:
+            yield wrong
+            return
+        for part in sorted(package.parts):
             if only is not None and part not in only or not part.endswith((".xml", ".rels")):
                 continue
-            tree = package.readable(part)
-            if tree is not None:
-                yield from tree_rows(doc_id, part, tree)
-
-    return by_document(packages, shred, NODES)
-
-
-def tree_rows(doc_id: str, part: str, tree) -> list[dict]:
-    rows: list[dict] = []
-    stack = [(tree, None, 0, 0, f"/{local(tree)}[1]")]
+            try:
+                tree = package.xml(part)
+            except BadPackage as e:
+                yield {"doc_id": doc_id, "part": part, "error": str(e)}
+                continue
+            yield from tree_rows(doc_id, part, tree)
+
+    return with_above(by_document(packages, shred, NODES))
+
+
+def with_above(rows: DataFrame) -> DataFrame:
+    """rows with `above`, an array of node_id and tag, for its two arrays."""
+    pairs = F.zip_with("above_ids", "above_tags", lambda i, t: F.struct(i.alias("node_id"), t.alias("tag")))
+    return rows.withColumn("above", pairs).drop("above_ids", "above_tags")
+
+
+def tree_rows(doc_id: str, part: str, tree) -> Iterator[dict]:
+    """A row for each node, one at a time; only the subtrees' sizes are worked out before."""
+    sizes: list[int] = []
+    open_: list[tuple[int, object]] = [(0, iter((tree,)))]
+    while open_:  # numbers in reading order, sizes when a node is left
+        own, rest = open_[-1]
+        node = next(rest, None)
+        if node is None:
+            open_.pop()
+            if open_:
+                sizes[own] = len(sizes) - own
+            continue
+        sizes.append(1)
+        open_.append((len(sizes) - 1, iter(node)))
+    stack = [(tree, None, 0, [], [], f"/{local(tree)}[1]")]
+    own = 0
     while stack:
-        node, parent, place, depth, path = stack.pop()
-        own = len(rows)
-        rows.append({"doc_id": doc_id, "part": part, "node_id": own, "end_id": own, "parent_id": parent, "ord": place, "depth": depth, "tag": local(node), "attrs": list(node.attrib.items()), "text": node.text, "path": path})
-        seen: dict[str, int] = {}
-        below = []
+        node, parent, place, above, tags, path = stack.pop()
+        tag = local(node)
+        ns = node.tag[1:].partition("}")[0] if node.tag.startswith("{") else None
+        yield {
+            "doc_id": doc_id, "part": part, "node_id": own, "end_id": own + sizes[own] - 1, "parent_id": parent, "ord": place, "depth": len(above), "tag": tag, "ns": ns, "attrs": list(node.attrib.items()), "text": node.text, "tail": node.tail, "path": path, "above_ids": above, "above_tags": tags,
+        }
+        ids, names, seen, below = [*above, own], [*tags, tag], {}, []
         for i, x in enumerate(node):
-            seen[local(x)] = seen.get(local(x), 0) + 1
-            below.append((x, own, i, depth + 1, f"{path}/{local(x)}[{seen[local(x)]}]"))
+            name = local(x)
+            seen[name] = seen.get(name, 0) + 1
+            below.append((x, own, i, ids, names, f"{path}/{name}[{seen[name]}]"))
         stack += reversed(below)
-    for row in reversed(rows):  # those below come after a node, so their ends are known by now
-        if row["parent_id"] is not None:
-            above = rows[row["parent_id"]]
-            above["end_id"] = max(above["end_id"], row["end_id"])
-    return rows
-
-
-def within(outer: DataFrame, inner: DataFrame, name: str = "outer_id") -> DataFrame:
-    """Containment join of nodes: each row of inner with the node_id of every row of outer that it lies in, itself included.
-
-    Nodes of a document's part are numbered in reading order, so a node lies in another if its number is in the other's
-    range. Rows meet on document and part only, so a part's nodes never leave their group.
-    """
-    ranges = outer.select("doc_id", "part", F.col("node_id").alias(name), F.col("end_id").alias("_last"))
-    return inner.join(ranges, ["doc_id", "part"]).where((F.col("node_id") >= F.col(name)) & (F.col("node_id") <= F.col("_last"))).drop("_last")
+        own += 1
