@@ -21,6 +21,11 @@ def running_last(df: DataFrame, keys: list[str], order: list[str], value: Column
     return df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def coming_first(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The first value that isn't null from each row on: a forward as-of join, where the rows that bring values lie among the others."""
+    return df.withColumn(name, F.first(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)))
+
+
 def earlier_count(df: DataFrame, keys: list[str], order: list[str], event: Column, name: str, start: int = 1) -> DataFrame:
     """`start` plus the number of earlier rows with the event."""
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

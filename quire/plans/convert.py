@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import comparison_tokens
 from quire.operators.body import MOST_COLUMNS, Body
-from quire.operators.compare import dice, within_threshold
+from quire.operators.compare import dice_by_key, within_threshold
 from quire.operators.markup import RUNTIME, RUNTIME_FILE, Writer
 from quire.operators.office import MOST_BYTES, BadPackage, Catalogs, Package
 from quire.operators.syntax import syntax_errors
@@ -154,11 +153,8 @@ def validate(results: DataFrame, reference: DataFrame | None = None, threshold:
     theirs = reference.select(F.col("doc_id").alias("other"), F.col("text").alias("their_text"), F.col("pages").alias("reference_pages"))
     joined = checked.join(theirs, checked["doc_id"] == theirs["other"], "left")
     both = joined.where("other IS NOT NULL")
-    # a document meets its own reference only: the document is part of the token
-    marked = lambda c: F.array_join(F.transform(comparison_tokens(F.col(c)), lambda t: F.concat(F.md5("doc_id"), t)), " ")
-    found = dice(both.select("doc_id", marked("text").alias("text")), "doc_id", both.select(F.col("doc_id").alias("other"), marked("their_text").alias("text")), "other").select("doc_id", "similarity")
-    none = lambda c: F.size(comparison_tokens(F.coalesce(c, F.lit("")))) == 0
-    similarity = F.when(none("text") & none("their_text"), 100).otherwise(F.coalesce("similarity", F.lit(0))).cast("int")
+    found = dice_by_key(both.select("doc_id", "text"), both.select("doc_id", F.col("their_text").alias("text")), "doc_id")
+    similarity = F.col("similarity").cast("int")
     delta = F.col("pages") - F.col("reference_pages")
     out = joined.join(found, "doc_id", "left").select("doc_id", "structure_ok", "found", "pages", "reference_pages", F.when(F.col("other").isNotNull(), similarity).alias("similarity"), delta.alias("page_count_delta"), (delta == 0).alias("page_count_match"), F.lit(limit).alias("threshold"))
     out = out.withColumn("within_threshold", within_threshold(F.col("similarity"), F.col("page_count_match"), limit))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import grid, lists, tree
 from quire.plans.markup_queries import from_orders
 from quire.plans.queries import query, read
+from quire.plans.sections import in_sections, placed_assets, section_ends
 from quire.plans.typeset import BODY, is_property, number_catalog, paragraph_blocks, paragraphs, resolved_runs, runs, style_catalog, table_rows
 from quire.sources import build as B
 from quire.sources import package as P
@@ -119,3 +120,60 @@ def visible_texts(spark, sf_dir):
     tables = nodes.where("tag = 'tbl'")
     texts = tree.within(tables, nodes.where("tag = 't'"), "table_id").groupBy("doc_id").agg(F.count("*").alias("texts"))
     return tree.visible_text(tables, nodes).join(texts, "doc_id").select("doc_id", "visible", "texts")
+
+
+def from_sections(spark, sf_dir) -> DataFrame:
+    """A package for each customer with orders: a section for each order, with its page's size and a header by priority; the last one ends with the body."""
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus"))).alias("orders"))
+
+    def make(row):
+        body, parts = "", {}
+        for i, x in enumerate(row["orders"]):
+            kind = x["o_orderpriority"][0]
+            parts[f"word/head{kind}.xml"] = f"<w:hdr {B.WORD}>{B.paragraph('Priority')}{B.paragraph(x['o_orderpriority'])}</w:hdr>"
+            first = '<w:headerReference r:id="gone"/>' if i % 2 else '<w:headerReference r:id="foot"/>'
+            end = f'<w:sectPr>{first}<w:headerReference r:id="h{kind}"/><w:footerReference r:id="foot"/><w:pgSz w:w="{9000 + x["o_orderkey"] % 100}" w:h="13000"/></w:sectPr>'
+            last = i + 1 == len(row["orders"])
+            body += B.paragraph(f"order {x['o_orderkey']}") + (B.paragraph(x["o_orderstatus"]) + end if last else f"<w:p><w:pPr>{end}</w:pPr>{B.run(x['o_orderstatus'])}</w:p>")
+        parts["word/foot.xml"] = f"<w:ftr {B.WORD}>{B.paragraph('Orders')}</w:ftr>"
+        targets = {f"h{p[9]}": (p[5:], None) for p in parts if p.startswith("word/head")} | {"foot": ("foot.xml", None)}
+        return {BODY: B.document(body), "word/_rels/document.xml.rels": B.relationships(targets)} | parts
+
+    return B.build(orders, make)
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS section FROM orders),
+b AS (SELECT *, 'order ' || o_orderkey AS said FROM r UNION ALL SELECT *, o_orderstatus FROM r)
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, said, CAST(section AS INTEGER) AS section, CAST(9000 + o_orderkey % 100 AS BIGINT) AS width, CAST(13000 AS BIGINT) AS height, 'Priority ' || o_orderpriority AS header, 'Orders' AS footer FROM b""")
+def section_setups(spark, sf_dir):
+    """Each paragraph with the page, header and footer of the section that ends after it."""
+    nodes = P.nodes(from_sections(spark, sf_dir))
+    said = tree.visible_text(nodes.where((F.col("part") == BODY) & (F.col("tag") == "p")), nodes).select("doc_id", F.col("node_id").alias("at"), F.col("visible").alias("said"))
+    placed = in_sections(said, section_ends(nodes))
+    return placed.select("doc_id", "said", "section", F.col("page.width").alias("width"), F.col("page.height").alias("height"), "header", "footer")
+
+
+def from_pictures(spark, sf_dir) -> DataFrame:
+    """A package for each conversation: a picture of one of three files for each turn, or a chart where the role is the system's or the turn the fifth."""
+    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    chart = '<w:r><w:drawing><x:graphicData xmlns:x="u" uri="http://schemas.openxmlformats.org/drawingml/2006/chart"/></w:drawing></w:r>'
+    picture = '<w:r><w:drawing><y:blip xmlns:y="v" r:embed="p{}"/></w:drawing></w:r>'
+
+    def make(row):
+        shown = "".join(f"<w:p>{chart if t['role'] == 'system' or t['turn'] == 4 else picture.format(t['turn'] * t['turn'] % 3)}</w:p>" for t in row["turns"])
+        return {BODY: B.document(shown), "word/_rels/document.xml.rels": B.relationships({f"p{i}": (f"media/{i}.png", None) for i in range(3)})}
+
+    return B.build(turns, make)
+
+
+@query("""
+WITH u AS (SELECT conv_id, turn, CASE WHEN role = 'system' OR turn = 4 THEN NULL ELSE 'word/media/' || (turn * turn % 3) || '.png' END AS target, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS use_no FROM conversations),
+f AS (SELECT *, target IS NULL OR row_number() OVER (PARTITION BY conv_id, target ORDER BY turn) = 1 AS is_first FROM u),
+n AS (SELECT *, sum(CAST(is_first AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn) AS count_, sum(CASE WHEN target IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS fallback FROM f),
+a AS (SELECT conv_id, target, min(count_) AS number FROM n WHERE target IS NOT NULL GROUP BY ALL)
+SELECT CAST(n.conv_id AS VARCHAR) AS doc_id, use_no, n.target, CASE WHEN n.target IS NULL THEN 'asset-fallback-' || fallback ELSE 'asset-' || number END AS asset_id FROM n LEFT JOIN a ON n.conv_id = a.conv_id AND n.target = a.target""")
+def asset_numbers(spark, sf_dir):
+    """The assets that drawings show, numbered by first use: media once for each file, placeholders each for itself, in one count."""
+    nodes = P.nodes(from_pictures(spark, sf_dir), (BODY, "word/_rels/document.xml.rels"))
+    return placed_assets(nodes).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("long").alias("use_no"), "target", "asset_id")

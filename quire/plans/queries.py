@@ -75,7 +75,7 @@ def truncate_summary(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.shorten(F.col("text"), 96).alias("summary"))
 
 
-NAMES = [("Theme Major",), ("Embedded Sans",), (" -- Ünïcode 12 ",), ("A  B",), ("",)]
+NAMES = [("Lead Face",), ("Packed Face",), (" -- Ünïcode 12 ",), ("A  B",), ("",)]
 
 
 @query(
@@ -119,6 +119,34 @@ def similarity_threshold(spark, sf_dir):
     return found.withColumns({"threshold": F.lit(85).cast("long"), "within_threshold": F.col("similarity") >= 85})
 
 
+#: What a text is compared with, and characters of a page.
+_OTHER, PAGE = "replace(text, ' the ', ' a ') || ' ' || coalesce(source, '')", 1800
+
+
+@query(
+    f"""
+WITH t AS (SELECT doc_id, text, {_OTHER} AS other FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+a AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS.format("text")}) AS token FROM t) GROUP BY ALL), b AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS.format("other")}) AS token FROM t) GROUP BY ALL),
+s AS (SELECT doc_id, coalesce((SELECT sum(n) FROM a WHERE a.doc_id = t.doc_id), 0) + coalesce((SELECT sum(n) FROM b WHERE b.doc_id = t.doc_id), 0) AS size, length(text) // {PAGE} AS pages, length(other) // {PAGE} AS reference_pages FROM t),
+c AS (SELECT doc_id, sum(least(a.n, b.n)) AS common FROM a JOIN b USING (doc_id, token) GROUP BY doc_id),
+d AS (SELECT doc_id, CASE WHEN size = 0 THEN 100 ELSE CAST(floor(200.0::DOUBLE * coalesce(common, 0) / size + 0.5) AS BIGINT) END AS similarity, CAST(pages - reference_pages AS BIGINT) AS page_count_delta FROM s LEFT JOIN c USING (doc_id))
+SELECT doc_id, CAST(similarity AS BIGINT) AS similarity, page_count_delta, similarity >= 85 AND page_count_delta = 0 AS within_threshold FROM d"""
+)
+def document_comparison(spark, sf_dir):
+    """Each document against another version of itself: common tokens and pages."""
+    docs = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("other", F.expr(_OTHER))
+    found = compare.dice_by_key(docs.select("doc_id", "text"), docs.select("doc_id", F.col("other").alias("text")), "doc_id")
+    pages = docs.select("doc_id", F.expr(f"length(text) div {PAGE} - length(other) div {PAGE}").alias("page_count_delta"))
+    return found.join(pages, "doc_id").withColumn("within_threshold", compare.within_threshold(F.col("similarity"), F.col("page_count_delta") == 0, 85))
+
+
+@query(_DICE.replace("benchmark", "pages").replace("item_id", "page_id").replace("unnest(" + _TOKENS.format("text") + ") AS token FROM pages", "unnest(" + _TOKENS.format("regexp_replace(html, '<[^>]*>', ' ', 'g')") + ") AS token FROM pages") + "SELECT * FROM d WHERE similarity >= 70")
+def similar_pages(spark, sf_dir):
+    """Documents and pages that say nearly the same, by a prefix filter."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    return compare.similar(read(spark, sf_dir, "documents"), "doc_id", pages, "page_id", 70)
+
+
 COMPARED = [("same", "Alpha beta", "alpha, BETA!", 2, 2), ("pages", "a b c d", "a b c d", 1, 2), ("half", "a b", "a c", 1, 1), ("both empty", " ", "", 1, 1), ("one empty", "x", "", 1, 1), ("bags", "a a a", "a", 1, 1)]
 
 

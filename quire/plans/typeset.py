@@ -2,8 +2,8 @@
 
 Python takes packages apart into nodes, and cells to their columns; all else is column expressions, windows and
 aggregates. Nodes are dealt by document once, and what follows groups inside documents, so it needs no other exchange
-of them. Written so far: headings, paragraphs with styles by inheritance, runs, breaks, bookmarks, links, nested lists,
-tables with spans, merges, fills and borders, nested tables, page sizes and margins. Drawings, equations, fields, notes,
+of them. Written so far: headings, paragraphs with styles by inheritance, runs, breaks, bookmarks, links, fields, nested lists,
+tables with spans, merges, fills and borders, nested tables, page sizes and margins. Drawings, equations, notes,
 headers, themes, table styles, fonts of the profile and exact row heights are convert()'s.
 """
 
@@ -165,12 +165,13 @@ def runs(body: DataFrame) -> DataFrame:
         "p": F.coalesce(F.when(kind == "p", F.col("node_id")), nearest("p")), "r": F.coalesce(F.when(kind == "r", F.col("node_id")), nearest("r")), "link": F.coalesce(F.when(kind == "hyperlink", F.col("node_id")), nearest("hyperlink")), "prop": F.when(is_property(), kind),
     }).where("p IS NOT NULL")
     reached = F.forall(F.filter("above", lambda x: x["node_id"] > F.col("p")), lambda x: x["tag"].isin(*AROUND))
-    in_run = (above(1) == "r") & kind.isin("t", "tab", "br", "cr") & ~((kind == "t") & (F.coalesce("text", F.lit("")) == ""))
-    shown = F.when(in_run, F.when(kind.isin("t", "tab"), "text").when((kind == "br") & (F.coalesce(attr("type"), F.lit("")) == "page"), "break").otherwise("line"))
-    shown = shown.when(kind == "hyperlink", "link").when((kind == "bookmarkStart") & ~F.coalesce(attr("name"), F.lit("_")).startswith("_"), "mark")
-    said = F.when(kind == "t", F.col("text")).when(kind == "tab", "\t").when(kind == "bookmarkStart", attr("name"))
+    event = attr("fldCharType").isin("begin", "separate", "end")
+    in_run = (above(1) == "r") & kind.isin("t", "tab", "br", "cr", "instrText", "fldChar") & ~((kind == "t") & (F.coalesce("text", F.lit("")) == "")) & ((kind != "fldChar") | event)
+    shown = F.when(in_run, F.when(kind.isin("t", "tab"), "text").when(kind == "instrText", "instruction").when(kind == "fldChar", "field").when((kind == "br") & (F.coalesce(attr("type"), F.lit("")) == "page"), "break").otherwise("line"))
+    shown = shown.when(kind == "hyperlink", "link").when((kind == "fldSimple") & T.is_page_field(F.coalesce(attr("instr"), F.lit(""))), "page").when((kind == "bookmarkStart") & ~F.coalesce(attr("name"), F.lit("_")).startswith("_"), "mark")
+    said = F.when(kind.isin("t", "instrText"), F.col("text")).when(kind == "fldChar", attr("fldCharType")).when(kind == "tab", "\t").when(kind == "bookmarkStart", attr("name"))
     target = F.when(kind == "hyperlink", F.struct(attr("id", R).alias("id"), attr("anchor").alias("anchor")))
-    piece = F.when(reached & shown.isNotNull(), F.struct(F.col("node_id").alias("at"), shown.alias("kind"), said.alias("text"), F.col("link"), target.alias("target")))
+    piece = F.when(reached & shown.isNotNull(), F.struct(F.col("node_id").alias("at"), shown.alias("kind"), said.alias("text"), F.col("link"), target.alias("target"), F.col("end_id").alias("end")))
     is_p = kind == "p"
     in_blocks = F.forall("above", lambda x: x["tag"].isin("document", "body", "tbl", "tr", "tc"))
     place = F.struct(F.col("parent_id").alias("container"), above(1).alias("within"), F.size(F.filter("above", lambda x: x["tag"] == "tbl")).alias("nesting"), in_blocks.alias("is_block"))
@@ -210,15 +211,42 @@ def wrapped(text: Column, style: Column) -> Column:
     return F.concat(F.concat_ws("", *calls), text, F.repeat(F.lit("]"), n))
 
 
+def without_fields(pieces: DataFrame) -> DataFrame:
+    """pieces without their fields' events and instructions, with a `page` where a field shows the page's number.
+
+    A field is a stretch of pieces: begin, its instruction, separate, its result, end; each link has fields of its own.
+    What stands between begin and separate is never shown, and neither is the result of a page number. A separate counts
+    only right after a begin, with the instruction gathered since then.
+    """
+    kind, text = F.col("kind"), F.col("text")
+    event = F.coalesce(kind == "field", F.lit(False))
+    ordered = Window.partitionBy("doc_id", "p", "link").orderBy("at")
+    until, before = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(Window.unboundedPreceding, -1)
+    told = pieces.withColumn("stretch", F.sum(event.cast("int")).over(until))
+    instruction = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kind == "instruction", F.struct("at", "text"))).over(Window.partitionBy("doc_id", "p", "link", "stretch"))), lambda x: x["text"]), "")
+    told = told.withColumn("instruction", F.when(event, instruction))
+    told = told.withColumn("last", F.last(F.when(event, F.struct("text", "instruction")), ignorenulls=True).over(before))
+    numbers = event & (text == "separate") & F.coalesce((F.col("last.text") == "begin") & T.is_page_field(F.col("last.instruction")), F.lit(False))
+    told = told.withColumn("numbers", numbers)
+    hides = F.last(F.when(event, (text == "begin") | F.col("numbers")), ignorenulls=True).over(until)
+    # what lies in a simple field that shows the page's number
+    covered = F.max(F.when(kind == "page", F.col("end"))).over(Window.partitionBy("doc_id", "p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    told = told.withColumn("hidden", F.coalesce(hides & kind.isin("text", "line", "break"), F.lit(False)) | F.coalesce(covered >= F.col("at"), F.lit(False)))
+    kept = told.where("NOT hidden AND (kind IS NULL OR kind NOT IN ('field', 'instruction') OR numbers)")
+    return kept.withColumn("kind", F.when(F.col("numbers"), "page").otherwise(kind)).withColumn("text", F.when(~F.col("numbers"), text)).drop("stretch", "instruction", "last", "numbers", "hidden", "end")
+
+
 def paragraphs(rows: DataFrame) -> DataFrame:
     """doc_id, p, para, content (with MARK where a page breaks) and shows, from resolved_runs()."""
     pieces = rows.select("doc_id", "p", "para", "style", "targets", F.explode_outer("pieces").alias("x")).select("doc_id", "p", "para", "style", "targets", "x.*")
+    pieces = without_fields(pieces)
     pieces = pieces.withColumn("alone", F.when(~F.coalesce(F.col("kind") == "text", F.lit(False)), F.coalesce("at", F.lit(-1))))
     parts = sequences.adjacent_runs(pieces, ["doc_id", "p"], ["at"], ["alone", "link", "style"], "part")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))), lambda x: x["text"]), "")
     keep = lambda c: F.first(c, ignorenulls=True).alias(c)
     merged = parts.groupBy("doc_id", "p", "part").agg(F.min("at").alias("at"), *map(keep, ("para", "kind", "link", "style", "target", "targets")), text.alias("text"))
     said = F.when(F.col("kind") == "text", wrapped(T.escape_markup(F.col("text")), F.col("style"))).when(F.col("kind") == "line", "\\\n").when(F.col("kind") == "break", F.when(F.col("link").isNull(), MARK).otherwise("#pagebreak()"))
+    said = said.when(F.col("kind") == "page", wrapped(F.lit("#context counter(page).display()"), F.col("style")))
     said = F.coalesce(said.when(F.col("kind") == "mark", F.concat(F.lit("#metadata(none) <"), "text", F.lit(">"))), F.lit(""))
     merged = merged.withColumns({"said": said, "held": F.coalesce(~F.col("kind").isin("link"), F.lit(False)), "shown": F.coalesce(~F.col("kind").isin("link", "mark"), F.lit(False))})
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "")
