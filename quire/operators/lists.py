@@ -11,7 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nest(blocks: DataFrame, keys: list[str], order: str, level: str, key: str, attaches: str) -> DataFrame:
+def levels_of(blocks: DataFrame, level: str) -> list[int]:
+    """The levels that occur, 256 at most."""
+    return sorted(r[0] for r in blocks.where(f"{level} IS NOT NULL").select(F.col(level).cast("int").alias("level")).distinct().collect())
+
+
+def nest(blocks: DataFrame, keys: list[str], order: str, level: str, key: str, attaches: str, levels: list[int] | None = None) -> DataFrame:
     """blocks with run, parent_at, list_at, root_at, item_end, new_list and last_item, all null outside lists.
 
     order (long) tells blocks apart within keys; level is null where a block is no list paragraph; attaches is true for
@@ -21,9 +26,10 @@ def nest(blocks: DataFrame, keys: list[str], order: str, level: str, key: str, a
     the item and all in it (null: the item ends with the run). new_list and last_item mark the ends of a list.
 
     The nearest earlier smaller value comes from running last places, one for each level that occurs (there are 256
-    levels at most), so it is one pass of window functions over blocks in order, however deep lists nest.
+    levels at most; `levels` names them where they are known), so it is one pass of window functions over blocks in order,
+    however deep lists nest.
     """
-    levels = sorted(r[0] for r in blocks.where(f"{level} IS NOT NULL").select(F.col(level).cast("int")).distinct().collect())
+    levels = levels_of(blocks, level) if levels is None else levels
     ordered = Window.partitionBy(*keys).orderBy(order)
     until, after = ordered.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys, "run").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
     at, own = F.col(order), F.col(level).cast("int")

@@ -106,12 +106,12 @@ def style_catalog(nodes: DataFrame) -> DataFrame:
     own = rows.where(owner.isNotNull() & (is_style | is_property() | (above(1) == "style"))).groupBy("doc_id", owner.alias("at")).agg(
         only(attr("styleId")).alias("node"), only(F.coalesce(attr("type"), F.lit("paragraph"))).alias("kind"), first_under("style", "name", attr("val")).alias("style_name"), first_under("style", "basedOn", attr("val")).alias("parent"), *[c.alias(f) for f, c in fields.items()]
     ).where("node <> '' AND kind IN ('paragraph', 'character')")
-    held = ["parent", "style_name", *FIELDS]
-    own = cut_off(sequences.last_by(own, ["doc_id", "kind", "node"], ["at"], held))
     named = ["style_name", *FIELDS]
-    if own.isEmpty():
-        resolved = own.select("doc_id", "kind", "node", *named)
+    own = sequences.last_by(own, ["doc_id", "kind", "node"], ["at"], ["parent", *named])
+    if rows.where(is_style).isEmpty():  # nothing to inherit: no rounds of joins then
+        resolved = own.drop("parent").where("false")
     else:
+        own = cut_off(own)
         resolved = styles.cascade(styles.ancestor_chains(own, ["doc_id", "kind"], "node", "parent"), own, ["doc_id", "kind"], "node", named)
     entry = F.struct(F.col("node"), F.struct(*named))
     of = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, entry)))
@@ -400,9 +400,9 @@ def table_markup() -> Column:
     return F.when(F.col("align").isin("center", "right"), F.concat(F.lit("#align("), "align", F.lit(")["), out, F.lit("]"))).otherwise(out)
 
 
-def nested_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
+def nested_blocks(blocks: DataFrame, keys: list[str], levels: list[int]) -> DataFrame:
     """blocks with the places of lists.nest()."""
-    return lists.nest(blocks.withColumns({"level": F.col("list.level"), "key": F.col("list")}), keys, "at", "level", "key", "attaches")
+    return lists.nest(blocks.withColumns({"level": F.col("list.level"), "key": F.col("list")}), keys, "at", "level", "key", "attaches", levels)
 
 
 def container_texts(nested: DataFrame, keys: list[str]) -> DataFrame:
@@ -427,6 +427,7 @@ def typeset(packages: DataFrame, profile: dict | None = None, runtime_file: str
     rows = resolved_runs(runs(body), catalog, profile or {})
     used = rows.groupBy("doc_id").agg(F.min(F.least(F.coalesce("style.font", "para.style.font"), F.coalesce("para.style.font", "style.font"))).alias("font"))
     text_blocks = cut_off(paragraph_blocks(paragraphs(rows)))
+    levels = lists.levels_of(text_blocks, "list.level")
     tables, cells = table_rows(body)
     deepest = body.where("tag = 'tbl'").agg(F.max(F.size(F.filter("above", lambda x: x["tag"] == "tbl")))).first()[0]
     layout = layout_catalog(nodes)
@@ -438,11 +439,11 @@ def typeset(packages: DataFrame, profile: dict | None = None, runtime_file: str
         for level in range(deepest, -1, -1):  # from the innermost tables outwards; each level is of one document's depth
             inner = text_blocks.where(F.col("nesting") == level + 1)
             inner = inner if lower is None else inner.unionByName(lower)
-            contents = container_texts(nested_blocks(inner, ["doc_id", "container"]), ["doc_id", "container"])
+            contents = container_texts(nested_blocks(inner, ["doc_id", "container"], levels), ["doc_id", "container"])
             lower = rendered_tables(tables.where(F.col("where.nesting") == level), placed.where(F.col("where.nesting") == level), contents)
         blocks = text_blocks.where("nesting = 0").unionByName(lower)
     sectioned = blocks.join(layout, "doc_id", "left").withColumn("section", F.size(F.filter(F.coalesce("section_ends", F.array().cast("array<bigint>")), lambda e: e < F.col("at"))))
-    top = nested_blocks(sectioned.drop("section_ends", "page"), ["doc_id", "section"])
+    top = nested_blocks(sectioned.drop("section_ends", "page"), ["doc_id", "section"], levels)
     counts = top.where("run IS NULL").groupBy("doc_id").agg(F.count_if(~F.col("attaches")).alias("paragraphs"), F.count_if("attaches").alias("tables"))
     texts = container_texts(top, ["doc_id", "section"])
     ends = texts.where("text <> ''").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("all"))

@@ -25,7 +25,7 @@ HOLDERS = BLOCKS | frozenset("html head body li dt dd td th tr thead tbody tfoot
 #: A text between elements.
 TEXT = "#text"
 #: Elements whose text is nobody's to read.
-HIDDEN = ("head", "script", "style", "template", "noscript")
+HIDDEN = ("head", "title", "script", "style", "template", "noscript")
 
 
 class PageReader(HTMLParser):

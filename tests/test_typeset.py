@@ -196,7 +196,7 @@ def test_containment_and_visible_text(spark):
             if local(x) in ("tbl", "tr"):
                 want |= {(name, number[x], number[y]) for y in x.iter()}
             if local(x) == "tbl":
-                said[name, number[x]] = " ".join(s for y in x.iter() if local(y) == "t" and (s := (y.text or "").strip())) or None
+                said[name, number[x]] = " ".join(s for y in x.iter() if local(y) in ("t", "instrText") and (s := (y.text or "").strip())) or None
     found = tree.within(nodes.where("tag IN ('tbl', 'tr')"), nodes.select("doc_id", "part", "node_id", "above"), "held_by")
     assert {(r["doc_id"], r["held_by"], r["node_id"]) for r in found.collect()} == want and len(want) > 100
     visible = tree.visible_text(nodes.where("tag = 'tbl'"), nodes)
