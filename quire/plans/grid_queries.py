@@ -9,6 +9,7 @@ from quire.operators import grid, lists, tree
 from quire.plans.markup_queries import from_orders
 from quire.plans.queries import query, read
 from quire.plans.sections import in_sections, placed_assets, section_ends
+from quire.plans.table_styles import cell_borders
 from quire.plans.typeset import BODY, is_property, number_catalog, paragraph_blocks, paragraphs, resolved_runs, runs, style_catalog, table_rows
 from quire.sources import build as B
 from quire.sources import package as P
@@ -177,3 +178,46 @@ def asset_numbers(spark, sf_dir):
     """The assets that drawings show, numbered by first use: media once for each file, placeholders each for itself, in one count."""
     nodes = P.nodes(from_pictures(spark, sf_dir), (BODY, "word/_rels/document.xml.rels"))
     return placed_assets(nodes).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("long").alias("use_no"), "target", "asset_id")
+
+
+def _line(tag: str, size: int, color: str = "") -> str:
+    return f'<w:{tag} w:val="single" w:sz="{size}"{f""" w:color="{color}" """ if color else ""}/>'
+
+
+TABLE_STYLES = (
+    f'<w:styles {B.WORD}><w:style w:type="table" w:styleId="Plain"><w:tblPr><w:tblStyleRowBandSize w:val="2"/><w:tblBorders>{_line("insideH", 2)}{_line("top", 4)}</w:tblBorders></w:tblPr>'
+    f'<w:tblStylePr w:type="firstRow"><w:tcPr><w:tcBorders>{_line("bottom", 12, "AA0000")}</w:tcBorders></w:tcPr></w:tblStylePr><w:tblStylePr w:type="band2Horz"><w:tblPr><w:tblBorders>{_line("insideH", 6)}</w:tblBorders></w:tblPr></w:tblStylePr></w:style>'
+    f'<w:style w:type="table" w:styleId="Rich"><w:basedOn w:val="Plain"/><w:tblPr><w:tblBorders>{_line("insideV", 3)}{_line("top", 5)}</w:tblBorders></w:tblPr><w:tblStylePr w:type="lastCol"><w:tcPr><w:tcBorders>{_line("start", 8)}</w:tcBorders></w:tcPr></w:tblStylePr></w:style></w:styles>'
+)
+
+
+def from_styled_orders(spark, sf_dir) -> DataFrame:
+    """A package for each customer with orders: a row of two cells for each, in a style by the customer; urgent orders have a border of their own."""
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.first("o_custkey").alias("number"), F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("orders"))
+
+    def make(row):
+        own = lambda x: f"<w:tcBorders>{_line('top', 16)}</w:tcBorders>" if x["o_orderpriority"][0] == "1" else ""
+        body = "".join(f"<w:tr><w:tc><w:tcPr>{own(x)}</w:tcPr>{B.paragraph('a')}</w:tc><w:tc>{B.paragraph('b')}</w:tc></w:tr>" for x in row["orders"])
+        look = f'<w:tblLook w:firstRow="{row["number"] % 2}" w:lastColumn="1"/>'
+        return {BODY: B.document(f'<w:tbl><w:tblPr><w:tblStyle w:val="{"Rich" if row["number"] % 3 else "Plain"}"/>{look}</w:tblPr>{body}</w:tbl>'), "word/styles.xml": TABLE_STYLES}
+
+    return B.build(orders, make)
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_custkey % 3 > 0 AS rich, o_custkey % 2 = 1 AS headed, o_orderpriority LIKE '1%' AS urgent, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+c AS (SELECT *, unnest([1, 2]) AS place, ((i - 1) // 2) % 2 = 1 AS band2 FROM r),
+s AS (SELECT *, unnest(['top', 'right', 'bottom', 'left']) AS side FROM c),
+l AS (SELECT o_custkey, i, place, side, CASE
+  WHEN side = 'top' AND urgent AND place = 1 THEN '2pt'
+  WHEN side = 'left' AND place = 2 AND rich THEN '1pt'
+  WHEN side = 'bottom' AND headed AND i = 1 THEN '1.5pt + rgb("#AA0000")'
+  WHEN side = 'top' AND i > 1 AND band2 OR side = 'bottom' AND i < n AND band2 THEN '0.75pt'
+  WHEN side = 'top' AND i = 1 THEN CASE WHEN rich THEN '0.625pt' ELSE '0.5pt' END
+  WHEN side IN ('top', 'bottom') AND NOT (side = 'bottom' AND i = n) THEN '0.25pt'
+  WHEN rich AND (side = 'right' AND place = 1 OR side = 'left' AND place = 2) THEN '0.375pt' END AS line FROM s)
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, i AS row, CAST(place AS BIGINT) AS place, side, line FROM l WHERE line IS NOT NULL""")
+def table_style_borders(spark, sf_dir):
+    """Borders of cells by style chains, regions, bands and the cells themselves."""
+    nodes = P.nodes(from_styled_orders(spark, sf_dir), (BODY, "word/styles.xml"))
+    return cell_borders(nodes).select("doc_id", "row", "place", "side", "line")

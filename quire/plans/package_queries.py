@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators.office import font_rights
 from quire.plans import convert as C
 from quire.plans.page_markup import page_markup
-from quire.plans.queries import _MARKUP, query, read, sql_values, values
+from quire.plans.queries import _MARKUP, query, read, sql_values
 from quire.plans.typeset import typeset
 from quire.sources import build as B
 from quire.sources import package as P
@@ -92,17 +92,19 @@ def package_relationships(spark, sf_dir):
 CODES = [*C.MEANINGS, "NO_SUCH_CODE"]
 
 
-@query(f"SELECT code, meaning FROM {sql_values([(c, C.explain(c)) for c in CODES], 'code, meaning')}")
+@query(f"SELECT event_id, code, meaning FROM events JOIN {sql_values([(i, c, C.explain(c)) for i, c in enumerate(CODES)], 'place, code, meaning')} ON event_id % {len(CODES)} = place")
 def explain_codes(spark, sf_dir):
-    return values(spark, [(c,) for c in CODES], "code string").select("code", C.explain_column(F.col("code")).alias("meaning"))
+    """What the code of each event means; codes are dealt by the events' numbers."""
+    code = F.array(*map(F.lit, CODES))
+    events = read(spark, sf_dir, "events").select("event_id", F.get(code, (F.col("event_id") % len(CODES)).cast("int")).alias("code"))
+    return events.withColumn("meaning", C.explain_column(F.col("code")))
 
 
-RIGHTS = [(0, "installable"), (2, "restricted"), (4, "preview_print"), (8, "editable"), (10, "restricted"), (12, "editable"), (256, "unknown"), (770, "restricted")]
-
-
-@query(f"SELECT bits, rights, bits & 256 > 0 AS no_subsetting, bits & 512 > 0 AS bitmap_only FROM {sql_values(RIGHTS, 'bits, rights')}")
+@query("""
+SELECT p_partkey, CAST(bits AS INTEGER) AS bits, CASE WHEN bits & 2 > 0 THEN 'restricted' WHEN bits & 8 > 0 THEN 'editable' WHEN bits & 4 > 0 THEN 'preview_print' WHEN bits = 0 THEN 'installable' ELSE 'unknown' END AS rights, bits & 256 > 0 AS no_subsetting, bits & 512 > 0 AS bitmap_only
+FROM (SELECT p_partkey, p_partkey % 1024 AS bits FROM part)""")
 def embedded_license(spark, sf_dir):
-    """Fonts with one table, with all rights that its bits can give."""
+    """A font with one table for each part, with all rights that its bits can give."""
     import struct
 
     import pyarrow as pa
@@ -110,14 +112,15 @@ def embedded_license(spark, sf_dir):
     from quire.plans.session import ship_package
 
     ship_package(spark)
-    fonts = [(bits, struct.pack(">IHHHH4sIII", 0x10000, 1, 0, 0, 0, b"OS/2", 0, 28, 10) + struct.pack(">8xH", bits)) for bits, _ in RIGHTS]
 
     def judge(batches):
         for batch in batches:
-            found = [font_rights(x.as_py()) for x in batch.column("data")]
-            yield pa.RecordBatch.from_arrays([batch.column("bits"), pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), pa.array([f[2] for f in found])], names=["bits", "rights", "no_subsetting", "bitmap_only"])
+            fonts = [struct.pack(">IHHHH4sIII", 0x10000, 1, 0, 0, 0, b"OS/2", 0, 28, 10) + struct.pack(">8xH", bits) for bits in batch.column("bits").to_pylist()]
+            found = [font_rights(x) for x in fonts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), pa.array([f[2] for f in found])], names=["p_partkey", "bits", "rights", "no_subsetting", "bitmap_only"])
 
-    return values(spark, fonts, "bits int, data binary").mapInArrow(judge, "bits int, rights string, no_subsetting boolean, bitmap_only boolean")
+    bits = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), (F.col("p_partkey") % 1024).cast("int").alias("bits"))
+    return bits.mapInArrow(judge, "p_partkey long, bits int, rights string, no_subsetting boolean, bitmap_only boolean")
 
 
 @query()

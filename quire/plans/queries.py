@@ -150,16 +150,15 @@ def similar_pages(spark, sf_dir):
 COMPARED = [("same", "Alpha beta", "alpha, BETA!", 2, 2), ("pages", "a b c d", "a b c d", 1, 2), ("half", "a b", "a c", 1, 1), ("both empty", " ", "", 1, 1), ("one empty", "x", "", 1, 1), ("bags", "a a a", "a", 1, 1)]
 
 
-@query(f"SELECT name, similarity, delta, similarity >= 85 AND delta = 0 AS within_threshold FROM {sql_values([('same', 100, 0), ('pages', 100, -1), ('half', 50, 0), ('both empty', 100, 0), ('one empty', 0, 0), ('bags', 50, 0)], 'name, similarity, delta')}")
+@query(f"SELECT name, similarity, delta, similarity >= 85 AND delta = 0 AS within_threshold FROM {sql_values([('same', 100, 0), ('pages', 100, -1), ('half', 50, 0), ('both empty', 100, 0), ('one empty', 0, 0), ('bags', 50, 0)], 'name, similarity, delta')} UNION ALL SELECT 'item ' || item_id, 100, 0, true FROM benchmark")
 def reference_comparison(spark, sf_dir):
     """Expected values are worked out by hand. Two empty texts are alike, one empty text is like none."""
     rows = values(spark, COMPARED, "name string, left string, right string, pages long, reference_pages long")
+    items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), "item_id").alias("name"), F.col("text").alias("left"), T.ascii_upper(F.col("text")).alias("right"), F.lit(1).alias("pages"), F.lit(1).alias("reference_pages"))
+    rows = rows.unionByName(items)
     ours, theirs = rows.select("name", F.col("left").alias("text")), rows.select(F.col("name").alias("other"), F.col("right").alias("text"))
-    found = compare.dice(ours, "name", theirs, "other").where("name = other").drop("other")
-    empty = lambda c: F.size(T.comparison_tokens(F.col(c))) == 0
-    joined = rows.join(found, "name", "left")
-    similarity = F.when(empty("left") & empty("right"), 100).otherwise(F.coalesce("similarity", F.lit(0)))
-    out = joined.select("name", similarity.cast("int").alias("similarity"), (F.col("pages") - F.col("reference_pages")).cast("int").alias("delta"))
+    joined = rows.join(compare.dice_by_key(ours, theirs.withColumnRenamed("other", "name"), "name"), "name")
+    out = joined.select("name", F.col("similarity").cast("int").alias("similarity"), (F.col("pages") - F.col("reference_pages")).cast("int").alias("delta"))
     return out.withColumn("within_threshold", compare.within_threshold(F.col("similarity"), F.col("delta") == 0, 85))
 
 
@@ -193,9 +192,13 @@ def normalize_path(spark, sf_dir):
 TARGETS = [("word/document.xml", "media/a.png", None, "word/media/a.png"), ("word/document.xml", "../b.xml", None, "b.xml"), ("word/document.xml", "/c/d.xml", None, "c/d.xml"), ("word/document.xml", "https://e.example/x/../y", "External", "https://e.example/x/../y"), ("", "word/document.xml", "Internal", "word/document.xml")]
 
 
-@query(f"SELECT source, target, mode, resolved FROM {sql_values(TARGETS, 'source, target, mode, resolved')}")
+@query(
+    f"SELECT source, target, mode, resolved FROM {sql_values(TARGETS, 'source, target, mode, resolved')} UNION ALL "
+    "SELECT 'word/document.xml', url, CASE WHEN page_id % 2 = 0 THEN 'External' END, CASE WHEN page_id % 2 = 0 THEN url ELSE 'word/' || rtrim(regexp_replace(url, '/+', '/', 'g'), '/') END FROM pages"
+)
 def resolve_targets(spark, sf_dir):
-    rows = values(spark, TARGETS, "source string, target string, mode string, expected string")
+    urls = read(spark, sf_dir, "pages").select(F.lit("word/document.xml").alias("source"), F.col("url").alias("target"), F.when(F.col("page_id") % 2 == 0, "External").alias("mode"))
+    rows = values(spark, TARGETS, "source string, target string, mode string, expected string").drop("expected").unionByName(urls)
     return rows.select("source", "target", "mode", T.resolve_target(F.col("source"), F.col("target"), F.col("mode")).alias("resolved"))
 
 
@@ -203,12 +206,18 @@ PARTS = [("word/document.xml", "application/main"), ("word/media/a.png", "image/
 TYPES = [("word/document.xml", "application/main"), (".png", "image/png"), (".xml", "application/xml")]
 
 
-@query(f"SELECT part, content_type FROM {sql_values(PARTS, 'part, content_type')}")
+_ENDS = "CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.xml' WHEN 2 THEN '.PNG' ELSE '' END"
+
+
+@query(f"SELECT part, content_type FROM {sql_values(PARTS, 'part, content_type')} UNION ALL SELECT 'word/' || page_id || {_ENDS}, CASE page_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/xml' END FROM pages")
 def content_type_lookup(spark, sf_dir):
+    """Parts of one package for each page, and of one that is made up."""
     from quire.sources.package import content_types
 
-    parts = values(spark, [(1, p) for p, _ in PARTS], "doc_id long, part string")
-    types = values(spark, [(1, k, t) for k, t in TYPES], "doc_id long, key string, content_type string")
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("word/"), "page_id", F.expr(_ENDS)).alias("part"))
+    parts = values(spark, [(-1, p) for p, _ in PARTS], "doc_id long, part string").unionByName(pages)
+    listed = values(spark, TYPES, "key string, content_type string")
+    types = parts.select("doc_id").distinct().crossJoin(F.broadcast(listed))
     return content_types(parts, types).select("part", "content_type")
 
 
@@ -217,17 +226,25 @@ def content_type_lookup(spark, sf_dir):
 HEADINGS = [("Heading 1", 1), ("heading2", 2), ("HEADING 255", 255), ("heading 256", None), ("Heading", None), ("heading +3", 3), ("Heading 1a", None), ("Überschrift 1", None), ("heading 0", 0)]
 
 
-@query(f"SELECT name, level FROM {sql_values(HEADINGS, 'name, level')}")
+_TITLE = "CASE p_partkey % 3 WHEN 0 THEN 'heading ' WHEN 1 THEN 'HEADING' ELSE 'Head ' END || (p_partkey % 300)"
+
+
+@query(f"SELECT name, level FROM {sql_values(HEADINGS, 'name, level')} UNION ALL SELECT {_TITLE}, CASE WHEN p_partkey % 3 < 2 AND p_partkey % 300 < 256 THEN p_partkey % 300 END FROM part")
 def heading_level(spark, sf_dir):
-    return values(spark, [(n,) for n, _ in HEADINGS], "name string").select("name", T.heading_level(F.col("name")).alias("level"))
+    names = values(spark, [(n,) for n, _ in HEADINGS], "name string").unionByName(read(spark, sf_dir, "part").select(F.expr(_TITLE).alias("name")))
+    return names.select("name", T.heading_level(F.col("name")).alias("level"))
 
 
 FIELDS = [(" PAGE \\* MERGEFORMAT ", True), ("page", True), ("PAGEREF x", False), ("NUMPAGES", False), ("", False)]
 
 
-@query(f"SELECT instruction, is_page FROM {sql_values([(a, int(b)) for a, b in FIELDS], 'instruction, n')}, LATERAL (SELECT n = 1 AS is_page)")
+_ASKED = "' ' || CASE p_partkey % 3 WHEN 0 THEN 'Page ' WHEN 1 THEN 'PAGE' ELSE 'REF ' END || p_name"
+
+
+@query(f"SELECT instruction, is_page FROM {sql_values([(a, int(b)) for a, b in FIELDS], 'instruction, n')}, LATERAL (SELECT n = 1 AS is_page) UNION ALL SELECT {_ASKED}, p_partkey % 3 = 0 FROM part")
 def field_instructions(spark, sf_dir):
-    return values(spark, [(n,) for n, _ in FIELDS], "instruction string").select("instruction", T.is_page_field(F.col("instruction")).alias("is_page"))
+    asked = values(spark, [(n,) for n, _ in FIELDS], "instruction string").unionByName(read(spark, sf_dir, "part").select(F.expr(_ASKED).alias("instruction")))
+    return asked.select("instruction", T.is_page_field(F.col("instruction")).alias("is_page"))
 
 
 @query("""
@@ -280,31 +297,46 @@ def unit_lengths(spark, sf_dir):
 LENGTHS = [(45, "0.0312in"), (1440, "1in"), (720, "0.5in"), (0, "0in"), (2148, "1.4917in"), (40, "0.0278in"), (100, "0.0694in")]
 
 
-@query(f"SELECT twips, length FROM {sql_values(LENGTHS, 'twips, length')}")
+@query(f"SELECT twips, length FROM {sql_values(LENGTHS, 'twips, length')} UNION ALL SELECT CAST(p_partkey * 7 AS INTEGER), {_LENGTH.format('(p_partkey * 7 / 1440.0::DOUBLE)')} || 'in' FROM part")
 def unit_anchors(spark, sf_dir):
-    return values(spark, [(n,) for n, _ in LENGTHS], "twips int").select("twips", U.twips(F.col("twips")).alias("length"))
+    lengths = values(spark, [(n,) for n, _ in LENGTHS], "twips int").unionByName(read(spark, sf_dir, "part").select((F.col("p_partkey") * 7).cast("int").alias("twips")))
+    return lengths.select("twips", U.twips(F.col("twips")).alias("length"))
 
 
 TINTED = [("#4472C4", 0x66, None, "#B4C6E7"), ("#4472C4", 0x99, None, "#8EAADB"), ("#808080", None, 255, "#808080"), ("#000000", None, None, "#000000"), ("#FFFFFF", None, 0, "#000000")]
 
 
-@query(f"SELECT color, CAST(tint AS INTEGER) AS tint, CAST(shade AS INTEGER) AS shade, result FROM {sql_values(TINTED, 'color, tint, shade, result')}")
+_GREY = "p_partkey % 256"
+_LIGHT = f"(({_GREY})::REAL / 255::REAL * ((p_partkey * 7 % 256)::REAL / 255::REAL))::REAL"
+_TINTED = f"least(greatest(({_LIGHT} * ((p_partkey * 3 % 256)::REAL / 255::REAL))::REAL + (1::REAL - (p_partkey * 3 % 256)::REAL / 255::REAL)::REAL, 0::REAL), 1::REAL)"
+
+
+@query(
+    f"SELECT color, CAST(tint AS INTEGER) AS tint, CAST(shade AS INTEGER) AS shade, result FROM {sql_values(TINTED, 'color, tint, shade, result')} UNION ALL "
+    f"SELECT '#' || repeat(lpad(upper(to_hex({_GREY})), 2, '0'), 3), CAST(p_partkey * 3 % 256 AS INTEGER), CAST(p_partkey * 7 % 256 AS INTEGER), '#' || repeat(lpad(upper(to_hex(CAST(floor(({_TINTED} * 255::REAL)::REAL) AS BIGINT))), 2, '0'), 3) FROM part"
+)
 def theme_tint(spark, sf_dir):
-    rows = values(spark, [r[:3] for r in TINTED], "color string, tint int, shade int")
+    """Colours with a known result, and a grey for each part."""
+    grey = F.lpad(F.hex(F.col("p_partkey") % 256), 2, "0")
+    parts = read(spark, sf_dir, "part").select(F.concat(F.lit("#"), F.repeat(grey, F.lit(3))).alias("color"), (F.col("p_partkey") * 3 % 256).cast("int").alias("tint"), (F.col("p_partkey") * 7 % 256).cast("int").alias("shade"))
+    rows = values(spark, [r[:3] for r in TINTED], "color string, tint int, shade int").unionByName(parts)
     return rows.withColumn("result", U.theme_shade(F.col("color"), F.col("tint"), F.col("shade")))
 
 
 COLORS = [("AUTO", "black"), ("#WINDOWTEXT", "black"), ("WINDOW", "white"), ("#BFBFBF", 'rgb("#BFBFBF")'), ("abc", 'rgb("#abc")'), ("reddish", 'rgb("reddish")')]
 
 
-@query(f"SELECT color, rendered FROM {sql_values(COLORS, 'color, rendered')}")
+@query(f"SELECT color, rendered FROM {sql_values(COLORS, 'color, rendered')} UNION ALL SELECT '#' || lpad(to_hex(p_partkey), 6, '0'), 'rgb(\"#' || lpad(to_hex(p_partkey), 6, '0') || '\")' FROM part UNION ALL SELECT p_brand, 'rgb(\"' || p_brand || '\")' FROM part")
 def colors(spark, sf_dir):
-    return values(spark, [(n,) for n, _ in COLORS], "color string").select("color", U.render_color(F.col("color")).alias("rendered"))
+    parts = read(spark, sf_dir, "part")
+    codes = parts.select(F.concat(F.lit("#"), F.lpad(F.hex("p_partkey"), 6, "0")).alias("color")).unionByName(parts.select(F.col("p_brand").alias("color")))
+    return values(spark, [(n,) for n, _ in COLORS], "color string").unionByName(codes).select("color", U.render_color(F.col("color")).alias("rendered"))
 
 
-@query(f"SELECT name, color FROM {sql_values([*U.HIGHLIGHTS.items(), ('none', None), ('pink', None)], 'name, color')}")
+@query(f"WITH h AS (SELECT * FROM {sql_values([*U.HIGHLIGHTS.items(), ('none', None), ('pink', None)], 'name, color')}) SELECT name, color FROM h UNION ALL SELECT split_part(p_name, ' ', 1), color FROM part LEFT JOIN h ON name = split_part(p_name, ' ', 1)")
 def highlights(spark, sf_dir):
-    return values(spark, [(n,) for n in [*U.HIGHLIGHTS, "none", "pink"]], "name string").select("name", U.highlight(F.col("name")).alias("color"))
+    words = read(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
+    return values(spark, [(n,) for n in [*U.HIGHLIGHTS, "none", "pink"]], "name string").unionByName(words).select("name", U.highlight(F.col("name")).alias("color"))
 
 
 # Sequences ----------------------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Packages to markup on tables of nodes: styles, pieces, paragraphs, lists, tables and their text as DataFrames.
 
 Python takes packages apart into nodes, and cells to their columns; all else is column expressions, windows and
-aggregates. Nodes are dealt by document once, and what follows groups inside documents, so it needs no other exchange
-of them. Written so far: headings, paragraphs with styles by inheritance, runs, breaks, bookmarks, links, fields, nested lists,
+aggregates. Nodes move with their run, runs with their document, and all that follows groups inside documents, so it
+needs no other exchange of them. Written so far: headings, paragraphs with styles by inheritance, runs, breaks, bookmarks, links, fields, nested lists,
 tables with spans, merges, fills and borders, nested tables, page sizes and margins. Drawings, equations, notes,
 headers, themes, table styles, fonts of the profile and exact row heights are convert()'s.
 """
@@ -420,7 +420,7 @@ def typeset(packages: DataFrame, profile: dict | None = None, runtime_file: str
     profile: paragraph styles by id or name, with their heading_level. A package without a readable body fails. doc_id
     tells packages apart: two of one name are taken for one. An empty table gives no rows.
     """
-    shredded = P.nodes(packages, PARTS, max_package_bytes).repartition("doc_id")
+    shredded = P.nodes(packages, PARTS, max_package_bytes)
     nodes = cut_off(shredded.withColumn("prop", F.when(is_property(), F.col("tag"))))
     body = nodes.where((F.col("part") == BODY) & F.col("tag").isNotNull())
     catalog = style_catalog(nodes).join(number_catalog(nodes), "doc_id", "full").join(link_catalog(nodes), "doc_id", "full")
