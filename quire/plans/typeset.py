@@ -395,9 +395,13 @@ def table_markup() -> Column:
         F.lit("  columns: "), columns, F.lit(",\n"), head, lines(F.filter(cells, lambda c: c["row"] > header), "  "), F.lit(")"),
     )
     size = F.coalesce(U.twips(F.col("wide")), F.concat(U.number(F.col("wide_share") / F.lit(50.0)), F.lit("%")))
-    out = F.when(size.isNotNull(), F.concat(F.lit("#block(width: "), size, F.lit(", breakable: true)["), out, F.lit("]"))).otherwise(out)
-    out = F.when(F.col("indent") > 0, F.concat(F.lit("#pad(left: "), U.twips(F.col("indent")), F.lit(")["), out, F.lit("]"))).otherwise(out)
-    return F.when(F.col("align").isin("center", "right"), F.concat(F.lit("#align("), "align", F.lit(")["), out, F.lit("]"))).otherwise(out)
+    around = [
+        F.when(F.col("align").isin("center", "right"), F.concat(F.lit("#align("), "align", F.lit(")["))),
+        F.when(F.col("indent") > 0, F.concat(F.lit("#pad(left: "), U.twips(F.col("indent")), F.lit(")["))),
+        F.concat(F.lit("#block(width: "), size, F.lit(", breakable: true)[")),
+    ]
+    # told once, between what opens and what closes: an expression that holds itself twice at each step grows beyond all bounds
+    return F.concat(F.concat_ws("", *around), out, F.concat_ws("", *[F.when(x.isNotNull(), "]") for x in around]))
 
 
 def nested_blocks(blocks: DataFrame, keys: list[str], levels: list[int]) -> DataFrame:
@@ -440,7 +444,8 @@ def typeset(packages: DataFrame, profile: dict | None = None, runtime_file: str
             inner = text_blocks.where(F.col("nesting") == level + 1)
             inner = inner if lower is None else inner.unionByName(lower)
             contents = container_texts(nested_blocks(inner, ["doc_id", "container"], levels), ["doc_id", "container"])
-            lower = rendered_tables(tables.where(F.col("where.nesting") == level), placed.where(F.col("where.nesting") == level), contents)
+            # several results read a level's tables: each is worked out once
+            lower = cut_off(rendered_tables(tables.where(F.col("where.nesting") == level), placed.where(F.col("where.nesting") == level), contents))
         blocks = text_blocks.where("nesting = 0").unionByName(lower)
     sectioned = blocks.join(layout, "doc_id", "left").withColumn("section", F.size(F.filter(F.coalesce("section_ends", F.array().cast("array<bigint>")), lambda e: e < F.col("at"))))
     top = nested_blocks(sectioned.drop("section_ends", "page"), ["doc_id", "section"], levels)

@@ -240,3 +240,42 @@ def test_all_that_pages_say(spark):
         text = re.sub(r"(?s)<!--.*?-->|<head>.*?</head>|<!DOCTYPE[^>]*>|<(script|style)>.*?</\1>", "", r["html"])
         blocks = [unescape(inner.sub(" ", x)) for x in re.split(r"<(?!/?(?:b|i|a|br)\b)[^>]*>", text)]
         assert found.get(str(r["page_id"]), []) == [y for x in blocks if (y := "".join(x.split()))]
+
+
+def test_borders_by_table_styles(spark):
+    from quire.operators.body import Body
+    from quire.operators.markup import line
+    from quire.operators.office import FLAGS, REGIONS, Catalogs, Package
+    from quire.plans.table_styles import cell_borders
+
+    r = random.Random(12)
+    size = lambda: f'w:val="{r.choice(["single", "double", "nil"])}" w:sz="{r.randint(1, 30)}"{r.choice(["", " w:color=" + chr(34) + "0a0b0c" + chr(34)])}'
+    borders = lambda tag, names: f"<w:{tag}>" + "".join(f"<w:{n} {size()}/>" for n in names if r.random() < 0.35) + f"</w:{tag}>"
+    outer = ("top", "left", "bottom", "right", "start", "end")
+    inner = (*outer, "insideH", "insideV")
+    region = lambda name: f'<w:tblStylePr w:type="{name}"><w:tblPr>{borders("tblBorders", inner)}</w:tblPr><w:tcPr>{borders("tcBorders", outer)}</w:tcPr></w:tblStylePr>'
+
+    def style(name, parent):
+        bands = "".join(f'<w:{t} w:val="{r.randint(0, 3)}"/>' for t in ("tblStyleRowBandSize", "tblStyleColBandSize") if r.random() < 0.5)
+        regions = "".join(region(x) for x in (*REGIONS, "neCell") if r.random() < 0.5)
+        return f'<w:style w:type="table" w:styleId="{name}">{f"<w:basedOn w:val={chr(34)}{parent}{chr(34)}/>" if parent else ""}<w:tblPr>{bands}{borders("tblBorders", inner)}</w:tblPr>{regions}</w:style>'
+
+    marks = lambda: "<w:cnfStyle " + " ".join(f'w:{f}="{r.choice([0, 1])}"' for f in FLAGS if r.random() < 0.2) + "/>" if r.random() < 0.3 else ""
+    cell_ = lambda: f'<w:tc><w:tcPr>{marks()}<w:gridSpan w:val="{r.choice([1, 1, 2])}"/>{borders("tcBorders", outer) if r.random() < 0.3 else ""}</w:tcPr><w:p/></w:tc>'
+
+    def table():
+        look = "<w:tblLook " + " ".join(f'w:{n}="{r.choice(["0", "1", ""])}"' for n in ("firstRow", "lastRow", "firstColumn", "lastColumn", "noHBand", "noVBand") if r.random() < 0.6) + "/>" if r.random() < 0.8 else ""
+        rows = "".join(f"<w:tr><w:trPr>{marks()}</w:trPr>{''.join(cell_() for _ in range(r.randint(1, 4)))}</w:tr>" for _ in range(r.randint(1, 5)))
+        return f'<w:tbl><w:tblPr><w:tblStyle w:val="{r.choice("ABCDX")}"/>{look}{borders("tblBorders", inner) if r.random() < 0.4 else ""}</w:tblPr>{rows}</w:tbl>'
+
+    docs, want = {}, {}
+    for d in range(15):
+        styles = f"<w:styles {WORD}>" + "".join(style(n, p) for n, p in (("A", None), ("B", "A"), ("C", "B"), ("D", "gone"))) + "</w:styles>"
+        docs[f"d{d}"] = package({"word/document.xml": document("".join(table() for _ in range(4))), "word/styles.xml": styles})
+        held = Package(docs[f"d{d}"])
+        for t, found in enumerate(x for s in Body(held, Catalogs(held)).read().sections for x in s["blocks"] if x["is"] == "table"):
+            want |= {(f"d{d}", t, i, j, side): line(x) for i, row in enumerate(found["rows"], 1) for j, c in enumerate(row["cells"], 1) for side, x in c["borders"].items()}
+    nodes = P.nodes(spark.createDataFrame([(k, bytearray(v)) for k, v in docs.items()], "doc_id string, content binary"), ("word/document.xml", "word/styles.xml")).cache()
+    rows = cell_borders(nodes).collect()
+    number = {(d, n): i for d in docs for i, n in enumerate(sorted({x["tbl"] for x in nodes.where("tag = 'tbl'").selectExpr("doc_id", "node_id AS tbl").collect() if x["doc_id"] == d}))}
+    assert {(x["doc_id"], number[x["doc_id"], x["tbl"]], x["row"], x["place"], x["side"]): x["line"] for x in rows} == want and len(want) > 300
