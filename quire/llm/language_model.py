@@ -2,8 +2,8 @@
 
 The model's outcomes are the end of a text, the most frequent words, and classes of the other words by their last bytes.
 A word of a class has the class's probability times (c + 1) / (n + v + 1), c its own count, n and v the class's tokens
-and words in training; the spare 1 stands for all words that training never saw. So the probabilities of all words sum
-to at most 1, and every text has one.
+and words in training; the spare 1 stands for all words that training never saw. Those are one event here: the
+probabilities of all words that training saw, and of that event, sum to at most 1, and every text has one.
 
 Counts of words and of neighbouring outcomes cover the whole training part. The log-bilinear scores u.r + b of outcome
 pairs are trained in numpy by noise-contrastive estimation on all those pairs, with the noise's expectation in place of
@@ -181,7 +181,8 @@ def score(docs: DataFrame, outcomes: int = OUTCOMES, words: int = WORDS, frequen
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Both scores are log10 probabilities. A null or empty text is one token, its end. Without training rows all counts
-    are 0. Rows that repeat a doc_id count as often as they occur.
+    are 0. Rows that repeat a doc_id count as often as they occur. Very long texts are scored whole. Other columns aren't
+    read, whatever their names; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     every = texts(docs)

@@ -58,7 +58,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """One row for each row of docs: doc_id, size, source_size, target, taken, copies.
 
     A null text has size 0, a null source is a source of its own and comes last. Rows that repeat a doc_id share its
-    draw. An empty table gives no rows; if all sizes are 0, nothing is taken.
+    draw. An empty table gives no rows; if all sizes are 0, nothing is taken. Very long texts count with all their words;
+    columns besides doc_id, text and source aren't read, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.table(docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), n_words(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("draw")), "sized")
@@ -74,7 +75,10 @@ def _copied(rows: DataFrame) -> DataFrame:
 
 
 def emit_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs."""
+    """The documents of the mix, each as often as it is taken, with the columns of docs, whatever their names.
+
+    Nulls, repeated rows, very long texts and empty tables are as in mix(); a source of size 0 gives nothing.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
     keyed = docs.select(packed(docs), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), draw(F.col("doc_id"), F.col("text"), seed).alias("draw"))
     sized = scratch.table(docs.select("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), n_words(F.col("text")).alias("size")), "sized")

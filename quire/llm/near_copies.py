@@ -379,8 +379,8 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     """The row of docs with the smallest doc_id (null last) of each group of near copies, with all columns of docs.
 
     Null, empty and blank texts are one group. A text of fewer than WIDTH words is one shingle. Very long texts are cut
-    into words block by block. Rows without an id, or that repeat one, are told apart by a written key. An empty table
-    stays empty.
+    into words block by block. Rows without an id, or that repeat one, are told apart by a written key. Columns may
+    have any names. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = numbered(docs, scratch)

@@ -118,7 +118,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is one piece, its end id. Rows that repeat a doc_id are documents of their own. Pieces of
-    equal length take their places in the order of doc_id (null first) and start.
+    equal length take their places in the order of doc_id (null first) and start; those that tie in both are alike. Very
+    long texts are cut at multiples of the capacity as they are encoded. Other columns aren't read, whatever their names; an
+    empty table gives no rows.
     """
     import numpy as np
 

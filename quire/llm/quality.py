@@ -147,6 +147,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and fails. A null language or source counts as an empty one. Very long texts are
     measured block by block. Rows that repeat a doc_id are rows of their own; an empty table gives no rows.
+    Other columns aren't read, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.table(measured(docs), "measured")

@@ -60,7 +60,9 @@ def size_class(size):
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, law (`bytes`), shard, slot, grown_shard (null).
 
-    A null text is an empty one and in a group with it. Slots follow the digest, then doc_id (null first).
+    A null text is an empty one and in a group with it. Slots follow the digest, then doc_id (null first); repeated rows
+    are rows of their own in one group, and rows that tie in both take slots next to each other. Very long texts count with
+    all their bytes. Other columns aren't read, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")

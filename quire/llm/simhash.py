@@ -273,7 +273,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, f
     """One row for each row of docs: doc_id, fingerprint, component_id.
 
     The component is named by the smallest doc_id in it. Rows without a doc_id take part and get the component's name;
-    it is null only where no row of the component has one.
+    it is null only where no row of the component has one. A null text has no words, like an empty one: fingerprint 0.
+    Very long texts are cut into words block by block. Repeated rows have one fingerprint and are one node, but rows of the
+    result each. Other columns aren't read, whatever their names; an empty table gives no rows. A bucket that is still full
+    after three deals, of fingerprints that share all bits dealt by, is told apart in one task.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs, shingle), "fingerprints")
@@ -300,7 +303,7 @@ def one_of_each(rows: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFra
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The row of docs with the smallest doc_id (null last) of each component, with all columns of docs."""
+    """The row of docs with the smallest doc_id (null last) of each component, with all columns of docs; nulls, repeated rows and empty tables as in near_duplicates()."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = numbered(docs, scratch)
     groups = near_duplicates(rows.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")))

@@ -2,7 +2,8 @@
 
 Suffixes are ordered only through DEPTH bytes, by passes over digits of DIGIT bytes, the most significant first; a digit
 stands for its bytes by a 64-bit hash. Suffixes whose group has one member drop out after each pass, and groups that are
-left after the last are exactly the repeated windows of DEPTH bytes: their bytes are compared.
+left after the last are exactly the repeated windows of DEPTH bytes: their bytes are compared. Only the windows of a
+digit with over MOST anchors, where a share of them has over MOST rows too, are told by 128-bit digests of their bytes.
 
 Not every suffix takes part in the first, distributed pass. Equal windows hold equal digits in the same places, so both
 have their least digit, the leftmost of equals, in the same place: the anchor. Windows with one anchor follow one
@@ -301,7 +302,8 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, most
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges that go).
 
     A null text is empty. A text that occurs more than once, and has `depth` bytes, goes whole. Rows that repeat a
-    doc_id are documents of their own. `depth` must be a multiple of `digit`.
+    doc_id are documents of their own. `depth` must be a multiple of `digit`. Very long texts are cut into parts that
+    overlap, so no window is missed. Other columns aren't read, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")

@@ -31,6 +31,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     path: the tokenizer's file, at the same place on every machine. A null text is empty: 0 bytes, 0 tokens. Very long
     texts are looked up block by block. Rows that repeat a doc_id are rows of their own; an empty table gives no rows.
+    Other columns aren't read, whatever their names.
     """
     encoder = on_workers(docs.sparkSession, count_encoder, path, lengths(path, frequent_words(docs)))
 

@@ -111,7 +111,9 @@ def url_filter(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, su
     """One row for each row of pages: page_id, host, path, rule, verdict, mined (whether a mined rule matches).
 
     labels: doc_id, quality, toxic for some pages by page_id; a page is bad if toxic or of quality 0. A page with several
-    labels counts once for each. Null labels are no labels; a null url has neither host nor path nor tokens.
+    labels counts once for each. Null labels are no labels; a null url has neither host nor path nor tokens. Very long urls
+    count with all their tokens. Of fixed rules of one length that fit, the one listed last counts; mined rules that tie all block.
+    Repeated rows are rows of their own; pages without labels leave only the fixed rules, no pages give no rows.
     """
     ship_package(pages.sparkSession)
     host, path = host_and_path(F.col("url"))
