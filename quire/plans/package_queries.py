@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.office import font_rights
 from quire.plans import convert as C
-from quire.plans.page_markup import page_markup
+from quire.plans.page_markup import elements, page_markup
 from quire.plans.queries import _MARKUP, query, read, sql_values
 from quire.plans.typeset import typeset
 from quire.sources import build as B
@@ -125,8 +125,8 @@ def embedded_license(spark, sf_dir):
 
 @query()
 def markup_nodes(spark, sf_dir):
-    """Pages as nodes, texts among them, with their places among siblings of their name."""
-    return page_nodes(read(spark, sf_dir, "pages")).select("doc_id", "node_id", "parent_id", "depth", "tag", "path", "text")
+    """Pages as nodes with their own texts and their places among siblings of their name."""
+    return elements(page_nodes(read(spark, sf_dir, "pages")))
 
 
 @query()

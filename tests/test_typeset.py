@@ -222,7 +222,7 @@ def test_page_blocks(spark):
     nodes = page_nodes(spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<p></p>")], "page_id long, html string"))
     blocks = [(r["tag"], r["text"]) for r in sorted(page_blocks(nodes).collect(), key=lambda r: r["at"])]
     assert blocks == [("div", "before"), ("p", "one two\nthree"), ("p", "four five"), ("li", "a"), ("li", "b c"), ("div", "after"), ("h2", "Head\nline"), ("td", "1"), ("td", "2"), ("th", "3"), (None, "&end")]
-    found = {r["doc_id"]: r["markup"] for r in page_markup(nodes).collect()}
+    found = {r["doc_id"]: r["markup"] for r in page_markup(nodes, "\\\n").collect()}
     assert found["1"] == "before\n\none two\\\nthree\n\nfour five\n\n- a\n\n- b c\n\nafter\n\n== Head line\n\n1\n\n2\n\n3\n\n&end" and found["4"] == "" and set(found) == {"1", "4"}
 
 
