@@ -40,3 +40,21 @@ def visible_text(outer: DataFrame, nodes: DataFrame, tags: tuple[str, ...] = ("t
     told = found.groupBy("doc_id", "part", F.col("_outer").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("at"), "_said"))).alias("_all"))
     texts = told.select("doc_id", "part", "node_id", F.array_join(F.transform("_all", lambda x: x["_said"]), " ").alias("visible"))
     return outer.select("doc_id", "part", "node_id").join(texts, ["doc_id", "part", "node_id"], "left")
+
+
+def lies_in(inner: DataFrame, tags: tuple[str, ...], name: str = "outer_id") -> DataFrame:
+    """within() for outer nodes that are told by their tags alone: each row of inner with the node_id of every such node that it lies in, itself included.
+
+    A node brings numbers and tags of the nodes above it, so nothing is joined or moved.
+    """
+    own = F.array_append("above", F.struct("node_id", "tag"))
+    return inner.withColumn(name, F.explode(F.transform(F.filter(own, lambda x: x["tag"].isin(*tags)), lambda x: x["node_id"])))
+
+
+def visible_in(nodes: DataFrame, outer: tuple[str, ...], tags: tuple[str, ...] = ("t", "instrText"), **more: Column) -> DataFrame:
+    """visible_text() of the nodes with the tags of `outer`, in one pass: nodes are read once and grouped by what they lie in. more: further aggregates over those rows."""
+    said = F.when(F.col("tag").isin(*tags), F.nullif(trim_space(F.col("text")), F.lit("")))
+    found = lies_in(nodes.where(F.col("tag").isin(*outer, *tags)).withColumn("_said", said), outer, "_outer")
+    texts = F.array_sort(F.collect_list(F.when(F.col("_said").isNotNull(), F.struct(F.col("node_id").alias("at"), "_said"))))
+    told = found.groupBy("doc_id", "part", F.col("_outer").alias("node_id")).agg(texts.alias("_all"), *[c.alias(k) for k, c in more.items()])
+    return told.select("doc_id", "part", "node_id", F.when(F.size("_all") > 0, F.array_join(F.transform("_all", lambda x: x["_said"]), " ")).alias("visible"), *more)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.operators import tree
 from quire.plans import convert as C
 from quire.plans.queries import _MARKUP, query, read
 from quire.plans.typeset import typeset
@@ -20,7 +21,7 @@ def _cell(text: str, props: str = "") -> str:
 
 def from_orders(spark, sf_dir):
     """A package for each customer with orders: a table with a spanning head, a merged column, and borders by priority."""
-    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("orders"))
+    orders = B.spread(read(spark, sf_dir, "orders"), "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("orders"))
 
     def make(row):
         found = row["orders"]
@@ -61,7 +62,7 @@ def page_links(spark, sf_dir):
         return {"word/document.xml": B.document(f'<w:p><w:hyperlink r:id="h1">{B.run(row["url"])}</w:hyperlink></w:p>'), "word/_rels/document.xml.rels": B.relationships({"h1": (row["url"], "External")})}
 
     pages = read(spark, sf_dir, "pages").where("url IS NOT NULL").select(F.col("page_id").alias("doc_id"), "url")
-    return typeset(B.build(pages, make)).select("doc_id", "markup")
+    return typeset(B.build(B.spread(pages, "doc_id"), make)).select("doc_id", "markup")
 
 
 CHART = '<w:r><w:drawing><x:graphicData xmlns:x="u" uri="http://schemas.openxmlformats.org/drawingml/2006/chart"/></w:drawing></w:r>'
@@ -77,7 +78,7 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN chart THEN 'drawing:chart' E
 def label_fallbacks(spark, sf_dir):
     """What can't be shown: charts for toxic documents, equations for others, with their diagnostics and assets."""
     labels = read(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
-    made = C.convert(B.build(labels, lambda row: {"word/document.xml": B.document(f"<w:p>{CHART if row['toxic'] == 1 else EQUATION}</w:p>")}))
+    made = C.convert(B.build(B.spread(labels, "doc_id"), lambda row: {"word/document.xml": B.document(f"<w:p>{CHART if row['toxic'] == 1 else EQUATION}</w:p>")}))
     told = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), ",")
     rows = made.select(
         "doc_id", F.array_join("fallback_inventory", ",").alias("inventory"), told("diagnostics", "code").alias("codes"), told("diagnostics", "severity").alias("severities"), told("diagnostics", "path").alias("paths"),
@@ -107,7 +108,7 @@ def run_styles(spark, sf_dir):
         bits = lambda t: (t["turn"] * 37 + row["doc_id_n"]) & ((1 << len(WRAPS)) - 1)
         return {"word/document.xml": B.document("".join(B.paragraph(f"turn {t['turn']} of {t['role']}", "", "".join(p for i, (p, _) in enumerate(WRAPS) if bits(t) >> i & 1)) for t in row["turns"]))}
 
-    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.first("conv_id").alias("doc_id_n"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    turns = B.spread(read(spark, sf_dir, "conversations"), "conv_id").groupBy(F.col("conv_id").alias("doc_id")).agg(F.first("conv_id").alias("doc_id_n"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
     return typeset(B.build(turns, make)).select("doc_id", "paragraphs", "markup")
 
 
@@ -133,7 +134,7 @@ def page_setups(spark, sf_dir):
         }
 
     customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("doc_id_n"), "c_nationkey", "c_name", "c_mktsegment")
-    return C.convert(B.build(customers, make)).select("doc_id", "markup")
+    return C.convert(B.build(B.spread(customers, "doc_id"), make)).select("doc_id", "markup")
 
 
 @query(
@@ -145,7 +146,7 @@ def nodes_within(spark, sf_dir):
     """Containment join: the cells and paragraphs of a package's table rows."""
     from quire.sources import package as P
 
-    nodes = P.nodes(from_orders(spark, sf_dir), ("word/document.xml",)).select("doc_id", "part", "node_id", "tag", "above")
-    inside = P.within(nodes.where("tag = 'tr'"), nodes.where("tag IN ('tr', 'tc', 'p')"), "row_id")
+    nodes = P.nodes(from_orders(spark, sf_dir), ("word/document.xml",), tags=("tr", "tc", "p"), columns=("doc_id", "node_id", "tag", "above"))
+    inside = tree.lies_in(nodes, ("tr",), "row_id")
     count = lambda tag: F.count_if(F.col("tag") == tag)
     return inside.groupBy("doc_id").agg(count("tr").alias("rows_"), count("tc").alias("cells"), count("p").alias("texts_in_rows"))

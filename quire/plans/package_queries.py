@@ -45,7 +45,7 @@ def package_roundtrip(spark, sf_dir):
 
 def from_conversations(spark, sf_dir):
     """A package for each conversation: system turns as headings, user turns in an inherited style, others as list items."""
-    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turns = B.spread(read(spark, sf_dir, "conversations"), "conv_id").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     props = {"system": '<w:pStyle w:val="Top"/>', "user": '<w:pStyle w:val="Told"/>'}
 
     def make(row):

@@ -27,6 +27,8 @@ from quire.sources import package as P
 
 BODY = "word/document.xml"
 PARTS = (BODY, "word/styles.xml", "word/numbering.xml", "word/_rels/document.xml.rels")
+#: What is read of nodes here.
+NODE_COLUMNS = ("doc_id", "part", "node_id", "end_id", "parent_id", "tag", "attrs", "text", "path", "error", "above")
 #: What a piece may lie in between its paragraph and its run.
 AROUND = ("hyperlink", "smartTag", "customXml", "sdt", "sdtContent", "fldSimple", "r")
 #: Stands between the segments of a paragraph while they are one string; markup can't hold it.
@@ -424,7 +426,7 @@ def typeset(packages: DataFrame, profile: dict | None = None, runtime_file: str
     profile: paragraph styles by id or name, with their heading_level. A package without a readable body fails. doc_id
     tells packages apart: two of one name are taken for one. An empty table gives no rows.
     """
-    shredded = P.nodes(packages, PARTS, max_package_bytes)
+    shredded = P.nodes(packages, PARTS, max_package_bytes, columns=NODE_COLUMNS)
     nodes = cut_off(shredded.withColumn("prop", F.when(is_property(), F.col("tag"))))
     body = nodes.where((F.col("part") == BODY) & F.col("tag").isNotNull())
     catalog = style_catalog(nodes).join(number_catalog(nodes), "doc_id", "full").join(link_catalog(nodes), "doc_id", "full")

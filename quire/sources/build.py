@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.session import ship_package
+from quire.plans.session import ship_package, spread  # noqa: F401  callers find spread() beside build()
 
 WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 TYPES = (
@@ -50,6 +50,10 @@ def paragraph(text: str, props: str = "", run_props: str = "") -> str:
     return f"<w:p>{f'<w:pPr>{props}</w:pPr>' if props else ''}{run(text, run_props) if text else ''}</w:p>"
 
 
+#: Rows that become packages at once, so that a worker holds few of them.
+ROWS_AT_ONCE = 64
+
+
 def build(rows: DataFrame, make) -> DataFrame:
     """doc_id, content from doc_id and whatever columns make(row) turns into the parts of a package."""
     import pyarrow as pa
@@ -58,7 +62,8 @@ def build(rows: DataFrame, make) -> DataFrame:
 
     def run_all(batches):
         for batch in batches:
-            made = [(str(r["doc_id"]), package(make(r))) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.string()), pa.array([b for _, b in made], pa.binary())], names=["doc_id", "content"])
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                made = [(str(r["doc_id"]), package(make(r))) for r in batch.slice(i, ROWS_AT_ONCE).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.string()), pa.array([b for _, b in made], pa.binary())], names=["doc_id", "content"])
 
     return rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(run_all, "doc_id string, content binary")
