@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import trim_space
 from quire.operators.firsts import first_use_numbers
 from quire.operators.office import R
 from quire.operators.sequences import coming_first
-from quire.operators.tree import above, nearest, visible_text
+from quire.operators.tree import above, nearest
 from quire.plans.typeset import BODY, SIDES, attr, link_catalog, whole
 
 KINDS = ("header", "footer")
@@ -22,18 +23,20 @@ def section_ends(nodes: DataFrame) -> DataFrame:
     node that belongs to its section. Of several references of one kind the last whose part can be read counts.
     """
     body = nodes.where(F.col("part") == BODY)
-    ends = body.where((F.col("tag") == "sectPr") & above(1).isin("pPr", "body")).select("doc_id", F.col("node_id").alias("end"))
-    ends = ends.withColumn("section", F.row_number().over(Window.partitionBy("doc_id").orderBy("end")))
-    inner = body.where(above(1) == "sectPr").withColumn("end", nearest("sectPr"))
-    size = lambda tag, name: F.min_by(whole(attr(name)), F.when(F.col("tag") == tag, F.col("node_id")))
-    pages = inner.groupBy("doc_id", "end").agg(F.struct(*[size(*x).alias(k) for k, x in SIZES.items()]).alias("page"))
-    named = inner.where(F.col("tag").isin(*[f"{k}Reference" for k in KINDS])).select("doc_id", "end", "node_id", F.regexp_replace("tag", "Reference$", "").alias("kind"), F.coalesce(attr("id", R), F.lit("")).alias("id"))
-    named = named.join(link_catalog(nodes), "doc_id").withColumn("part", F.try_element_at("targets", F.col("id"))).drop("targets")
-    roots = nodes.where((F.col("part") != BODY) & (F.col("depth") == 0))
-    texts = visible_text(roots, nodes.where(F.col("part") != BODY)).select("doc_id", "part", F.coalesce("visible", F.lit("")).alias("said"))
-    told = named.join(texts, ["doc_id", "part"]).groupBy("doc_id", "end").agg(*[F.max_by("said", F.when(F.col("kind") == k, F.col("node_id"))).alias(k) for k in KINDS])
-    out = ends.join(pages, ["doc_id", "end"], "left").join(told, ["doc_id", "end"], "left")
-    return out.select("doc_id", "section", F.col("end").alias("ends_at"), "page", *KINDS)
+    is_end, is_inner = (F.col("tag") == "sectPr") & above(1).isin("pPr", "body"), above(1) == "sectPr"
+    size = lambda tag, name: F.min_by(whole(attr(name)), F.when(is_inner & (F.col("tag") == tag), F.col("node_id")))
+    page = F.when(F.bool_or(is_inner), F.struct(*[size(*x).alias(k) for k, x in SIZES.items()]))
+    named = lambda kind: F.array_sort(F.collect_list(F.when(is_inner & (F.col("tag") == f"{kind}Reference"), F.struct("node_id", F.coalesce(attr("id", R), F.lit("")).alias("id")))))
+    held = body.where(is_end | is_inner).withColumn("end", F.when(is_end, F.col("node_id")).otherwise(nearest("sectPr")))
+    ends = held.groupBy("doc_id", "end").agg(F.bool_or(is_end).alias("_ends"), page.alias("page"), *[named(k).alias(f"_{k}") for k in KINDS]).where("_ends")
+    # what parts say and what relationships lead to lie in a map for each package, so references move with their section only
+    said = F.nullif(trim_space(F.when(F.col("tag").isin("t", "instrText"), F.col("text"))), F.lit(""))
+    texts = nodes.where((F.col("part") != BODY) & F.col("tag").isNotNull()).withColumn("_said", said).groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.when(F.col("_said").isNotNull(), F.struct("node_id", "_said")))).alias("_all"))
+    texts = texts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("part", F.array_join(F.transform("_all", lambda x: x["_said"]), " ")))).alias("_texts"))
+    out = ends.join(link_catalog(nodes), "doc_id", "left").join(texts, "doc_id", "left")
+    last_read = lambda refs: F.try_element_at(F.filter(F.transform(refs, lambda x: F.try_element_at("_texts", F.try_element_at("targets", x["id"]))), lambda t: t.isNotNull()), F.lit(-1))
+    section = F.row_number().over(Window.partitionBy("doc_id").orderBy("end"))
+    return out.select("doc_id", section.alias("section"), F.col("end").alias("ends_at"), "page", *[last_read(f"_{k}").alias(k) for k in KINDS])
 
 
 def in_sections(blocks: DataFrame, ends: DataFrame) -> DataFrame:

@@ -68,3 +68,9 @@ def test_cells_keep_all_their_columns(spark):
         began = (x["t"], *((x["origin_row"], x["origin_place"]) if x["hidden"] else (x["i"], x["j"])))
         covered[began] = covered.get(began, 0) + 1
     assert all(x["row_span"] == (None if x["hidden"] else covered[x["t"], x["i"], x["j"]]) for x in found) and any(x["hidden"] for x in found)
+
+
+def test_styles_and_sections_read_written_nodes(spark):
+    # what is left after packages were written as nodes, once, is the walks of cells
+    assert passes(grid_queries.table_style_borders(spark, DATA)) == 2
+    assert passes(grid_queries.section_setups(spark, DATA)) == 0
