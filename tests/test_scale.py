@@ -74,3 +74,17 @@ def test_styles_and_sections_read_written_nodes(spark):
     # what is left after packages were written as nodes, once, is the walks of cells
     assert passes(grid_queries.table_style_borders(spark, DATA)) == 2
     assert passes(grid_queries.section_setups(spark, DATA)) == 0
+
+
+def test_similar_pairs_in_many_cells(spark, monkeypatch):
+    from quire.operators import compare
+
+    r = random.Random(8)
+    texts = [(i, " ".join(r.choice("abcdefg") for _ in range(r.randint(1, 9)))) for i in range(40)]
+    a, b = spark.createDataFrame(texts[:25], "a int, text string"), spark.createDataFrame(texts[15:], "b int, text string")
+    want = {tuple(x) for x in compare.dice(a, "a", b, "b").where("similarity >= 70").collect()}
+    monkeypatch.setattr(compare, "CELL", 7)
+    found = compare.similar(a, "a", b, "b", 70)
+    # candidates don't become rows for each token: one cogroup counts them
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(x) for x in found.collect()} == want and len(want) > 10
