@@ -309,25 +309,30 @@ def measure(prefix: str, tag: str, under: str) -> list[Column]:
 def table_rows(body: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables (doc_id, tbl and what they set) and their cells (doc_id, tbl, row, place and what they set), from the nodes of the body."""
     kind = F.col("tag")
+    # read once for each node: the aggregates ask for them again and again
+    up, up2, val, size, line = (F.col(f"_{n}") for n in ("up", "up2", "val", "size", "line"))
+    body = body.withColumns({"_up": above(1), "_up2": above(2)}).withColumns({"_val": attr("val"), "_size": whole(attr("w")), "_line": F.when(up.isin("tcBorders", "tblBorders"), border_line())})
+    first_under = lambda under, tag, value: F.min_by(value, F.when((kind == tag) & (up == under), F.col("node_id")))
+    sides = lambda under, sides_, value: F.struct(*[F.coalesce(*[first_under(under, n, value) for n in names]).alias(side) for side, names in sides_.items()])
     in_blocks = F.forall("above", lambda x: x["tag"].isin("document", "body", "tbl", "tr", "tc"))
     cell = F.coalesce(F.when(kind == "tc", F.col("node_id")), nearest("tc"))
-    own = (kind == "tc") & in_blocks | (above(1) == "tcPr") | (above(2) == "tcPr")
+    own = (kind == "tc") & in_blocks | (up == "tcPr") | (up2 == "tcPr")
     numbers = lambda i: F.max(F.when(kind == "tc", F.regexp_extract("path", r"/tr\[(\d+)\]/tc\[(\d+)\]$", i).try_cast("long")))
-    merge = first_under("tcPr", "vMerge", F.coalesce(attr("val"), F.lit("continue")))
+    merge = first_under("tcPr", "vMerge", F.coalesce(val, F.lit("continue")))
     fill = first_under("tcPr", "shd", F.when(attr("fill") != "auto", U.hex_color(attr("fill"))))
     cells = body.where(own).groupBy("doc_id", cell.alias("tc")).agg(
-        F.max(F.when(kind == "tc", nearest("tbl"))).alias("tbl"), F.max(F.when(kind == "tc", above(1) == "tr")).alias("in_row"), F.max(F.when(kind == "tc", F.col("parent_id"))).alias("tr"), numbers(1).alias("row"), numbers(2).alias("place"), F.coalesce(first_under("tcPr", "gridSpan", whole(attr("val"))), F.lit(1)).alias("span"), merge.alias("merge"), fill.alias("fill"),
-        first_under("tcPr", "vAlign", attr("val")).alias("valign"), sides("tcBorders", BORDER_SIDES, border_line()).alias("lines"), sides("tcMar", BORDER_SIDES, whole(attr("w"))).alias("insets"), *measure("width", "tcW", "tcPr"),
+        F.max(F.when(kind == "tc", nearest("tbl"))).alias("tbl"), F.max(F.when(kind == "tc", up == "tr")).alias("in_row"), F.max(F.when(kind == "tc", F.col("parent_id"))).alias("tr"), numbers(1).alias("row"), numbers(2).alias("place"), F.coalesce(first_under("tcPr", "gridSpan", whole(val)), F.lit(1)).alias("span"), merge.alias("merge"), fill.alias("fill"),
+        first_under("tcPr", "vAlign", val).alias("valign"), sides("tcBorders", BORDER_SIDES, line).alias("lines"), sides("tcMar", BORDER_SIDES, size).alias("insets"), *measure("width", "tcW", "tcPr"),
     ).where("tbl IS NOT NULL AND in_row")
     mine = F.coalesce(F.when(kind == "tbl", F.col("node_id")), nearest("tbl"))
     is_tbl = (kind == "tbl") & in_blocks
-    at_table = is_tbl | (above(1).isin("tblPr", "tblGrid")) | (above(2) == "tblPr") | ((above(1) == "tbl") & (kind == "tr")) | ((above(2) == "tr") & (kind == "cnfStyle"))
+    at_table = is_tbl | (up.isin("tblPr", "tblGrid")) | (up2 == "tblPr") | ((up == "tbl") & (kind == "tr")) | ((up2 == "tr") & (kind == "cnfStyle"))
     row_number = F.regexp_extract("path", r"/tr\[(\d+)\](/trPr\[1\]/cnfStyle\[1\])?$", 1).try_cast("long")
-    grid = F.array_sort(F.collect_list(F.when((kind == "gridCol") & (above(1) == "tblGrid"), F.struct(F.col("node_id"), whole(attr("w")).alias("w")))))
+    grid = F.array_sort(F.collect_list(F.when((kind == "gridCol") & (up == "tblGrid"), F.struct(F.col("node_id"), size.alias("w")))))
     tables = body.where(at_table).groupBy("doc_id", mine.alias("tbl")).agg(
-        F.max(F.when(is_tbl, F.struct(F.col("parent_id").alias("container"), above(1).alias("within"), F.size(F.filter("above", lambda x: x["tag"] == "tbl")).alias("nesting")))).alias("where"), F.transform(grid, lambda x: x["w"]).alias("grid"), F.count_if((kind == "tr") & (above(1) == "tbl")).alias("n_rows"),
-        F.collect_set(F.when((kind == "cnfStyle") & (attr("firstRow") == "1"), row_number)).alias("headed"), F.coalesce(first_under("tblPr", "tblLook", attr("firstRow")) == "1", F.lit(False)).alias("head_first"), first_under("tblPr", "jc", attr("val")).alias("align"),
-        first_under("tblPr", "tblInd", whole(attr("w"), signed=True)).alias("indent"), sides("tblBorders", BORDER_SIDES | INNER_SIDES, border_line()).alias("edges"), sides("tblCellMar", BORDER_SIDES, whole(attr("w"))).alias("margins"), *measure("spacing", "tblCellSpacing", "tblPr"), *measure("wide", "tblW", "tblPr"),
+        F.max(F.when(is_tbl, F.struct(F.col("parent_id").alias("container"), above(1).alias("within"), F.size(F.filter("above", lambda x: x["tag"] == "tbl")).alias("nesting")))).alias("where"), F.transform(grid, lambda x: x["w"]).alias("grid"), F.count_if((kind == "tr") & (up == "tbl")).alias("n_rows"),
+        F.collect_set(F.when((kind == "cnfStyle") & (attr("firstRow") == "1"), row_number)).alias("headed"), F.coalesce(first_under("tblPr", "tblLook", attr("firstRow")) == "1", F.lit(False)).alias("head_first"), first_under("tblPr", "jc", val).alias("align"),
+        first_under("tblPr", "tblInd", whole(attr("w"), signed=True)).alias("indent"), sides("tblBorders", BORDER_SIDES | INNER_SIDES, line).alias("edges"), sides("tblCellMar", BORDER_SIDES, size).alias("margins"), *measure("spacing", "tblCellSpacing", "tblPr"), *measure("wide", "tblW", "tblPr"),
     ).where(F.col("where").isNotNull())
     return tables, cells
 
