@@ -80,7 +80,7 @@ def inspect_packages(spark, sf_dir):
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS paragraphs, CAST(3 AS BIGINT) AS parts FROM documents")
 def package_nodes(spark, sf_dir):
     packages = from_documents(spark, sf_dir)
-    per_doc = P.nodes(packages, ("word/document.xml",)).groupBy("doc_id").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"))
+    per_doc = P.nodes(packages, ("word/document.xml",), tags=("p",), columns=("doc_id", "tag")).groupBy("doc_id").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"))
     return per_doc.join(P.parts(packages).groupBy("doc_id").agg(F.count("*").alias("parts")), "doc_id")
 
 
