@@ -27,8 +27,8 @@ THRESHOLD = (4, 5)
 SAMPLE, COMMON = 20_000, 4
 #: Pairs that a worker compares at once, and sets of a shingle that meet in one cell.
 PAIRS, CELL = 1 << 18, 4096
-#: A set's shingles are counted in 2**k parts, by their leading bits, with 2 to 4 shingles a part as far as k allows.
-LEAST_K, MOST_K = 6, 16
+#: A set's shingles are counted in 2**k parts, by their leading bits, with 4 shingles a part at most as far as k allows.
+LEAST_K, MOST_K = 9, 16
 #: Sets of a shingle, about, that all its sets are held against before all pairs are.
 HEADS = 32
 #: 64-bit words of the bitmap that a set's dealt shingles leave.
@@ -104,6 +104,31 @@ def _at_most_shared(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y).sum(dtype=np.int64))
 
 
+def _coarse(counts) -> np.ndarray:
+    """A row for each of the counts, with 2**LEAST_K parts. What a byte can't tell is 255, as then nothing is known of the set."""
+    n = 1 << LEAST_K
+    out = np.full((len(counts), n), 255, np.uint8)
+    for i, x in enumerate(counts):
+        if len(x) == n:
+            out[i] = np.frombuffer(x, np.uint8)
+        elif x:
+            summed = np.frombuffer(x, np.uint8).reshape(n, -1).sum(axis=1, dtype=np.int64)
+            if summed.max() < 256:
+                out[i] = summed
+    return out
+
+
+def _left_open(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b: rows of parts, see _coarse) may be near copies by what their parts can share."""
+    shared = np.empty(len(a), np.int64)
+    for i in range(0, len(a), 4096):
+        x, y = a[i : i + 4096], b[i : i + 4096]
+        shared[i : i + 4096] = np.minimum(parts[x], parts[y]).sum(axis=1, dtype=np.int64)
+    unknown = (parts == 255).any(axis=1)
+    least = np.minimum(size_a, size_b)
+    return _enough(np.where(unknown[a] | unknown[b], least, np.minimum(shared, least)), size_a, size_b)
+
+
 def _data(rows: DataFrame) -> DataFrame:
     return rows.select("at", F.coalesce("row.text", F.lit("")).cast("binary").alias("text"))
 
@@ -217,15 +242,19 @@ def _shared(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 def _unlinked(shared: DataFrame, marks: DataFrame, scratch: Scratch, name: str, heads: int = 0) -> DataFrame:
     """a, b: pairs of sets with different labels that may be near copies by the shingles that both have.
 
-    shared: hash, node, bulk, label; marks: node, marks. A shingle's sets are cut into parts of CELL at most. With heads,
+    shared: hash, node, bulk, label; marks: node, marks, counts. A shingle's sets are cut into parts of CELL at most. With heads,
     each part is a cell, and about so many sets of the shingle, as far as possible the same for all shingles, go to all
     its cells and meet all sets there, so rows and pairs grow with the sets. Without, shingles of up to HEADS sets are left
-    out, as all their sets were heads before, and each pair of parts meets in a cell of its own. Cells with one least set lie in one task, as they mostly hold the same pairs, which
+    out, as all their sets were heads before, and each pair of parts meets in a cell of its own; there pairs grow with the
+    square of a group that is alike, so those that the counts of both sets' parts rule out never become rows. Cells with one least set lie in one task, as they mostly hold the same pairs, which
     then leave it once.
     """
 
-    def made(cell, label, node, bulk, head, marks):
+    def made(cell, label, node, bulk, head, marks, counts=None):
         size, rest = bulk >> 32, bulk & ((1 << 32) - 1)
+        nodes, firsts = np.unique(node, return_index=True)
+        sizes = size[firsts]
+        parts = None if heads else _coarse(counts[firsts])
         bitmap = np.frombuffer(b"".join(marks), np.uint64).reshape(-1, MARKS)
         edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
         if heads:
@@ -237,7 +266,7 @@ def _unlinked(shared: DataFrame, marks: DataFrame, scratch: Scratch, name: str,
             turns = np.flatnonzero(np.concatenate((label[1:] != label[:-1], [True])) | np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
             begins = turns[np.searchsorted(turns, np.arange(len(cell)), side="right")]
         before = np.concatenate(([0], np.cumsum(ends - begins)))
-        held = np.empty((0, 2), np.int64)
+        held, known = np.empty((0, 2), np.int64), np.empty(0, np.int64)  # pairs to give; all that were looked at, by their places among nodes
         for start in range(0, int(before[-1]), PAIRS):
             k = np.arange(start, min(start + PAIRS, int(before[-1])))
             x = np.searchsorted(before, k, side="right") - 1
@@ -245,11 +274,19 @@ def _unlinked(shared: DataFrame, marks: DataFrame, scratch: Scratch, name: str,
             fits = (label[x] != label[y]) & _enough(1 + np.minimum(rest[x], rest[y]), size[x], size[y])
             x, y = x[fits], y[fits]
             fits = _may_share(bitmap[x], bitmap[y], size[x], size[y])
-            a, b = node[x[fits]], node[y[fits]]
-            held = np.unique(np.concatenate([held, np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)]), axis=0)
+            a, b = (np.searchsorted(nodes, node[z[fits]]) for z in (x, y))
+            new = np.setdiff1d(np.minimum(a, b) * len(nodes) + np.maximum(a, b), known)
+            known = np.union1d(known, new)
+            a, b = new // len(nodes), new % len(nodes)
+            if parts is not None:
+                fits = _left_open(a, b, sizes[a], sizes[b], parts)
+                a, b = a[fits], b[fits]
+            held = np.concatenate([held, np.stack([nodes[a], nodes[b]], axis=1)])
             if len(held) > PAIRS:
                 yield _batch(a=held[:, 0], b=held[:, 1])
                 held = held[:0]
+            if len(known) > 4 * PAIRS:
+                known = known[:0]
         if len(held):
             yield _batch(a=held[:, 0], b=held[:, 1])
 
@@ -265,7 +302,8 @@ def _unlinked(shared: DataFrame, marks: DataFrame, scratch: Scratch, name: str,
     else:
         open_ = open_.withColumn("other", F.explode(every)).withColumn("cell", F.xxhash64("hash", F.least("own", "other"), F.greatest("own", "other")))
     key = F.when(F.col("parts") > 1, F.col("cell")).otherwise(F.xxhash64("least"))
-    return _grouped(open_.join(marks, "node").select(key.alias("key"), "cell", "label", "node", "bulk", "head", "marks"), made, "a long, b long", "cell")
+    told = ["marks"] if heads else ["marks", "counts"]
+    return _grouped(open_.join(marks.select("node", *told), "node").select(key.alias("key"), "cell", "label", "node", "bulk", "head", *told), made, "a long, b long", "cell")
 
 
 def _with(pairs: DataFrame, table: DataFrame, columns: list[str], side: str, bound: int) -> DataFrame:
@@ -356,7 +394,7 @@ def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     linked = _verified(tight, rows, signs, scratch, "0")
 
     shared, looked_at = _shared(nodes, scratch), tight
-    marks = nodes.select(F.col("at").alias("node"), "marks")
+    marks = nodes.select(F.col("at").alias("node"), "marks", "counts")
     for name, heads in (("1", HEADS), ("2", 0)):
         # whole components before all pairs are looked at
         label = _labels(linked, scratch, name) if heads else scratch.table(components(linked).withColumnRenamed("component", "label"), "components")

@@ -77,6 +77,46 @@ def test_a_crowd_that_is_mostly_just_below_the_threshold(spark):
     assert sorted((False, r["doc_id"]) for r in near(spark, docs, "").collect()) == brute_kept(texts, list(range(len(texts))))
 
 
+def test_pairs_of_a_crowd_just_below_the_threshold_dont_become_rows(spark, monkeypatch):
+    r = random.Random(17)
+    base, texts = [f"w{r.randrange(3000)}" for _ in range(300)], []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(r.choice([4, 5, 5, 5])):
+            words[r.randrange(len(words))] = f"c{r.randrange(3000)}"
+        texts.append(" ".join(words))
+    texts.append(f"{texts[0]} more")
+    given, verified = {}, near_copies._verified
+
+    def counted(pairs, rows, signs, scratch, name):
+        given[name] = pairs.count()
+        return verified(pairs, rows, signs, scratch, name)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    monkeypatch.setattr(near_copies, "SAMPLE", 0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted((False, r["doc_id"]) for r in near(spark, docs, "").collect()) == brute_kept(texts, list(range(len(texts))))
+    assert given["2"] < 2 * len(texts), given
+
+
+@pytest.mark.parametrize("parts", [1, 5, 9])
+def test_what_parts_can_share_keeps_all_near_copies(monkeypatch, parts):
+    monkeypatch.setattr(near_copies, "LEAST_K", parts)
+    r = np.random.default_rng(4)
+    sizes, counts, alike = [], [], []
+    for n in (*r.integers(1, 400, 300), 3000, 70_000):
+        both, a, b = (r.integers(0, 1 << 63, k, np.uint64) * np.uint64(2) for k in (n, *r.integers(0, max(40, n // 7), 2)))
+        for s in (np.union1d(both, a), np.union1d(both, b)):
+            sizes.append(len(s))
+            counts.append(near_copies._counts(s))
+        alike.append(5 * len(both) >= 4 * (len(both) + len(a) + len(b)))
+    at = np.arange(0, len(sizes), 2)
+    sizes = np.array(sizes)
+    kept = near_copies._left_open(at, at + 1, sizes[at], sizes[at + 1], near_copies._coarse(counts))
+    assert kept[alike].all() and 0 < sum(alike) < len(alike)
+    assert parts < 9 or not kept.all()
+
+
 def test_long_chains_of_copies_are_one_group(spark):
     r, texts = random.Random(13), []
     for _ in range(4):
