@@ -12,11 +12,19 @@ def band(index: Column, size: Column) -> Column:
 
 
 def column_widths(cells: DataFrame, keys: list[str], column: str, span: str, width: str) -> DataFrame:
-    """keys, slot, width: each cell shares its width among the columns it spans, the rest to the last; the widest share wins."""
-    shares = cells.where(F.col(width).isNotNull()).withColumn("_offset", F.explode(F.sequence(F.lit(0), F.greatest(span, F.lit(1)).cast("int") - 1)))
+    """keys, slot, width: each cell shares its width among the columns it spans, the rest to the last; the widest share wins.
+
+    Slots are no keys of an aggregate, which would hold those of all tables in a task: a table's shares are gathered and
+    sorted in its own row.
+    """
     n = F.greatest(F.col(span), F.lit(1))
-    share = F.floor(F.col(width) / n) + F.when(F.col("_offset") == n - 1, F.col(width) % n).otherwise(0)
-    return shares.groupBy(*keys, (F.col(column) + F.col("_offset")).alias("slot")).agg(F.max(share).cast("long").alias("width"))
+    offsets = F.sequence(F.lit(0), n.cast("int") - 1)
+    share = lambda o: (F.floor(F.col(width) / n) + F.when(o == n - 1, F.col(width) % n).otherwise(0)).cast("long")
+    own = F.transform(offsets, lambda o: F.struct((F.col(column) + o).alias("slot"), share(o).alias("width")))
+    tables = cells.where(F.col(width).isNotNull()).groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(own))).alias("_shares"))
+    # in the order of slots and widths, the last share of a slot is the widest
+    last = F.filter("_shares", lambda x, i: ~F.get("_shares", i + 1)["slot"].eqNullSafe(x["slot"]))
+    return tables.select(*keys, F.explode(last).alias("_share")).select(*keys, "_share.slot", "_share.width")
 
 
 def characters_in_line(width_twips: Column, half_points: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.operators import grid, tree
-from quire.plans import grid_queries, markup_queries
+from quire.plans import grid_queries, markup_queries, queries
 from quire.sources import build as B
 from quire.sources import package as P
 
@@ -88,3 +88,29 @@ def test_similar_pairs_in_many_cells(spark, monkeypatch):
     # candidates don't become rows for each token: one cogroup counts them
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(x) for x in found.collect()} == want and len(want) > 10
+
+
+def steps(df, *kinds) -> list[str]:
+    """The lines of a plan that begin with one of the kinds."""
+    lines = (line.lstrip(" :+-*()0123456789") for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+    return [line for line in lines if line.startswith(kinds)]
+
+
+def test_slots_of_columns_are_no_keys_of_an_aggregate(spark):
+    found = steps(queries.column_width_inference(spark, DATA), "HashAggregate", "SortAggregate", "ObjectHashAggregate")
+    assert found and all(x.partition("functions=")[0].count("#") == 1 for x in found)
+
+
+def test_column_widths_of_cells_that_overlap(spark):
+    from quire.operators import tables
+
+    r = random.Random(6)
+    rows = [(r.randrange(5), r.randrange(6), r.choice([0, 1, 2, 3]), r.choice([None, *range(1, 50)])) for _ in range(200)] + [(9, 0, 1, None)]
+    want = {}
+    for t, at, span, width in rows:
+        n = max(span, 1)
+        for o in range(n if width is not None else 0):
+            share = width // n + (width % n if o == n - 1 else 0)
+            want[t, at + o] = max(share, want.get((t, at + o), 0))
+    cells = spark.createDataFrame(rows, "t int, at int, span int, width int").repartition(3)
+    assert sorted(map(tuple, tables.column_widths(cells, ["t"], "at", "span", "width").collect())) == sorted((*k, v) for k, v in want.items())
