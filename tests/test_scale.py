@@ -114,3 +114,17 @@ def test_column_widths_of_cells_that_overlap(spark):
             want[t, at + o] = max(share, want.get((t, at + o), 0))
     cells = spark.createDataFrame(rows, "t int, at int, span int, width int").repartition(3)
     assert sorted(map(tuple, tables.column_widths(cells, ["t"], "at", "span", "width").collect())) == sorted((*k, v) for k, v in want.items())
+
+
+def test_comparing_versions_moves_texts_not_tokens(spark):
+    moved = steps(queries.document_comparison(spark, DATA), "Exchange hash")
+    assert moved and not any("token" in x for x in moved)
+
+
+def test_comparing_versions_counts_rows_of_one_key_as_one_text(spark):
+    from quire.operators import compare
+
+    rows = spark.createDataFrame([(1, "a b", "a"), (1, "c", "c b"), (2, "x", None), (3, None, ""), (4, "A a a", "a a z")], "k int, l string, r string")
+    found = compare.dice_of_rows(rows, "k", F.col("l"), F.col("r"))
+    want = compare.dice_by_key(rows.select("k", F.col("l").alias("text")), rows.select("k", F.col("r").alias("text")), "k")
+    assert sorted(found.collect()) == sorted(want.collect()) == [(1, 100), (2, 0), (3, 100), (4, 67)]
