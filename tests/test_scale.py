@@ -128,3 +128,14 @@ def test_comparing_versions_counts_rows_of_one_key_as_one_text(spark):
     found = compare.dice_of_rows(rows, "k", F.col("l"), F.col("r"))
     want = compare.dice_by_key(rows.select("k", F.col("l").alias("text")), rows.select("k", F.col("r").alias("text")), "k")
     assert sorted(found.collect()) == sorted(want.collect()) == [(1, 100), (2, 0), (3, 100), (4, 67)]
+
+
+def test_similarity_moves_texts_not_tokens(spark, monkeypatch):
+    from quire.operators import compare
+
+    found = queries.dice_similarity(spark, DATA)
+    moved = steps(found, "Exchange hash")
+    assert moved and not any("token" in x for x in moved)
+    want = sorted(found.collect())
+    monkeypatch.setattr(compare, "FEW_TOKENS", 0)
+    assert sorted(queries.dice_similarity(spark, DATA).collect()) == want
