@@ -22,6 +22,7 @@ from quire.operators.markup import RUNTIME, RUNTIME_FILE, Writer
 from quire.operators.office import MOST_BYTES, BadPackage, Catalogs, Package
 from quire.operators.syntax import syntax_errors
 from quire.plans.session import ship_package
+from quire.sources.build import Built
 from quire.sources.package import by_document
 
 DIAGNOSTIC = "struct<code: string, severity: string, message: string, part: string, path: string, context: map<string, string>>"
@@ -92,7 +93,7 @@ def _in_list(blocks: list[dict], at: int) -> bool:
     return bool(blocks[at].get("list"))
 
 
-def convert(packages: DataFrame, options: dict | None = None) -> DataFrame:
+def convert(packages: DataFrame | Built, options: dict | None = None) -> DataFrame:
     """One row for each package: status (ok or failed), error, the markup and all side records."""
     chosen = dict(options or {})
 
@@ -105,7 +106,7 @@ def convert(packages: DataFrame, options: dict | None = None) -> DataFrame:
     return by_document(packages, one, CONVERTED)
 
 
-def inspect(packages: DataFrame, max_package_bytes: int | None = None) -> DataFrame:
+def inspect(packages: DataFrame | Built, max_package_bytes: int | None = None) -> DataFrame:
     """One row for each package: parts, relationships, style and font names, theme. The body isn't read."""
 
     def one(doc_id: str, content: bytes) -> Iterator[dict]:

@@ -28,7 +28,7 @@ def from_documents(spark, sf_dir):
     def make(row):
         return {"word/document.xml": B.document("".join(B.paragraph(line) for line in (row["text"] or "").split("\n")))}
 
-    return B.build(read(spark, sf_dir, "documents").select("doc_id", "text"), make)
+    return B.Built(read(spark, sf_dir, "documents").select("doc_id", "text"), make)
 
 
 _BLOCKS = "list_filter(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN x <> '' AND trim(x, ' ' || chr(9)) = '' THEN '#v(0.1667in)' ELSE regexp_replace(" + _MARKUP.format("x") + r", '\s+$', '') END), lambda x: x <> '')"
@@ -52,7 +52,7 @@ def from_conversations(spark, sf_dir):
         body = "".join(B.paragraph(t["text"] or "", props.get(t["role"], LISTED)) for t in row["turns"])
         return {"word/document.xml": B.document(body), "word/styles.xml": STYLES, "word/numbering.xml": NUMBERS}
 
-    return B.build(turns, make)
+    return B.Built(turns, make)
 
 
 @query(

@@ -24,6 +24,7 @@ from quire.operators.tables import column_widths
 from quire.operators.tree import above, nearest
 from quire.plans.session import cut_off, spread
 from quire.sources import package as P
+from quire.sources.build import Built
 
 BODY = "word/document.xml"
 PARTS = (BODY, "word/styles.xml", "word/numbering.xml", "word/_rels/document.xml.rels")
@@ -426,7 +427,7 @@ def container_texts(nested: DataFrame, keys: list[str]) -> DataFrame:
     return sequences.joined_blocks(plain.unionByName(whole_lists), keys, ["at"], F.col("text"), "text")
 
 
-def typeset(packages: DataFrame, profile: dict | None = None, runtime_file: str = RUNTIME_FILE, max_package_bytes: int | None = None) -> DataFrame:
+def typeset(packages: DataFrame | Built, profile: dict | None = None, runtime_file: str = RUNTIME_FILE, max_package_bytes: int | None = None) -> DataFrame:
     """doc_id, status (ok or failed), error, markup, and the numbers of sections, paragraphs and tables outside lists; a row for each package.
 
     profile: paragraph styles by id or name, with their heading_level. A package without a readable body fails. doc_id
@@ -462,7 +463,7 @@ def typeset(packages: DataFrame, profile: dict | None = None, runtime_file: str
     ends = texts.where("text <> ''").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("all"))
     wrong = F.max_by("error", F.when(F.col("error").isNotNull() & (F.col("part").isNull() | (F.col("part") == BODY)), F.lit(1)))
     status = nodes.groupBy("doc_id").agg(wrong.alias("error"), F.bool_or((F.col("part") == BODY) & F.col("tag").isNotNull()).alias("read"))
-    every = packages.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().join(status, "doc_id", "left").join(layout, "doc_id", "left").join(used, "doc_id", "left").join(ends, "doc_id", "left").join(counts, "doc_id", "left")
+    every = P.doc_ids(packages).distinct().join(status, "doc_id", "left").join(layout, "doc_id", "left").join(used, "doc_id", "left").join(ends, "doc_id", "left").join(counts, "doc_id", "left")
     font = F.concat(F.lit(f'#import "{runtime_file}": *\n#set text(font: "'), T.escape_string(F.coalesce("font", F.lit(DEFAULT_FONT))), F.lit('")\n'))
     ok = F.coalesce("read", F.lit(False))
     markup = F.when(ok, F.concat(font, F.coalesce("page", F.lit("")), F.lit("\n"), F.coalesce("all", F.lit(""))))

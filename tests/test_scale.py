@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.operators import grid, tree
-from quire.plans import grid_queries, markup_queries, queries
+from quire.plans import grid_queries, markup_queries, package_queries, queries
 from quire.sources import build as B
 from quire.sources import package as P
 
@@ -144,3 +144,13 @@ def test_similarity_moves_texts_not_tokens(spark, monkeypatch):
     want = sorted(found.collect())
     monkeypatch.setattr(compare, "FEW_TOKENS", 0)
     assert sorted(queries.dice_similarity(spark, DATA).collect()) == want
+
+
+def test_packages_are_built_where_they_are_read(spark):
+    documents = package_queries.from_documents(spark, DATA)
+    # no step that only builds, and none at all for the names
+    assert passes(P.nodes(documents, (BODY,))) == 1 and passes(P.doc_ids(documents)) == 0
+    assert passes(package_queries.inspect_packages(spark, DATA)) == 1
+    built = B.build(documents.rows, documents.make)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(P.nodes(documents, (BODY,)), P.nodes(built, (BODY,))) and same(P.doc_ids(documents), P.doc_ids(built))
