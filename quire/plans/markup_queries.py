@@ -78,7 +78,7 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN chart THEN 'drawing:chart' E
 def label_fallbacks(spark, sf_dir):
     """What can't be shown: charts for toxic documents, equations for others, with their diagnostics and assets."""
     labels = read(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
-    made = C.convert(B.build(B.spread(labels, "doc_id"), lambda row: {"word/document.xml": B.document(f"<w:p>{CHART if row['toxic'] == 1 else EQUATION}</w:p>")}))
+    made = C.convert(B.Built(B.spread(labels, "doc_id"), lambda row: {"word/document.xml": B.document(f"<w:p>{CHART if row['toxic'] == 1 else EQUATION}</w:p>")}))
     told = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), ",")
     rows = made.select(
         "doc_id", F.array_join("fallback_inventory", ",").alias("inventory"), told("diagnostics", "code").alias("codes"), told("diagnostics", "severity").alias("severities"), told("diagnostics", "path").alias("paths"),
@@ -134,7 +134,7 @@ def page_setups(spark, sf_dir):
         }
 
     customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("doc_id_n"), "c_nationkey", "c_name", "c_mktsegment")
-    return C.convert(B.build(B.spread(customers, "doc_id"), make)).select("doc_id", "markup")
+    return C.convert(B.Built(B.spread(customers, "doc_id"), make)).select("doc_id", "markup")
 
 
 @query(

@@ -154,3 +154,7 @@ def test_packages_are_built_where_they_are_read(spark):
     built = B.build(documents.rows, documents.make)
     same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert same(P.nodes(documents, (BODY,)), P.nodes(built, (BODY,))) and same(P.doc_ids(documents), P.doc_ids(built))
+
+
+def test_converted_packages_are_built_where_they_are_read(spark):
+    assert passes(markup_queries.label_fallbacks(spark, DATA)) == 1 and passes(markup_queries.page_setups(spark, DATA)) == 1
