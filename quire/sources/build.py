@@ -23,11 +23,15 @@ TYPES = (
 ROOT = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
 
 
+#: Parts from this size on are compressed: for smaller ones it takes longer than all else and saves next to nothing.
+PACKED_FROM = 1024
+
+
 def package(parts: dict[str, str | bytes]) -> bytes:
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+    with zipfile.ZipFile(out, "w") as archive:
         for name, data in ({"[Content_Types].xml": TYPES, "_rels/.rels": ROOT} | parts).items():
-            archive.writestr(name, data)
+            archive.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED if len(data) >= PACKED_FROM else zipfile.ZIP_STORED)
     return out.getvalue()
 
 
