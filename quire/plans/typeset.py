@@ -239,10 +239,10 @@ def without_fields(pieces: DataFrame) -> DataFrame:
     return kept.withColumn("kind", F.when(F.col("numbers"), "page").otherwise(kind)).withColumn("text", F.when(~F.col("numbers"), text)).drop("stretch", "instruction", "last", "numbers", "hidden", "end")
 
 
-def paragraphs(rows: DataFrame) -> DataFrame:
-    """doc_id, p, para, content (with MARK where a page breaks) and shows, from resolved_runs()."""
+def paragraphs(rows: DataFrame, fields: bool = True) -> DataFrame:
+    """doc_id, p, para, content (with MARK where a page breaks) and shows, from resolved_runs(). fields: whether there may be any."""
     pieces = rows.select("doc_id", "p", "para", "style", "targets", F.explode_outer("pieces").alias("x")).select("doc_id", "p", "para", "style", "targets", "x.*")
-    pieces = without_fields(pieces)
+    pieces = without_fields(pieces) if fields else pieces.drop("end")
     pieces = pieces.withColumn("alone", F.when(~F.coalesce(F.col("kind") == "text", F.lit(False)), F.coalesce("at", F.lit(-1))))
     parts = sequences.adjacent_runs(pieces, ["doc_id", "p"], ["at"], ["alone", "link", "style"], "part")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))), lambda x: x["text"]), "")
@@ -439,7 +439,9 @@ def typeset(packages: DataFrame | Built, profile: dict | None = None, runtime_fi
     catalog = style_catalog(nodes).join(number_catalog(nodes), "doc_id", "full").join(link_catalog(nodes), "doc_id", "full")
     rows = resolved_runs(runs(body), catalog, profile or {})
     used = rows.groupBy("doc_id").agg(F.min(F.least(F.coalesce("style.font", "para.style.font"), F.coalesce("para.style.font", "style.font"))).alias("font"))
-    text_blocks = cut_off(paragraph_blocks(paragraphs(rows)))
+    # without_fields() sorts all pieces twice more, which changes nothing where there are no fields
+    fields = not body.where(F.col("tag").isin("fldChar", "fldSimple", "instrText")).isEmpty()
+    text_blocks = cut_off(paragraph_blocks(paragraphs(rows, fields)))
     levels = lists.levels_of(text_blocks, "list.level")
     tables, cells = table_rows(body)
     deepest = body.where("tag = 'tbl'").agg(F.max(F.size(F.filter("above", lambda x: x["tag"] == "tbl")))).first()[0]

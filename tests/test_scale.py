@@ -158,3 +158,17 @@ def test_packages_are_built_where_they_are_read(spark):
 
 def test_converted_packages_are_built_where_they_are_read(spark):
     assert passes(markup_queries.label_fallbacks(spark, DATA)) == 1 and passes(markup_queries.page_setups(spark, DATA)) == 1
+
+
+def test_no_field_windows_without_fields(spark, monkeypatch):
+    from quire.plans import typeset as T
+
+    called, field_windows = [], T.without_fields
+    monkeypatch.setattr(T, "without_fields", lambda pieces: called.append(1) or field_windows(pieces))
+    body = B.paragraph("one") + f'<w:p>{B.run("two")}<w:hyperlink w:anchor="a">{B.run("three")}</w:hyperlink></w:p>'
+    page = '<w:p><w:fldSimple w:instr="PAGE"><w:r><w:t>9</w:t></w:r></w:fldSimple></w:p>'
+    made = lambda *bodies: spark.createDataFrame([(str(i), bytearray(B.package({BODY: B.document(b)}))) for i, b in enumerate(bodies)], "doc_id string, content binary")
+    plain = T.typeset(made(body)).first()["markup"]
+    assert not called and plain.endswith('one\n\ntwo#link("#a")[three]\n')
+    both = {x["doc_id"]: x["markup"] for x in T.typeset(made(body, page)).collect()}
+    assert called and both["0"] == plain and "#context counter(page).display()" in both["1"]
