@@ -172,3 +172,19 @@ def test_no_field_windows_without_fields(spark, monkeypatch):
     assert not called and plain.endswith('one\n\ntwo#link("#a")[three]\n')
     both = {x["doc_id"]: x["markup"] for x in T.typeset(made(body, page)).collect()}
     assert called and both["0"] == plain and "#context counter(page).display()" in both["1"]
+
+
+def test_similar_pairs_without_rows_for_candidates(spark, monkeypatch):
+    from quire.operators import compare
+
+    r = random.Random(9)
+    texts = [(i, " ".join(r.choice("abcdefghij") for _ in range(r.choice([1, 2, 5, 9, 17, 40])))) for i in range(120)]
+    a, b = spark.createDataFrame(texts[:80], "a int, text string"), spark.createDataFrame([(i, t + " a" * (i % 3)) for i, t in texts[50:]], "b int, text string")
+    every = compare.dice(a, "a", b, "b").collect()
+    monkeypatch.setattr(compare, "CELL", 5)
+    monkeypatch.setattr(compare, "ENTRIES", 11)
+    for threshold in (40, 70, 100):
+        found = compare.similar(a, "a", b, "b", threshold)
+        assert not any("left_size" in x for x in steps(found, "Exchange hash"))
+        want = {tuple(x) for x in every if x["similarity"] >= threshold}
+        assert {tuple(x) for x in found.collect()} == want and want
