@@ -100,6 +100,64 @@ def place_cells(cells: DataFrame, keys: list[str], row: str, place: str, span: s
     return placed.select(*keys, *[c for c in own if c not in keys], "column_index", "origin_row", "origin_place", F.col("origin_row").isNotNull().alias("hidden"), "row_span")
 
 
+def place_in_order(cells: DataFrame, document: str, table: str, row: str, place: str, span: str, merge: str) -> DataFrame:
+    """place_cells() of cells that lie as sources.package.cells() gives them, with table_no, the number of a table among its document's.
+
+    A document's cells follow each other in reading order, so they are walked where they are: nothing is moved or sorted.
+    Tables inside cells come between the cells of theirs, so each of a document's tables has a state of its own. Row spans
+    are counted once a document is at its end, until when its cells are held; a document was held whole as it was read, too.
+    """
+    ship_package(cells.sparkSession)
+    own = cells.columns
+    slim = cells.withColumns({"_row": F.col(row).cast("long"), "_place": F.col(place).cast("long"), "_span": F.greatest(F.coalesce(F.col(span).cast("long"), F.lit(1)), F.lit(0)), "_merge": F.col(merge).cast("string")})
+    added = [("table_no", "long"), ("column_index", "long"), ("origin_row", "long"), ("origin_place", "long")]
+    walked = StructType([*slim.schema.fields, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in added)).fields])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, placers = None, {}
+        for batch in batches:
+            found: list[tuple] = []
+            for of, at_table, at_row, at_place, wide, kind in zip(*(batch.column(c).to_pylist() for c in (document, table, "_row", "_place", "_span", "_merge")), strict=True):
+                if of != name:
+                    name, placers = of, {}
+                if (known := placers.get(at_table)) is None:
+                    known = placers[at_table] = (len(placers) + 1, Placer())
+                column, origin = known[1].place(at_row, (at_row, at_place), wide, kind)
+                found.append((known[0], column, *(origin or (None, None))))
+            if found:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in zip(*found, strict=True))], names=[*batch.schema.names, *(n for n, _ in added)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the document that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(document).to_pylist()
+            begin = len(names) - 1
+            while begin and names[begin - 1] == names[-1]:
+                begin -= 1
+            if begin or held and held[-1].column(document)[0].as_py() != names[0]:
+                yield from counted([*held, batch.slice(0, begin)])
+                held = []
+            held.append(batch.slice(begin))
+        yield from counted(held)
+
+    def counted(some: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more: dict[tuple, int] = {}  # cells that go on with each merge, by the cell that began it
+        columns = [[batch.column(c).to_pylist() for c in (document, table, "_row", "_place", "origin_row", "origin_place")] for batch in some]
+        for of, tables, _, _, rows, places in columns:
+            for began in zip(of, tables, rows, places, strict=True):
+                if began[2] is not None:
+                    more[began] = more.get(began, 0) + 1
+        for batch, (of, tables, rows, places, origins, _) in zip(some, columns, strict=True):
+            spans = [None if origin is not None else 1 + more.get(cell, 0) for origin, cell in zip(origins, zip(of, tables, rows, places, strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.int64())], names=[*batch.schema.names, "row_span"])
+
+    placed = slim.mapInArrow(walk, walked)
+    placed = placed.mapInArrow(count, StructType([*walked.fields, *StructType.fromDDL("row_span long").fields]))
+    return placed.select(*own, "table_no", "column_index", "origin_row", "origin_place", F.col("origin_row").isNotNull().alias("hidden"), "row_span")
+
+
 def edge(column: str, table: str, at_edge: Column, outer: str, inner: str) -> Column:
     """A cell's border on one side: its own, else the table's, the outer one at the table's edge and the inner one elsewhere."""
     return F.coalesce(F.col(column), F.when(at_edge, F.col(f"{table}.{outer}")).otherwise(F.col(f"{table}.{inner}")))

@@ -31,7 +31,7 @@ def package(parts: dict[str, str | bytes]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as archive:
         for name, data in ({"[Content_Types].xml": TYPES, "_rels/.rels": ROOT} | parts).items():
-            archive.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED if len(data) >= PACKED_FROM else zipfile.ZIP_STORED)
+            archive.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED if len(data) >= PACKED_FROM else zipfile.ZIP_STORED, 1)
     return out.getvalue()
 
 
