@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from quire.operators import tree
@@ -19,7 +21,15 @@ def _cell(text: str, props: str = "") -> str:
     return f"<w:tc>{f'<w:tcPr>{props}</w:tcPr>' if props else ''}{B.paragraph(text)}</w:tc>"
 
 
-def from_orders(spark, sf_dir):
+@lru_cache(1024)
+def _order_row(first: bool, priority: str, status: str) -> str:
+    merge = '<w:vMerge w:val="restart"/>' if first else "<w:vMerge/>"
+    merged = _cell("all" if first else "", merge + '<w:vAlign w:val="center"/>')
+    urgent = '<w:tcBorders><w:bottom w:val="double" w:sz="4" w:color="00FF00"/></w:tcBorders>' if priority.startswith("1") else ""
+    return f"<w:tr>{merged}{_cell(priority, urgent)}{_cell(status)}</w:tr>"
+
+
+def order_packages(spark, sf_dir) -> B.Built:
     """A package for each customer with orders: a table with a spanning head, a merged column, and borders by priority."""
     orders = B.spread(read(spark, sf_dir, "orders"), "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("orders"))
 
@@ -28,15 +38,16 @@ def from_orders(spark, sf_dir):
         grid = '<w:tblGrid><w:gridCol w:w="1440"/><w:gridCol w:w="2880"/><w:gridCol w:w="720"/></w:tblGrid>'
         borders = '<w:tblPr><w:tblBorders><w:top w:val="single" w:sz="8" w:color="FF0000"/></w:tblBorders></w:tblPr>'
         head = f"""<w:tr>{_cell(f"Customer {row['doc_id']}", '<w:gridSpan w:val="3"/><w:shd w:val="clear" w:fill="DDEEFF"/>')}</w:tr>"""
-        body = ""
-        for i, x in enumerate(found):
-            merge = '<w:vMerge/>' if i else '<w:vMerge w:val="restart"/>'
-            merged = _cell("all" if i == 0 else "", merge + '<w:vAlign w:val="center"/>')
-            urgent = '<w:tcBorders><w:bottom w:val="double" w:sz="4" w:color="00FF00"/></w:tcBorders>' if x["o_orderpriority"].startswith("1") else ""
-            body += f"<w:tr>{merged}{_cell(x['o_orderpriority'], urgent)}{_cell(x['o_orderstatus'])}</w:tr>"
+        body = "".join(_order_row(i == 0, x["o_orderpriority"], x["o_orderstatus"]) for i, x in enumerate(found))
         return {"word/document.xml": B.document(f"<w:tbl>{borders}{grid}{head}{body}</w:tbl>")}
 
-    return B.build(orders, make)
+    return B.Built(orders, make)
+
+
+def from_orders(spark, sf_dir):
+    """order_packages() as rows of packages."""
+    built = order_packages(spark, sf_dir)
+    return B.build(built.rows, built.make)
 
 
 @query(
@@ -51,7 +62,7 @@ FROM r GROUP BY o_custkey"""
 )
 def order_tables(spark, sf_dir):
     """Tables with spans, merges, fills and borders."""
-    return typeset(from_orders(spark, sf_dir)).select("doc_id", "tables", "paragraphs", "markup")
+    return typeset(order_packages(spark, sf_dir)).select("doc_id", "tables", "paragraphs", "markup")
 
 
 @query(f"""SELECT CAST(page_id AS VARCHAR) AS doc_id, {TOP} || chr(10) || '#link("' || replace(replace(url, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '")[' || {_MARKUP.format("url")} || ']' || chr(10) AS markup FROM pages WHERE url IS NOT NULL""")

@@ -40,6 +40,12 @@ BLOCK_FIELDS = ("align", "before", "after", "line", "break_before", "keep_next")
 FIELDS = (*TEXT_FIELDS, *BLOCK_FIELDS)
 FLAGS = (("bold", "strong"), ("italic", "emph"), ("underline", "underline"), ("strike", "strike"), ("super", "super"), ("sub", "sub"))
 SIDES = ("top", "right", "bottom", "left")
+#: Types of FIELDS that aren't strings.
+KINDS = {"size": "bigint", "before": "bigint", "after": "bigint", "line": "bigint"} | {f: "boolean" for f in ("bold", "italic", "underline", "strike", "super", "sub", "break_before", "keep_next")}
+_FIELDS_DDL = ", ".join(f"{f}: {KINDS.get(f, 'string')}" for f in FIELDS)
+_STYLES_DDL = f"map<string, struct<style_name: string, {_FIELDS_DDL}>>"
+#: Columns of the catalogs, with their types.
+CATALOGS = {"paragraph_styles": _STYLES_DDL, "character_styles": _STYLES_DDL, "defaults": f"struct<{_FIELDS_DDL}>", "numbers": "map<string, string>", "targets": "map<string, string>"}
 
 
 def attr(name: str, ns: str = W) -> Column:
@@ -50,36 +56,41 @@ def whole(text: Column, signed: bool = False) -> Column:
     return F.when(text.rlike(r"^[+-]?[0-9]+$" if signed else r"^\+?[0-9]+$"), text.try_cast("long"))
 
 
-def first(tag: str, value: Column) -> Column:
-    """The value at the first property node of the tag."""
-    return F.min_by(value, F.when(F.col("prop") == tag, F.col("node_id")))
+def absent(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
 
 
-def first_under(under: str, tag: str, value: Column) -> Column:
-    return F.min_by(value, F.when((F.col("tag") == tag) & (above(1) == under), F.col("node_id")))
+def first(tag: str, value: Column, known: frozenset | None = None, kind: str = "string") -> Column:
+    """The value at the first property node of the tag. known: tags that there are; none is looked for where it isn't one of them."""
+    return absent(kind) if known is not None and tag not in known else F.min_by(value, F.when(F.col("prop") == tag, F.col("node_id")))
 
 
-def switch(tag: str, absent: str = "true") -> Column:
-    return first(tag, ~F.coalesce(attr("val"), F.lit(absent)).isin(*OFF))
+def first_under(under: str, tag: str, value: Column, known: frozenset | None = None, kind: str = "string") -> Column:
+    return absent(kind) if known is not None and tag not in known else F.min_by(value, F.when((F.col("tag") == tag) & (above(1) == under), F.col("node_id")))
+
+
+def switch(tag: str, known: frozenset | None = None) -> Column:
+    return first(tag, ~F.coalesce(attr("val"), F.lit("true")).isin(*OFF), known, "boolean")
 
 
 def given(color: Column) -> Column:
     return F.when(~color.isin("auto", "AUTO"), U.hex_color(color))
 
 
-def style_fields() -> dict[str, Column]:
+def style_fields(known: frozenset | None = None) -> dict[str, Column]:
     """FIELDS as aggregates over the property nodes of one owner; null where nothing is set."""
-    raised = first("vertAlign", attr("val"))
+    raised = first("vertAlign", attr("val"), known)
+    spacing = lambda name: first_under("pPr", "spacing", whole(attr(name)), known, "bigint")
     return {
-        "color": first("color", F.when(attr("val").isNotNull(), U.hex_color(attr("val")))),
-        "font": first("rFonts", F.nullif(F.coalesce(attr("ascii"), attr("hAnsi"), attr("eastAsia"), attr("cs")), F.lit(""))),
-        "size": first("sz", whole(attr("val"))),
-        "bold": switch("b"), "italic": switch("i"), "underline": switch("u"), "strike": switch("strike"),
+        "color": first("color", F.when(attr("val").isNotNull(), U.hex_color(attr("val"))), known),
+        "font": first("rFonts", F.nullif(F.coalesce(attr("ascii"), attr("hAnsi"), attr("eastAsia"), attr("cs")), F.lit("")), known),
+        "size": first("sz", whole(attr("val")), known, "bigint"),
+        "bold": switch("b", known), "italic": switch("i", known), "underline": switch("u", known), "strike": switch("strike", known),
         "super": F.when(raised == "superscript", True), "sub": F.when(raised == "subscript", True),
-        "background": U.highlight(first("highlight", attr("val"))),
-        "align": first("jc", attr("val")),
-        "before": first_under("pPr", "spacing", whole(attr("before"))), "after": first_under("pPr", "spacing", whole(attr("after"))), "line": first_under("pPr", "spacing", whole(attr("line"))),
-        "break_before": switch("pageBreakBefore"), "keep_next": switch("keepNext"),
+        "background": U.highlight(first("highlight", attr("val"), known)),
+        "align": first("jc", attr("val"), known),
+        "before": spacing("before"), "after": spacing("after"), "line": spacing("line"),
+        "break_before": switch("pageBreakBefore", known), "keep_next": switch("keepNext", known),
     }
 
 
@@ -161,11 +172,13 @@ def layout_catalog(nodes: DataFrame) -> DataFrame:
     return sections.join(sizes, ["doc_id", "at"], "left").select("doc_id", "section_ends", page.alias("page"))
 
 
-def runs(body: DataFrame) -> DataFrame:
-    """A row for each run of each paragraph, and one for the paragraph itself (r is null): what is set there, and the pieces in it."""
+def runs(body: DataFrame, known: frozenset | None = None) -> DataFrame:
+    """A row for each run of each paragraph, and one for the paragraph itself (r is null): what is set there, and the pieces in it. known: the tags that there are."""
     kind = F.col("tag")
+    linked = known is None or "hyperlink" in known
     located = body.withColumns({
-        "p": F.coalesce(F.when(kind == "p", F.col("node_id")), nearest("p")), "r": F.coalesce(F.when(kind == "r", F.col("node_id")), nearest("r")), "link": F.coalesce(F.when(kind == "hyperlink", F.col("node_id")), nearest("hyperlink")), "prop": F.when(is_property(), kind),
+        "p": F.coalesce(F.when(kind == "p", F.col("node_id")), nearest("p")), "r": F.coalesce(F.when(kind == "r", F.col("node_id")), nearest("r")), "link": F.coalesce(F.when(kind == "hyperlink", F.col("node_id")), nearest("hyperlink")) if linked else absent("bigint"),
+        "prop": F.col("prop") if "prop" in body.columns else F.when(is_property(), kind),
     }).where("p IS NOT NULL")
     reached = F.forall(F.filter("above", lambda x: x["node_id"] > F.col("p")), lambda x: x["tag"].isin(*AROUND))
     event = attr("fldCharType").isin("begin", "separate", "end")
@@ -173,20 +186,21 @@ def runs(body: DataFrame) -> DataFrame:
     shown = F.when(in_run, F.when(kind.isin("t", "tab"), "text").when(kind == "instrText", "instruction").when(kind == "fldChar", "field").when((kind == "br") & (F.coalesce(attr("type"), F.lit("")) == "page"), "break").otherwise("line"))
     shown = shown.when(kind == "hyperlink", "link").when((kind == "fldSimple") & T.is_page_field(F.coalesce(attr("instr"), F.lit(""))), "page").when((kind == "bookmarkStart") & ~F.coalesce(attr("name"), F.lit("_")).startswith("_"), "mark")
     said = F.when(kind.isin("t", "instrText"), F.col("text")).when(kind == "fldChar", attr("fldCharType")).when(kind == "tab", "\t").when(kind == "bookmarkStart", attr("name"))
-    target = F.when(kind == "hyperlink", F.struct(attr("id", R).alias("id"), attr("anchor").alias("anchor")))
-    piece = F.when(reached & shown.isNotNull(), F.struct(F.col("node_id").alias("at"), shown.alias("kind"), said.alias("text"), F.col("link"), target.alias("target"), F.col("end_id").alias("end")))
+    target = F.when(kind == "hyperlink", F.struct(attr("id", R).alias("id"), attr("anchor").alias("anchor"))) if linked else absent("struct<id: string, anchor: string>")
+    piece = F.when(shown.isNotNull() & reached, F.struct(F.col("node_id").alias("at"), shown.alias("kind"), said.alias("text"), F.col("link"), target.alias("target"), F.col("end_id").alias("end")))
     is_p = kind == "p"
     in_blocks = F.forall("above", lambda x: x["tag"].isin("document", "body", "tbl", "tr", "tc"))
     place = F.struct(F.col("parent_id").alias("container"), above(1).alias("within"), F.size(F.filter("above", lambda x: x["tag"] == "tbl")).alias("nesting"), in_blocks.alias("is_block"))
     return located.groupBy("doc_id", "p", "r").agg(
-        F.max(F.when(is_p, place)).alias("place"), first_under("rPr", "rStyle", attr("val")).alias("character"), first_under("pPr", "pStyle", attr("val")).alias("style_id"), first_under("numPr", "numId", attr("val")).alias("num"),
-        F.coalesce(first_under("numPr", "ilvl", whole(attr("val"))), F.lit(0)).alias("level"), F.collect_list(piece).alias("pieces"), *[c.alias(f) for f, c in style_fields().items()],
+        F.max(F.when(is_p, place)).alias("place"), first_under("rPr", "rStyle", attr("val"), known).alias("character"), first_under("pPr", "pStyle", attr("val"), known).alias("style_id"), first_under("numPr", "numId", attr("val"), known).alias("num"),
+        F.coalesce(first_under("numPr", "ilvl", whole(attr("val")), known, "bigint"), F.lit(0)).alias("level"), F.collect_list(piece).alias("pieces"), *[c.alias(f) for f, c in style_fields(known).items()],
     )
 
 
-def resolved_runs(rows: DataFrame, catalog: DataFrame, profile: dict) -> DataFrame:
-    """runs() with para (place, list, heading and resolved style of the paragraph) and style (the resolved one of the run)."""
-    held = rows.join(catalog, "doc_id", "left").withColumn("set", struct_of())
+def resolved_runs(rows: DataFrame, catalog: DataFrame | None, profile: dict) -> DataFrame:
+    """runs() with para (place, list, heading and resolved style of the paragraph) and style (the resolved one of the run). catalog: of CATALOGS what there is."""
+    held = rows if catalog is None else rows.join(catalog.hint("merge"), "doc_id", "left")
+    held = held.withColumns({"set": struct_of()} | {c: absent(kind) for c, kind in CATALOGS.items() if catalog is None or c not in catalog.columns})
     styled = F.try_element_at("paragraph_styles", F.col("style_id"))
     style = layered(F.col("set"), styled, F.col("defaults"))
     name = F.coalesce(styled["style_name"], F.when(styled.isNotNull(), F.col("style_id")))
@@ -239,27 +253,43 @@ def without_fields(pieces: DataFrame) -> DataFrame:
     return kept.withColumn("kind", F.when(F.col("numbers"), "page").otherwise(kind)).withColumn("text", F.when(~F.col("numbers"), text)).drop("stretch", "instruction", "last", "numbers", "hidden", "end")
 
 
-def paragraphs(rows: DataFrame, fields: bool = True) -> DataFrame:
-    """doc_id, p, para, content (with MARK where a page breaks) and shows, from resolved_runs(). fields: whether there may be any."""
+def paragraphs(rows: DataFrame, fields: bool = True, links: bool = True) -> DataFrame:
+    """doc_id, p, para, content (with MARK where a page breaks) and shows, from resolved_runs(). fields, links: whether there may be any."""
+    keep = lambda c: F.first(c, ignorenulls=True).alias(c)
+    plain = None
+    if not fields and not links:
+        # most paragraphs are one text, or none: nothing is to be put together then
+        rows = cut_off(rows.withColumn("n_pieces", F.sum(F.size("pieces")).over(Window.partitionBy("doc_id", "p"))))
+        one = rows.where("n_pieces = 0 AND r IS NULL OR n_pieces = 1 AND size(pieces) = 1").withColumn("x", F.get("pieces", F.lit(0)))
+        one = one.select("doc_id", "p", "para", "style", "x.kind", "x.text", "x.link")
+        plain = one.select("doc_id", "p", "para", said_of(F.coalesce("text", F.lit(""))).alias("content"), F.coalesce(F.col("kind").isNotNull() & (F.col("kind") != "mark"), F.lit(False)).alias("shows"))
+        rows = rows.where("n_pieces > 1")
     pieces = rows.select("doc_id", "p", "para", "style", "targets", F.explode_outer("pieces").alias("x")).select("doc_id", "p", "para", "style", "targets", "x.*")
     pieces = without_fields(pieces) if fields else pieces.drop("end")
     pieces = pieces.withColumn("alone", F.when(~F.coalesce(F.col("kind") == "text", F.lit(False)), F.coalesce("at", F.lit(-1))))
     parts = sequences.adjacent_runs(pieces, ["doc_id", "p"], ["at"], ["alone", "link", "style"], "part")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))), lambda x: x["text"]), "")
-    keep = lambda c: F.first(c, ignorenulls=True).alias(c)
     merged = parts.groupBy("doc_id", "p", "part").agg(F.min("at").alias("at"), *map(keep, ("para", "kind", "link", "style", "target", "targets")), text.alias("text"))
-    said = F.when(F.col("kind") == "text", wrapped(T.escape_markup(F.col("text")), F.col("style"))).when(F.col("kind") == "line", "\\\n").when(F.col("kind") == "break", F.when(F.col("link").isNull(), MARK).otherwise("#pagebreak()"))
-    said = said.when(F.col("kind") == "page", wrapped(F.lit("#context counter(page).display()"), F.col("style")))
-    said = F.coalesce(said.when(F.col("kind") == "mark", F.concat(F.lit("#metadata(none) <"), "text", F.lit(">"))), F.lit(""))
-    merged = merged.withColumns({"said": said, "held": F.coalesce(~F.col("kind").isin("link"), F.lit(False)), "shown": F.coalesce(~F.col("kind").isin("link", "mark"), F.lit(False))})
+    merged = merged.withColumns({"said": said_of(F.col("text")), "held": F.coalesce(~F.col("kind").isin("link"), F.lit(False)), "shown": F.coalesce(~F.col("kind").isin("link", "mark"), F.lit(False))})
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "")
-    strings = merged.groupBy("doc_id", "p", F.coalesce("link", "at").alias("place")).agg(*map(keep, ("para", "link", "target", "targets")), F.bool_or("held").alias("held"), F.bool_or("shown").alias("shown"), joined.alias("said"))
-    named = F.coalesce(F.try_element_at("targets", F.col("target.id")), F.col("target.id"), F.concat(F.lit("#"), "target.anchor"), F.lit(""))
-    is_link = F.col("link").isNotNull()
-    linked = F.when(is_link & ((named != "") | F.col("held")), F.concat(F.lit('#link("'), T.escape_string(named), F.lit('")['), "said", F.lit("]"))).when(~is_link, F.col("said")).otherwise("")
-    shows = F.when(is_link, (named != "") | F.col("held")).otherwise(F.col("shown"))
-    strings = strings.select("doc_id", "p", "para", "place", linked.alias("said"), shows.alias("shows"))
-    return strings.groupBy("doc_id", "p").agg(keep("para"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "said"))), lambda x: x["said"]), "").alias("content"), F.bool_or("shows").alias("shows"))
+    if links:
+        strings = merged.groupBy("doc_id", "p", F.coalesce("link", "at").alias("place")).agg(*map(keep, ("para", "link", "target", "targets")), F.bool_or("held").alias("held"), F.bool_or("shown").alias("shown"), joined.alias("said"))
+        named = F.coalesce(F.try_element_at("targets", F.col("target.id")), F.col("target.id"), F.concat(F.lit("#"), "target.anchor"), F.lit(""))
+        is_link = F.col("link").isNotNull()
+        linked = F.when(is_link & ((named != "") | F.col("held")), F.concat(F.lit('#link("'), T.escape_string(named), F.lit('")['), "said", F.lit("]"))).when(~is_link, F.col("said")).otherwise("")
+        shows = F.when(is_link, (named != "") | F.col("held")).otherwise(F.col("shown"))
+        strings = strings.select("doc_id", "p", "para", "place", linked.alias("said"), shows.alias("shows"))
+    else:  # each part stands for itself
+        strings = merged.select("doc_id", "p", "para", F.col("at").alias("place"), "said", F.col("shown").alias("shows"))
+    whole_ = strings.groupBy("doc_id", "p").agg(keep("para"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "said"))), lambda x: x["said"]), "").alias("content"), F.bool_or("shows").alias("shows"))
+    return whole_ if plain is None else whole_.unionByName(plain)
+
+
+def said_of(text: Column) -> Column:
+    """What a piece writes, by its kind, link and style; text: that of all pieces it stands for."""
+    said = F.when(F.col("kind") == "text", wrapped(T.escape_markup(text), F.col("style"))).when(F.col("kind") == "line", "\\\n").when(F.col("kind") == "break", F.when(F.col("link").isNull(), MARK).otherwise("#pagebreak()"))
+    said = said.when(F.col("kind") == "page", wrapped(F.lit("#context counter(page).display()"), F.col("style")))
+    return F.coalesce(said.when(F.col("kind") == "mark", F.concat(F.lit("#metadata(none) <"), text, F.lit(">"))), F.lit(""))
 
 
 def paragraph_blocks(found: DataFrame) -> DataFrame:
@@ -283,6 +313,13 @@ def paragraph_blocks(found: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.col("p").alias("at"), "para.place.container", "para.place.within", "para.place.nesting", F.when(heading.isNull(), listed).alias("list"), text.alias("text"), F.lit(False).alias("attaches"))
 
 
+#: Tags that are asked for by name below and in style_fields().
+LOOKED_FOR = (
+    "color", "rFonts", "sz", "b", "i", "u", "strike", "vertAlign", "highlight", "jc", "spacing", "pageBreakBefore", "keepNext", "rStyle", "pStyle", "numId", "ilvl", "hyperlink", "fldChar", "fldSimple", "instrText", "sectPr", "gridSpan", "vMerge", "shd", "vAlign",
+    "tcW", "tcBorders", "tcMar", "tblBorders", "tblCellMar", "top", "right", "end", "bottom", "left", "start", "insideH", "insideV", "tblLook", "cnfStyle", "tblInd", "tblCellSpacing", "tblW",
+)
+
+
 def border_line() -> Column:
     """A border as markup writes it; null where the node sets nothing."""
     names = ("val", "sz", "color", "themeColor")
@@ -301,20 +338,21 @@ BORDER_SIDES = {"top": ("top",), "right": ("right", "end"), "bottom": ("bottom",
 INNER_SIDES = {"inside_h": ("insideH",), "inside_v": ("insideV",)}
 
 
-def measure(prefix: str, tag: str, under: str) -> list[Column]:
+def measure(prefix: str, tag: str, under: str, known: frozenset | None = None) -> list[Column]:
     """Width in twips, and as fiftieths of a percent."""
     size, kind = whole(attr("w")), F.coalesce(attr("type"), F.lit("dxa"))
-    return [first_under(under, tag, F.nullif(F.when(~kind.isin("auto", "nil", "pct"), size), F.lit(0))).alias(prefix), first_under(under, tag, F.nullif(F.when(kind == "pct", size), F.lit(0))).alias(f"{prefix}_share")]
+    return [first_under(under, tag, F.nullif(F.when(~kind.isin("auto", "nil", "pct"), size), F.lit(0)), known, "bigint").alias(prefix), first_under(under, tag, F.nullif(F.when(kind == "pct", size), F.lit(0)), known, "bigint").alias(f"{prefix}_share")]
 
 
-def table_rows(body: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables (doc_id, tbl and what they set) and their cells (doc_id, tbl, row, place and what they set), from the nodes of the body."""
+def table_rows(body: DataFrame, known: frozenset | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tables (doc_id, tbl and what they set) and their cells (doc_id, tbl, row, place and what they set), from the nodes of the body. known: the tags that there are."""
     kind = F.col("tag")
     # read once for each node: the aggregates ask for them again and again
     up, up2, val, size, line = (F.col(f"_{n}") for n in ("up", "up2", "val", "size", "line"))
     body = body.withColumns({"_up": above(1), "_up2": above(2)}).withColumns({"_val": attr("val"), "_size": whole(attr("w")), "_line": F.when(up.isin("tcBorders", "tblBorders"), border_line())})
-    first_under = lambda under, tag, value: F.min_by(value, F.when((kind == tag) & (up == under), F.col("node_id")))
-    sides = lambda under, sides_, value: F.struct(*[F.coalesce(*[first_under(under, n, value) for n in names]).alias(side) for side, names in sides_.items()])
+    there = lambda *tags: known is None or known.issuperset(tags)
+    first_under = lambda under, tag, value, of="string": F.min_by(value, F.when((kind == tag) & (up == under), F.col("node_id"))) if there(tag) else absent(of)
+    sides = lambda under, sides_, value, of="string": F.struct(*[F.coalesce(*[first_under(under, n, value, of) if there(under) else absent(of) for n in names]).alias(side) for side, names in sides_.items()])
     in_blocks = F.forall("above", lambda x: x["tag"].isin("document", "body", "tbl", "tr", "tc"))
     cell = F.coalesce(F.when(kind == "tc", F.col("node_id")), nearest("tc"))
     own = (kind == "tc") & in_blocks | (up == "tcPr") | (up2 == "tcPr")
@@ -322,8 +360,8 @@ def table_rows(body: DataFrame) -> tuple[DataFrame, DataFrame]:
     merge = first_under("tcPr", "vMerge", F.coalesce(val, F.lit("continue")))
     fill = first_under("tcPr", "shd", F.when(attr("fill") != "auto", U.hex_color(attr("fill"))))
     cells = body.where(own).groupBy("doc_id", cell.alias("tc")).agg(
-        F.max(F.when(kind == "tc", nearest("tbl"))).alias("tbl"), F.max(F.when(kind == "tc", up == "tr")).alias("in_row"), F.max(F.when(kind == "tc", F.col("parent_id"))).alias("tr"), numbers(1).alias("row"), numbers(2).alias("place"), F.coalesce(first_under("tcPr", "gridSpan", whole(val)), F.lit(1)).alias("span"), merge.alias("merge"), fill.alias("fill"),
-        first_under("tcPr", "vAlign", val).alias("valign"), sides("tcBorders", BORDER_SIDES, line).alias("lines"), sides("tcMar", BORDER_SIDES, size).alias("insets"), *measure("width", "tcW", "tcPr"),
+        F.max(F.when(kind == "tc", nearest("tbl"))).alias("tbl"), F.max(F.when(kind == "tc", up == "tr")).alias("in_row"), F.max(F.when(kind == "tc", F.col("parent_id"))).alias("tr"), numbers(1).alias("row"), numbers(2).alias("place"), F.coalesce(first_under("tcPr", "gridSpan", whole(val), "bigint"), F.lit(1)).alias("span"), merge.alias("merge"), fill.alias("fill"),
+        first_under("tcPr", "vAlign", val).alias("valign"), sides("tcBorders", BORDER_SIDES, line).alias("lines"), sides("tcMar", BORDER_SIDES, size, "bigint").alias("insets"), *measure("width", "tcW", "tcPr", known),
     ).where("tbl IS NOT NULL AND in_row")
     mine = F.coalesce(F.when(kind == "tbl", F.col("node_id")), nearest("tbl"))
     is_tbl = (kind == "tbl") & in_blocks
@@ -332,8 +370,8 @@ def table_rows(body: DataFrame) -> tuple[DataFrame, DataFrame]:
     grid = F.array_sort(F.collect_list(F.when((kind == "gridCol") & (up == "tblGrid"), F.struct(F.col("node_id"), size.alias("w")))))
     tables = body.where(at_table).groupBy("doc_id", mine.alias("tbl")).agg(
         F.max(F.when(is_tbl, F.struct(F.col("parent_id").alias("container"), above(1).alias("within"), F.size(F.filter("above", lambda x: x["tag"] == "tbl")).alias("nesting")))).alias("where"), F.transform(grid, lambda x: x["w"]).alias("grid"), F.count_if((kind == "tr") & (up == "tbl")).alias("n_rows"),
-        F.collect_set(F.when((kind == "cnfStyle") & (attr("firstRow") == "1"), row_number)).alias("headed"), F.coalesce(first_under("tblPr", "tblLook", attr("firstRow")) == "1", F.lit(False)).alias("head_first"), first_under("tblPr", "jc", val).alias("align"),
-        first_under("tblPr", "tblInd", whole(attr("w"), signed=True)).alias("indent"), sides("tblBorders", BORDER_SIDES | INNER_SIDES, line).alias("edges"), sides("tblCellMar", BORDER_SIDES, size).alias("margins"), *measure("spacing", "tblCellSpacing", "tblPr"), *measure("wide", "tblW", "tblPr"),
+        (F.collect_set(F.when((kind == "cnfStyle") & (attr("firstRow") == "1"), row_number)) if there("cnfStyle") else F.array().cast("array<bigint>")).alias("headed"), F.coalesce(first_under("tblPr", "tblLook", attr("firstRow")) == "1", F.lit(False)).alias("head_first"), first_under("tblPr", "jc", val).alias("align"),
+        first_under("tblPr", "tblInd", whole(attr("w"), signed=True), "bigint").alias("indent"), sides("tblBorders", BORDER_SIDES | INNER_SIDES, line).alias("edges"), sides("tblCellMar", BORDER_SIDES, size, "bigint").alias("margins"), *measure("spacing", "tblCellSpacing", "tblPr", known), *measure("wide", "tblW", "tblPr", known),
     ).where(F.col("where").isNotNull())
     return tables, cells
 
@@ -353,12 +391,12 @@ def placed_cells(tables: DataFrame, cells: DataFrame) -> DataFrame:
     spans = Window.partitionBy("doc_id", "tbl", "row")
     whole_table = Window.partitionBy("doc_id", "tbl")
     placed = placed.withColumn("_sum", F.sum("span").over(spans)).withColumn("widest", F.max("_sum").over(whole_table)).drop("_sum")
-    return placed.where("NOT hidden").join(tables, ["doc_id", "tbl"]).withColumn("n_columns", F.when(F.size("grid") > 0, F.size("grid")).otherwise(F.greatest("widest", F.lit(1))))
+    return placed.where("NOT hidden").join(tables.hint("merge"), ["doc_id", "tbl"]).withColumn("n_columns", F.when(F.size("grid") > 0, F.size("grid")).otherwise(F.greatest("widest", F.lit(1))))
 
 
-def rendered_tables(tables: DataFrame, cells: DataFrame, contents: DataFrame) -> DataFrame:
-    """doc_id, at, container, within, nesting, list, text and attaches of tables; contents: doc_id, container and text of their cells."""
-    found = cells.join(contents.select("doc_id", F.col("container").alias("tc"), F.col("text").alias("content")), ["doc_id", "tc"], "left")
+def rendered_tables(tables: DataFrame, cells: DataFrame, contents: DataFrame, widths_set: bool = True) -> DataFrame:
+    """doc_id, at, container, within, nesting, list, text and attaches of tables; contents: doc_id, container and text of their cells; widths_set: whether cells may set widths."""
+    found = cells.join(contents.select("doc_id", F.col("container").alias("tc"), F.col("text").alias("content")).hint("merge"), ["doc_id", "tc"], "left")
     row, at = F.col("row") - 1, F.col("column_index")
     word_default = (F.col("margins.top") == 0) & (F.col("margins.bottom") == 0) & F.coalesce((F.abs(F.col("margins.left") - 108) <= 12) & (F.abs(F.col("margins.right") - 108) <= 12), F.lit(False))
     margins = F.when(any_side(F.col("margins")) & ~F.coalesce(word_default, F.lit(False)), F.col("margins"))
@@ -376,10 +414,11 @@ def rendered_tables(tables: DataFrame, cells: DataFrame, contents: DataFrame) ->
     found = found.withColumns({"cell": cell, "known": width, "gap": margins, "last": row + F.col("row_span")})
     slots = found.where(F.size("grid") == 0).where("known IS NOT NULL AND span > 0").select("doc_id", "tbl", "column_index", "span", "known")
     widths = column_widths(slots, ["doc_id", "tbl"], "column_index", "span", "known").groupBy("doc_id", "tbl").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("long"), "width"))).alias("widths"))
-    shown = found.groupBy("doc_id", "tbl", "row").agg(F.sum("span").alias("shown")).groupBy("doc_id", "tbl").agg(F.max("shown").alias("n_slots"))
+    in_row = Window.partitionBy("doc_id", "tbl", "row")
     entry = F.struct("row", "place", "cell", "last")
-    rows = found.groupBy("doc_id", "tbl").agg(F.array_sort(F.collect_list(entry)).alias("cells"), F.first("gap", ignorenulls=True).alias("gap"))
-    whole_ = tables.join(rows, ["doc_id", "tbl"], "left").join(shown, ["doc_id", "tbl"], "left").join(widths, ["doc_id", "tbl"], "left")
+    rows = found.withColumn("shown", F.sum("span").over(in_row)).groupBy("doc_id", "tbl").agg(F.array_sort(F.collect_list(entry)).alias("cells"), F.first("gap", ignorenulls=True).alias("gap"), F.max("shown").alias("n_slots"))
+    whole_ = tables.join(rows.hint("merge"), ["doc_id", "tbl"], "left")
+    whole_ = whole_.join(widths.hint("merge"), ["doc_id", "tbl"], "left") if widths_set else whole_.withColumn("widths", absent("map<bigint, bigint>"))
     return whole_.select("doc_id", F.col("tbl").alias("at"), "where.*", F.lit(None).cast("struct<level: int, num: string, form: string>").alias("list"), table_markup().alias("text"), F.lit(True).alias("attaches"))
 
 
@@ -436,36 +475,43 @@ def typeset(packages: DataFrame | Built, profile: dict | None = None, runtime_fi
     shredded = P.nodes(packages, PARTS, max_package_bytes, columns=NODE_COLUMNS)
     nodes = cut_off(shredded.withColumn("prop", F.when(is_property(), F.col("tag"))))
     body = nodes.where((F.col("part") == BODY) & F.col("tag").isNotNull())
-    catalog = style_catalog(nodes).join(number_catalog(nodes), "doc_id", "full").join(link_catalog(nodes), "doc_id", "full")
-    rows = resolved_runs(runs(body), catalog, profile or {})
-    used = rows.groupBy("doc_id").agg(F.min(F.least(F.coalesce("style.font", "para.style.font"), F.coalesce("para.style.font", "style.font"))).alias("font"))
+    # what there is, by one pass: what there isn't is neither looked for nor joined
+    there = nodes.agg(F.collect_set(F.when(F.col("tag").isin("tbl", *LOOKED_FOR), F.col("tag"))).alias("tags"), F.collect_set(F.when(F.col("part").isin(*PARTS), F.col("part"))).alias("parts")).first()
+    known = frozenset(there["tags"])
+    catalogs = [of(nodes) for part, of in ((PARTS[1], style_catalog), (PARTS[2], number_catalog), (PARTS[3], link_catalog)) if part in there["parts"]]
+    catalog = reduce(lambda a, b: a.join(b, "doc_id", "full"), catalogs) if catalogs else None
+    rows = resolved_runs(runs(body, known), catalog, profile or {})
+    used = rows.groupBy("doc_id").agg(F.min(F.least(F.coalesce("style.font", "para.style.font"), F.coalesce("para.style.font", "style.font"))).alias("font")) if "rFonts" in known else None
     # without_fields() sorts all pieces twice more, which changes nothing where there are no fields
-    fields = not body.where(F.col("tag").isin("fldChar", "fldSimple", "instrText")).isEmpty()
-    text_blocks = cut_off(paragraph_blocks(paragraphs(rows, fields)))
+    fields = not known.isdisjoint(("fldChar", "fldSimple", "instrText"))
+    text_blocks = cut_off(paragraph_blocks(paragraphs(rows, fields, "hyperlink" in known)))
     levels = lists.levels_of(text_blocks, "list.level")
-    tables, cells = table_rows(body)
-    deepest = body.where("tag = 'tbl'").agg(F.max(F.size(F.filter("above", lambda x: x["tag"] == "tbl")))).first()[0]
-    layout = layout_catalog(nodes)
+    layout = layout_catalog(nodes) if "sectPr" in known else None
+    by_document = lambda df, more, columns: df.withColumns({c: absent(kind) for c, kind in columns.items()}) if more is None else df.join(more.hint("merge"), "doc_id", "left")
+    in_layout = {"section_ends": "array<bigint>", "page": "string"}
 
     blocks = text_blocks
-    if deepest is not None:
+    if "tbl" in known:
+        tables, cells = table_rows(body, known)
+        tables = cut_off(tables)
+        deepest = tables.agg(F.max("where.nesting")).first()[0]
         placed = cut_off(placed_cells(tables, cells))
         lower = None
-        for level in range(deepest, -1, -1):  # from the innermost tables outwards; each level is of one document's depth
+        for level in range(deepest or 0, -1, -1):  # from the innermost tables outwards; each level is of one document's depth
             inner = text_blocks.where(F.col("nesting") == level + 1)
             inner = inner if lower is None else inner.unionByName(lower)
             contents = container_texts(nested_blocks(inner, ["doc_id", "container"], levels), ["doc_id", "container"])
             # several results read a level's tables: each is worked out once
-            lower = cut_off(rendered_tables(tables.where(F.col("where.nesting") == level), placed.where(F.col("where.nesting") == level), contents))
+            lower = cut_off(rendered_tables(tables.where(F.col("where.nesting") == level), placed.where(F.col("where.nesting") == level), contents, "tcW" in known))
         blocks = text_blocks.where("nesting = 0").unionByName(lower)
-    sectioned = blocks.join(layout, "doc_id", "left").withColumn("section", F.size(F.filter(F.coalesce("section_ends", F.array().cast("array<bigint>")), lambda e: e < F.col("at"))))
+    sectioned = by_document(blocks, layout, in_layout).withColumn("section", F.size(F.filter(F.coalesce("section_ends", F.array().cast("array<bigint>")), lambda e: e < F.col("at"))))
     top = nested_blocks(sectioned.drop("section_ends", "page"), ["doc_id", "section"], levels)
     counts = top.where("run IS NULL").groupBy("doc_id").agg(F.count_if(~F.col("attaches")).alias("paragraphs"), F.count_if("attaches").alias("tables"))
     texts = container_texts(top, ["doc_id", "section"])
     ends = texts.where("text <> ''").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("all"))
     wrong = F.max_by("error", F.when(F.col("error").isNotNull() & (F.col("part").isNull() | (F.col("part") == BODY)), F.lit(1)))
     status = nodes.groupBy("doc_id").agg(wrong.alias("error"), F.bool_or((F.col("part") == BODY) & F.col("tag").isNotNull()).alias("read"))
-    every = P.doc_ids(packages).distinct().join(status, "doc_id", "left").join(layout, "doc_id", "left").join(used, "doc_id", "left").join(ends, "doc_id", "left").join(counts, "doc_id", "left")
+    every = by_document(by_document(P.doc_ids(packages).distinct().join(status.hint("merge"), "doc_id", "left"), layout, in_layout), used, {"font": "string"}).join(ends.hint("merge"), "doc_id", "left").join(counts.hint("merge"), "doc_id", "left")
     font = F.concat(F.lit(f'#import "{runtime_file}": *\n#set text(font: "'), T.escape_string(F.coalesce("font", F.lit(DEFAULT_FONT))), F.lit('")\n'))
     ok = F.coalesce("read", F.lit(False))
     markup = F.when(ok, F.concat(font, F.coalesce("page", F.lit("")), F.lit("\n"), F.coalesce("all", F.lit(""))))

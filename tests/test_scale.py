@@ -188,3 +188,25 @@ def test_similar_pairs_without_rows_for_candidates(spark, monkeypatch):
         assert not any("left_size" in x for x in steps(found, "Exchange hash"))
         want = {tuple(x) for x in every if x["similarity"] >= threshold}
         assert {tuple(x) for x in found.collect()} == want and want
+
+
+def test_tables_of_orders_are_built_where_they_are_read(spark):
+    built = markup_queries.order_packages(spark, DATA)
+    assert passes(P.doc_ids(built)) == 0 and passes(P.nodes(built, (BODY,))) == 1
+
+
+def test_what_documents_dont_hold_is_not_looked_for(spark, monkeypatch):
+    from quire.plans import typeset as T
+
+    link = f'<w:p>{B.run("one")}<w:hyperlink w:anchor="a">{B.run("two")}</w:hyperlink></w:p>'
+    font = B.paragraph("said", "", '<w:rFonts w:ascii="Some Font"/><w:b/>') + f"<w:p>{B.run('a/')}{B.run('/b')}<w:r><w:br/><w:t>c</w:t></w:r></w:p>"
+    cell = lambda props, text: f"<w:tc><w:tcPr>{props}</w:tcPr>{B.paragraph(text)}</w:tc>"
+    table = f"<w:tbl><w:tr>{cell('<w:gridSpan w:val=\"2\"/>', 'x')}</w:tr><w:tr>{cell('<w:tcW w:w=\"900\"/>', '')}{cell('<w:tcBorders><w:end w:val=\"single\"/></w:tcBorders>', 'y')}</w:tr></w:tbl>"
+    section = B.paragraph("last") + '<w:p/><w:sectPr><w:pgSz w:w="9000" w:h="12000"/></w:sectPr>'
+    bodies = ["", B.paragraph("plain *text*"), link, font, table, section, "<w:p><w:r/><w:r><w:tab/></w:r></w:p><w:tbl/>"]
+    made = lambda some: spark.createDataFrame([(str(i), bytearray(B.package({BODY: B.document(bodies[i])}))) for i in some], "doc_id string, content binary")
+    together = {x["doc_id"]: x for x in T.typeset(made(range(len(bodies)))).collect()}
+    looked, layout = [], T.layout_catalog
+    monkeypatch.setattr(T, "layout_catalog", lambda nodes: looked.append(1) or layout(nodes))
+    alone = {str(i): T.typeset(made([i])).first() for i in range(len(bodies))}
+    assert alone == together and len(looked) == 1 and 'font: "Some Font"' in alone["3"]["markup"]
