@@ -210,3 +210,23 @@ def test_what_documents_dont_hold_is_not_looked_for(spark, monkeypatch):
     monkeypatch.setattr(T, "layout_catalog", lambda nodes: looked.append(1) or layout(nodes))
     alone = {str(i): T.typeset(made([i])).first() for i in range(len(bodies))}
     assert alone == together and len(looked) == 1 and 'font: "Some Font"' in alone["3"]["markup"]
+
+
+def test_alike_style_sheets_are_worked_out_once(spark, monkeypatch):
+    from quire.plans import table_styles as S
+
+    sheet = lambda size: f'<w:styles {B.WORD}><w:style w:type="table" w:styleId="A"><w:tblPr><w:tblBorders><w:top w:val="single" w:sz="{size}"/><w:insideV w:val="single" w:sz="2"/></w:tblBorders></w:tblPr><w:tblStylePr w:type="firstRow"><w:tcPr><w:tcBorders><w:left w:val="nil"/></w:tcBorders></w:tcPr></w:tblStylePr></w:style></w:styles>'
+    marks = '<w:trPr><w:cnfStyle w:firstRow="1"/></w:trPr>'
+    table = lambda i: f'<w:tbl><w:tblPr><w:tblStyle w:val="{"A" if i % 5 else "gone"}"/></w:tblPr><w:tr><w:tc/><w:tc/></w:tr><w:tr>{marks if i % 3 else ""}<w:tc/><w:tc><w:tcPr><w:tcBorders><w:top w:val="single"/></w:tcBorders></w:tcPr></w:tc></w:tr></w:tbl>'
+    sheets = [sheet(4), sheet(8), f"<w:styles {B.WORD}/>", None]
+    made = [(str(i), bytearray(B.package({BODY: B.document(table(i))} | ({S.STYLES: sheets[i % 4]} if i % 4 < 3 else {})))) for i in range(30)]
+    packages = spark.createDataFrame([*made, ("broken", bytearray(B.package({BODY: B.document(table(1)), S.STYLES: "<a"})))], "doc_id string, content binary").repartition(2)
+    each = P.nodes(packages, (BODY, S.STYLES), tags=S.TAGS).cache()
+    shared = P.nodes(packages, (BODY, S.STYLES), tags=S.TAGS, once=(S.STYLES,)).cache()
+    of_sheets = "part = 'word/styles.xml' AND tag = 'style'"
+    assert each.where(of_sheets).count() == 16 and shared.where(of_sheets).count() <= 4 and shared.where("digest IS NOT NULL").select("digest").distinct().count() == 3
+    want = sorted(map(str, S.cell_borders(each).collect()))
+    assert want and sorted(map(str, S.cell_borders(shared).collect())) == want
+    monkeypatch.setattr(S, "FEW_STYLES", 0)
+    assert sorted(map(str, S.cell_borders(shared).collect())) == want
+    assert not steps(S.cell_borders(shared), "BroadcastHashJoin", "BroadcastExchange")
